@@ -1,0 +1 @@
+"""Operators of the invocation-log analytics engine."""

@@ -1,0 +1 @@
+"""Plans of the invocation-log analytics engine."""

@@ -1,0 +1,4 @@
+"""Named analytical queries with their SQL equivalents."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}

@@ -1,0 +1 @@
+"""Sources of the invocation-log analytics engine."""
