@@ -31,6 +31,9 @@ from .common import written
 WINDOW = 35
 GRAM = 8
 SPLIT = 4
+#: Hashes a bucket should hold, and the least number of buckets; the volume is estimated from bytes of text (six a word).
+BUCKET = 1 << 19
+LEAST_BUCKETS = 16
 #: Characters that stand for words: all but the surrogates.
 LETTERS = 0x10FFFF - 0x800
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -187,24 +190,27 @@ def dedupe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = buckets = SPLIT * parts
+    shards = SPLIT * parts
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int"))
     name = f"phrases_{uuid.uuid4().hex}"
     rows.repartition(parts, "shard").write.format("parquet").option("compression", "zstd").bucketBy(parts, "shard").saveAsTable(name)
     texts = spark.table(name)
+    words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    anchor_buckets = max(LEAST_BUCKETS, words // (WINDOW - GRAM + 1) * 2 // BUCKET)
+    window_buckets = max(LEAST_BUCKETS, words // BUCKET)
 
     def ask_anchors(table: pa.Table) -> pa.Table:
-        return _requests(table.column("shard")[0].as_py(), _Shard(table).anchors()[0], buckets)
+        return _requests(table.column("shard")[0].as_py(), _Shard(table).anchors()[0], anchor_buckets)
 
     def ask_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
-            return _requests(0, np.zeros(0, np.uint64), buckets)
+            return _requests(0, np.zeros(0, np.uint64), window_buckets)
         shard = _Shard(table)
         _, window, least = shard.anchors()
         may = window[_among(least, _known(replies))]
         at, h = shard.windows(WINDOW)
-        return _requests(table.column("shard")[0].as_py(), h[np.isin(at, may, assume_unique=True)], buckets)
+        return _requests(table.column("shard")[0].as_py(), h[np.isin(at, may, assume_unique=True)], window_buckets)
 
     columns = ["id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
 
