@@ -1,4 +1,181 @@
-"""Named analytical queries with their SQL equivalents."""
+"""Named analytical queries with their SQL equivalents.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Where both engines read the same text, a query is one SQL string over {facts} and the tables; the others are DataFrames.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracewell.functions import text
+from tracewell.operators import sessionize
+from tracewell.plans.adapters import FACTS_SQL, facts, turns
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Registers a DataFrame query with its SQL equivalent."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql.replace("{facts}", FACTS_SQL)
+        return f
+
+    return add
+
+
+TABLES = ("conversations", "orders", "lineitem", "documents", "pages")
+SHARED = {
+    "day_stats": "SELECT day, count(*) AS invocations, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, count(*) FILTER (WHERE error_code <> '') AS errors FROM {facts} f GROUP BY day",
+    "run_totals": "SELECT count(*) AS invocations, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, count(*) FILTER (WHERE error_code <> '') AS errors, min(ts) AS first_ts, max(ts) AS last_ts FROM {facts} f",
+    "day_and_total_grouping_sets": "SELECT coalesce(day, 'all') AS day, count(*) AS invocations, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM {facts} f GROUP BY GROUPING SETS ((day), ())",
+    "model_breakdown": "SELECT model_id, count(*) AS invocations FROM {facts} f GROUP BY model_id",
+    "op_breakdown": "SELECT day, operation, count(*) AS invocations FROM {facts} f GROUP BY day, operation",
+    "spend_by_model": "SELECT provider, model_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(CAST(sum(cache_read_tokens) AS DOUBLE) / nullif(sum(cache_read_tokens + input_tokens), 0), 3) AS cache_hit_ratio FROM {facts} f GROUP BY provider, model_id",
+    "spend_by_day": "SELECT day, model_id, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens FROM {facts} f GROUP BY day, model_id",
+    "error_rate": "SELECT provider, count(*) FILTER (WHERE error_code <> '') AS errors, count(*) AS invocations, round(CAST(count(*) FILTER (WHERE error_code <> '') AS DOUBLE) / count(*), 4) AS error_rate FROM {facts} f GROUP BY provider",
+    "session_shape": "SELECT provider, session_id, count(*) AS invocations, count(DISTINCT thread_id) AS threads, max(num_messages) AS most_messages FROM {facts} f WHERE session_id <> '' GROUP BY provider, session_id",
+    "longest_sessions": "SELECT provider, session_id, max(ts) - min(ts) AS duration_us FROM {facts} f WHERE session_id <> '' GROUP BY provider, session_id ORDER BY duration_us DESC, provider, session_id LIMIT 10",
+    "stop_reason_dist": "SELECT stop_reason, count(*) AS n FROM {facts} f WHERE stop_reason <> '' GROUP BY stop_reason",
+    "main_vs_sidechain": "SELECT CASE WHEN thread_id = 'main' THEN 'main' ELSE 'sidechain' END AS kind, count(*) AS n, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM {facts} f GROUP BY CASE WHEN thread_id = 'main' THEN 'main' ELSE 'sidechain' END",
+    "top_conversations": "SELECT principal, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM {facts} f GROUP BY principal ORDER BY input_tokens DESC, principal LIMIT 20",
+    "union_runs": "SELECT run, count(*) AS n FROM (SELECT 'a' AS run, request_id FROM {facts} f WHERE n % 3 <> 0 UNION ALL SELECT 'b', request_id FROM {facts} g WHERE n % 3 <> 1) r GROUP BY run",
+    "dedup_overlap": "SELECT request_id, run FROM (SELECT request_id, run, row_number() OVER (PARTITION BY request_id ORDER BY run) AS k FROM (SELECT 'a' AS run, request_id FROM {facts} f WHERE n % 3 <> 0 UNION ALL SELECT 'b', request_id FROM {facts} g WHERE n % 3 <> 1) r) x WHERE k = 1",
+    "fullest_request": "SELECT provider, session_id, thread_id, request_id, num_messages FROM (SELECT *, row_number() OVER (PARTITION BY provider, session_id, thread_id ORDER BY num_messages DESC, ts, n) AS k FROM {facts} f WHERE session_id <> '') x WHERE k = 1",
+    "main_thread": "SELECT provider, session_id, thread_id FROM (SELECT *, row_number() OVER (PARTITION BY provider, session_id ORDER BY start_ts, n DESC, thread_id) AS k FROM (SELECT provider, session_id, thread_id, min(ts) AS start_ts, count(*) AS n FROM {facts} f WHERE session_id <> '' GROUP BY provider, session_id, thread_id) t) x WHERE k = 1",
+    "adjacency_lead": "SELECT request_id, message_id, lead(prev_id) OVER (PARTITION BY principal, thread_id ORDER BY num_messages, ts, n) AS paired_id FROM (SELECT *, lag(message_id) OVER (PARTITION BY principal, thread_id ORDER BY num_messages, ts, n) AS prev_id FROM {facts} f) x",
+    "unclaimed_anti": "SELECT message_id FROM {facts} f WHERE NOT EXISTS (SELECT 1 FROM (SELECT lag(message_id) OVER (PARTITION BY principal ORDER BY ts, n) AS prev_id FROM {facts} g) c WHERE c.prev_id = f.message_id)",
+    "metrics_attach": "SELECT t.conv_id, t.turn, i.request_id, i.output_tokens FROM {conversations} t JOIN (SELECT conv, num_messages, request_id, output_tokens FROM (SELECT n % 100 AS conv, num_messages, request_id, output_tokens, row_number() OVER (PARTITION BY n % 100, num_messages ORDER BY ts, n) AS k FROM {facts} f) x WHERE k = 1) i ON t.conv_id = i.conv AND t.turn = i.num_messages WHERE t.role = 'assistant'",
+    "role_volume": "SELECT role, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS characters FROM {conversations} c GROUP BY role",
+    "turn_index": "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn_index, role FROM {conversations} c",
+    "resend_dedup": "SELECT o.o_orderkey, l.l_linenumber, count(*) AS copies FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderkey, l.l_linenumber",
+}
+
+
+def _shared(sql: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
+        return spark.sql(sql, **given, **({"facts": facts(spark, sf_dir)} if "{facts}" in sql else {}))
+
+    return run
+
+
+for _name, _sql in SHARED.items():
+    QUERIES[_name] = _shared(_sql)
+    for _t in TABLES:
+        _sql = _sql.replace("{" + _t + "}", _t)
+    ORACLES[_name] = _sql.replace("{facts}", FACTS_SQL)
+
+_GAPS = """SELECT request_id, day, provider, model_id, principal, CAST(sum(opened) OVER (PARTITION BY day, provider, model_id, principal ORDER BY ts, n) AS BIGINT) AS gap_seq
+FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY day, provider, model_id, principal ORDER BY ts, n) > {gap} THEN 1 ELSE 0 END AS opened FROM {facts} f) x"""
+_CONV = """SELECT day, CASE WHEN session_id = '' THEN 1 ELSE 0 END AS is_gap, provider, CASE WHEN session_id = '' THEN model_id ELSE session_id END AS k1, CASE WHEN session_id = '' THEN principal ELSE '' END AS k2, seq,
+ count(*) AS invocations, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_read_tokens)::BIGINT AS cache_read_tokens, count(*) FILTER (error_code <> '') AS errors, min(ts) AS start_ts, max(ts) AS end_ts,
+ first(session_id ORDER BY ts, n) AS session_id, first(model_id ORDER BY ts, n) AS model_id, first(principal ORDER BY ts, n) AS principal
+FROM (SELECT *, CASE WHEN session_id <> '' THEN 0 ELSE sum(opened) OVER (PARTITION BY day, provider, model_id, principal, session_id = '' ORDER BY ts, n) END::BIGINT AS seq
+ FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY day, provider, model_id, principal, session_id = '' ORDER BY ts, n) > {gap} THEN 1 ELSE 0 END AS opened FROM {facts} f) x) y GROUP BY 1, 2, 3, 4, 5, 6"""
+FIVE_MINUTES, TWO_HOURS = str(sessionize.GAP), str(2 * 3600 * 1_000_000)
+
+
+@query(_GAPS.replace("{gap}", FIVE_MINUTES))
+def gap_sessions(spark, sf_dir):
+    return sessionize.gap_sequence(facts(spark, sf_dir)).select("request_id", *sessionize.SCOPE, "gap_seq")
+
+
+@query(_GAPS.replace("{gap}", TWO_HOURS))
+def gap_sessions_2h(spark, sf_dir):
+    return sessionize.gap_sequence(facts(spark, sf_dir), int(TWO_HOURS)).select("request_id", *sessionize.SCOPE, "gap_seq")
+
+
+@query(_CONV.replace("{gap}", FIVE_MINUTES))
+def session_rollup(spark, sf_dir):
+    return sessionize.conversations(facts(spark, sf_dir))
+
+
+@query(f"""SELECT day, is_gap, provider, k1, k2, seq, 'conv-' || day || '-' || (row_number() OVER (ORDER BY day, is_gap, provider, k1, k2, seq) - 1) AS display_id,
+ CASE WHEN session_id <> '' THEN session_id ELSE substr(sha256(provider || chr(0) || model_id || chr(0) || principal || chr(0) || strftime(make_timestamp(start_ts), '%Y-%m-%dT%H:%M:%SZ') || chr(0)), 1, 16) END AS conversation_id FROM ({_CONV.replace("{gap}", TWO_HOURS)}) c""")
+def display_ids(spark, sf_dir):
+    return sessionize.with_ids(sessionize.conversations(facts(spark, sf_dir), int(TWO_HOURS))).select(*sessionize.KEY, "display_id", "conversation_id")
+
+
+@query("SELECT day, count(*) AS conversations, sum(invocations)::BIGINT AS invocations, sum(input_tokens)::BIGINT AS input_tokens, min(start_ts) AS first_ts, max(end_ts) AS last_ts FROM (" + _CONV.replace("{gap}", FIVE_MINUTES) + ") c GROUP BY day")
+def index_days(spark, sf_dir):
+    return sessionize.conversations(facts(spark, sf_dir)).groupBy("day").agg(F.count("*").alias("conversations"), F.sum("invocations").alias("invocations"), F.sum("input_tokens").alias("input_tokens"), F.min("start_ts").alias("first_ts"), F.max("end_ts").alias("last_ts"))
+
+
+@query("SELECT a.request_id, b.request_id AS response_id FROM {facts} a JOIN {facts} b ON a.principal = b.principal AND b.n <> a.n AND b.ts BETWEEN a.ts AND a.ts + 600000000")
+def terminal_candidates(spark, sf_dir):
+    """Responses at most ten minutes after a request: joined on ten-minute slots, each request looking at its slot and the next."""
+    slot = 600_000_000
+    f = facts(spark, sf_dir).select("request_id", "principal", "n", "ts")
+    a = f.withColumn("slot", F.explode(F.array(F.floor(F.col("ts") / slot), F.floor(F.col("ts") / slot) + 1))).alias("a")
+    b = f.withColumn("slot", F.floor(F.col("ts") / slot)).alias("b")
+    on = (F.col("a.principal") == F.col("b.principal")) & (F.col("a.slot") == F.col("b.slot")) & (F.col("a.n") != F.col("b.n")) & F.col("b.ts").between(F.col("a.ts"), F.col("a.ts") + slot)
+    return a.join(b, on).select("a.request_id", F.col("b.request_id").alias("response_id"))
+
+
+@query("SELECT operation, round(quantile_cont(output_tokens, 0.5), 3) AS p50, round(quantile_cont(output_tokens, 0.9), 3) AS p90, round(quantile_cont(output_tokens, 0.99), 3) AS p99 FROM {facts} f GROUP BY operation")
+def output_quantiles(spark, sf_dir):
+    p = F.percentile("output_tokens", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
+    return facts(spark, sf_dir).groupBy("operation").agg(p.alias("p")).select("operation", *(F.round(F.col("p")[i], 3).alias(n) for i, n in enumerate(("p50", "p90", "p99"))))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE text <> '' GROUP BY conv_id")
+def turn_text(spark, sf_dir):
+    kept = turns(spark, sf_dir).where("text <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return kept.select("conv_id", F.array_join(F.col("t.text"), "\n\n").alias("text"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS system_prompt FROM conversations WHERE role IN ('system', 'developer') GROUP BY conv_id")
+def system_prompt(spark, sf_dir):
+    kept = turns(spark, sf_dir).where("role in ('system', 'developer')").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return kept.select("conv_id", F.array_join(F.col("t.text"), "\n\n").alias("system_prompt"))
+
+
+@query("SELECT doc_id, substr(text, 1, 80) AS snippet FROM documents")
+def snippet(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 80).alias("snippet"))
+
+
+@query("SELECT page_id, regexp_extract(url, '(?:^|/)en/([^/]+)', 1) AS segment, replace(translate(url, '/\\:', '___'), '..', '__') AS file_name FROM pages")
+def url_names(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", text.path_segment(F.col("url"), "en").alias("segment"), text.sanitize_filename(F.col("url")).alias("file_name"))
+
+
+@query("SELECT DISTINCT model_id, regexp_replace(regexp_replace(regexp_replace(model_id, '^.*/', ''), '^[^.]{2}\\.', ''), '-v1$', '') AS short_model FROM {facts} f")
+def short_model(spark, sf_dir):
+    return facts(spark, sf_dir).select("model_id").distinct().withColumn("short_model", text.short_model(F.col("model_id")))
+
+
+@query("SELECT doc_id, 'data:text/' || lang || ';base64,' || base64(encode(text)) AS uri, lang AS mime_end, strlen(text) AS decoded FROM documents")
+def data_uri_length(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = d.select("doc_id", F.concat(F.lit("data:text/"), "lang", F.lit(";base64,"), F.replace(F.base64(F.encode("text", "utf-8")), F.lit("\r\n"), F.lit(""))).alias("uri")).withColumn("u", text.data_uri(F.col("uri")))
+    return d.select("doc_id", "uri", F.regexp_extract("u.mime", "/(.*)$", 1).alias("mime_end"), text.base64_length(F.col("u.payload")).alias("decoded"))
+
+
+#: Terms of the search query.
+TERMS = ("the", "and", "tion", "des", "ing")
+K1, B = 1.2, 0.75
+_TERM_LIST = ", ".join(f"'{t}'" for t in TERMS)
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), d AS (SELECT doc_id, count(*) AS dl FROM w GROUP BY doc_id), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
+ tf AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN ({_TERM_LIST}) GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+ SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term) JOIN d USING (doc_id), s GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""")
+def bm25_top10(spark, sf_dir):
+    """BM25 without stemming or stop words; term counts come from each text by itself, so words are never shuffled."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    count = lambda t: F.size(F.filter("w", lambda x: x == t)).cast("double").alias(f"tf_{t}")
+    counts = [count(t) for t in TERMS]
+    d = d.select("doc_id", F.size("w").alias("dl"), *counts).where("dl > 0")
+    s = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf_{t}") > 0).alias(f"df_{t}") for t in TERMS))
+    length = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    score = sum((F.log((F.col("n") - F.col(f"df_{t}") + 0.5) / (F.col(f"df_{t}") + 0.5) + 1) * F.col(f"tf_{t}") * (K1 + 1) / (F.col(f"tf_{t}") + length) for t in TERMS), F.lit(0.0))
+    # one row of totals
+    return d.join(F.broadcast(s)).where(" + ".join(f"tf_{t}" for t in TERMS) + " > 0").select("doc_id", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(10)
