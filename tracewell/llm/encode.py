@@ -22,9 +22,9 @@ from . import textkernel as tk
 
 #: Fixed value: the split pattern of byte-level tokenizer files.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-_NOT_A_BORDER = re.compile(r"\s[ \n]|[\W_][.,]|\x00")
+_NOT_A_BORDER = re.compile(r"[ \n](?<=\s.)|[.,](?<=[\W_].)|\x00", re.DOTALL)
 #: Entries that a Python worker remembers; a full memory is emptied.
-MEMORY = 500_000
+MEMORY = 1_000_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -52,7 +52,7 @@ class Encoder:
         if len(self.known) > MEMORY:
             self.known.clear()
         known = self.known
-        new = list({p for pieces in cut for p in pieces if p not in known})
+        new = list(set().union(*cut).difference(known))
         for at in range(0, len(new), 1024):
             part = new[at : at + 1024]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
