@@ -68,35 +68,48 @@ ALPHABETS = (("^[0-9A-F]+$", "0123456789ABCDEF"), ("^[A-Z2-7]+$", "ABCDEFGHIJKLM
              ("^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed, and spelled out in the plan, once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def battery(s: Column) -> Column:
-    """struct<p_random, p_chance> of a string over an encoding's characters, both null where it has letters of one case and no digit.
+    """struct<p_random, p_chance> of a string over an encoding's characters, null where it has letters of one case and no digit.
 
     p_random is small if the string is not uniformly random; p_chance is small if ordinary text would repeat more symbols.
     """
     alphabet = F.lit(ALPHABETS[-1][1])
     for pattern, letters in reversed(ALPHABETS[:-1]):
         alphabet = F.when(s.rlike(pattern), F.lit(letters)).otherwise(alphabet)
+    mixed = s.rlike("[0-9]") & s.rlike("[A-Za-z]") | s.rlike("[a-z][A-Z]") & s.rlike("[A-Z]{2}|[A-Z][a-z][A-Z]")
     # base64 has 64 symbols, whichever pair of marks it uses
-    k = F.least(F.length(alphabet), F.lit(64)).cast("double")
-    n = F.length(s).cast("double")
-    symbols = F.split(s, "")
-    counts = F.transform(F.array_distinct(symbols), lambda c: (n - F.length(F.replace(s, c, F.lit("")))))
-    squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-    chi = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    x = F.transform(symbols, lambda c: (F.least(F.call_function("instr", alphabet, c), k) - 1) - (k - 1) / 2)
-    pairs = F.zip_with(F.slice(x, F.lit(1), (n - 1).cast("int")), F.slice(x, F.lit(2), (n - 1).cast("int")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    turns = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.when((p["a"] < 0) != (p["b"] < 0), 1.0).otherwise(0.0))
-    runs = (turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    serial = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["a"] * p["b"]) / ((k * k - 1) / 12) / F.sqrt(n - 1)
-    up = F.greatest(chi, F.lit(0.0))
-    q = up * up + runs * runs + serial * serial
+    known = _let(alphabet, lambda a: F.struct(a.alias("a"), F.least(F.length(a), F.lit(64)).cast("double").alias("k"), F.length(s).cast("double").alias("n"), F.split(s, "").alias("symbols")))
+    return F.when(mixed, _let(known, lambda v: _let(_counted(s, v), lambda c: _let(_tested(c), _combined))))
+
+
+def _counted(s: Column, v: Column) -> Column:
+    """struct<k, n, squares, x>: sizes, the sum of squared symbol counts, and the symbols' numbers about the middle."""
+    counts = F.transform(F.array_distinct(v["symbols"]), lambda c: v["n"] - F.length(F.replace(s, c, F.lit(""))))
+    x = F.transform(v["symbols"], lambda c: F.least(F.call_function("instr", v["a"], c), v["k"]) - 1 - (v["k"] - 1) / 2)
+    return F.struct(v["k"].alias("k"), v["n"].alias("n"), F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c).alias("squares"), x.alias("x"))
+
+
+def _tested(c: Column) -> Column:
+    """struct<q, equal, mean>: the battery's sum of squares, equal pairs, and those of ordinary text."""
+    k, n = c["k"], c["n"]
+    chi = (k / n * c["squares"] - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+    pairs = F.arrays_zip(F.slice(c["x"], F.lit(1), (n - 1).cast("int")).alias("a"), F.slice(c["x"], F.lit(2), (n - 1).cast("int")).alias("b"))
+    start = F.struct(F.lit(0.0).alias("turns"), F.lit(0.0).alias("products"))
+    sums = F.aggregate(pairs, start, lambda t, p: F.struct((t["turns"] + F.when((p["a"] < 0) != (p["b"] < 0), 1.0).otherwise(0.0)).alias("turns"), (t["products"] + p["a"] * p["b"]).alias("products")))
+    q = _let(sums, lambda t: F.pow((t["turns"] - (n - 1) / 2) / F.sqrt((n - 1) / 4), F.lit(2)) + F.pow(t["products"] / ((k * k - 1) / 12) / F.sqrt(n - 1), F.lit(2)))
+    return F.struct((q + F.pow(F.greatest(chi, F.lit(0.0)), F.lit(2))).alias("q"), ((c["squares"] - n) / 2).alias("equal"), (n * (n - 1) / 2 * REPEATS).alias("mean"))
+
+
+def _combined(t: Column) -> Column:
     # survival function of chi-squared with three degrees of freedom
-    p_random = 2 * _normal_cdf(-F.sqrt(q)) + F.sqrt(2 * q / math.pi) * F.exp(-q / 2)
-    equal = (squares - n) / 2
-    mean = n * (n - 1) / 2 * REPEATS
-    p_chance = _normal_cdf(2 * (F.sqrt(equal + 0.375) - F.sqrt(mean + 0.375)))
-    mixed = s.rlike("[0-9]") & s.rlike("[A-Za-z]") | s.rlike("[a-z][A-Z]") & s.rlike("[A-Z]{2}|[A-Z][a-z][A-Z]")
-    return F.when(mixed, F.struct(p_random.alias("p_random"), p_chance.alias("p_chance")))
+    p_random = 2 * _normal_cdf(-F.sqrt(t["q"])) + F.sqrt(2 * t["q"] / math.pi) * F.exp(-t["q"] / 2)
+    chance = _let(2 * (F.sqrt(t["equal"] + 0.375) - F.sqrt(t["mean"] + 0.375)), _normal_cdf)
+    return F.struct(p_random.alias("p_random"), chance.alias("p_chance"))
 
 
 def candidates(text: Column, base: Column) -> Column:
