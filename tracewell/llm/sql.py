@@ -1,3 +1,46 @@
 """DuckDB equivalents of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from .common import WORD
+from .mixing import MOST_COPIES, WEIGHTS
+from .phrases import WINDOW
+from .vectors import THRESHOLD
+
+_WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
+
+#: All pairs of usable vectors by cosine, and what is reachable over links.
+LINKS = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+ u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+ near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= {THRESHOLD}),
+ reach(id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, n.b FROM reach r JOIN near n ON r.other = n.a),
+ links AS (SELECT a, count(*) AS n_links FROM near GROUP BY a), low AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT id AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM low LEFT JOIN links ON low.id = links.a"""
+
+#: Targets by water-filling over the sources, then whole copies and the Pareto order up to the words wanted.
+MIX = f"""WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+ sums AS (SELECT source, sum(size)::BIGINT AS source_size, sum(size * pow(greatest(size, 1)::DOUBLE, -0.25)) AS damp FROM d GROUP BY source),
+ weighed AS (SELECT *, ({list(WEIGHTS)})[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight, source_size * {MOST_COPIES} AS most FROM sums),
+ levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER before, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level FROM weighed
+  WINDOW before AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ shared AS (SELECT *, CASE WHEN most / weight <= level THEN most::DOUBLE ELSE weight * (SELECT level FROM levels WHERE most / weight > level ORDER BY most / weight, source NULLS LAST LIMIT 1) END AS target FROM levels),
+ wanted AS (SELECT *, CASE WHEN source_size > 0 THEN floor(round(target / source_size, 9)) ELSE 0 END::BIGINT AS whole, damp / greatest(source_size, 1) AS mean_damp FROM shared),
+ drawn AS (SELECT doc_id, d.source, size, source_size, target, whole, greatest(target - whole * source_size, 0) AS need, (('0x' || substr(md5('7:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / pow(2, 52) AS u,
+  least(greatest((CASE WHEN source_size > 0 THEN greatest(target - whole * source_size, 0) / source_size ELSE 0 END) * pow(greatest(size, 1)::DOUBLE, -0.25) / greatest(mean_damp, 1e-12), 0.001), 0.999) AS p
+  FROM d JOIN wanted w ON d.source IS NOT DISTINCT FROM w.source),
+ placed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY (u / (1 - u)) / (p / (1 - p)), doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle FROM drawn)
+SELECT doc_id, size, source_size, target, (size * least(whole + CASE WHEN need > 0 AND middle <= need THEN 1 ELSE 0 END, {MOST_COPIES}))::BIGINT AS taken FROM placed"""
+
+#: Base32 digits are taken from the ten hex digits of each five bytes.
+WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last_id FROM pages), h AS (SELECT *, sha1(body) AS hex FROM p)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last_id THEN last_id END AS refers_to,
+ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))::INTEGER) & 31))::BIGINT, 1)), '') AS payload_digest FROM h"""
+
+#: Windows as whole strings; those that start more than once cover the words to remove.
+PHRASES = f"""WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+ windows AS (SELECT doc_id, unnest(range(1, len(words) - {WINDOW} + 2)) AS pos, unnest(list_transform(range(1, len(words) - {WINDOW} + 2), lambda i: array_to_string(words[i:i + {WINDOW - 1}], ' '))) AS phrase FROM w WHERE len(words) >= {WINDOW}),
+ again AS (SELECT phrase FROM windows GROUP BY phrase HAVING count(*) > 1), starts AS (SELECT doc_id, pos FROM windows SEMI JOIN again USING (phrase)),
+ gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM starts, range({WINDOW}) r(k)),
+ each AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM w),
+ kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS text FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op3_vector_links": LINKS, "op4_source_mix": MIX, "op5_warc": WARC, "op10_repeated_phrases": PHRASES}
