@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
-from tracewell.operators import sessionize
+from tracewell.operators import pairing, sessionize
 from tracewell.plans.adapters import FACTS_SQL, facts, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +118,28 @@ def terminal_candidates(spark, sf_dir):
     return a.join(b, on).select("a.request_id", F.col("b.request_id").alias("response_id"))
 
 
+_NAMED = "(SELECT request_id, principal, thread_id, num_messages, ts, n, message_id, coalesce(lag(message_id) OVER (PARTITION BY principal ORDER BY ts, n), '') AS prev_id FROM {facts} f)"
+_PAIRS = f"""(SELECT request_id, coalesce(m.message_id, '') AS message_id FROM (SELECT *, lead(prev_id) OVER (PARTITION BY principal, thread_id ORDER BY num_messages, ts, request_id) AS named FROM {_NAMED} a) r LEFT JOIN (SELECT message_id FROM {{facts}} g) m ON r.named = m.message_id)"""
+
+
+def _paired(spark, sf_dir):
+    """Invocations as requests that name the one before of the same principal, and as responses, and their pairs."""
+    f = facts(spark, sf_dir)
+    prev = F.coalesce(F.lag("message_id").over(Window.partitionBy("principal").orderBy("ts", "n")), F.lit(""))
+    responses = f.select("message_id")
+    return pairing.adjacent(f.select(F.col("request_id").alias("uuid"), F.col("ts").alias("mtime"), F.col("principal").alias("session_id"), F.col("thread_id").alias("chain"), "num_messages", prev.alias("prev_id")), responses), responses
+
+
+@query(f"SELECT request_id, message_id FROM {_PAIRS} p")
+def adjacent_pairs(spark, sf_dir):
+    return _paired(spark, sf_dir)[0].select(F.col("uuid").alias("request_id"), "message_id")
+
+
+@query(f"SELECT message_id FROM {{facts}} f WHERE message_id NOT IN (SELECT message_id FROM {_PAIRS} p)")
+def unclaimed_responses(spark, sf_dir):
+    return pairing.unclaimed(*_paired(spark, sf_dir)).select("message_id")
+
+
 @query("SELECT operation, round(quantile_cont(output_tokens, 0.5), 3) AS p50, round(quantile_cont(output_tokens, 0.9), 3) AS p90, round(quantile_cont(output_tokens, 0.99), 3) AS p99 FROM {facts} f GROUP BY operation")
 def output_quantiles(spark, sf_dir):
     p = F.percentile("output_tokens", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
