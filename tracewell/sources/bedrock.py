@@ -40,7 +40,7 @@ def _key_in(root: str) -> Column:
     """A file's key: its path under root, which ends where the bucket begins."""
     under = re.sub("^[a-z0-9]+:/*", "/", root).rstrip("/")
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return F.substring_index(F.concat(path, F.lit("")), f"{under}/", -1)
+    return F.substring_index(path, f"{under}/", -1)
 
 
 def log_lines(spark: SparkSession, root: str, start: str = "", end: str = "") -> DataFrame:
