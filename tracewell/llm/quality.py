@@ -101,20 +101,21 @@ def _repeated(row: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """(id_col, the groups as strings, STATS) of every row; whole texts, null as empty."""
-    columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups))]
-    schema = "id long, " + ", ".join(f"g{i} string" for i in range(len(groups))) + ", " + ", ".join(f"{s} long" for s in STATS)
-    keep = ["id", *(f"g{i}" for i in range(len(groups)))]
+def statistics(documents: DataFrame, text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(g0, g1, ... the groups as strings, c0, c1, ... the columns carry, STATS) of every row; whole texts, null as empty."""
+    carried = {f"c{i}": c for i, c in enumerate(carry)}
+    columns = [F.col(text_col).alias("text"), *(F.col(g).cast("string").alias(f"g{i}") for i, g in enumerate(groups)), *(F.col(c).alias(k) for k, c in carried.items() if c != text_col)]
+    types = {f"g{i}": "string" for i in range(len(groups))} | {k: documents.schema[c].dataType.simpleString() for k, c in carried.items()}
+    schema = ", ".join(f"{k} {t}" for k, t in (types | dict.fromkeys(STATS, "long")).items())
+    sent = ["text" if carried.get(k) == text_col else k for k in types]
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 stats = text_stats(part, "text")
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array(stats[s]) for s in STATS)], names=[*keep, *STATS])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in sent), *(pa.array(stats[s]) for s in STATS)], names=[*types, *STATS])
 
-    out = documents.select(*columns).mapInArrow(run, schema)
-    return out.select(F.col("id").alias(id_col), *(F.col(f"g{i}").alias(g) for i, g in enumerate(groups)), *STATS)
+    return documents.select(*columns).mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
@@ -160,7 +161,7 @@ def _pairs() -> list[tuple[int, int]]:
 
 def _distance(model: str = "m") -> Column:
     """Squared Mahalanobis distance to the joined model's centre with its inverse scatter."""
-    x = [F.col(f) / SCALE - F.col(f"c{i}") for i, f in enumerate(FEATURES)]
+    x = [F.col(f) / SCALE - F.col(f"m{i}") for i, f in enumerate(FEATURES)]
     return sum((F.col(f"p{i}_{j}") * x[i] * x[j] * (1 if i == j else 2) for i, j in _pairs()), F.lit(0.0))
 
 
@@ -169,13 +170,13 @@ def _class() -> Column:
     return F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-6))) * 8).cast("int")
 
 
-MODEL = "g0 string, g1 string, rows long, " + ", ".join(f"c{i} double" for i in range(len(FEATURES))) + ", " + ", ".join(f"p{i}_{j} double" for i, j in _pairs())
+MODEL = "g0 string, g1 string, rows long, " + ", ".join(f"m{i} double" for i in range(len(FEATURES))) + ", " + ", ".join(f"p{i}_{j} double" for i, j in _pairs())
 
 
 def _model_row(key: tuple, rows: int, centre: np.ndarray, scatter: np.ndarray) -> dict:
     spread = scatter + np.diag(np.full(len(FEATURES), FLOOR**2))
     inverse = np.linalg.inv(spread)
-    return {"g0": key[0], "g1": key[1], "rows": rows} | {f"c{i}": c for i, c in enumerate(centre)} | {f"p{i}_{j}": inverse[i, j] for i, j in _pairs()}
+    return {"g0": key[0], "g1": key[1], "rows": rows} | {f"m{i}": c for i, c in enumerate(centre)} | {f"p{i}_{j}": inverse[i, j] for i, j in _pairs()}
 
 
 def _key(pdf: pd.DataFrame) -> tuple:
@@ -228,6 +229,19 @@ def _joined(stats: DataFrame, model: DataFrame) -> DataFrame:
     return stats.join(model, F.col("g0").eqNullSafe(F.col("k0")) & F.col("g1").eqNullSafe(F.col("k1")), "left").drop("k0", "k1")
 
 
+def _verdicts(documents: DataFrame, text_col: str, groups: tuple[str, str], carry: tuple[str, ...]) -> DataFrame:
+    """(c0, c1, ... the columns carry, STATS, base_failed, d2, kept) of every row; the models' join reads a row per group."""
+    stats = statistics(documents, text_col, groups, carry)
+    stats = written(stats.select("*", *features()), "stats")
+    judged = _joined(stats, models(stats.where(~base_failed()).select("g0", "g1", *FEATURES)))
+    clipped = [F.greatest(F.col(f), F.round(F.coalesce(F.col(f"m{i}"), F.lit(0.0)) * SCALE).cast("long")).alias(f) if i else F.col(f) for i, f in enumerate(FEATURES)]
+    rest = [c for c in judged.columns if c not in FEATURES]
+    judged = judged.select(*rest, *clipped).withColumn("d2", _distance())
+    limit = chi2_quantile(1 - TAIL, len(FEATURES))
+    outlier = F.coalesce((F.col("rows") >= LEAST_ROWS) & (F.col("d2") > limit), F.lit(False))
+    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~outlier)
+
+
 def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """(id_col, STATS, base_failed, distance2, kept) of every row of documents.
 
@@ -236,13 +250,13 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An empty table gives an empty result. Only the worse side counts: a row with fewer symbols and repeats than its
     group's centre is no outlier for that.
     """
-    stats = statistics(documents, id_col, text_col, groups)
-    stats = written(stats.select(F.col(id_col).alias("id"), F.col(groups[0]).alias("g0"), F.col(groups[1]).alias("g1"), *STATS, *features()), "stats")
-    judged = _joined(stats, models(stats.where(~base_failed())))
-    clipped = [F.greatest(F.col(f), F.round(F.coalesce(F.col(f"c{i}"), F.lit(0.0)) * SCALE).cast("long")).alias(f) if i else F.col(f) for i, f in enumerate(FEATURES)]
-    rest = [c for c in judged.columns if c not in FEATURES]
-    judged = judged.select(*rest, *clipped).withColumn("d2", _distance())
-    limit = chi2_quantile(1 - TAIL, len(FEATURES))
-    outlier = F.coalesce((F.col("rows") >= LEAST_ROWS) & (F.col("d2") > limit), F.lit(False))
-    judged = judged.withColumn("base_failed", base_failed())
-    return judged.select(F.col("id").alias(id_col), *STATS, "base_failed", F.round("d2", 6).alias("distance2"), (~F.col("base_failed") & ~outlier).alias("kept"))
+    return _verdicts(documents, text_col, groups, (id_col,)).select(F.col("c0").alias(id_col), *STATS, "base_failed", F.round("d2", 6).alias("distance2"), "kept")
+
+
+def passing(documents: DataFrame, columns: tuple[str, ...], text_col: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """columns of the rows that judge keeps, each row by itself whatever its id.
+
+    The columns travel beside the statistics into the written table that the models are fitted on, so texts are neither
+    read twice by the statistics nor shuffled.
+    """
+    return _verdicts(documents, text_col, groups, columns).where("kept").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
