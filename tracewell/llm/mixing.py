@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, written
 
 #: Fixed values of the mix: weights in turn over the sources, and the most copies of a source.
 WEIGHTS = (5, 2, 1)
@@ -55,32 +55,60 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return per.select("source", "source_size", (F.col("damp") / F.greatest("source_size", F.lit(1))).alias("damp"), target.alias("target"))
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, seed: int = 7) -> DataFrame:
-    """(id_col, source, size, source_size, target, copies, taken) for every row of documents.
-
-    size defaults to the words of text. Null text has size 0; null source is a source of its own, after all others; a
-    source without words has target 0 and no copies. Repeated ids are ranked by (u, size) and share u; rows equal in
-    both keep an arbitrary but interchangeable order. Other columns do not matter, whatever their names.
-    """
-    size = n_words(F.col("text")) if size is None else size
-    docs = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size"))
-    shared = source_targets(docs)
+def _ranked(docs: DataFrame, shared: DataFrame, seed: int) -> DataFrame:
+    """docs (id, source, size, ...) with its source's sizes and target, whole copies, words needed beyond them, and rank in (0, 1)."""
     docs = docs.join(shared.withColumnRenamed("source", "key"), F.col("source").eqNullSafe(F.col("key"))).drop("key")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     docs = docs.withColumn("whole", F.floor(F.round(ratio, 9)).cast("long"))
     docs = docs.withColumn("need", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     share = F.when(F.col("source_size") > 0, F.col("need") / F.col("source_size")).otherwise(0.0)
     p = F.least(F.greatest(share * F.pow(F.greatest("size", F.lit(1)).cast("double"), F.lit(-0.25)) / F.greatest(F.col("damp"), F.lit(1e-12)), F.lit(0.001)), F.lit(0.999))
-    u = uniform(F.lit(seed), F.col("id"))
-    docs = docs.withColumn("u", u).withColumn("p", p)
+    docs = docs.withColumn("u", uniform(F.lit(seed), F.col("id"))).withColumn("p", p)
     rank = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    docs = docs.withColumn("rank", rank / (1 + rank)).withColumn("bucket", F.floor(F.col("rank") * BUCKETS).cast("int"))
+    return docs.withColumn("rank", rank / (1 + rank))
+
+
+def _sampled(docs: DataFrame) -> DataFrame:
+    """_ranked rows with more: whether the sample beyond the whole copies takes them."""
+    docs = docs.withColumn("bucket", F.floor(F.col("rank") * BUCKETS).cast("int"))
     sums = docs.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.select(F.col("source").alias("key"), F.col("bucket").alias("at"), (F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("below"))
     docs = docs.join(sums, F.col("source").eqNullSafe(F.col("key")) & (F.col("bucket") == F.col("at")))
     run = Window.partitionBy("source", "bucket").orderBy("rank", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     middle = F.col("below") + F.sum("size").over(run) - F.col("size") / 2
-    copies = (F.col("whole") + F.when(middle <= F.col("need"), 1).otherwise(0)).cast("long")
-    copies = F.least(F.when(F.col("need") > 0, copies).otherwise(F.col("whole")), F.lit(MOST_COPIES).cast("long"))
-    docs = docs.withColumn("copies", copies)
+    return docs.withColumn("more", (F.col("need") > 0) & (middle <= F.col("need")))
+
+
+def _copies(more: Column) -> Column:
+    return F.least(F.col("whole") + more.cast("long"), F.lit(MOST_COPIES).cast("long"))
+
+
+def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, seed: int = 7) -> DataFrame:
+    """(id_col, source, size, source_size, target, copies, taken) for every row of documents.
+
+    size defaults to the words of text. Null text has size 0; null source is a source of its own, after all others; a
+    source without words has target 0 and no copies. Repeated ids are ranked by (u, size) and share u; rows equal in
+    both keep an arbitrary but interchangeable order. Other columns do not matter, whatever their names.
+    """
+    size = n_words(F.col("text")) if size is None else size
+    docs = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size"))
+    docs = _sampled(_ranked(docs, source_targets(docs), seed)).withColumn("copies", _copies(F.col("more")))
     return docs.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def taken(documents: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7) -> DataFrame:
+    """columns of documents, every row as often as the mix takes it; only ids and sizes are shuffled, never texts.
+
+    The sample of a source is a prefix of the order by (rank, id, size), so its last member decides for every row where
+    it lies. Rows equal in all three are taken together or not at all; otherwise the copies are those of mix.
+    """
+    source, size = F.col(source_col), n_words(F.col(text_col))
+    docs = written(documents.select(F.col(id_col).alias("id"), source.alias("source"), size.alias("size")), "sizes")
+    shared = written(source_targets(docs), "targets")
+    order = F.struct("rank", "id", "size")
+    last = _sampled(_ranked(docs, shared, seed)).where("more").groupBy("source").agg(F.max(order).alias("last"))
+    last = written(shared.join(last.withColumnRenamed("source", "key"), F.col("source").eqNullSafe(F.col("key")), "left").drop("key"), "targets")
+    rows = documents.select(F.struct(*columns).alias("row"), F.col(id_col).alias("id"), source.alias("source"), size.alias("size"))
+    more = F.coalesce(order <= F.col("last"), F.lit(False))
+    copies = _ranked(rows, last, seed).withColumn("copies", _copies(more)).where("copies > 0")
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
