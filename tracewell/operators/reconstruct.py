@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
+from tracewell.functions.envelopes import family, valid_json
 
 #: What tells session conversations apart; conversations without a session id are not reconstructed.
 KEY = ("day", "provider", "session_id")
@@ -28,11 +29,6 @@ MEMBERS = {"text": "string", "tool_id": "string", "tool_name": "string", "tool_i
 COUNTS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "latency_ms", "first_byte_ms")
 
 
-def family(provider: Column, model: Column) -> Column:
-    """Which envelope an invocation's bodies have: openai, gemini, deferred (not taken apart) or anthropic."""
-    return F.when(provider == "azure", "openai").when((provider == "vertex") & F.lower(model).startswith("gemini"), "gemini").when(provider == "vertex", "deferred").otherwise("anthropic")
-
-
 def _s(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
@@ -110,7 +106,7 @@ def streamed_blocks(chunks: Column) -> Column:
 
     def block(x: Column) -> Column:
         # sorted keys where the arguments are JSON, else as they came
-        given = F.coalesce(F.to_json(F.try_parse_json(x["s"])), x["s"])
+        given = F.when(valid_json(x["s"]), F.to_json(F.try_parse_json(x["s"]))).otherwise(x["s"])
         return F.when(x["b"]["type"] == "tool_use", _block("tool_use", tool_name=x["b"]["name"], tool_id=x["b"]["id"], tool_input=given)).otherwise(_block(x["b"]["type"], text=x["s"]))
 
     kept = F.filter(F.transform(indexes, assembled), lambda x: (x["b"]["type"] == "tool_use") | x["b"]["type"].isin("text", "thinking") & (x["s"] != ""))

@@ -44,3 +44,18 @@ FACTS_SQL = f"""(SELECT epoch_us(ts) AS ts, strftime(ts, '%Y%m%d') AS day, event
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns."""
     return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def invocation_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two invocations of each conversation, with bodies: those that its first and last assistant turns after another turn answered."""
+    of = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    convs = turns(spark, sf_dir).groupBy("conv_id").agg(F.transform(of, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("m"))
+    at = F.filter(F.transform("m", lambda m, i: F.when((m["role"] == "assistant") & (i > 0), i)), lambda i: i.isNotNull())
+    ends = F.array_distinct(F.array(F.array_min("at"), F.array_max("at")))
+    rows = convs.withColumn("at", at).where("size(at) > 0").select("conv_id", "m", F.explode(ends).alias("i"))
+    reply = F.element_at("m", F.col("i") + 1)
+    zero = F.lit(0).cast("long")
+    return rows.select(
+        F.lit("20240101").alias("day"), F.lit("bedrock").alias("provider"), F.col("conv_id").cast("string").alias("session_id"), F.lit("").alias("thread_id"), F.col("i").cast("long").alias("ts"), F.col("i").cast("long").alias("n"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("i").cast("string")).alias("request_id"), F.lit(MODELS[0]).alias("model_id"),
+        *(zero.alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")), F.to_json(F.struct(F.slice("m", F.lit(1), F.col("i")).alias("messages"))).alias("input_body"), F.to_json(F.struct(reply["role"].alias("role"), reply["content"].alias("content"))).alias("output_body"),
+    )

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
-from tracewell.operators import pairing, sessionize
-from tracewell.plans.adapters import FACTS_SQL, facts, turns
+from tracewell.operators import pairing, reconstruct, sessionize
+from tracewell.plans.adapters import FACTS_SQL, facts, invocation_bodies, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,6 +158,15 @@ def system_prompt(spark, sf_dir):
     return kept.select("conv_id", F.array_join(F.col("t.text"), "\n\n").alias("system_prompt"))
 
 
+@query("""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, text FROM conversations),
+ a AS (SELECT conv_id, min(i) AS early, max(i) AS late FROM t WHERE role = 'assistant' AND i > 0 GROUP BY conv_id)
+ SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(i AS INTEGER) AS turn_index, role, text, i IN (early, late) AS has_metrics, CASE WHEN i IN (early, late) THEN conv_id || '-' || i ELSE '' END AS request_id
+ FROM t JOIN a USING (conv_id) WHERE i <= late""")
+def reconstructed_turns(spark, sf_dir):
+    made = reconstruct.turns(invocation_bodies(spark, sf_dir))
+    return made.select("session_id", "turn_index", "role", "text", "has_metrics", "request_id")
+
+
 @query("SELECT doc_id, substr(text, 1, 80) AS snippet FROM documents")
 def snippet(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 80).alias("snippet"))
