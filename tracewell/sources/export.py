@@ -1,0 +1,87 @@
+"""Exports of invocations: a folder of Parquet tables facts, turns and conversations, and a manifest; and their reader.
+
+Every part is written by Spark from the records; nothing is gathered on the driver but the manifest's one row. Turns lie
+in their own table beside the conversations, keyed by conversation_id, so a conversation of any length can be written.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.operators import reconstruct, sessionize
+
+#: Layout version, and the columns of facts in order with what stands for absent ones.
+VERSION = "tracewell.export/1.0"
+FACTS = {
+    "conversation_id": "", "session_id": "", "provider": "", "model_id": "", "timestamp": None, "request_id": "", "operation": "", "status": "", "error_code": "", "stop_reason": "", "input_tokens": 0, "output_tokens": 0,
+    "cache_read_tokens": 0, "cache_write_tokens": 0, "latency_ms": 0, "principal": "", "message_id": "", "prev_message_id": "", "thread_id": "", "request_uuid": "", "num_messages": 0, "extras": "",
+}
+TABLES = ("facts", "turns", "conversations")
+SUMS = ("invocations", "input_tokens", "output_tokens", "cache_read_tokens", "errors")
+
+
+def _completed(records: DataFrame) -> DataFrame:
+    """records with every column of FACTS; absent ones and nulls are empty strings and zeros."""
+    rows = records.withColumnRenamed("prev_id", "prev_message_id") if "prev_id" in records.columns else records
+    rows = rows.withColumn("timestamp", F.timestamp_micros("ts"))
+    if "extra" in rows.columns:
+        kept = F.filter(F.array_sort(F.map_entries("extra")), lambda e: e["key"] != "session_id")
+        rows = rows.withColumn("extras", F.coalesce(F.nullif(F.to_json(F.map_from_entries(kept)), F.lit("{}")), F.lit("")))
+    for name, empty in FACTS.items():
+        if empty is not None and name != "conversation_id":
+            kind = {"num_messages": "int"}.get(name, "string" if empty == "" else "long")
+            rows = rows.withColumn(name, F.coalesce(F.col(name).cast(kind), F.lit(empty).cast(kind)) if name in rows.columns else F.lit(empty).cast(kind))
+    return rows
+
+
+def facts(records: DataFrame, conversations: DataFrame) -> DataFrame:
+    """The FACTS of records, one row each; conversations are sessionize.with_ids of the same records."""
+    ids = conversations.select(*(F.col(k).alias(f"in_{k}") for k in sessionize.KEY), F.col("conversation_id").alias("in_id"))
+    same = F.lit(True)
+    for k in sessionize.KEY:
+        same = same & F.col(k).eqNullSafe(F.col(f"in_{k}"))
+    return sessionize.keyed(records).join(ids, same).withColumn("conversation_id", F.col("in_id")).select(*FACTS)
+
+
+def write(records: DataFrame, path: str, source: str = "", embed: bool = False) -> None:
+    """Writes records (columns of the readers) as an export to the new folder path.
+
+    facts are sorted by time, request id and uuid, turns by conversation, thread and place. Bodies are left out unless
+    embed, which adds a table bodies (request_id, request_uuid, input_body, output_body). The folder must not exist yet.
+    """
+    records = _completed(records)
+    convs = sessionize.with_ids(sessionize.conversations(records))
+    save = lambda df, name: df.write.option("compression", "zstd").parquet(f"{path}/{name}.parquet")
+    save(facts(records, convs).orderBy("timestamp", "request_id", "request_uuid"), "facts")
+    has_bodies = {"input_body", "output_body"} <= set(records.columns)
+    turns = reconstruct.turns(records) if has_bodies else None
+    if turns is not None:
+        save(turns.withColumn("conversation_id", F.col("session_id")).withColumn("timestamp", F.timestamp_micros("ts")).drop("ts").orderBy("day", "conversation_id", "provider", "thread_id", "turn_index"), "turns")
+        counts = records.sparkSession.read.parquet(f"{path}/turns.parquet").groupBy("day", "provider", F.col("session_id").alias("k1")).agg(F.count("*").alias("turn_count"))
+        convs = convs.join(counts.withColumn("is_gap", F.lit(0)), ["day", "provider", "k1", "is_gap"], "left")
+    else:
+        convs = convs.withColumn("turn_count", F.lit(None).cast("long"))
+    entry = convs.select("conversation_id", "display_id", "day", "provider", "model_id", "session_id", "principal", F.timestamp_micros("start_ts").alias("start_time"), F.timestamp_micros("end_ts").alias("end_time"), *SUMS, F.coalesce("turn_count", F.lit(0).cast("long")).alias("turn_count"), F.col("turn_count").isNotNull().alias("reconstructed"))
+    save(entry.orderBy("start_time", "conversation_id"), "conversations")
+    if embed and has_bodies:
+        save(records.select("request_id", "request_uuid", "input_body", "output_body"), "bodies")
+    totals = records.sparkSession.read.parquet(f"{path}/conversations.parquet").agg(F.count("*").alias("conversations"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS))
+    stamp = (F.lit(VERSION).alias("schema_version"), F.current_timestamp().alias("generated_at"), F.lit(source).alias("source"), F.lit("embed" if embed else "omit").alias("raw_bodies"))
+    totals.select(*stamp, F.struct("*").alias("totals")).coalesce(1).write.json(f"{path}/manifest.json")
+
+
+def manifest(spark: SparkSession, path: str) -> dict:
+    """The manifest of an export; ValueError if its major version is another."""
+    found = spark.read.json(f"{path}/manifest.json").first().asDict(recursive=True)
+    major = found["schema_version"].rpartition("/")[2].partition(".")[0]
+    if major != VERSION.rpartition("/")[2].partition(".")[0]:
+        raise ValueError(f"export version {found['schema_version']!r} is not readable")
+    return found
+
+
+def read(spark: SparkSession, path: str, table: str = "facts") -> DataFrame:
+    """A table of an export, or of all exports that a pattern names; of a request in several, dedup_overlap keeps one."""
+    if table not in (*TABLES, "bodies"):
+        raise ValueError(f"no table {table!r}")
+    return spark.read.parquet(f"{path}/{table}.parquet")
