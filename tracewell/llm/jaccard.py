@@ -1,0 +1,82 @@
+"""Near copies by exact Jaccard similarity of word shingles. DataFrame functions only.
+
+A document is the set of 64-bit hashes of its shingles of SHINGLE words. The hash range is cut into BINS bins; a band key is
+made of the LEAST smallest hashes of a bin, so two sets of similarity J share a key with a chance of about J^LEAST for each
+bin (over 0.9998 for some bin at 0.8, more for short texts and closer copies). Sets that share a key are compared exactly.
+Keys of over TOGETHER sets are cut into random parts of about that many, differently for every bin, so the comparisons of a
+large group grow with its members and not with their square; its members meet in up to BINS random parts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import connected_components, written
+
+SHINGLE = 5
+#: Least similarity of a link, in percent.
+PERCENT = 80
+BINS = 16
+LEAST = 4
+TOGETHER = 8
+
+
+def shingles(text: Column) -> Column:
+    """The sorted distinct hashes of text's shingles, ASCII case folded; all words are the only one of a shorter text, null has none."""
+    folded = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.transform(F.filter(F.split(folded, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+    def of(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(SHINGLE))))
+        return F.when(F.size(w) >= SHINGLE, F.array_sort(F.array_distinct(each))).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<long>"))
+
+    return F.element_at(F.transform(F.array(words), of), 1)
+
+
+def band_keys(s: Column) -> Column:
+    """The keys of the bins that have hashes; s is sorted."""
+    least = lambda b: F.slice(F.filter(s, lambda x: F.shiftrightunsigned(x, 60) == b), 1, LEAST)
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: least(b))
+    return F.transform(F.filter(keys, lambda k: F.size(k) > 0), lambda k: F.xxhash64(k))
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """Edges (src, dst) between values of set that have PERCENT or more of their joint shingles in common, of sets (set, n, keys, text)."""
+    at = written(sets.select("set", "n", F.explode("keys").alias("key")).distinct(), "bands")
+    shared = at.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    at = at.join(shared, "key").withColumn("part", F.when(F.col("members") > TOGETHER, F.pmod(F.xxhash64("set", "key"), F.ceil(F.col("members") / TOGETHER))).otherwise(F.lit(0)))
+    a, b = at.alias("a"), at.alias("b")
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.set") < F.col("b.set"))
+    # sets of similarity 0.8 differ by no more in size
+    near &= (100 * F.col("a.n") >= PERCENT * F.col("b.n")) & (100 * F.col("b.n") >= PERCENT * F.col("a.n"))
+    pairs = written(a.join(b, near).select(F.col("a.set").alias("src"), F.col("b.set").alias("dst")).distinct(), "pairs")
+    asked = pairs.select(F.col("src").alias("set")).union(pairs.select("dst")).distinct()
+    texts = sets.select("set", "text").join(asked.hint("merge"), "set", "left_semi").dropDuplicates(["set"])
+    exact = written(texts.select("set", shingles(F.col("text")).alias("s")), "shingles")
+    both = pairs.join(exact.select(F.col("set").alias("src"), F.col("s").alias("s")), "src").join(exact.select(F.col("set").alias("dst"), F.col("s").alias("t")), "dst")
+    common = both.select("src", "dst", F.size(F.array_intersect("s", "t")).alias("both"), (F.size("s") + F.size("t")).alias("sizes"))
+    return written(common.where(f"{100 + PERCENT} * both >= {PERCENT} * sizes").select("src", "dst"), "links")
+
+
+def without_near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every group of documents linked by links: that of the smallest id (null last), then of the smallest text.
+
+    Rows are grouped by their shingles and not by their ids: rows that share an id may both stay, and a null id goes only if
+    another row of its group stays. Wordless texts have no shingles; all of them stay.
+    """
+    columns = documents.columns
+    made = documents.withColumn("s", shingles(F.col(text_col)))
+    made = made.select(*columns, F.when(F.size("s") > 0, F.xxhash64("s")).alias("set"), F.size("s").alias("n"), band_keys(F.col("s")).alias("keys"))
+    made = written(made, "sets")
+    rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    classes = made.where("set is not null")
+    found = connected_components(links(classes.select("set", "n", "keys", F.col(text_col).alias("text"))))
+    least = classes.groupBy("set").agg(F.min(rank).alias("least"), F.count("*").alias("rows"))
+    labelled = written(least.join(found, least["set"] == found["node"], "left").select("set", "least", "rows", F.coalesce("component", "set").alias("component")), "labelled")
+    best = labelled.groupBy("component").agg(F.min(F.struct("least", "set")).alias("b")).select(F.col("b.set").alias("set"))
+    kept = written(labelled.select("set", "rows").join(best, "set", "left_semi"), "kept")
+    once = made.join(kept.where("rows = 1").select("set").hint("merge"), "set", "left_semi").select(*columns)
+    of_many = made.join(kept.where("rows > 1").select("set").hint("merge"), "set", "left_semi").withColumn("rank", rank)
+    first = of_many.groupBy("set").agg(F.min(F.struct("rank", *columns)).alias("r")).select(*(F.col(f"r.{c}").alias(c) for c in columns))
+    return once.unionByName(first).unionByName(made.where("set is null").select(*columns))
