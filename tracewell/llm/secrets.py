@@ -5,7 +5,9 @@ encoding (upper-case hexadecimal, base32, base36, alphanumeric, base64), then te
 chi-squared test of the alphabet, a runs test about the middle of the alphabet and a lag-one serial correlation, added up
 to one chi-squared statistic with three degrees of freedom. A run that this does not reject looks random. Whether that
 could be chance in ordinary writing is measured by its repeated symbols: ordinary text repeats a symbol in about 6.5 % of
-all pairs, so few repeats in a long run are strong evidence and in a short run weak. These p-values go through
+all pairs, so few repeats in a long run are strong evidence and in a short run weak. Random symbols of the alphabets of one
+case repeat nearly as often (hexadecimal: 1/16), so these runs are also measured by their changes between digits and letters,
+and by letters that are all A to F or digits that are all 2 to 7, by Fisher's method. These p-values go through
 Benjamini-Hochberg separately for each length class, so the many short runs do not hide the long ones or pass by number.
 
 Spans count code points, end exclusive.
@@ -26,6 +28,10 @@ HEX = r"[0-9a-f]{24,}"
 RANDOM = r"[A-Za-z0-9+/_-]{20,}"
 #: Letter pairs of ordinary text that are equal.
 REPEATS = 0.065
+#: Neighbours in ordinary text of which one is a digit and one a letter; its letters that are A to F, its digits that are 2 to 7.
+CHANGES = 0.05
+HEX_LETTERS = 0.35
+BASE32_DIGITS = 0.6
 REJECT = 0.001
 FALSE_DISCOVERIES = 0.01
 #: Lower ends of the length classes.
@@ -88,33 +94,54 @@ def battery(s: Column) -> Column:
 
 
 def _counted(s: Column, v: Column) -> Column:
-    """struct<k, n, squares, x>: sizes, the sum of squared symbol counts, and the symbols' numbers about the middle."""
+    """struct<k, n, squares, x, letters, changes>: sizes, the sum of squared symbol counts, the symbols' numbers about the middle, letters, and changes between digits and letters."""
     counts = F.transform(F.array_distinct(v["symbols"]), lambda c: v["n"] - F.length(F.replace(s, c, F.lit(""))))
     x = F.transform(v["symbols"], lambda c: F.least(F.call_function("instr", v["a"], c), v["k"]) - 1 - (v["k"] - 1) / 2)
-    return F.struct(v["k"].alias("k"), v["n"].alias("n"), F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c).alias("squares"), x.alias("x"))
+    return F.struct(v["k"].alias("k"), v["n"].alias("n"), F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c).alias("squares"), x.alias("x"), F.length(F.translate(s, "0123456789", "")).cast("double").alias("letters"), (F.size(F.split(s, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")) - 1).cast("double").alias("changes"))
 
 
 def _tested(c: Column) -> Column:
-    """struct<q, equal, mean>: the battery's sum of squares, equal pairs, and those of ordinary text."""
+    """struct<q, equal, mean, ...>: the battery's sum of squares, equal pairs, and those of ordinary text; k, n, letters and changes as they are."""
     k, n = c["k"], c["n"]
     chi = (k / n * c["squares"] - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
     pairs = F.arrays_zip(F.slice(c["x"], F.lit(1), (n - 1).cast("int")).alias("a"), F.slice(c["x"], F.lit(2), (n - 1).cast("int")).alias("b"))
     start = F.struct(F.lit(0.0).alias("turns"), F.lit(0.0).alias("products"))
     sums = F.aggregate(pairs, start, lambda t, p: F.struct((t["turns"] + F.when((p["a"] < 0) != (p["b"] < 0), 1.0).otherwise(0.0)).alias("turns"), (t["products"] + p["a"] * p["b"]).alias("products")))
     q = _let(sums, lambda t: F.pow((t["turns"] - (n - 1) / 2) / F.sqrt((n - 1) / 4), F.lit(2)) + F.pow(t["products"] / ((k * k - 1) / 12) / F.sqrt(n - 1), F.lit(2)))
-    return F.struct((q + F.pow(F.greatest(chi, F.lit(0.0)), F.lit(2))).alias("q"), ((c["squares"] - n) / 2).alias("equal"), (n * (n - 1) / 2 * REPEATS).alias("mean"))
+    return F.struct((q + F.pow(F.greatest(chi, F.lit(0.0)), F.lit(2))).alias("q"), ((c["squares"] - n) / 2).alias("equal"), (n * (n - 1) / 2 * REPEATS).alias("mean"), *(c[x].alias(x) for x in ("k", "n", "letters", "changes")))
 
 
 def _combined(t: Column) -> Column:
     # survival function of chi-squared with three degrees of freedom
     p_random = 2 * _normal_cdf(-F.sqrt(t["q"])) + F.sqrt(2 * t["q"] / math.pi) * F.exp(-t["q"] / 2)
     chance = _let(2 * (F.sqrt(t["equal"] + 0.375) - F.sqrt(t["mean"] + 0.375)), _normal_cdf)
-    return F.struct(p_random.alias("p_random"), chance.alias("p_chance"))
+    return F.struct(p_random.alias("p_random"), _let(chance, lambda p: F.when(t["k"] <= 36, _of_one_case(t, p)).otherwise(p)).alias("p_chance"))
+
+
+def _of_one_case(t: Column, repeats: Column) -> Column:
+    """Fisher's combination of the p-values of repeats, of changes and, for the narrow alphabets, of symbols that all lie in them."""
+    changes = _normal_cdf(-2 * (F.sqrt(F.greatest(t["changes"] - 0.125, F.lit(0.0))) - F.sqrt((t["n"] - 1) * CHANGES + 0.375)))
+    narrow = F.when(t["k"] == 16, F.pow(F.lit(HEX_LETTERS), t["letters"])).when(t["k"] == 32, F.pow(F.lit(BASE32_DIGITS), t["n"] - t["letters"])).otherwise(F.lit(1.0))
+    # survival functions of chi-squared with six and with four degrees of freedom
+    less = lambda x: -F.log(F.greatest(x, F.lit(1e-300)))
+    return _let(less(repeats) + less(changes) + less(narrow), lambda h: F.exp(-h) * (1 + h + F.when(t["k"] < 36, h * h / 2).otherwise(F.lit(0.0))))
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """text with a space for every character of spans, which are in order."""
+
+    def cut(acc, x):
+        kept = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(acc["at"], x["start"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], kept, blank).alias("out"))
+
+    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """array<struct<start, kind, end, s, p_random, p_chance>> of the strings to judge: those that touch no base span."""
-    free = F.filter(_matches(text, RANDOM, 3), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    """array<struct<start, kind, end, s, p_random, p_chance>> of the strings to judge: the parts of runs outside base spans."""
+    free = _let(_blanked(text, base), lambda t: _matches(t, RANDOM, 3))
     tested = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["s"].alias("s"), battery(x["s"]).alias("p")))
     return F.filter(tested, lambda x: x["p"].isNotNull())
 
