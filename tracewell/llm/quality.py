@@ -28,7 +28,7 @@ LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-#: The share of a group that a concentration step keeps, steps, and rows under which a group is not judged.
+#: The share of a group that a concentration step keeps, steps, and rows under which a group is judged by its language's model, or by that of all.
 SUPPORT = 0.75
 STEPS = 4
 LEAST_ROWS = 30
@@ -224,6 +224,21 @@ def models(stats: DataFrame) -> DataFrame:
     return model
 
 
+def _models_of_all(stats: DataFrame) -> DataFrame:
+    """A model for every group g0, g1 of stats: its own, that of its g0 or that of all rows, the first with LEAST_ROWS rows that pass the base rules."""
+    passed = stats.where(~base_failed()).select("g0", "g1", *FEATURES)
+    none = F.lit("")
+    body = lambda name: F.when(F.col("rows") >= LEAST_ROWS, F.struct("rows", *(f"m{i}" for i in range(len(FEATURES))), *(f"p{i}_{j}" for i, j in _pairs()))).alias(name)
+    own = models(passed).select(F.col("g0").alias("k0"), F.col("g1").alias("k1"), body("own"))
+    wide = models(passed.withColumn("g1", none)).select(F.col("g0").alias("l0"), body("wide"))
+    whole = models(passed.withColumn("g0", none).withColumn("g1", none)).select(body("whole"))
+    groups = stats.select("g0", "g1").distinct()
+    groups = groups.join(own, F.col("g0").eqNullSafe(F.col("k0")) & F.col("g1").eqNullSafe(F.col("k1")), "left").join(wide, F.col("g0").eqNullSafe(F.col("l0")), "left")
+    # one row at most
+    groups = groups.join(F.broadcast(whole), F.lit(True), "left")
+    return written(groups.select("g0", "g1", F.coalesce("own", "wide", "whole").alias("model")).select("g0", "g1", "model.*"), "mcd")
+
+
 def _joined(stats: DataFrame, model: DataFrame) -> DataFrame:
     model = model.withColumnsRenamed({"g0": "k0", "g1": "k1"})
     return stats.join(model, F.col("g0").eqNullSafe(F.col("k0")) & F.col("g1").eqNullSafe(F.col("k1")), "left").drop("k0", "k1")
@@ -233,7 +248,7 @@ def _verdicts(documents: DataFrame, text_col: str, groups: tuple[str, str], carr
     """(c0, c1, ... the columns carry, STATS, base_failed, d2, kept) of every row; the models' join reads a row per group."""
     stats = statistics(documents, text_col, groups, carry)
     stats = written(stats.select("*", *features()), "stats")
-    judged = _joined(stats, models(stats.where(~base_failed()).select("g0", "g1", *FEATURES)))
+    judged = _joined(stats, _models_of_all(stats))
     clipped = [F.greatest(F.col(f), F.round(F.coalesce(F.col(f"m{i}"), F.lit(0.0)) * SCALE).cast("long")).alias(f) if i else F.col(f) for i, f in enumerate(FEATURES)]
     rest = [c for c in judged.columns if c not in FEATURES]
     judged = judged.select(*rest, *clipped).withColumn("d2", _distance())
@@ -246,7 +261,8 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id_col, STATS, base_failed, distance2, kept) of every row of documents.
 
     kept is false if a base rule fails or the row is an outlier of its group. Null text is empty (and fails the rules);
-    null groups are groups of their own; groups under LEAST_ROWS rows are not judged; repeated rows are judged alike.
+    null groups are groups of their own; groups under LEAST_ROWS rows are judged by the model of their language (the first
+of groups), languages under it by that of all rows, and no row if all rows are fewer; repeated rows are judged alike.
     An empty table gives an empty result. Only the worse side counts: a row with fewer symbols and repeats than its
     group's centre is no outlier for that.
     """
