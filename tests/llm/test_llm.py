@@ -164,12 +164,12 @@ def test_odd_vectors(spark):
     x += [None, [0.0] * 12, [float("nan")] + [1.0] * 11, [None] + [1.0] * 11, [float("inf")] * 12, x[0], x[0], [2 * v for v in x[0]]]
     ids = [*range(len(x) - 1), None]
     df = spark.createDataFrame([(i, v, "label", "clash") for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, label string, id string")
-    old = vectors.BLOCK, vectors.LEAF
-    vectors.BLOCK, vectors.LEAF = 16, 4
+    old = vectors.BLOCK, vectors.LEAF, vectors.LEAST_INTERVAL
+    vectors.BLOCK, vectors.LEAF, vectors.LEAST_INTERVAL = 16, 4, 32
     try:
         got = rows(vectors.near_duplicates(df), "vec_id", "n_links", "component_id", "kept")
     finally:
-        vectors.BLOCK, vectors.LEAF = old
+        vectors.BLOCK, vectors.LEAF, vectors.LEAST_INTERVAL = old
     assert sorted(got, key=key) == sorted(link_brute(ids, x), key=key)
     assert vectors.near_duplicates(df.limit(0)).collect() == []
     assert rows(vectors.near_duplicates(df.where("vec_id = 0")), "n_links") == [(0,)]

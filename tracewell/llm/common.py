@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset on a local master (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tracewell-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -40,22 +42,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges (src, dst: long); component is the smallest node reachable.
 
-    Alternates large-star and small-star rounds. Every round is two pre-aggregated minima and two joins, so a node with
-    very many neighbours is never one task's group, and no link reaches the driver. Null ends and loops are ignored.
-    Raises if it has not settled after max_rounds (the rounds grow with the logarithm of the diameter).
+    Alternates large-star and small-star rounds until every edge leads from a node straight to its component's smallest
+    node. Every round is two pre-aggregated minima and two joins, so a node with very many neighbours is never one task's
+    group, and no link reaches the driver. Null ends and loops are ignored. Raises if it has not settled after max_rounds
+    (the rounds grow with the logarithm of the diameter).
     """
     edges = written(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
-    last = None
     for _ in range(max_rounds):
+        # stars: no node leads to two, and none that leads to another is led to
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        if not ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out + into > 1 and out > 0").take(1):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = written(small.where("u <> v").distinct(), "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == last:
-            # every edge now leads from a node to its component's smallest node
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        last = now
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")
