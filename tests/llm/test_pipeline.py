@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from tests.llm.test_llm import check_packing, documents, fingerprint_brute, key, odd, rows, stats_of
+from tests.llm.test_llm import check_packing, documents, key, odd, rows, stats_of
 from tracewell.llm import mixing, packing, quality, queries, secrets
 
 STAGE = dict(cp.STAGES)
@@ -31,22 +31,6 @@ def test_quality(spark, docs):
     assert got == [r for r in plain(docs) if passes(stats_of(r[1] or "")) and r[0] in good]
 
 
-def test_near_dup(spark, docs):
-    got, left = plain(STAGE["near_dup"](spark, docs, "")), plain(docs)
-    prints = [(r[0], fingerprint_brute(r[1] or "")) for r in left if r[0] is not None]
-    near = {a: {j for j, q in prints if (fp ^ q).bit_count() <= 3} for a, fp in prints}
-    want, seen = [], set()
-    for doc_id in sorted(near):
-        if doc_id not in seen:
-            want.append(doc_id)
-            todo = [doc_id]
-            while todo:
-                for j in near[todo.pop()] - seen:
-                    seen.add(j)
-                    todo.append(j)
-    assert [r[0] for r in got] == want and set(got) <= set(left)
-
-
 def test_secrets(spark, docs):
     want = []
     for r in secrets.scan(docs).collect():

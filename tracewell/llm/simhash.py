@@ -1,10 +1,11 @@
-"""SimHash near-dedup: fingerprints of word shingles, linked through a sharded vantage-point tree.
-
-The tree's inner nodes hold a vantage point and a radius; leaves are shards. Its shape comes from a bounded sample of
-fingerprints (TREE_SAMPLE), which only balances shards. Every distinct fingerprint is a member of one shard. Its ball of
-the search radius may cross the boundary of a node: it is then also sent as a query to the shards on the far side, as far
-as the triangle inequality lets them hold a neighbour, so every pair in reach meets in exactly one shard and the links
-found are exact. A shard is searched by the same rule, recursively. A shard returns a spanning forest of its links, not
+"""SimHash near-dedup: fingerprints of word shingles, linked through sharded vantage-point trees.
+
+Of two fingerprints within RADIUS bits, one 32-bit half differs by no more than RADIUS // 2. Each half has a tree of its
+own. The inner nodes hold a vantage point and a radius; leaves are shards. The shape comes from a sample of fingerprints
+in proportion to the shards, which only balances them. Every distinct fingerprint is a member of one shard of each tree.
+If its ball of RADIUS // 2 crosses the boundary of a node, it is also sent as a query to the shards on the far side, as
+far as the triangle inequality lets them hold a neighbour, so every pair in reach meets in a shard and the links found are
+exact. A shard is searched by the same rule over all 64 bits, recursively. It returns a spanning forest of its links, not
 all pairs, so a dense group of fingerprints gives as many rows as it has members.
 """
 
@@ -14,7 +15,6 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,10 +26,12 @@ from .common import connected_components, written
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
-TREE_SAMPLE = 8192
-#: Members a shard should have, and the least number of shards.
-SHARD_MEMBERS = 2048
-LEAST_SHARDS = 64
+#: Members a shard should have, the least and most shards of a tree, and fingerprints sampled for a shard.
+SHARD_MEMBERS = 4096
+LEAST_SHARDS = 32
+MOST_SHARDS = 1 << 15
+SAMPLED = 16
+LOW = np.uint64(0xFFFFFFFF)
 #: Pairs that are compared at once, and pairs held before they are reduced to a forest.
 BLOCK = 1 << 18
 HELD = 1 << 20
@@ -72,47 +74,53 @@ def _distance(fps: np.ndarray, to: np.uint64) -> np.ndarray:
     return np.bitwise_count(fps ^ to)
 
 
-def grow(sample: np.ndarray, depth: int) -> list[tuple]:
-    """Nodes (vantage point, radius, inner, outer), or (None, shard, 0, 0) for leaves; node 0 is the root; shards count up from inner to outer."""
+def grow(sample: np.ndarray, most: int = SAMPLED) -> list[tuple]:
+    """Nodes (vantage point, radius, inner, outer), or (None, shard, 0, 0) for leaves of at most most samples; node 0 is the root; shards count up from inner to outer."""
     nodes: list[tuple] = []
     shards = 0
 
-    def add(fps: np.ndarray, left: int) -> int:
+    def add(fps: np.ndarray) -> int:
         nonlocal shards
         me = len(nodes)
         nodes.append(())
-        if left and len(fps) >= 4:
+        if len(fps) > most:
             point = fps[0]
             d = _distance(fps, point)
-            radius = int(np.sort(d)[(len(d) - 1) // 2])
+            upto = np.cumsum(np.bincount(d))
+            # the distance that cuts nearest to the middle
+            radius = int(np.argmin(np.abs(2 * upto - len(fps))))
             if radius < d.max():
-                inner = add(fps[d <= radius], left - 1)
-                outer = add(fps[d > radius], left - 1)
+                inner = add(fps[d <= radius])
+                outer = add(fps[d > radius])
                 nodes[me] = (point, radius, inner, outer)
                 return me
         nodes[me] = (None, shards, 0, 0)
         shards += 1
         return me
 
-    add(sample, depth)
+    add(sample)
     return nodes
 
 
-def route(nodes: list[tuple], fps: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def halves(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return fps >> np.uint64(32), fps & LOW
+
+
+def route(nodes: list[tuple], fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(shard, indices, member flags): the shard of every fingerprint, and later shards that may hold neighbours of it."""
     stack = [(0, np.arange(len(fps)), np.ones(len(fps), bool))]
     while stack:
         node, at, member = stack.pop()
-        point, radius, inner, outer = nodes[node]
+        point, border, inner, outer = nodes[node]
         if point is None:
             if len(at):
-                yield radius, at, member
+                yield border, at, member
             continue
         d = _distance(fps[at], point).astype(np.int16)
-        near = d <= radius
+        near = d <= border
         # members live on one side; an inner one also asks the outer side, never the other way round
-        to_inner = np.where(member, near, d <= radius + RADIUS)
-        to_outer = d > radius - RADIUS
+        to_inner = np.where(member, near, d <= border + radius)
+        to_outer = d > border - radius
         stack.append((inner, at[to_inner], member[to_inner]))
         stack.append((outer, at[to_outer], (member & ~near)[to_outer]))
 
@@ -161,22 +169,25 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """Edges (src, dst) between the ids of classes (fp, id; fp distinct) that connect all fingerprints within RADIUS."""
+    """Edges (src, dst) between the ids of classes (fp, id; both distinct) that connect all fingerprints within RADIUS."""
     n = classes.count()
-    depth = max(LEAST_SHARDS, n // SHARD_MEMBERS).bit_length() - 1
-    sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).collect()], dtype=np.int64).view(np.uint64)
-    nodes = grow(sample, depth)
+    shards = min(MOST_SHARDS, max(LEAST_SHARDS, n // SHARD_MEMBERS))
+    sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLED * shards).collect()], dtype=np.int64).view(np.uint64)
+    trees = [grow(half) for half in halves(sample)]
+    reach = RADIUS // 2
 
     def deal(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(np.uint64)
-            for shard, at, member in route(nodes, fps):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), batch.column("fp").take(pa.array(at)), batch.column("id").take(pa.array(at)), pa.array(member)], names=["shard", "fp", "id", "member"])
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["fp"])
-        fps, ids, member = pdf["fp"].to_numpy().view(np.uint64), pdf["id"].to_numpy(), pdf["member"].to_numpy()
-        held_a, held_b, held = [], [], 0
+            for tree, (nodes, half) in enumerate(zip(trees, halves(fps), strict=True)):
+                for shard, at, member in route(nodes, half, reach):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 2 * shard + tree, np.int32)), batch.column("fp").take(pa.array(at)), batch.column("id").take(pa.array(at)), pa.array(member)], names=["shard", "fp", "id", "member"])
+
+    def search(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("fp").to_numpy(), kind="stable")
+        fps, ids, member = (table.column(c).to_numpy()[order] for c in ("fp", "id", "member"))
+        fps = fps.view(np.uint64)
+        held_a, held_b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for a, b in near_pairs(np.flatnonzero(member), np.flatnonzero(~member), fps):
             held_a.append(a)
             held_b.append(b)
@@ -184,25 +195,27 @@ def links(classes: DataFrame) -> DataFrame:
             if held > HELD:
                 a, b = forest(np.concatenate(held_a), np.concatenate(held_b), len(fps))
                 held_a, held_b, held = [a], [b], len(a)
-        if not held:
-            return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64")})
         a, b = forest(np.concatenate(held_a), np.concatenate(held_b), len(fps))
-        return pd.DataFrame({"src": ids[a], "dst": ids[b]})
+        return pa.table({"src": pa.array(ids[a], pa.int64()), "dst": pa.array(ids[b], pa.int64())})
 
     dealt = classes.select("fp", "id").mapInArrow(deal, "shard int, fp long, id long, member boolean")
-    return dealt.groupBy("shard").applyInPandas(search, "src long, dst long")
+    return dealt.groupBy("shard").applyInArrow(search, "src long, dst long")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, component_id) of every row; documents link at RADIUS or fewer differing bits.
 
     component_id is the smallest id reachable, itself included. Null, empty and wordless texts share fingerprint zero and
-    link like any others. Repeated ids and rows keep their rows. A row with a null id gets its fingerprint and the
-    component of the ids that share or link to it, null if there is none. An empty table gives an empty result.
+    link like any others. Repeated ids and rows keep their rows. A row with a null id links like any other, and others
+    through it; component_id is null only where all rows of the component have null ids. Other columns do not matter,
+    whatever their names. An empty table gives an empty result.
     """
     prints = written(fingerprints(documents, id_col, text_col), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min("id").alias("id")).where("id is not null"), "classes")
-    found = connected_components(links(classes))
-    classes = written(classes.join(found, classes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")), "classes")
-    out = prints.join(classes, "fp", "left")
+    # fingerprints are the nodes, so those without an id link too
+    classes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    found = connected_components(links(classes.select("fp", F.col("fp").alias("id"))))
+    labelled = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    labelled = written(labelled, "labelled")
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    out = prints.join(labelled.select("fp", "component").join(least, "component").drop("component"), "fp", "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
