@@ -16,4 +16,5 @@ def test_junk_in_small_groups_goes(spark):
     df = spark.createDataFrame([(i, *x) for i, x in enumerate(data)], "doc_id long, text string, lang string, source string, good boolean")
     kept = {r[0] for r in rows(quality.judge(df).where("kept"), "doc_id")}
     assert kept == {i for i, x in enumerate(data) if x[3]}
-    assert quality.judge(df.limit(9)).where("kept").count() == 9
+    # a table of few rows is judged too: eight clean ones and one of junk
+    assert {r[0] for r in rows(quality.judge(df.where("doc_id < 9")).where("kept"), "doc_id")} == set(range(8))

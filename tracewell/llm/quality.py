@@ -1,10 +1,18 @@
 """Quality rules: text statistics, fixed rules, and robust multivariate outliers per language and source.
 
-Location and scatter of the transformed statistics are minimum-covariance-determinant estimates. The start is the
-coordinatewise median and spread; concentration steps follow, each of which keeps the SUPPORT share of a group's rows
-that is nearest by Mahalanobis distance and takes their mean and covariance. A step is one aggregation over all rows:
-moments are summed per group and distance class, and the nearest classes of a group are added up. Features are whole
-numbers (fixed point), so sums are exact and neither the partitioning nor a lost executor changes an estimate.
+Location and scatter of the transformed statistics are minimum-covariance-determinant estimates. Three deterministic starts
+(medians and quartiles, mean and covariance, spatial signs) are each improved by concentration steps: the SUPPORT share of a
+group's rows that is nearest by Mahalanobis distance gives the next mean and covariance, until the determinant stands
+still; of the three ends the one of least determinant is taken. Many statistics are constant in most clean groups, so
+every scatter is regularised by a fixed target (FLOORS), in the steps and in the determinants alike.
+
+A step is one aggregation over all rows: moments are summed per model and distance class, the nearest classes are added up,
+and the last one counts in part, so that the share is met exactly. Features are whole numbers (fixed point), so sums are
+exact and neither the partitioning nor a lost executor changes an estimate.
+
+Models are made for every language and source, for every language and for all rows. A group's model is its own estimate
+and PRIOR_ROWS rows' worth of its language's, which is drawn towards that of all rows in the same way; so groups of any
+size are judged, and the fewer rows a group has, the more by its neighbours.
 """
 
 from __future__ import annotations
@@ -28,16 +36,21 @@ LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-#: The share of a group that a concentration step keeps, steps, and rows under which a group is judged by its language's model, or by that of all.
+#: The share of a group that a concentration step keeps, most steps, and the change of a log-determinant that stands still.
 SUPPORT = 0.75
-STEPS = 4
-LEAST_ROWS = 30
+STEPS = 8
+STILL = 1e-3
+#: Rows that a wider model counts for in a narrower one; the model of all rows is drawn towards the spread PRIOR.
+PRIOR_ROWS = 30
+PRIOR = 0.5
 #: Upper tail of the chi-squared law beyond which a vector is an outlier.
 TAIL = 1e-6
 SCALE = 256
 FEATURES = ("f_chars", "f_symbols", "f_dup", "f_repeat")
-#: Spread, in the features' unit, under which a coordinate does not count as varying: 0.15.
-FLOOR = 0.15
+#: Spread, in the features' units, under which a coordinate does not count as varying; the base rule leaves f_repeat under 0.45.
+FLOORS = (0.15, 0.15, 0.15, 0.07)
+K = len(FEATURES)
+STARTS = ("quartiles", "covariance", "signs")
 
 
 def text_stats(batch: pa.RecordBatch, column: str) -> dict[str, np.ndarray]:
@@ -156,117 +169,175 @@ def chi2_cdf(x: float, k: int) -> float:
 
 
 def _pairs() -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
+    return [(i, j) for i in range(K) for j in range(i, K)]
 
 
-def _distance(model: str = "m") -> Column:
-    """Squared Mahalanobis distance to the joined model's centre with its inverse scatter."""
-    x = [F.col(f) / SCALE - F.col(f"m{i}") for i, f in enumerate(FEATURES)]
-    return sum((F.col(f"p{i}_{j}") * x[i] * x[j] * (1 if i == j else 2) for i, j in _pairs()), F.lit(0.0))
+def _distance(centre: str = "centre", inverse: str = "inverse") -> Column:
+    """Squared Mahalanobis distance to the joined model."""
+    x = [F.col(f) / SCALE - F.col(centre)[i] for i, f in enumerate(FEATURES)]
+    return sum((F.col(inverse)[K * i + j] * x[i] * x[j] * (1 if i == j else 2) for i, j in _pairs()), F.lit(0.0))
 
 
 def _class() -> Column:
-    """Distances in classes of an eighth of an octave, so that the nearest share is found from counts."""
-    return F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-6))) * 8).cast("int")
+    """Distances in classes of a thirty-second of an octave, so that the nearest share is found from counts."""
+    return F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-4))) * 32).cast("int")
 
 
-MODEL = "g0 string, g1 string, rows long, " + ", ".join(f"m{i} double" for i in range(len(FEATURES))) + ", " + ", ".join(f"p{i}_{j} double" for i, j in _pairs())
+MODEL = "key string, start int, rows long, centre array<double>, scatter array<double>, inverse array<double>, logdet double, done boolean"
 
 
-def _model_row(key: tuple, rows: int, centre: np.ndarray, scatter: np.ndarray) -> dict:
-    spread = scatter + np.diag(np.full(len(FEATURES), FLOOR**2))
-    inverse = np.linalg.inv(spread)
-    return {"g0": key[0], "g1": key[1], "rows": rows} | {f"m{i}": c for i, c in enumerate(centre)} | {f"p{i}_{j}": inverse[i, j] for i, j in _pairs()}
+def _regular(scatter: np.ndarray) -> np.ndarray:
+    return scatter + np.diag(np.square(FLOORS))
 
 
-def _key(pdf: pd.DataFrame) -> tuple:
-    return tuple(None if pd.isna(x) else x for x in (pdf["g0"].iloc[0], pdf["g1"].iloc[0]))
+def _model_row(key: str, start: int, rows: int, centre: np.ndarray, scatter: np.ndarray, logdet: float | None = None, done: bool = False) -> dict:
+    spread = _regular(scatter)
+    logdet = float(np.linalg.slogdet(spread)[1]) if logdet is None else logdet
+    return {"key": key, "start": start, "rows": rows, "centre": centre.tolist(), "scatter": scatter.ravel().tolist(), "inverse": np.linalg.inv(spread).ravel().tolist(), "logdet": logdet, "done": done}
 
 
-def _start(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Diagonal models from quartiles; a row per group."""
-    out = []
-    for _, r in pdf.iterrows():
-        q = np.array([r[f"q{i}"] for i in range(len(FEATURES))], dtype=float) / SCALE
-        spread = (q[:, 2] - q[:, 0]) / 1.349
-        out.append(_model_row(tuple(None if pd.isna(x) else x for x in (r["g0"], r["g1"])), int(r["rows"]), q[:, 1], np.diag(spread**2)))
-    return pd.DataFrame(out)
+def concentrated(n: np.ndarray, first: list[list[int]], second: list[list[int]], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and consistent covariance of the nearest SUPPORT share, from counts and exact sums per distance class, nearest first."""
+    wanted = SUPPORT * rows
+    before = np.cumsum(n) - n
+    inside = int((before < wanted).sum())
+    # whole classes are added up exactly; what the last one holds too much leaves in proportion
+    total, sums, products = int(n[:inside].sum()), [sum(c[:inside]) for c in first], [sum(c[:inside]) for c in second]
+    off = 1 - (wanted - before[inside - 1]) / n[inside - 1]
+    size = total - off * n[inside - 1]
+    mean = np.array([(s - off * c[inside - 1]) / size for s, c in zip(sums, first, strict=True)])
+    scatter = np.zeros((K, K))
+    for (i, j), s, c in zip(_pairs(), products, second, strict=True):
+        # about the whole classes' mean, in whole numbers, before anything becomes floating point
+        a, b = sums[i] / total, sums[j] / total
+        whole = (s * total - sums[i] * sums[j]) / total
+        last = c[inside - 1] - a * first[j][inside - 1] - b * first[i][inside - 1] + n[inside - 1] * a * b
+        scatter[i, j] = scatter[j, i] = (whole - off * last) / size - (mean[i] - a) * (mean[j] - b)
+    factor = SUPPORT / chi2_cdf(chi2_quantile(SUPPORT, K), K + 2)
+    return mean / SCALE, scatter / SCALE**2 * factor
 
 
-def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A group's model from its moments per distance class (a few hundred rows at most): the nearest SUPPORT share."""
-    pdf = pdf.sort_values("d_class")
-    rows = int(pdf["n"].sum())
-    inside = pdf[(pdf["n"].cumsum() - pdf["n"]) < SUPPORT * rows]
-    n = int(inside["n"].sum())
-    k = len(FEATURES)
-    first = np.array([int(inside[f"s{i}"].sum()) for i in range(k)], dtype=float) / SCALE / n
-    second = np.zeros((k, k))
-    for i, j in _pairs():
-        # exact whole numbers: centred before they become floating point
-        raw = int(inside[f"s{i}_{j}"].map(int).sum()) * n - int(inside[f"s{i}"].sum()) * int(inside[f"s{j}"].sum())
-        second[i, j] = second[j, i] = raw / n / n / SCALE**2
-    share = n / rows
-    factor = 1.0 if share >= 1 else share / max(1e-9, chi2_cdf(chi2_quantile(share, k), k + 2))
-    return pd.DataFrame([_model_row(_key(pdf), rows, first, second * factor)])
+def _starts(stats: DataFrame) -> DataFrame:
+    """The three starting models of every key of stats (key, FEATURES)."""
+    quartiles = [F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, f in enumerate(FEATURES)]
+    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).cast("decimal(38,0)").alias(f"s{i}_{j}") for i, j in _pairs()]
+    shape = written(stats.groupBy("key").agg(F.count("*").alias("rows"), *quartiles, *sums), "shapes")
+    # signs: directions from the medians, in units of the quartile spread
+    spread = lambda i: (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 + FLOORS[i] * SCALE
+    at = stats.join(shape.select("key", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(K)), *(spread(i).alias(f"d{i}") for i in range(K))), "key")
+    z = [(F.col(f) - F.col(f"m{i}")) / F.col(f"d{i}") for i, f in enumerate(FEATURES)]
+    at = at.select("key", *(x.alias(f"z{i}") for i, x in enumerate(z))).withColumn("norm", F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(K)), F.lit(1e-9))))
+    signs = at.groupBy("key").agg(*(F.sum(F.round(F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm") / F.col("norm") * (1 << 20)).cast("long")).alias(f"g{i}_{j}") for i, j in _pairs()))
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                rows, q = int(r["rows"]), np.array([r[f"q{i}"] for i in range(K)], float) / SCALE
+                wide = np.diag((q[:, 2] - q[:, 0]) / 1.349 + np.array(FLOORS))
+                mean, cov, sign = np.array([int(r[f"s{i}"]) / rows for i in range(K)]), np.zeros((K, K)), np.zeros((K, K))
+                for i, j in _pairs():
+                    cov[i, j] = cov[j, i] = (int(r[f"s{i}_{j}"]) * rows - int(r[f"s{i}"]) * int(r[f"s{j}"])) / rows / rows / SCALE**2
+                    sign[i, j] = sign[j, i] = int(r[f"g{i}_{j}"]) / rows / (1 << 20) * K
+                for start, (centre, scatter) in enumerate(((q[:, 1], wide**2), (mean / SCALE, cov), (q[:, 1], wide @ sign @ wide))):
+                    out.append(_model_row(r["key"], start, rows, centre, scatter, math.inf))
+            if out:
+                yield pd.DataFrame(out)
+
+    return shape.join(signs, "key").mapInPandas(make, MODEL)
 
 
 def models(stats: DataFrame) -> DataFrame:
-    """MCD models of the groups g0, g1 of stats (g0, g1, FEATURES): a row per group with centre and inverse scatter."""
-    quartiles = [F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, f in enumerate(FEATURES)]
-    start = stats.groupBy("g0", "g1").agg(F.count("*").alias("rows"), *quartiles)
-    model = written(start.mapInPandas(lambda it: (_start(p) for p in it if len(p)), MODEL), "mcd")
-    moments = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).cast("decimal(38,0)").alias(f"s{i}_{j}") for i, j in _pairs()]
+    """(key, rows, centre, scatter): the MCD estimate of every key of stats (key, FEATURES)."""
+    model = written(_starts(stats), "mcd")
+    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).cast("decimal(38,0)").alias(f"s{i}_{j}") for i, j in _pairs()]
+
+    def step(moments: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        """A model's next one, or itself, done, where the determinant no longer falls; a few thousand classes at most."""
+        last = old.to_dict("records")[0]
+        at = moments.sort_values("d_class")
+        whole = lambda c: [int(x) for x in at[c]]
+        centre, scatter = concentrated(at["n"].to_numpy(), [whole(f"s{i}") for i in range(K)], [whole(f"s{i}_{j}") for i, j in _pairs()], int(last["rows"]))
+        new = _model_row(last["key"], int(last["start"]), int(last["rows"]), centre, scatter)
+        if new["logdet"] >= last["logdet"] - STILL:
+            new = last | {"done": True}
+        return pd.DataFrame([new])[[c.split()[0] for c in MODEL.split(", ")]]
+
     for _ in range(STEPS):
-        classed = _joined(stats, model).withColumn("d2", _distance()).withColumn("d_class", _class())
-        sums = classed.groupBy("g0", "g1", "d_class").agg(F.count("*").alias("n"), *moments)
-        model = written(sums.groupBy("g0", "g1").applyInPandas(_concentrate, MODEL), "mcd")
-    return model
+        going = model.where("not done")
+        if not going.take(1):
+            break
+        classed = stats.join(going.select("key", "start", "centre", "inverse"), "key").withColumn("d2", _distance()).withColumn("d_class", _class())
+        moments = classed.groupBy("key", "start", "d_class").agg(F.count("*").alias("n"), *sums)
+        old = going.select(*(F.col(c).alias(c) for c in going.columns))
+        new = moments.groupBy("key", "start").cogroup(old.groupBy("key", "start")).applyInPandas(step, MODEL)
+        model = written(model.where("done").unionByName(new), "mcd")
+    least = F.min_by(F.struct("rows", "centre", "scatter"), F.struct("logdet", "start")).alias("m")
+    return model.groupBy("key").agg(least).select("key", "m.*")
 
 
-def _models_of_all(stats: DataFrame) -> DataFrame:
-    """A model for every group g0, g1 of stats: its own, that of its g0 or that of all rows, the first with LEAST_ROWS rows that pass the base rules."""
-    passed = stats.where(~base_failed()).select("g0", "g1", *FEATURES)
-    none = F.lit("")
-    body = lambda name: F.when(F.col("rows") >= LEAST_ROWS, F.struct("rows", *(f"m{i}" for i in range(len(FEATURES))), *(f"p{i}_{j}" for i, j in _pairs()))).alias(name)
-    own = models(passed).select(F.col("g0").alias("k0"), F.col("g1").alias("k1"), body("own"))
-    wide = models(passed.withColumn("g1", none)).select(F.col("g0").alias("l0"), body("wide"))
-    whole = models(passed.withColumn("g0", none).withColumn("g1", none)).select(body("whole"))
-    groups = stats.select("g0", "g1").distinct()
-    groups = groups.join(own, F.col("g0").eqNullSafe(F.col("k0")) & F.col("g1").eqNullSafe(F.col("k1")), "left").join(wide, F.col("g0").eqNullSafe(F.col("l0")), "left")
-    # one row at most
-    groups = groups.join(F.broadcast(whole), F.lit(True), "left")
-    return written(groups.select("g0", "g1", F.coalesce("own", "wide", "whole").alias("model")).select("g0", "g1", "model.*"), "mcd")
+def drawn(own: tuple | None, wider: tuple) -> tuple:
+    """(rows, centre, scatter) of own rows and PRIOR_ROWS of the wider model's, as one mixture."""
+    if own is None:
+        return (0, *wider[1:])
+    (n, c, s), (_, d, t) = own, wider
+    share, gap = n / (n + PRIOR_ROWS), c - d
+    return n, share * c + (1 - share) * d, share * s + (1 - share) * t + share * (1 - share) * np.outer(gap, gap)
 
 
-def _joined(stats: DataFrame, model: DataFrame) -> DataFrame:
-    model = model.withColumnsRenamed({"g0": "k0", "g1": "k1"})
-    return stats.join(model, F.col("g0").eqNullSafe(F.col("k0")) & F.col("g1").eqNullSafe(F.col("k1")), "left").drop("k0", "k1")
+def _keys() -> list[Column]:
+    """The names of a row's three models: its g0 and g1, its g0, all."""
+    name = lambda c: F.coalesce(F.concat(F.length(c), F.lit(":"), F.col(c)), F.lit("-"))
+    return [F.concat(F.lit("2"), name("g0"), name("g1")).alias("k2"), F.concat(F.lit("1"), name("g0")).alias("k1"), F.lit("0").alias("k0")]
+
+
+def _models_of_all(stats: DataFrame) -> DataFrame:
+    """(k2, centre, inverse) of every group of stats; none if no row passes the base rules."""
+    passed = stats.where(~base_failed()).select(F.explode(F.array(*_keys())).alias("key"), *FEATURES)
+    found = written(models(written(passed, "features")).select("key", F.struct("rows", "centre", "scatter").alias("m")), "mcd")
+    groups = stats.select(*_keys()).distinct()
+    for k in ("k2", "k1", "k0"):
+        groups = groups.join(found.select(F.col("key").alias(k), F.col("m").alias(f"m_{k}")), k, "inner" if k == "k0" else "left")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = lambda m: None if m is None else (m["rows"], np.array(m["centre"]), np.array(m["scatter"]).reshape(K, K))
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                rows, centre, scatter = model(r["m_k0"])
+                share = rows / (rows + PRIOR_ROWS)
+                at = (rows, centre, share * scatter + (1 - share) * np.diag(np.full(K, PRIOR**2)))
+                for k in ("k1", "k2"):
+                    at = drawn(model(r[f"m_{k}"]), at)
+                out.append({"k2": r["k2"], "centre": at[1].tolist(), "inverse": np.linalg.inv(_regular(at[2])).ravel().tolist()})
+            if out:
+                yield pd.DataFrame(out)
+
+    return written(groups.mapInPandas(draw, "k2 string, centre array<double>, inverse array<double>"), "mcd")
 
 
 def _verdicts(documents: DataFrame, text_col: str, groups: tuple[str, str], carry: tuple[str, ...]) -> DataFrame:
     """(c0, c1, ... the columns carry, STATS, base_failed, d2, kept) of every row; the models' join reads a row per group."""
     stats = statistics(documents, text_col, groups, carry)
     stats = written(stats.select("*", *features()), "stats")
-    judged = _joined(stats, _models_of_all(stats))
-    clipped = [F.greatest(F.col(f), F.round(F.coalesce(F.col(f"m{i}"), F.lit(0.0)) * SCALE).cast("long")).alias(f) if i else F.col(f) for i, f in enumerate(FEATURES)]
+    judged = stats.withColumn("k2", _keys()[0]).join(_models_of_all(stats), "k2", "left")
+    clipped = [F.greatest(F.col(f), F.round(F.coalesce(F.col("centre")[i], F.lit(0.0)) * SCALE).cast("long")).alias(f) if i else F.col(f) for i, f in enumerate(FEATURES)]
     rest = [c for c in judged.columns if c not in FEATURES]
     judged = judged.select(*rest, *clipped).withColumn("d2", _distance())
-    limit = chi2_quantile(1 - TAIL, len(FEATURES))
-    outlier = F.coalesce((F.col("rows") >= LEAST_ROWS) & (F.col("d2") > limit), F.lit(False))
+    outlier = F.coalesce(F.col("d2") > chi2_quantile(1 - TAIL, K), F.lit(False))
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~outlier)
 
 
 def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """(id_col, STATS, base_failed, distance2, kept) of every row of documents.
+    """(id_col, STATS, base_failed, kept, distance2) of every row of documents.
 
     kept is false if a base rule fails or the row is an outlier of its group. Null text is empty (and fails the rules);
-    null groups are groups of their own; groups under LEAST_ROWS rows are judged by the model of their language (the first
-of groups), languages under it by that of all rows, and no row if all rows are fewer; repeated rows are judged alike.
+    null groups are groups of their own; a group of any size is judged, a small one mostly by its language's model and by
+    that of all rows; repeated rows are judged alike. Other columns do not matter, whatever their names.
     An empty table gives an empty result. Only the worse side counts: a row with fewer symbols and repeats than its
     group's centre is no outlier for that.
     """
-    return _verdicts(documents, text_col, groups, (id_col,)).select(F.col("c0").alias(id_col), *STATS, "base_failed", F.round("d2", 6).alias("distance2"), "kept")
+    return _verdicts(documents, text_col, groups, (id_col,)).select(F.col("c0").alias(id_col), *STATS, "base_failed", "kept", F.round("d2", 6).alias("distance2"))
 
 
 def passing(documents: DataFrame, columns: tuple[str, ...], text_col: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:

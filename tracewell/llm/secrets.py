@@ -3,14 +3,17 @@
 Base kinds are patterns. The battery looks at every run of 20 or more characters that encodings use. It infers the
 encoding (upper-case hexadecimal, base32, base36, alphanumeric, base64), then tests the run against uniform random symbols: a
 chi-squared test of the alphabet, a runs test about the middle of the alphabet and a lag-one serial correlation, added up
-to one chi-squared statistic with three degrees of freedom. A run that this does not reject looks random. Whether that
-could be chance in ordinary writing is measured by its repeated symbols: ordinary text repeats a symbol in about 6.5 % of
-all pairs, so few repeats in a long run are strong evidence and in a short run weak. Random symbols of the alphabets of one
-case repeat nearly as often (hexadecimal: 1/16), so these runs are also measured by their changes between digits and letters,
-and by letters that are all A to F or digits that are all 2 to 7, by Fisher's method. These p-values go through
-Benjamini-Hochberg separately for each length class, so the many short runs do not hide the long ones or pass by number.
-
-Spans count code points, end exclusive.
+to one chi-squared statistic with three degrees of freedom. Benjamini-Hochberg over these p-values, separately for each
+length class, finds the runs that are not random; they are no secrets.
+
+A short ordinary string may look random. So what is left is also measured against ordinary writing: its alphabet count
+(equal pairs of symbols, which decide the chi-squared statistic; ordinary text has an index of coincidence of 6.5 % or more) and,
+in the alphabets of one case, whose random symbols repeat nearly as often (hexadecimal: 1/16), its runs of digits and letters
+and its letters that are all A to F or digits that are all 2 to 7, by Fisher's method. These p-values go through
+Benjamini-Hochberg for each length class too, so the many short runs do not hide the long ones or pass by number.
+
+Spans count code points, end exclusive. A text is read once: its spans and p-values are written, and the cutoffs come from
+them. Folds over the matches of a text go by chunks of CHUNK, so that their cost grows with the matches and not with the square.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Kinds in the order of the result, and their patterns.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -32,16 +37,38 @@ REPEATS = 0.065
 CHANGES = 0.05
 HEX_LETTERS = 0.35
 BASE32_DIGITS = 0.6
-REJECT = 0.001
+#: Shares of false discoveries: of random runs among those found not random, of ordinary runs among those found to be secrets.
+FALSE_REJECTIONS = 0.001
 FALSE_DISCOVERIES = 0.01
+CHUNK = 256
 #: Lower ends of the length classes.
 LENGTHS = (20, 24, 32, 48, 64, 128)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed, and spelled out in the plan, once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _chunks(items: Column) -> Column:
+    """The numbers of the chunks of an array that is not empty."""
+    return F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))
+
+
+def _chunk(items: Column, number: Column) -> Column:
+    return F.slice(items, number * CHUNK + 1, F.lit(CHUNK))
+
+
+def _running(values: Column, combine) -> Column:
+    """Of an array of whole numbers, what combine makes of 0 and all values before each."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, start, lambda a, v: F.struct(combine(a["at"], v).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+
 def _matches(text: Column, pattern: str, kind: int, value_group: bool = False) -> Column:
     """array<struct<start, kind, end, s>> of pattern's matches: positions are sums of the pieces before."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.transform(F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("p"), found.alias("m")), lambda x: F.struct(F.length(x["p"]).alias("gap"), x["m"].alias("m")))
+    pieces = F.transform(F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("p"), found.alias("m")), lambda x: F.struct(F.length(x["p"]).alias("gap"), x["m"].alias("m")))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,s:string>>")
 
     def add(acc, x):
@@ -49,7 +76,12 @@ def _matches(text: Column, pattern: str, kind: int, value_group: bool = False) -
         end = start + F.length(x["m"])
         return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("s"))).alias("out"))
 
-    spans = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+    def placed(all_: Column) -> Column:
+        lengths = F.transform(_chunks(all_), lambda c: F.aggregate(_chunk(all_, c), F.lit(0), lambda a, x: a + x["gap"] + F.length(x["m"])))
+        offsets = _running(lengths, lambda a, n: a + n)
+        return F.flatten(F.transform(offsets, lambda at, c: F.aggregate(_chunk(all_, c), F.struct(at.alias("at"), empty.alias("out")), add, lambda acc: acc["out"])))
+
+    spans = _let(pieces, placed)
     if value_group:
         spans = F.filter(spans, lambda x: F.length(F.regexp_extract(x["s"], pattern, 1)) >= 6)
     return F.when(text.rlike(pattern), spans).otherwise(empty)
@@ -74,11 +106,6 @@ ALPHABETS = (("^[0-9A-F]+$", "0123456789ABCDEF"), ("^[A-Z2-7]+$", "ABCDEFGHIJKLM
              ("^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed, and spelled out in the plan, once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def battery(s: Column) -> Column:
     """struct<p_random, p_chance> of a string over an encoding's characters, null where it has letters of one case and no digit.
 
@@ -127,22 +154,41 @@ def _of_one_case(t: Column, repeats: Column) -> Column:
     return _let(less(repeats) + less(changes) + less(narrow), lambda h: F.exp(-h) * (1 + h + F.when(t["k"] < 36, h * h / 2).otherwise(F.lit(0.0))))
 
 
-def _blanked(text: Column, spans: Column) -> Column:
-    """text with a space for every character of spans, which are in order."""
+def _replaced(text: Column, spans: Column, fill) -> Column:
+    """text with fill(start of what is new, span) for every one of spans, which are in order and may overlap; null stays null."""
+
+    def cut(part: Column, first: Column):
+        """Folds the spans of a chunk; part is the text from code point first on."""
+
+        def step(acc, x):
+            kept = F.substring(part, acc["at"] - first + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
+            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], kept, fill(acc["at"], x)).alias("out"))
+
+        return step
+
+    def chunked(all_: Column) -> Column:
+        ends = F.transform(_chunks(all_), lambda c: F.array_max(F.transform(_chunk(all_, c), lambda x: x["end"])))
+        done = _running(ends, lambda a, e: F.greatest(a, e))
+
+        def piece(at: Column, c: Column) -> Column:
+            part = F.substring(text, at + 1, F.greatest(F.element_at(ends, c + 1) - at, F.lit(0)))
+            return _let(part, lambda p: F.aggregate(_chunk(all_, c), F.struct(at.alias("at"), F.lit("").alias("out")), cut(p, at), lambda acc: acc["out"]))
+
+        rest = F.substring(text, F.array_max(ends) + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(done, piece), ""), rest)
 
-    def cut(acc, x):
-        kept = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(acc["at"], x["start"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], kept, blank).alias("out"))
+    return F.when(F.size(spans) > 0, _let(spans, chunked)).otherwise(text)
 
-    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """text with a space for every character of spans, which are in order."""
+    return _replaced(text, spans, lambda at, x: F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(at, x["start"]), F.lit(0))))
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """array<struct<start, kind, end, s, p_random, p_chance>> of the strings to judge: the parts of runs outside base spans."""
+    """array<struct<start, kind, end, p>> of the strings to judge, with their p-values: the parts of runs outside base spans."""
     free = _let(_blanked(text, base), lambda t: _matches(t, RANDOM, 3))
-    tested = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["s"].alias("s"), battery(x["s"]).alias("p")))
+    tested = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), battery(x["s"]).alias("p")))
     return F.filter(tested, lambda x: x["p"].isNotNull())
 
 
@@ -151,37 +197,54 @@ def _length_class(x: Column) -> Column:
     return sum((F.when(n >= least, 1).otherwise(0) for least in LENGTHS[1:]), F.lit(0))
 
 
-def _evidence(x: Column) -> Column:
-    """-100 log10 of p_chance as a whole number, 0 to 3000."""
-    return F.least(F.greatest(F.floor(-100 * F.log10(F.greatest(x["p"]["p_chance"], F.lit(1e-30)))), F.lit(0)), F.lit(3000)).cast("int")
+def _evidence(p: Column) -> Column:
+    """-100 log10 of a p-value as a whole number, 0 to 3000; rounded down, which never adds a discovery."""
+    return F.least(F.greatest(F.floor(-100 * F.log10(F.greatest(p, F.lit(1e-30)))), F.lit(0)), F.lit(3000)).cast("int")
+
+
+#: The two families of p-values and their shares of false discoveries.
+FAMILIES = (("p_random", FALSE_REJECTIONS), ("p_chance", FALSE_DISCOVERIES))
 
 
-def cutoffs(tested: DataFrame) -> dict[int, int]:
-    """Least evidence of a discovery by length class (none: no discovery), from the column found of tested.
+def cutoffs(tested: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """Least evidence of a discovery by length class (none: no discovery), for both families, from the column found of tested.
 
-    Counts per class and whole-number evidence: at most 6 x 3001 rows, whatever the input; the cutoffs are 6 at most.
+    Counts per family, class and whole-number evidence: at most 2 x 6 x 3001 rows, whatever the input; the cutoffs are 12 at
+    most. The second family holds what the first has not rejected.
     """
-    at = tested.select(F.explode("found").alias("x")).select(_length_class(F.col("x")).alias("length_class"), _evidence(F.col("x")).alias("evidence"))
-    at = at.groupBy("length_class", "evidence").agg(F.count("*").alias("n"))
-    falling = Window.partitionBy("length_class").orderBy(F.col("evidence").desc())
-    at = at.withColumn("rank", F.sum("n").over(falling)).withColumn("all", F.sum("n").over(Window.partitionBy("length_class")))
-    passed = F.pow(F.lit(10.0), -F.col("evidence") / 100) <= F.col("rank") / F.col("all") * FALSE_DISCOVERIES
-    return {r[0]: r[1] for r in at.where(passed).groupBy("length_class").agg(F.min("evidence")).collect()}
+    out: list[dict[int, int]] = []
+    for name, share in FAMILIES:
+        at = tested.select(F.explode("found").alias("x")).select(_length_class(F.col("x")).alias("length_class"), _evidence(F.col("x.p.p_random")).alias("first"), _evidence(F.col(f"x.p.{name}")).alias("evidence"))
+        if out:
+            at = at.where(F.col("first") < _cutoff(out[0], F.col("length_class")))
+        at = at.groupBy("length_class", "evidence").agg(F.count("*").alias("n"))
+        falling = Window.partitionBy("length_class").orderBy(F.col("evidence").desc())
+        at = at.withColumn("rank", F.sum("n").over(falling)).withColumn("all", F.sum("n").over(Window.partitionBy("length_class")))
+        passed = F.pow(F.lit(10.0), -F.col("evidence") / 100) <= F.col("rank") / F.col("all") * share
+        out.append({r[0]: r[1] for r in at.where(passed).groupBy("length_class").agg(F.min("evidence")).collect()})
+    return out[0], out[1]
 
 
-def scan(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """documents with the columns base and spans: arrays of struct<start, kind, end>, by start, then kind (an index into KINDS).
+def _cutoff(least: dict[int, int], length_class: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(least.get(i, 10**6)) for i in range(len(LENGTHS)))), length_class + 1)
 
-    Null text is empty and has no spans; equal rows get equal spans; columns named base, found or spans are replaced.
+
+def scan(documents: DataFrame, text_col: str = "text", columns: tuple[str, ...] | None = None) -> DataFrame:
+    """columns of documents (None: all), base and spans: arrays of struct<start, kind, end>, by start, then kind (an index into KINDS).
+
+    Null text is empty and has no spans; a text may be of any length and have any number of matches; equal rows get equal
+    spans; an empty table gives an empty result. A column base or spans of documents is left out for the operator's own;
+    other columns do not matter, whatever their names. columns travel through the written table of spans.
     """
+    names = {f"c{i}": c for i, c in enumerate(documents.columns if columns is None else columns) if c not in ("base", "spans")}
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = lambda spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    tested = documents.withColumn("base", plain(base_spans(text)))
-    tested = tested.withColumn("found", candidates(text, F.col("base")))
-    least = cutoffs(tested)
-    table = F.array(*(F.lit(least.get(i, 10**6)) for i in range(len(LENGTHS))))
-    good = F.filter("found", lambda x: (x["p"]["p_random"] >= REJECT) & (_evidence(x) >= F.element_at(table, _length_class(x) + 1)))
-    return tested.withColumn("spans", F.array_sort(F.concat("base", plain(good)))).drop("found")
+    read = documents.select(*(F.col(c).alias(k) for k, c in names.items()), text.alias("text"))
+    read = read.withColumn("base", plain(base_spans(F.col("text")))).withColumn("found", candidates(F.col("text"), F.col("base")))
+    tested = written(read.drop("text"), "secrets")
+    rejected, ordinary = cutoffs(tested)
+    good = F.filter("found", lambda x: (_evidence(x["p"]["p_random"]) < _cutoff(rejected, _length_class(x))) & (_evidence(x["p"]["p_chance"]) >= _cutoff(ordinary, _length_class(x))))
+    return tested.select(*(F.col(k).alias(c) for k, c in names.items()), "base", F.array_sort(F.concat("base", plain(good))).alias("spans"))
 
 
 def spelled(spans: Column) -> Column:
@@ -192,10 +255,4 @@ def spelled(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """text with every run of overlapping spans replaced by mark; null stays null."""
-
-    def cut(acc, x):
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return _replaced(text, spans, lambda at, x: F.when(x["start"] >= at, F.lit(mark)).otherwise(F.lit("")))
