@@ -1,17 +1,21 @@
 """Substring dedup: repeated-phrase automata.
 
 Confirm. A window of WINDOW words recurs if its word sequence starts at two or more places of the whole corpus. Counting all
-windows would move eight bytes a word, so windows are counted only where they can recur: each window has an anchor, the
+windows would move sixteen bytes a word, so windows are counted only where they can recur: each window has an anchor, the
 smallest hash among its runs of GRAM words; equal windows have equal anchors, so a window recurs only if its anchor does.
-Anchors are one place in about fourteen.
+Anchors are one place in about fourteen. Windows are told apart by 128 bits of hash.
 
-Compile and stream. Documents are dealt to shards. A shard learns which of its windows recur, cuts recurring passages into
-phrases of WINDOW words (the last one overlaps), compiles them into one Aho-Corasick automaton over words (one character per
-distinct word), and streams all its documents through it to locate every occurrence. Each document is streamed once and each
-shard's automaton holds phrases of its own documents only, so work grows with the input.
+Compile. Documents are dealt to shards of about SHARD_BYTES. Passages of recurring windows are cut into phrases of WINDOW
+words (the last one overlaps), and of equal phrases one is kept, wherever it comes from. A phrase goes to every shard that
+has its anchor, since only there can it occur. There the phrases are compiled into an Aho-Corasick automaton over words (one
+character per distinct word).
 
-Counts travel packed, as arrays of hashes per (bucket, shard): a hot passage is one entry per shard, whatever its copies.
-Window hashes have 64 bits and count code-exact word bytes.
+Stream. Every document runs through the automaton of its shard, and the occurrences that it finds, of phrases from any
+document, are what is removed. Each document is streamed once, and an automaton holds only phrases whose anchors its shard
+has, so work grows with the input.
+
+Counts travel packed, as arrays of hashes per (bucket, shard): a hot passage is one entry per shard, whatever its copies, and
+one row of phrases.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ from .common import written
 WINDOW = 35
 GRAM = 8
 SPLIT = 4
+#: Bytes of text that a shard should have, shards of a bucket of the table, and most buckets.
+SHARD_BYTES = 8 << 20
+SHARDS_A_BUCKET = 4
+MOST_BUCKETS = 100_000
 #: Hashes a bucket should hold, and the least number of buckets; the volume is estimated from bytes of text (six a word).
 BUCKET = 1 << 19
 LEAST_BUCKETS = 16
@@ -65,10 +73,18 @@ class _Shard:
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(first words, hashes) of the windows within a document, 4 million words at a time in memory."""
-        at, out, n = [], [], len(self.hashes)
+        return self._windows(self.hashes, size)
+
+    def long_windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, two hashes each) of the windows of WINDOW words."""
+        at, h = self.windows(WINDOW)
+        return at, np.stack([h, self._windows(tk.mix(self.hashes ^ np.uint64(0x5851F42D4C957F2D)), WINDOW)[1]], axis=1)
+
+    def _windows(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        at, out, n = [], [], len(hashes)
         for lo in range(0, n, 1 << 22):
             hi = min(n, lo + (1 << 22) + size - 1)
-            a, h = tk.windows(self.hashes[lo:hi], self.row[lo:hi], size)
+            a, h = tk.windows(hashes[lo:hi], self.row[lo:hi], size)
             at.append(a + lo)
             out.append(h)
         return (np.concatenate(at), np.concatenate(out)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
@@ -101,10 +117,21 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
+def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first places, group of each row, sizes) of the distinct rows of h, in order."""
+    order = np.lexsort(h.T[::-1])
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]).any(axis=1)
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order[new], group, np.bincount(group) if len(h) else np.zeros(0, np.int64)
+
+
 def _requests(shard: int, hashes: np.ndarray, buckets: int) -> pa.Table:
-    """The distinct hashes of a shard, packed by bucket, with a mark for those that occur there more than once."""
-    h, n = np.unique(hashes, return_counts=True)
-    bucket = (h % np.uint64(buckets)).astype(np.int32)
+    """The distinct hashes (rows) of a shard, packed by bucket, with a mark for those that occur there more than once."""
+    first, _, n = _groups(hashes)
+    h = hashes[first]
+    bucket = (h[:, 0] % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     h, n, bucket = h[order], n[order], bucket[order]
     cut = np.flatnonzero(np.diff(bucket)) + 1
@@ -114,68 +141,102 @@ def _requests(shard: int, hashes: np.ndarray, buckets: int) -> pa.Table:
     return pa.table({"bucket": pa.array([int(bucket[i]) for i in lo], pa.int32()), "shard": pa.array([shard] * len(lo), pa.int32()), "hashes": pa.array([h[i:j].tobytes() for i, j in zip(lo, hi, strict=True)], pa.binary()), "many": pa.array([np.packbits(n[i:j] > 1).tobytes() for i, j in zip(lo, hi, strict=True)], pa.binary())})
 
 
-def _recurring(requests: DataFrame) -> DataFrame:
-    """(shard, hashes): of each shard's hashes those that occur twice or more over all shards."""
+def _recurring(requests: DataFrame, width: int) -> DataFrame:
+    """(bucket, shard, hashes): of each shard's hashes, of width words each, those that occur twice or more over all shards."""
 
     def count(table: pa.Table) -> pa.Table:
-        shards = table.column("shard").to_pylist()
-        packs = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        packs = [np.frombuffer(x, np.uint64).reshape(-1, width) for x in table.column("hashes").to_pylist()]
         many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(table.column("many").to_pylist(), packs, strict=True)]
-        h, n = np.unique(np.concatenate(packs), return_counts=True)
-        twice = np.zeros(len(h), bool)
-        twice[n > 1] = True
-        for p, m in zip(packs, many, strict=True):
-            twice[np.searchsorted(h, p[m])] = True
-        kept = [p[twice[np.searchsorted(h, p)]] for p in packs]
-        return pa.table({"shard": pa.array([s for s, k in zip(shards, kept, strict=True) if len(k)], pa.int32()), "hashes": pa.array([k.tobytes() for k in kept if len(k)], pa.binary())})
+        _, group, n = _groups(np.concatenate(packs))
+        twice = n > 1
+        twice[group[np.concatenate(many)]] = True
+        ends = np.cumsum([len(p) for p in packs])
+        kept = [p[twice[group[e - len(p) : e]]] for p, e in zip(packs, ends, strict=True)]
+        some = [i for i, k in enumerate(kept) if len(k)]
+        return pa.table({"bucket": table.column("bucket").take(pa.array(some, pa.int64())), "shard": table.column("shard").take(pa.array(some, pa.int64())), "hashes": pa.array([kept[i].tobytes() for i in some], pa.binary())})
 
-    return requests.groupBy("bucket").applyInArrow(count, "shard int, hashes binary")
+    return requests.groupBy("bucket").applyInArrow(count, "bucket int, shard int, hashes binary")
 
 
-def _known(replies: pa.Table) -> np.ndarray:
+def _known(replies: pa.Table, width: int) -> np.ndarray:
+    """The sorted hashes of a shard's replies, width words each."""
     packs = [np.frombuffer(x, np.uint64) for x in replies.column("hashes").to_pylist()]
-    return np.sort(np.concatenate(packs)) if packs else np.zeros(0, np.uint64)
+    h = np.concatenate(packs).reshape(-1, width) if packs else np.zeros((0, width), np.uint64)
+    return h[np.lexsort(h.T[::-1])]
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-
-def _automaton(shard: _Shard, starts: np.ndarray):
-    """(automaton, words as its symbols) for the recurring windows starting at starts: passages cut into phrases."""
-    _, code = np.unique(shard.hashes, return_inverse=True)
-    wide = len(code) and int(code.max()) >= LETTERS
-    if not wide:
-        code = code + 1
-        code[code >= 0xD800] += 0x800
-        symbols = code.astype("<u4").tobytes().decode("utf-32-le")
-        auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    else:
-        symbols = tuple(code.tolist())
-        auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    """Which rows of values are rows of known; rows that share only the first word are stepped over."""
+    out = np.zeros(len(values), bool)
+    at = np.searchsorted(known[:, 0], values[:, 0]) if len(known) else np.zeros(0, np.int64)
+    left = np.arange(len(at))
+    while len(left):
+        left = left[at[left] < len(known)]
+        left = left[known[at[left], 0] == values[left, 0]]
+        same = (known[at[left]] == values[left]).all(axis=1)
+        out[left[same]] = True
+        left = left[~same]
+        at[left] += 1
+    return out
+
+
+def _phrases(shard: _Shard, starts: np.ndarray) -> np.ndarray:
+    """First words of the phrases that cover what the recurring windows at starts cover."""
+    if not len(starts):
+        return starts
     breaks = np.flatnonzero((np.diff(starts) != 1) | (shard.row[starts[1:]] != shard.row[starts[:-1]])) + 1
+    out = []
     for lo, hi in zip(np.concatenate([[0], breaks]).tolist(), np.concatenate([breaks, [len(starts)]]).tolist(), strict=True):
-        a, last = int(starts[lo]), int(starts[hi - 1])
-        for at in [*range(a, last, WINDOW), last]:
-            auto.add_word(symbols[at : at + WINDOW])
-    auto.make_automaton()
-    return auto, symbols
+        first, last = int(starts[lo]), int(starts[hi - 1])
+        out += [*range(first, last, WINDOW), last]
+    return np.array(out, np.int64)
+
 
+def _sent(phrases: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(shard, phrases: joined by line breaks) from distinct (bucket, anchor, phrase) and the anchors (bucket, shard, hashes) of the shards."""
 
-def _covered(shard: _Shard, starts: np.ndarray) -> np.ndarray:
-    """Which words of the shard the occurrences of its phrases cover."""
+    def meet(given: pa.Table, asked: pa.Table) -> pa.Table:
+        known = given.column("anchor").to_numpy().view(np.uint64) if given.num_rows else np.zeros(0, np.uint64)
+        order = np.argsort(known, kind="stable")
+        known, texts = known[order], given.column("phrase").take(pa.array(order)).to_pylist() if given.num_rows else []
+        shards, packs = [], []
+        for shard, data in zip(asked.column("shard").to_pylist(), asked.column("hashes").to_pylist(), strict=True):
+            h = np.frombuffer(data, np.uint64)
+            lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+            mine = [texts[k] for i, j in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True) for k in range(i, j)]
+            if mine:
+                shards.append(shard)
+                packs.append("\n".join(mine))
+        return pa.table({"shard": pa.array(shards, pa.int32()), "phrases": pa.array(packs, pa.string())})
+
+    return phrases.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(meet, "shard int, phrases string")
+
+
+def _covered(shard: _Shard, phrases: list[str]) -> np.ndarray:
+    """Which words of the shard the occurrences of phrases cover: one automaton, through which every document runs."""
     cover = np.zeros(len(shard.hashes) + 1, np.int32)
-    if len(starts):
-        auto, symbols = _automaton(shard, starts)
+    vocabulary, code = np.unique(shard.hashes, return_inverse=True)
+    asked = _Shard(pa.table({"text": pa.array(phrases, pa.string())})).hashes.reshape(-1, WINDOW)
+    at = np.minimum(np.searchsorted(vocabulary, asked), max(0, len(vocabulary) - 1))
+    # a phrase with a word that no document here has cannot occur
+    at = at[(vocabulary[at] == asked).all(axis=1)] if len(vocabulary) else at[:0]
+    if len(at):
+        if len(vocabulary) <= LETTERS:
+            spell = lambda x: np.where(x + 1 >= 0xD800, x + 0x801, x + 1).astype("<u4").tobytes().decode("utf-32-le")
+            auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        else:
+            spell = lambda x: tuple(x.tolist())
+            auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for phrase in at:
+            auto.add_word(spell(phrase))
+        auto.make_automaton()
         ends = []
         for lo, hi in zip(shard.first.tolist(), shard.first.tolist()[1:]):  # noqa: B905
             if hi - lo >= WINDOW:
-                ends += [lo + e + 1 for e, _ in auto.iter(symbols[lo:hi])]
-        ends = np.unique(np.array(ends, np.int64))
+                ends += [lo + e + 1 for e, _ in auto.iter(spell(code[lo:hi]))]
+        ends = np.array(ends, np.int64)
         cover[ends - WINDOW] += 1
-        cover[ends] -= 1
+        np.add.at(cover, ends, -1)
     return np.cumsum(cover[:-1]) > 0
 
 
@@ -186,40 +247,57 @@ def dedupe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words; texts under WINDOW words lose none; repeated rows repeat each other and lose all words (of WINDOW or more).
     Null ids stay. Other columns do not matter. An empty table gives an empty result.
 
-    Documents are kept as a table bucketed by shard in the warehouse, so the three passes over them shuffle no text again.
+    Documents are kept as a table bucketed by shard in the warehouse, so the passes over them shuffle no text again; it is
+    dropped when the result is written. A text longer than SHARD_BYTES makes a larger shard.
     """
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = SPLIT * parts
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(SPLIT * parts, size // SHARD_BYTES)
+    table_buckets = min(MOST_BUCKETS, max(parts, shards // SHARDS_A_BUCKET))
+    words = size // 6
+    anchor_buckets = max(LEAST_BUCKETS, words // (WINDOW - GRAM + 1) * 2 // BUCKET)
+    window_buckets = max(LEAST_BUCKETS, words // BUCKET)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int"))
     name = f"phrases_{uuid.uuid4().hex}"
-    rows.repartition(parts, "shard").write.format("parquet").option("compression", "zstd").bucketBy(parts, "shard").saveAsTable(name)
+    rows.repartition(table_buckets, "shard").write.format("parquet").option("compression", "zstd").bucketBy(table_buckets, "shard").saveAsTable(name)
     texts = spark.table(name)
-    words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    anchor_buckets = max(LEAST_BUCKETS, words // (WINDOW - GRAM + 1) * 2 // BUCKET)
-    window_buckets = max(LEAST_BUCKETS, words // BUCKET)
 
     def ask_anchors(table: pa.Table) -> pa.Table:
-        return _requests(table.column("shard")[0].as_py(), _Shard(table).anchors()[0], anchor_buckets)
+        return _requests(table.column("shard")[0].as_py(), _Shard(table).anchors()[0][:, None], anchor_buckets)
 
     def ask_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
-            return _requests(0, np.zeros(0, np.uint64), window_buckets)
+            return _requests(0, np.zeros((0, 2), np.uint64), window_buckets)
         shard = _Shard(table)
         _, window, least = shard.anchors()
-        may = window[_among(least, _known(replies))]
-        at, h = shard.windows(WINDOW)
+        may = window[_among(least[:, None], _known(replies, 1))]
+        at, h = shard.long_windows()
         return _requests(table.column("shard")[0].as_py(), h[np.isin(at, may, assume_unique=True)], window_buckets)
 
+    def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
+        anchors, phrases = np.zeros(0, np.uint64), []
+        if table.num_rows and replies.num_rows:
+            shard = _Shard(table)
+            at, h = shard.long_windows()
+            starts = _phrases(shard, at[_among(h, _known(replies, 2))])
+            _, window, least = shard.anchors()
+            first, _, _ = _groups(h[np.searchsorted(at, starts)])
+            starts = starts[first]
+            anchors = least[np.searchsorted(window, starts)]
+            raw, start, end = shard.raw.tobytes(), shard.start.tolist(), shard.end.tolist()
+            phrases = [b" ".join([raw[start[j] : end[j]] for j in range(i, i + WINDOW)]).decode() for i in starts.tolist()]
+        bucket = (anchors % np.uint64(anchor_buckets)).astype(np.int32)
+        return pa.table({"bucket": pa.array(bucket), "anchor": pa.array(anchors.view(np.int64)), "phrase": pa.array(phrases, pa.string())})
+
     columns = ["id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
 
-    def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
+    def remove(table: pa.Table, sent: pa.Table) -> pa.Table:
         shard = _Shard(table) if table.num_rows else None
         out: list[list] = [[] for _ in columns]
         if shard:
-            at, h = shard.windows(WINDOW)
-            gone = _covered(shard, at[_among(h, _known(replies))])
+            gone = _covered(shard, [p for x in sent.column("phrases").to_pylist() for p in x.split("\n")])
             raw, start, end = shard.raw.tobytes(), shard.start.tolist(), shard.end.tolist()
             bounds = shard.first.tolist()
             for i, key in enumerate(table.column("id").to_pylist()):
@@ -231,8 +309,12 @@ def dedupe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=False)], names=columns)
 
-    anchors = written(_recurring(texts.groupBy("shard").applyInArrow(ask_anchors, _REQUEST)), "anchors")
+    anchors = written(_recurring(texts.groupBy("shard").applyInArrow(ask_anchors, _REQUEST), 1), "anchors")
     asked = texts.groupBy("shard").cogroup(anchors.groupBy("shard")).applyInArrow(ask_windows, _REQUEST)
-    recurring = written(_recurring(asked), "windows")
-    done = texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(remove, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    recurring = written(_recurring(asked, 2), "windows")
+    phrases = texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(cut, "bucket int, anchor long, phrase string")
+    sent = _sent(phrases.distinct(), anchors)
+    done = texts.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(remove, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    done = written(done, "phrases")
+    spark.sql(f"DROP TABLE {name}")
     return done.withColumnRenamed("id", id_col)

@@ -51,6 +51,9 @@ FEATURES = ("f_chars", "f_symbols", "f_dup", "f_repeat")
 FLOORS = (0.15, 0.15, 0.15, 0.07)
 K = len(FEATURES)
 STARTS = ("quartiles", "covariance", "signs")
+#: Rows of models that are broadcast at most (under 1 KB each); more models meet rows in a shuffle, their keys split SALTS ways.
+MODELS_BROADCAST = 20_000
+SALTS = 64
 
 
 def text_stats(batch: pa.RecordBatch, column: str) -> dict[str, np.ndarray]:
@@ -217,6 +220,15 @@ def concentrated(n: np.ndarray, first: list[list[int]], second: list[list[int]],
     return mean / SCALE, scatter / SCALE**2 * factor
 
 
+def _with_models(rows: DataFrame, models: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with models, which are written and have key and columns that rows lack; a key may have any share of rows."""
+    if models.count() <= MODELS_BROADCAST:
+        return rows.join(F.broadcast(models), "key", how)
+    salt = F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)).cast("int")
+    spread = models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(spread, ["key", "salt"], how).drop("salt")
+
+
 def _starts(stats: DataFrame) -> DataFrame:
     """The three starting models of every key of stats (key, FEATURES)."""
     quartiles = [F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, f in enumerate(FEATURES)]
@@ -224,7 +236,7 @@ def _starts(stats: DataFrame) -> DataFrame:
     shape = written(stats.groupBy("key").agg(F.count("*").alias("rows"), *quartiles, *sums), "shapes")
     # signs: directions from the medians, in units of the quartile spread
     spread = lambda i: (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 + FLOORS[i] * SCALE
-    at = stats.join(shape.select("key", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(K)), *(spread(i).alias(f"d{i}") for i in range(K))), "key")
+    at = _with_models(stats, shape.select("key", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(K)), *(spread(i).alias(f"d{i}") for i in range(K))))
     z = [(F.col(f) - F.col(f"m{i}")) / F.col(f"d{i}") for i, f in enumerate(FEATURES)]
     at = at.select("key", *(x.alias(f"z{i}") for i, x in enumerate(z))).withColumn("norm", F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(K)), F.lit(1e-9))))
     signs = at.groupBy("key").agg(*(F.sum(F.round(F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm") / F.col("norm") * (1 << 20)).cast("long")).alias(f"g{i}_{j}") for i, j in _pairs()))
@@ -267,7 +279,7 @@ def models(stats: DataFrame) -> DataFrame:
         going = model.where("not done")
         if not going.take(1):
             break
-        classed = stats.join(going.select("key", "start", "centre", "inverse"), "key").withColumn("d2", _distance()).withColumn("d_class", _class())
+        classed = _with_models(stats, going.select("key", "start", "centre", "inverse")).withColumn("d2", _distance()).withColumn("d_class", _class())
         moments = classed.groupBy("key", "start", "d_class").agg(F.count("*").alias("n"), *sums)
         old = going.select(*(F.col(c).alias(c) for c in going.columns))
         new = moments.groupBy("key", "start").cogroup(old.groupBy("key", "start")).applyInPandas(step, MODEL)
@@ -320,7 +332,7 @@ def _verdicts(documents: DataFrame, text_col: str, groups: tuple[str, str], carr
     """(c0, c1, ... the columns carry, STATS, base_failed, d2, kept) of every row; the models' join reads a row per group."""
     stats = statistics(documents, text_col, groups, carry)
     stats = written(stats.select("*", *features()), "stats")
-    judged = stats.withColumn("k2", _keys()[0]).join(_models_of_all(stats), "k2", "left")
+    judged = _with_models(stats.withColumn("key", _keys()[0]), _models_of_all(stats).withColumnRenamed("k2", "key"), "left")
     clipped = [F.greatest(F.col(f), F.round(F.coalesce(F.col("centre")[i], F.lit(0.0)) * SCALE).cast("long")).alias(f) if i else F.col(f) for i, f in enumerate(FEATURES)]
     rest = [c for c in judged.columns if c not in FEATURES]
     judged = judged.select(*rest, *clipped).withColumn("d2", _distance())

@@ -59,11 +59,21 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.dedupe(table(spark, sf_dir, "documents"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op 2 that SQL can express."""
+    return op2_quality_rules(spark, sf_dir).select("doc_id", *quality.STATS, "base_failed")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op 6 that SQL can express."""
+    return op6_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
 def queries() -> dict:
     import corpus_pipeline
 
     ops = (op1_token_file, op2_quality_rules, op3_vector_links, op4_source_mix, op5_warc, op6_url_filter, op7_secret_scan, op8_simhash, op9_packing, op10_repeated_phrases)
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run, "quality_base": quality_base, "url_rules": url_rules}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,6 +3,8 @@
 from .common import WORD
 from .mixing import MOST_COPIES, WEIGHTS
 from .phrases import WINDOW
+from .quality import LEAST_WORDS, MOST_REPEATED_PERCENT
+from .urls import RULES
 from .vectors import THRESHOLD
 
 _WORDS = f"regexp_extract_all(coalesce(text, ''), '{WORD}')"
@@ -43,4 +45,25 @@ PHRASES = f"""WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
  kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS text FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
 SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op3_vector_links": LINKS, "op4_source_mix": MIX, "op5_warc": WARC, "op10_repeated_phrases": PHRASES}
+#: The statistics that the base rules read, and their verdict.
+QUALITY_BASE = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS words FROM documents),
+ windows AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS pos, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) AS phrase FROM w WHERE len(words) >= 5),
+ again AS (SELECT doc_id, phrase FROM windows GROUP BY doc_id, phrase HAVING count(*) > 1),
+ covered AS (SELECT doc_id, count(DISTINCT pos + k) AS n FROM windows JOIN again USING (doc_id, phrase), range(5) r(k) GROUP BY doc_id),
+ lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
+ dups AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, line, count(*) AS n FROM lines WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id, line) g GROUP BY doc_id),
+ s AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN covered USING (doc_id))
+SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed FROM s"""
+
+
+def _fits(rule: str) -> str:
+    on, _, under = rule.partition("/")
+    return f"(host = '{on}' OR ends_with(host, '.{on}')) AND starts_with(path, '/{under}')"
+
+
+#: Host, path and the longest rule that fits.
+URL_RULES = f"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages)
+SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for r, _ in sorted(RULES, key=lambda r: (-len(r[0]), r[0])))} END AS rule FROM p"""
+
+ORACLES: dict[str, str] = {"op3_vector_links": LINKS, "op4_source_mix": MIX, "op5_warc": WARC, "op10_repeated_phrases": PHRASES, "quality_base": QUALITY_BASE, "url_rules": URL_RULES}

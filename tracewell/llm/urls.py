@@ -1,7 +1,8 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for the URLs that no rule fits.
 
 The trees are Spark ML's, fitted on at most TRAIN_ROWS labelled URLs (a bounded sample in hash order). Statistics of
-suffixes cover all labelled URLs. Features are native expressions.
+suffixes and of the first segments of paths cover all labelled URLs; a labelled URL gets those of the other FOLDS - 1 folds, so its own label is in none of its
+features. Features are native expressions.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 TRAIN_ROWS = 20_000
 TREES = 12
 DEPTH = 3
-FEATURES = ("length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "hyphens", "suffix_rate", "domain_rate")
+FOLDS = 5
+FEATURES = ("length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "hyphens", "suffix_rate", "head_rate")
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -64,19 +66,26 @@ def suffix(host_: Column) -> Column:
     return F.substring_index(host_, ".", -1)
 
 
-def domain(host_: Column) -> Column:
-    return F.substring_index(host_, ".", -2)
+def head(path_: Column) -> Column:
+    """The first segment of the path."""
+    return F.get(F.split(path_, "/"), F.lit(1))
 
 
 def with_features(urls: DataFrame) -> DataFrame:
     """urls (id, url, host, path, label: 1 block, 0 allow, null unknown) with FEATURES.
 
-    A suffix's rate is its share of blocked URLs among all labelled ones, drawn towards one half by five pseudo-rows.
+    The rate of a suffix, or of a path's head, is its share of blocked URLs among labelled ones, drawn towards one half by five
+    pseudo-rows: among all of them for an unlabelled URL, among those of other folds for a labelled one. Equal URLs are of
+    one fold.
     """
-    out = urls.select("*", *lexical(F.col("url"), F.col("host"), F.col("path"))).withColumn("suffix", suffix(F.col("host"))).withColumn("domain", domain(F.col("host")))
-    for by in ("suffix", "domain"):
-        rates = out.where("label is not null").groupBy(by).agg(((F.sum("label") + 2.5) / (F.count("label") + 5)).alias(f"{by}_rate"))
-        out = out.join(rates, by, "left").withColumn(f"{by}_rate", F.coalesce(f"{by}_rate", F.lit(0.5)))
+    out = urls.select("*", *lexical(F.col("url"), F.col("host"), F.col("path"))).withColumn("suffix", suffix(F.col("host"))).withColumn("head", F.coalesce(head(F.col("path")), F.lit("")))
+    out = out.withColumn("fold", F.when(F.col("label").isNotNull(), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")))
+    own = lambda n: F.coalesce(F.element_at(F.array(*(F.col(f"{n}_{i}") for i in range(FOLDS))), F.col("fold") + 1), F.lit(0))
+    rate = (F.col("blocked") - own("b") + 2.5) / (F.col("seen") - own("n") + 5)
+    counts = [f(F.when(F.col("fold") == i, F.col("label"))).alias(f"{n}_{i}") for i in range(FOLDS) for n, f in (("b", F.sum), ("n", F.count))]
+    for by in ("suffix", "head"):
+        folds = out.where("label is not null").groupBy(by).agg(F.sum("label").alias("blocked"), F.count("label").alias("seen"), *counts)
+        out = out.join(folds, by, "left").withColumn(f"{by}_rate", F.coalesce(rate, F.lit(0.5))).drop("blocked", "seen", *(f"{n}_{i}" for n in "bn" for i in range(FOLDS)))
     return out
 
 
@@ -94,6 +103,13 @@ def train(featured: DataFrame, rows: int = TRAIN_ROWS) -> GBTClassificationModel
     return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7, stepSize=0.3).fit(assembled(sample))
 
 
+def held_out_error(featured: DataFrame, fold: int = 0) -> float | None:
+    """The share of labelled URLs of a fold that trees fitted on the other folds get wrong; None without any."""
+    model = train(featured.where(F.col("fold") != fold))
+    wrong = score(featured.where(F.col("fold") == fold), model).select(F.avg(((F.col("block_score") > 0.5) != (F.col("label") == 1)).cast("double")))
+    return wrong.first()[0]
+
+
 def score(featured: DataFrame, model: GBTClassificationModel | float) -> DataFrame:
     """featured with block_score, the probability of block."""
     if isinstance(model, float):
@@ -107,6 +123,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     Verdicts of rules are the labels; URLs without a rule are judged by the trees. Null URLs and those without :// have an
     empty host and path and are judged like others. Repeated rows get equal verdicts; an empty table gives an empty result.
+    Other columns do not matter, whatever their names.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     rows = rows.withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules))

@@ -87,13 +87,19 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_
 
     Of rows with equal payloads of at least revisit_from bytes, that with the largest id is a response and the others are
     revisits of it. Null bodies are empty. Rows that repeat the largest id are responses too; a null id counts as least.
-    Null urls are written as empty targets.
+    Null urls are written as empty targets. An empty table gives no archive. Other columns do not matter, whatever their names.
+
+    Who revisits whom is found on digests and ids alone. Rows meet their verdicts by digest, id and url, so the copies of one
+    payload are dealt over all tasks.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("body"))
-    rows = rows.withColumn("sha1", F.sha1(F.encode("body", "utf-8")))
-    groups = rows.where(F.octet_length("body") >= revisit_from).groupBy("sha1").agg(F.max("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(groups, "sha1", "left")
-    refers = F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id"))
+    rows = rows.withColumn("sha1", F.sha1(F.encode("body", "utf-8"))).withColumn("at", F.xxhash64("url"))
+    thin = rows.where(F.octet_length("body") >= revisit_from).select("sha1", "id", "at")
+    groups = thin.groupBy("sha1").agg(F.max("id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").select("sha1", "first_id")
+    revisits = thin.join(groups, "sha1").where(~F.col("id").eqNullSafe(F.col("first_id"))).distinct()
+    revisits = revisits.select(F.col("sha1").alias("r_sha1"), F.col("id").alias("r_id"), F.col("at").alias("r_at"), "first_id")
+    rows = rows.join(revisits, (F.col("sha1") == F.col("r_sha1")) & F.col("id").eqNullSafe(F.col("r_id")) & (F.col("at") == F.col("r_at")), "left")
+    refers = F.col("first_id")
     folder = scratch(pages.sparkSession, "warc")
 
     def put(batches):
@@ -148,4 +154,6 @@ def read(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return archives.select("path").mapInArrow(take, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    # an archive a task
+    dealt = archives.select("path").repartition(max(1, archives.count()), "path")
+    return dealt.mapInArrow(take, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
