@@ -40,16 +40,50 @@ def folder(tmp_path):
 
 
 def test_adjacency_claims_once(spark, folder):
-    rows = {r["request_uuid"]: r for r in capture.read(spark, folder).collect()}
+    made = pairing.adjacent(capture.requests(spark, folder), capture.responses(spark, folder).withColumnsRenamed({"mtime": "response_mtime", "model": "response_model"}))
+    assert {r["uuid"]: r["message_id"] for r in made.collect() if r["message_id"]} == {"r1": "msg_1", "r2": "msg_2"}
+
+
+def test_read(spark, folder):
+    rows = {r["request_uuid"]: r for r in capture.read(spark, folder, bodies=True).collect()}
     assert set(rows) == {"r1", "r2", "r3", "side", "rival", "rival2", "late"}
-    assert {u: r["message_id"] for u, r in rows.items() if r["message_id"]} == {"r1": "msg_1", "r2": "msg_2"}
+    # the last request of the first chain takes the free response of its model by time
+    assert {u: r["message_id"] for u, r in rows.items() if r["message_id"]} == {"r1": "msg_1", "r2": "msg_2", "side": "msg_3"}
     assert (rows["r1"]["request_id"], rows["r1"]["status"], rows["r1"]["input_tokens"]) == ("q1", "200", 3)
     assert (rows["r3"]["request_id"], rows["r3"]["status"], rows["r3"]["input_tokens"]) == ("r3", "", 0)
-    assert rows["rival"]["principal"] == "acc" and rows["rival"]["session_id"] == "s2"
-    assert rows["r1"]["thread_id"] == rows["r3"]["thread_id"] != rows["side"]["thread_id"]
+    assert rows["rival"]["principal"] == "acc" and rows["rival"]["session_id"] == "s2" and rows["rival"]["extra"] == {"session_id": "s2"}
+    assert rows["r1"]["thread_id"] == rows["r3"]["thread_id"] == "r1" and rows["side"]["thread_id"] == "side"
+    assert json.loads(rows["r1"]["input_body"])["model"] == "m" and json.loads(rows["r1"]["output_body"])["id"] == "msg_1" and rows["r3"]["output_body"] is None
+    assert rows["rival2"]["message_id"] == "" and rows["late"]["message_id"] == ""
 
 
 def test_window_and_unclaimed(spark, folder):
     assert "late" not in {r["request_uuid"] for r in capture.read(spark, folder, "2024-01-15", "2024-01-15").collect()}
     left = pairing.unclaimed(capture.read(spark, folder), capture.responses(spark, folder))
-    assert [r["message_id"] for r in left.collect()] == ["msg_3"]
+    assert left.collect() == []
+
+
+SECOND = 1_000_000
+
+
+def paired(spark, requests, responses):
+    """requests: (uuid, session, chain, messages, second, prev, model); responses: (message, second, model)."""
+    asked = spark.createDataFrame([(u, s, c, n, at * SECOND, p, m) for u, s, c, n, at, p, m in requests], "uuid string, session_id string, chain string, num_messages int, mtime long, prev_id string, model string")
+    given = spark.createDataFrame([(m, at * SECOND, x) for m, at, x in responses], "message_id string, mtime long, model string")
+    return {r.uuid: (r.thread_id, r.message_id) for r in pairing.threaded(asked, given).collect()}
+
+
+def test_compaction_is_stitched(spark):
+    """A chain whose root names the answer of another chain continues its thread, over several steps, whoever has the answer."""
+    requests = [("a1", "s", "A", 1, 10, "", "m"), ("a2", "s", "A", 3, 20, "x1", "m"), ("b1", "s", "B", 1, 40, "x2", "m"), ("b2", "s", "B", 3, 50, "y1", "m"), ("c1", "s", "C", 1, 70, "y2", "m"), ("side", "s", "D", 1, 15, "", "n"), ("other", "t", "A", 1, 41, "x2", "m")]
+    responses = [("x1", 15, "m"), ("x2", 30, "m"), ("y1", 45, "m"), ("y2", 60, "m"), ("z", 80, "m"), ("d", 16, "n")]
+    got = paired(spark, requests, responses)
+    assert got == {"a1": ("a1", "x1"), "a2": ("a1", "x2"), "b1": ("a1", "y1"), "b2": ("a1", "y2"), "c1": ("a1", ""), "side": ("side", "d"), "other": ("other", "z")}
+
+
+def test_time_matches_first_come_first_served(spark):
+    requests = [(f"r{i}", f"s{i}", "A", 1, at, "", m) for i, (at, m) in enumerate([(10, "m"), (11, "m"), (12, ""), (13, "n"), (5000, "m")])]
+    responses = [("p1", 9, "m"), ("p2", 14, "n"), ("p3", 15, "m"), ("p4", 16, ""), ("p5", 700, "m"), ("p6", 5601, "m")]
+    assert {u: m for u, (_, m) in paired(spark, requests, responses).items()} == {"r0": "p3", "r1": "p4", "r2": "p2", "r3": "", "r4": ""}
+    assert {u: m for u, (_, m) in paired(spark, requests[3:4] + requests[1:2], [("k1", 20, "m"), ("k2", 21, "n")]).items()} == {"r3": "k2", "r1": "k1"}
+    assert paired(spark, [], responses) == {} and paired(spark, requests[:1], []) == {"r0": ("r0", "")}

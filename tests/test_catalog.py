@@ -5,7 +5,7 @@ import pytest
 
 from tracewell.plans import catalog
 
-TABLES = ("events", "conversations", "orders", "lineitem", "documents", "pages")
+TABLES = ("events", "conversations", "customer", "documents", "pages")
 
 
 def plain(value):

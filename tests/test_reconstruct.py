@@ -18,7 +18,7 @@ def body(*messages, **more):
 
 ASK = message("user", "hi")
 CALL = message("assistant", [{"type": "text", "text": "look"}, {"type": "tool_use", "id": "t1", "name": "read", "input": {"b": 1.5, "a": [2]}}])
-RESULT = message("user", [{"type": "tool_result", "tool_use_id": "t1", "is_error": True, "content": [{"type": "text", "text": "x"}, {"type": "text", "text": "y"}]}, {"type": "image", "source": {"type": "base64", "media_type": "image/png", "data": "aGVsbG8="}}, {"type": "odd", "content": {"k": 1}}])
+RESULT = message("user", [{"type": "tool_result", "tool_use_id": "t1", "is_error": True, "content": [{"type": "text", "text": "x"}, {"type": "text", "text": "y"}]}, {"type": "image", "source": {"type": "base64", "media_type": "image/png", "data": "dHJhY2U="}}, {"type": "odd", "content": {"k": 1}}])
 STREAM = [
     {"type": "message_start", "message": {"usage": {"cache_read_input_tokens": 7}}},
     {"type": "content_block_delta", "index": 0, "delta": {"type": "text_delta", "text": "lost"}},
@@ -51,7 +51,7 @@ def turns(spark):
 
 def test_turns(turns):
     _, got = turns
-    assert set(got) == {("s", "", i) for i in range(4)} | {("s", "b", i) for i in range(3)} | {("null answer", "", 0)}
+    assert set(got) == {("s", "", i) for i in range(4)} | {("s", "b", i) for i in range(3)} | {("null answer", "", 0), ("o", "", 0)}
     roles = [got["s", "", i].role for i in range(4)]
     assert roles == ["user", "assistant", "user", "assistant"] and got["s", "", 1].text == "look"
     assert json.loads(got["s", "", 1].blocks)[1] == {"type": "tool_use", "tool_id": "t1", "tool_name": "read", "tool_input": '{"a":[2],"b":1.5}'}

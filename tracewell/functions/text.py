@@ -28,8 +28,9 @@ def stable_id(session_id: Column, *parts: Column) -> Column:
 
 
 def sanitize_filename(x: Column) -> Column:
-    """Separators and parent steps become underscores."""
-    return F.replace(F.translate(_text(x), "/\\:", "___"), F.lit(".."), F.lit("__"))
+    """One flat file name: separators and parent steps become underscores; a name that is empty or a dot is 16 hex digits of its SHA-256."""
+    clean = F.replace(F.translate(_text(x), "/\\:", "___"), F.lit(".."), F.lit("__"))
+    return F.when(clean.isin("", "."), F.substring(F.sha2(_text(x), 256), 1, 16)).otherwise(clean)
 
 
 def short_model(x: Column) -> Column:
@@ -65,4 +66,29 @@ def duration_label(ms: Column) -> Column:
 
 
 def truncated(x: Column, n: int) -> Column:
+    """The first n characters and three dots of a longer string."""
     return F.when(F.length(_text(x)) > n, F.concat(F.left(x, F.lit(n)), F.lit("..."))).otherwise(_text(x))
+
+
+def short_session(x: Column) -> Column:
+    """The first eight characters."""
+    return F.left(_text(x), F.lit(8))
+
+
+def grouped_digits(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+#: Bytes of a body that are shown inline.
+PREVIEW = 32 * 1024
+
+
+def preview(x: Column, limit: int = PREVIEW) -> Column:
+    """x, or its longest whole-character prefix of at most limit bytes with a note of both sizes."""
+    raw = F.encode(_text(x), "utf-8")
+    # a character's later bytes have 10 as their top bits; there are three of them at most
+    begins = lambda at: ~F.substring(F.hex(F.substring(raw, at + 1, 1)), 1, 1).isin("8", "9", "A", "B")
+    cut = F.coalesce(*(F.when(begins(limit - back), F.lit(limit - back)) for back in range(4)))
+    note = F.format_string("\n\n… truncated (%d of %d bytes shown; the raw body has all)", cut, F.octet_length(x))
+    return F.when(F.octet_length(_text(x)) <= limit, _text(x)).otherwise(F.concat(F.decode(F.substring(raw, F.lit(1), cut), "utf-8"), note))

@@ -1,10 +1,25 @@
-"""Requests and the responses they were answered with."""
+"""Requests and the responses they were answered with: by the ids that later requests name, else by time.
+
+All of it runs on metadata; bodies never enter. Requests have session_id, chain, num_messages, mtime, uuid, model and
+prev_id, responses message_id, mtime and model.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A request without a later one is answered within this many microseconds.
+WINDOW = 10 * 60 * 1_000_000
+
+
+def named(requests: DataFrame) -> DataFrame:
+    """requests with place (from 1) in their chain, root_mtime and root_uuid of its first, and named: the prev_id of the next."""
+    chain = Window.partitionBy("session_id", "chain").orderBy("num_messages", "mtime", "uuid")
+    root = lambda c: F.first(c).over(chain).alias(f"root_{c}")
+    return requests.select("*", F.lead("prev_id").over(chain).alias("named"), F.row_number().over(chain).alias("place"), root("mtime"), root("uuid"))
+
 
 def adjacent(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """requests with message_id and the other columns of responses: the response that the next request of the chain names.
@@ -13,15 +28,100 @@ def adjacent(requests: DataFrame, responses: DataFrame) -> DataFrame:
     i + 1's prev_id, whatever its model. A response goes to one request: by session, then chain root, then position.
     Unpaired requests have an empty message_id. The windows run over metadata of one chain, never over bodies.
     """
-    chain = Window.partitionBy("session_id", "chain").orderBy("num_messages", "mtime", "uuid")
-    root = lambda c: F.first(c).over(chain).alias(f"root_{c}")
-    rows = requests.select("*", F.lead("prev_id").over(chain).alias("named"), F.row_number().over(chain).alias("place"), root("mtime"), root("uuid"))
-    claims = rows.where("named <> ''").join(responses.select(F.col("message_id").alias("named")), "named")
-    first = claims.groupBy("named").agg(F.min_by("uuid", F.struct("session_id", "root_mtime", "root_uuid", "place")).alias("uuid"))
-    won = first.withColumnRenamed("named", "message_id").join(responses, "message_id")
-    return requests.join(won, "uuid", "left").withColumn("message_id", F.coalesce("message_id", F.lit("")))
+    return requests.join(_won(requests, responses).withColumnRenamed("named", "message_id").join(responses, "message_id"), "uuid", "left").withColumn("message_id", F.coalesce("message_id", F.lit("")))
+
+
+def _won(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """(named, uuid): the request that each named response goes to."""
+    claims = named(requests).where("named <> ''").join(responses.select(F.col("message_id").alias("named")), "named")
+    return claims.groupBy("named").agg(F.min_by("uuid", F.struct("session_id", "root_mtime", "root_uuid", "place")).alias("uuid"))
 
 
 def unclaimed(paired: DataFrame, responses: DataFrame) -> DataFrame:
     """Responses that no request has."""
     return responses.join(paired.where("message_id <> ''").select("message_id"), "message_id", "left_anti")
+
+
+def _stitch(chains: pd.DataFrame) -> pd.DataFrame:
+    """thread_id of each chain of a session, and the request at its end that a continuation's root names the answer of."""
+    chains = chains.sort_values(["root_mtime", "root_uuid"]).reset_index(drop=True)
+    at = {c: i for i, c in enumerate(chains["chain"])}
+    rows = chains.to_dict("records")
+    root, claimed = list(range(len(rows))), {}
+    for i, c in enumerate(rows):
+        if not c["root_prev"]:
+            continue
+        owner = at.get(c["owner_chain"]) if isinstance(c["owner_chain"], str) else claimed.get(c["root_prev"], (None,))[0]
+        if owner is None and c["free_mtime"] == c["free_mtime"] and c["free_mtime"] is not None:
+            fits = [j for j, t in enumerate(rows[:i]) if t["tip_free"] and t["tip_mtime"] <= c["free_mtime"] and (not t["tip_model"] or not c["free_model"] or t["tip_model"] == c["free_model"])]
+            if fits:
+                owner = max(fits, key=lambda j: (rows[j]["tip_mtime"], -j))
+                rows[owner]["tip_free"] = False
+                claimed[c["root_prev"]] = (owner, rows[owner]["tip_uuid"])
+        if owner is not None and owner != i:
+            root[i] = root[owner]
+    answers = {uuid: message for message, (_, uuid) in claimed.items()}
+    return pd.DataFrame({"session_id": [c["session_id"] for c in rows], "chain": [c["chain"] for c in rows], "thread_id": [rows[r]["root_uuid"] for r in root], "tip_uuid": [c["tip_uuid"] for c in rows], "message_id": [answers.get(c["tip_uuid"]) for c in rows]})
+
+
+def _claim(rows: pd.DataFrame) -> pd.DataFrame:
+    """Requests of a stretch of time, in order, each with the first response of its model that is free and within WINDOW."""
+    asked = rows[rows["message_id"].isna()].sort_values(["mtime", "uuid"])
+    free = rows[rows["uuid"].isna()].sort_values(["mtime", "message_id"])[["mtime", "model", "message_id"]].values.tolist()
+    out, first, taken = [], 0, set()
+    for at, model, uuid in asked[["mtime", "model", "uuid"]].values.tolist():
+        while first < len(free) and (free[first][0] < at or first in taken):
+            first += 1
+        for k in range(first, len(free)):
+            if free[k][0] > at + WINDOW:
+                break
+            if k not in taken and (not model or not free[k][1] or model == free[k][1]):
+                taken.add(k)
+                out.append((uuid, free[k][2]))
+                break
+    return pd.DataFrame(out, columns=["uuid", "message_id"]).astype({"uuid": str, "message_id": str})
+
+
+def by_time(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """(uuid, message_id): requests (uuid, mtime, model), earliest first, each with the earliest free response of its model.
+
+    A response may follow its request by WINDOW at most; an empty model fits any. Time is cut where a whole slot of WINDOW
+    is empty, since no pair crosses it, and by model where all models are known; a stretch is one group of metadata rows.
+    """
+    both = requests.select("mtime", "model", "uuid", F.lit(None).cast("string").alias("message_id")).unionByName(responses.select("mtime", "model", F.lit(None).cast("string").alias("uuid"), "message_id"))
+    both = both.withColumn("slot", F.floor(F.col("mtime") / WINDOW))
+    # one row per slot of ten minutes
+    slots = both.groupBy("slot").agg(F.max(F.col("model") == "").alias("open"))
+    order = Window.orderBy("slot")
+    slots = slots.withColumn("new", F.when(F.col("slot") - F.lag("slot").over(order) > 1, 1).otherwise(0)).withColumn("stretch", F.sum("new").over(order))
+    slots = slots.withColumn("open", F.max("open").over(Window.partitionBy("stretch")))
+    both = both.join(slots.select("slot", "stretch", "open"), "slot").withColumn("kind", F.when(F.col("open"), "").otherwise(F.col("model")))
+    return both.groupBy("stretch", "kind").applyInPandas(lambda pdf: _claim(pdf[["mtime", "model", "uuid", "message_id"]]), "uuid string, message_id string")
+
+
+def threaded(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """requests with thread_id, message_id and the other columns of responses (empty and null where unpaired).
+
+    First chain adjacency. Then a chain whose root names a response of another chain of its session continues that chain's
+    thread; if nobody has that response, it also goes to the latest request before it that ends a chain and fits its time
+    and model. Threads are named by the first request of the first chain. Last, requests that end a chain and are
+    still unpaired take responses by time. Rows of chains, not of requests, are grouped by session for the second step.
+    """
+    won = _won(requests, responses)
+    placed = named(requests).join(won.select("uuid", F.col("named").alias("message_id")), "uuid", "left")
+    tip = F.max_by(F.struct("uuid", "mtime", "model", F.col("message_id").isNull().alias("free")), "place").alias("tip")
+    chains = placed.groupBy("session_id", "chain").agg(F.min("root_mtime").alias("root_mtime"), F.min("root_uuid").alias("root_uuid"), F.min_by("prev_id", "place").alias("root_prev"), tip)
+    owners = placed.where("message_id is not null").select("session_id", F.col("message_id").alias("root_prev"), F.col("chain").alias("owner_chain"))
+    open_ = responses.select(F.col("message_id").alias("root_prev"), F.col("mtime").alias("free_mtime"), F.col("model").alias("free_model")).join(won.select(F.col("named").alias("root_prev")), "root_prev", "left_anti")
+    chains = chains.join(owners, ["session_id", "root_prev"], "left").join(open_, "root_prev", "left")
+    chains = chains.select("session_id", "chain", "root_mtime", "root_uuid", "root_prev", "owner_chain", "free_mtime", "free_model", F.col("tip.uuid").alias("tip_uuid"), F.col("tip.mtime").alias("tip_mtime"), F.col("tip.model").alias("tip_model"), F.col("tip.free").alias("tip_free"))
+    made = chains.groupBy("session_id").applyInPandas(_stitch, "session_id string, chain string, thread_id string, tip_uuid string, message_id string")
+    # a response that two sessions' continuations name goes to one
+    stitched = made.where("message_id is not null").groupBy("message_id").agg(F.min_by("tip_uuid", F.struct("session_id", "tip_uuid")).alias("uuid"))
+    known = won.select("uuid", F.col("named").alias("message_id")).unionByName(stitched.select("uuid", "message_id"))
+    ends = chains.where("tip_free").select(F.col("tip_uuid").alias("uuid"), F.col("tip_mtime").alias("mtime"), F.col("tip_model").alias("model")).join(stitched.select("uuid"), "uuid", "left_anti")
+    free = responses.select("message_id", "mtime", "model").join(known.select("message_id"), "message_id", "left_anti")
+    known = known.unionByName(by_time(ends, free))
+    threads = made.select("session_id", "chain", "thread_id")
+    answers = responses.withColumnsRenamed({"mtime": "response_mtime", "model": "response_model"})
+    return requests.join(threads, ["session_id", "chain"]).join(known.join(answers, "message_id"), "uuid", "left").withColumn("message_id", F.coalesce("message_id", F.lit("")))

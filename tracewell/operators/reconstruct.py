@@ -1,8 +1,8 @@
-"""Conversations from Messages API bodies: system prompt, tools and turns of every thread, with the metrics of each turn.
+"""Conversations from bodies: system prompt, tools and turns of every thread, with the metrics of each turn.
 
-A later request of a thread holds the earlier ones, so only the fullest request of a thread is taken apart, and only one
-body per map task and thread is shuffled to find it. Metrics come from every invocation and meet turns by position: a
-request of N messages was answered by turn N.
+A later request of a thread holds the earlier ones, so only the fullest request of a thread is taken apart. It is chosen on
+counts alone, for which no content is decoded, and only then are bodies read. Metrics come from every invocation and meet
+turns by position: a request of N messages was answered by turn N.
 """
 
 from __future__ import annotations
@@ -10,187 +10,115 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions import text
-from tracewell.functions.envelopes import family, valid_json
+from tracewell.functions.envelopes import family
+from tracewell.operators import blocks as b
+from tracewell.operators import chat_completions, generate_content, messages_api
 
 #: What tells session conversations apart; conversations without a session id are not reconstructed.
 KEY = ("day", "provider", "session_id")
-REQUEST = "system variant, messages array<struct<role: string, content: variant>>, tools array<struct<name: string, description: string, input_schema: variant>>, broken string"
-REPLY = "role string, content variant, stop_reason string, usage struct<cache_read_input_tokens: bigint, cache_creation_input_tokens: bigint>, broken string"
-CHUNKS = """array<struct<type: string, index: int, content_block: struct<type: string, id: string, name: string>,
- delta: struct<type: string, text: string, thinking: string, partial_json: string, stop_reason: string>,
- message: struct<usage: struct<cache_read_input_tokens: bigint, cache_creation_input_tokens: bigint>>,
- `amazon-bedrock-invocationMetrics`: struct<invocationLatency: bigint, firstByteLatency: bigint, cacheReadInputTokenCount: bigint, cacheWriteInputTokenCount: bigint>>>"""
-SENT = """array<struct<type: string, text: string, thinking: string, id: string, name: string, input: variant, tool_use_id: string, content: variant, is_error: boolean,
- source: struct<type: string, media_type: string, data: string, url: string>>>"""
-PARTS = "array<struct<type: string, text: string>>"
-BLOCK = "struct<type: string, text: string, tool_id: string, tool_name: string, tool_input: string, is_error: boolean, result_content: string, mime_type: string, file_uri: string, inline: boolean, byte_size: bigint>"
-MEMBERS = {"text": "string", "tool_id": "string", "tool_name": "string", "tool_input": "string", "is_error": "boolean", "result_content": "string", "mime_type": "string", "file_uri": "string", "inline": "boolean", "byte_size": "bigint"}
 COUNTS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "latency_ms", "first_byte_ms")
+#: The kinds of bodies, by family.
+ENVELOPES = {"anthropic": messages_api, "openai": chat_completions, "gemini": generate_content}
 
 
-def _s(x: Column) -> Column:
-    return F.coalesce(x, F.lit(""))
+def _records(records: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Session records of kinds with kind, their family, and empty thread ids for null."""
+    rows = records.withColumn("thread_id", b.s(F.col("thread_id"))).withColumn("kind", family(F.col("provider"), F.col("model_id")))
+    return rows.where((F.col("session_id") != "") & F.col("kind").isin(*kinds))
 
 
-def _kind(v: Column) -> Column:
-    """STRING, VOID, ARRAY<...>, OBJECT<...> or another type name; null for an absent member."""
-    return F.schema_of_variant(v)
+def _by_kind(make, kinds: tuple[str, ...]) -> Column:
+    """make(envelope) of a row's kind; plain where there is one kind, for a smaller plan."""
+    out = make(ENVELOPES[kinds[0]])
+    for kind in kinds[1:]:
+        out = F.when(F.col("kind") == kind, make(ENVELOPES[kind])).otherwise(out)
+    return out
 
 
-def _block(kind: Column | str, **members: Column) -> Column:
-    """A BLOCK with the members given; empty and false ones are null, so JSON text leaves them out."""
-    set_ = {m: F.nullif(x, F.lit("")) if MEMBERS[m] == "string" else x for m, x in members.items()}
-    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("type"), *(set_.get(m, F.lit(None)).cast(t).alias(m) for m, t in MEMBERS.items()))
-
-
-def _true(x: Column) -> Column:
-    return F.when(x, F.lit(True))
-
-
-def _joined_text(v: Column, mark: str) -> Column:
-    """A string, the non-empty texts of an array's parts joined by mark, or the JSON text of anything else."""
-    parts = F.filter(F.transform(F.try_variant_get(v, "$", PARTS), lambda p: p["text"]), lambda t: F.length(t) > 0)
-    kind = _kind(v)
-    return F.when(v.isNull() | (kind == "VOID"), "").when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.startswith("ARRAY"), F.array_join(parts, mark)).otherwise(F.to_json(v))
-
-
-def _media(source: Column) -> Column:
-    data, url, kind = _s(source["data"]), _s(source["url"]), _s(source["type"])
-    linked = (kind == "url") | (kind != "base64") & (url != "")
-    inline = (kind == "base64") | (kind != "url") & (url == "") & (data != "")
-    return _block("media", mime_type=_s(source["media_type"]), file_uri=F.when(linked, url), inline=_true(inline), byte_size=F.when(inline, F.nullif(text.base64_length(data).cast("long"), F.lit(0).cast("long"))))
-
-
-def _taken_apart(b: Column) -> Column:
-    kind = _s(b["type"])
-    json = lambda v: F.when(v.isNotNull(), F.to_json(v))
-    return (
-        F.when(kind == "text", _block("text", text=b["text"]))
-        .when(kind == "thinking", _block("thinking", text=b["thinking"]))
-        .when(kind == "tool_use", _block("tool_use", tool_name=b["name"], tool_id=b["id"], tool_input=json(b["input"])))
-        .when(kind == "tool_result", _block("tool_result", tool_id=b["tool_use_id"], result_content=_joined_text(b["content"], "\n"), is_error=_true(b["is_error"])))
-        .when(kind.isin("image", "document"), _media(b["source"]))
-        .otherwise(_block(kind, text=json(b["content"])))
-    )
-
-
-def blocks_of(content: Column) -> Column:
-    """array<BLOCK> of a message's content: a string, an array of blocks, or anything else as its JSON text."""
-    kind, none = _kind(content), F.array().cast(f"array<{BLOCK}>")
-    plain = F.try_variant_get(content, "$", "string")
-    blocks = F.transform(F.try_variant_get(content, "$", SENT), _taken_apart)
-    return (
-        F.when(content.isNull(), F.array(_block("text")))
-        .when(kind == "VOID", none)
-        .when(kind == "STRING", F.when(plain == "", none).otherwise(F.array(_block("text", text=plain))))
-        .when(kind.startswith("ARRAY") & blocks.isNotNull(), blocks)
-        .otherwise(F.array(_block("text", text=F.to_json(content))))
-    )
-
-
-def streamed_blocks(chunks: Column) -> Column:
-    """array<BLOCK> of a streamed reply: per index, the deltas after its last start, joined in order; empty texts are left out."""
-    placed = F.transform(chunks, lambda c, i: F.struct(i.alias("at"), c.alias("c")))
-    starts = F.filter(placed, lambda p: p["c"]["type"] == "content_block_start")
-    indexes = F.array_sort(F.array_distinct(F.transform(starts, lambda p: F.coalesce(p["c"]["index"], F.lit(0)))))
-    of = lambda p, i: F.coalesce(p["c"]["index"], F.lit(0)) == i
-
-    def piece(d: Column) -> Column:
-        return F.when(d["type"] == "text_delta", _s(d["text"])).when(d["type"] == "thinking_delta", _s(d["thinking"])).when(d["type"] == "input_json_delta", _s(d["partial_json"])).otherwise("")
-
-    def assembled(i: Column) -> Column:
-        start = F.element_at(F.filter(starts, lambda p: of(p, i)), -1)
-        deltas = F.filter(placed, lambda p: of(p, i) & (p["at"] > start["at"]) & (p["c"]["type"] == "content_block_delta"))
-        return F.struct(start["c"]["content_block"].alias("b"), F.array_join(F.transform(deltas, lambda p: piece(p["c"]["delta"])), "").alias("s"))
-
-    def block(x: Column) -> Column:
-        # sorted keys where the arguments are JSON, else as they came
-        given = F.when(valid_json(x["s"]), F.to_json(F.try_parse_json(x["s"]))).otherwise(x["s"])
-        return F.when(x["b"]["type"] == "tool_use", _block("tool_use", tool_name=x["b"]["name"], tool_id=x["b"]["id"], tool_input=given)).otherwise(_block(x["b"]["type"], text=x["s"]))
-
-    kept = F.filter(F.transform(indexes, assembled), lambda x: (x["b"]["type"] == "tool_use") | x["b"]["type"].isin("text", "thinking") & (x["s"] != ""))
-    return F.transform(kept, block)
-
-
-def reply_metrics(chunks: Column, reply: Column) -> Column:
-    """struct<stop, latency, first, read, written> of a reply, streamed (chunks) or whole (reply); later chunks overwrite earlier ones."""
-    zero = F.lit(0).cast("long")
-    count = lambda x: F.coalesce(x, zero)
-    make = lambda *v: F.struct(*(x.alias(k) for x, k in zip(v, ("stop", "latency", "first", "read", "written"), strict=True)))
-    none = make(F.lit(""), zero, zero, zero, zero)
-
-    def step(acc: Column, c: Column) -> Column:
-        m, u = c["amazon-bedrock-invocationMetrics"], c["message"]["usage"]
-        more = lambda new, old: F.when(count(new) > 0, new).otherwise(old)
-        return (
-            F.when((c["type"] == "message_delta") & c["delta"].isNotNull(), make(_s(c["delta"]["stop_reason"]), acc["latency"], acc["first"], acc["read"], acc["written"]))
-            .when((c["type"] == "message_stop") & m.isNotNull(), make(acc["stop"], count(m["invocationLatency"]), count(m["firstByteLatency"]), count(m["cacheReadInputTokenCount"]), count(m["cacheWriteInputTokenCount"])))
-            .when(c["type"] == "message_start", make(acc["stop"], acc["latency"], acc["first"], more(u["cache_read_input_tokens"], acc["read"]), more(u["cache_creation_input_tokens"], acc["written"])))
-            .otherwise(acc)
-        )
-
-    streamed = F.aggregate(chunks, none, step, lambda a: F.when((a["stop"] == "") & (a["latency"] == 0), none).otherwise(a))
-    whole = make(_s(reply["stop_reason"]), zero, zero, count(reply["usage"]["cache_read_input_tokens"]), count(reply["usage"]["cache_creation_input_tokens"]))
-    return F.coalesce(F.when(chunks.isNotNull(), streamed), F.when(reply.isNotNull(), whole), none)
-
-
-def _parsed(records: DataFrame) -> DataFrame:
-    """Session records of this envelope with n_in, the messages of a valid request (0 else), and their own metrics."""
-    options = {"columnNameOfCorruptRecord": "broken"}
-    rows = records.where((F.col("session_id") != "") & (family(F.col("provider"), F.col("model_id")) == "anthropic"))
-    req = F.from_json("input_body", REQUEST, options)
-    rows = rows.withColumn("req", F.when(F.ltrim("input_body").startswith("{"), req))
-    rows = rows.withColumn("n_in", F.when(F.col("req").isNotNull() & F.col("req.broken").isNull(), F.coalesce(F.size("req.messages"), F.lit(0))).otherwise(0)).drop("req")
-    rows = rows.withColumn("chunks", F.when(F.ltrim("output_body").startswith("["), F.from_json("output_body", CHUNKS))).withColumn("reply", _reply())
+def _count(kinds: tuple[str, ...]) -> Column:
+    """struct<n_in, turn_index> of input_body."""
+    return _by_kind(lambda e: F.struct(*(x.alias(c) for x, c in zip(e.counted(b.object_of(F.col("input_body"), e.THIN)), ("n_in", "turn_index"), strict=True))), kinds)
+
+
+def _counted(records: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(KEY, thread_id, kind, ts, n, n_in: messages of a valid request or 0, turn_index: the place of its answer)."""
+    return _records(records, kinds).withColumn("c", _count(kinds)).select(*KEY, "thread_id", "kind", "ts", "n", F.coalesce("c.n_in", F.lit(0)).alias("n_in"), F.coalesce("c.turn_index", F.lit(0)).alias("turn_index"))
+
+
+def _metrics(rows: DataFrame) -> Column:
+    """The metrics of an invocation, from its record and its reply."""
     m = F.col("m")
-    rows = rows.withColumn("m", reply_metrics(F.col("chunks"), F.col("reply"))).drop("chunks", "reply")
     larger = lambda new, old: F.when(new > 0, new).otherwise(F.col(old)).alias(old)
-    metrics = F.struct("ts", "request_id", "model_id", "input_tokens", "output_tokens", larger(m["read"], "cache_read_tokens"), larger(m["written"], "cache_write_tokens"), m["latency"].alias("latency_ms"), m["first"].alias("first_byte_ms"), m["stop"].alias("stop_reason"))
-    return rows.select(*KEY, "thread_id", "ts", "n", "n_in", "input_body", "output_body", metrics.alias("metrics"))
+    # the record's own latency counts where replies carry none
+    latency = F.col("latency_ms") if "latency_ms" in rows.columns else F.lit(0).cast("long")
+    return F.struct("ts", "request_id", "model_id", larger(m["asked"], "input_tokens"), larger(m["answered"], "output_tokens"), larger(m["read"], "cache_read_tokens"), larger(m["written"], "cache_write_tokens"), F.when(F.col("kind") == "anthropic", m["latency"]).otherwise(F.coalesce(latency, F.lit(0))).cast("long").alias("latency_ms"), m["first"].alias("first_byte_ms"), m["stop"].alias("stop_reason"))
 
 
-def _reply() -> Column:
-    reply = F.from_json("output_body", REPLY, {"columnNameOfCorruptRecord": "broken"})
-    return F.when(F.ltrim("output_body").startswith("{"), F.when(reply["broken"].isNull(), reply))
+def _measured(records: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """records with m, what their replies tell, and metrics."""
+    rows = _records(records, kinds).withColumn("m", _by_kind(lambda e: e.metrics(F.col("output_body")), kinds))
+    return rows.withColumn("metrics", _metrics(rows))
 
 
-def threads(records: DataFrame) -> DataFrame:
-    """(KEY, thread_id, is_main, system_prompt, tools, messages, reply_blocks, reply_role, metrics) of every thread that can be taken apart.
+def chosen(counted: DataFrame) -> DataFrame:
+    """(KEY, thread_id, n, is_main) of the fullest request of every thread, of counted (KEY, thread_id, ts, n, n_in).
 
-    The fullest valid request of a thread is used, of equals the earliest (ts, then n). The main thread starts first, then
-    has more records, then the smaller id; if it cannot be taken apart, neither is the conversation. Null ids count as empty.
+    Of equals the earliest counts (ts, then n). The main thread starts first, then has more records, then the smaller id;
+    if it has no valid request (n_in = 0), its conversation has no threads.
     """
-    rows = _parsed(records.withColumn("thread_id", _s(F.col("thread_id"))))
-    best = F.max_by(F.struct("input_body", "output_body", "metrics"), F.when(F.col("n_in") > 0, F.struct("n_in", -F.coalesce("ts", F.lit(0)), -F.col("n").cast("decimal(20,0)")))).alias("best")
-    found = rows.groupBy(*KEY, "thread_id").agg(best, F.min("ts").alias("start"), F.count("*").alias("records"))
+    best = F.max(F.when(F.col("n_in") > 0, F.struct("n_in", -F.coalesce("ts", F.lit(0)), -F.col("n").cast("decimal(20,0)"), "n"))).alias("best")
+    found = counted.groupBy(*KEY, "thread_id").agg(best, F.min("ts").alias("start"), F.count("*").alias("records"))
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy("start", F.col("records").desc(), "thread_id"))
-    first = found.select(*KEY, "thread_id", "start", "records", F.col("best").isNotNull().alias("valid")).withColumn("place", place)
-    main = first.where("place = 1 and valid").select(*KEY, F.col("thread_id").alias("main"))
-    found = found.where("best is not null").join(main, [*KEY]).select(*KEY, "thread_id", (F.col("thread_id") == F.col("main")).alias("is_main"), "best.*")
-    found = found.withColumn("req", F.from_json("input_body", REQUEST, {"columnNameOfCorruptRecord": "broken"})).withColumn("chunks", F.when(F.ltrim("output_body").startswith("["), F.from_json("output_body", CHUNKS))).withColumn("reply", _reply())
-    streamed = F.when(F.size("chunks") > 0, streamed_blocks(F.col("chunks")))
-    whole = F.when(F.length("reply.role") > 0, blocks_of(F.col("reply.content")))
-    tools = F.transform("req.tools", lambda t: F.struct(_s(t["name"]).alias("name"), _s(t["description"]).alias("description"), F.when(t["input_schema"].isNotNull(), F.to_json(t["input_schema"])).alias("input_schema")))
-    return found.select(*KEY, "thread_id", "is_main", _joined_text(F.col("req.system"), "\n\n").alias("system_prompt"), tools.alias("tools"), F.col("req.messages").alias("messages"), F.coalesce(streamed, whole).alias("reply_blocks"), F.when(streamed.isNotNull(), "assistant").otherwise(F.col("reply.role")).alias("reply_role"), "metrics")
+    first = found.select(*KEY, "thread_id", F.col("best.n").alias("n"), F.col("best").isNotNull().alias("valid"), place.alias("place"))
+    # whether the main thread is valid, told to all threads of the conversation
+    led = first.withColumn("led", F.max(F.when(F.col("place") == 1, F.col("valid"))).over(Window.partitionBy(*KEY)))
+    return led.where("valid and led").select(*KEY, "thread_id", "n", (F.col("place") == 1).alias("is_main"))
+
+
+def threads(records: DataFrame, kinds: tuple[str, ...] = tuple(ENVELOPES)) -> DataFrame:
+    """(KEY, thread_id, is_main, system_prompt, tools, turns, reply, metrics) of every thread that can be taken apart.
+
+    The fullest valid request of a thread is used (see chosen). Null ids count as empty. Records of other kinds than kinds
+    are left out.
+    """
+    picked = chosen(_counted(records, kinds))
+    picked = picked.select(*(F.col(c).alias(f"c_{c}") for c in (*KEY, "thread_id", "n")), "is_main")
+    rows = _measured(records, kinds)
+    on = [F.col(c) == F.col(f"c_{c}") for c in (*KEY, "thread_id", "n")]
+    rows = rows.join(picked, on[0] & on[1] & on[2] & on[3] & on[4])
+    rows = rows.withColumn("asked", _by_kind(lambda e: e.request(F.col("input_body")), kinds)).withColumn("reply", _by_kind(lambda e: e.reply(F.col("output_body")), kinds))
+    return rows.where("asked is not null").select(*KEY, "thread_id", "is_main", F.col("asked.system").alias("system_prompt"), F.col("asked.tools").alias("tools"), F.col("asked.turns").alias("turns"), "reply", "metrics")
 
 
-def turns(records: DataFrame) -> DataFrame:
+def turns(records: DataFrame, kinds: tuple[str, ...] = tuple(ENVELOPES)) -> DataFrame:
     """A row per turn: KEY, thread_id (empty for the main thread), turn_index, role, text, blocks (JSON text) and metrics.
 
     records have the columns of the readers (KEY, thread_id, ts, n, request_id, model_id, token counts, bodies). An answer
     without blocks makes no turn. Metrics of earlier turns are those of the first invocation with as many messages, on
     assistant turns only; turns without any have zeros and empty strings.
     """
-    known = threads(records)
-    sent = known.select(*KEY, "thread_id", "is_main", F.posexplode("messages").alias("turn_index", "m")).select(*KEY, "thread_id", "is_main", "turn_index", _s(F.col("m.role")).alias("role"), blocks_of(F.col("m.content")).alias("blocks"), F.lit(None).alias("own"))
-    reply = known.where(F.size("reply_blocks") > 0).select(*KEY, "thread_id", "is_main", F.size("messages").alias("turn_index"), F.col("reply_role").alias("role"), F.col("reply_blocks").alias("blocks"), F.col("metrics").alias("own"))
-    made = _parsed(records.withColumn("thread_id", _s(F.col("thread_id")))).where("n_in > 0").groupBy(*KEY, "thread_id", F.col("n_in").alias("turn_index")).agg(F.min_by("metrics", F.struct("ts", "n")).alias("found"))
+    known = threads(records, kinds)
+    sent = known.select(*KEY, "thread_id", "is_main", F.posexplode("turns").alias("turn_index", "t"), F.lit(None).alias("own"))
+    reply = known.where(F.size("reply.blocks") > 0).select(*KEY, "thread_id", "is_main", F.size("turns").alias("turn_index"), F.col("reply").alias("t"), F.col("metrics").alias("own"))
+    claims = _measured(records, kinds).withColumn("c", _count(kinds))
+    made = claims.where("c.n_in > 0").groupBy(*KEY, "thread_id", F.col("c.turn_index").alias("turn_index")).agg(F.min_by("metrics", F.struct("ts", "n")).alias("found"))
     rows = sent.unionByName(reply).join(made, [*KEY, "thread_id", "turn_index"], "left")
-    m = F.coalesce("own", F.when(F.col("role") == "assistant", F.col("found")))
-    texts = F.filter(F.transform("blocks", lambda b: F.when(b["type"] == "text", b["text"])), lambda t: F.length(t) > 0)
-    rows = rows.withColumn("m", m)
+    rows = rows.withColumn("m", F.coalesce("own", F.when(F.col("t.role") == "assistant", F.col("found")))).withColumn("blocks", F.col("t.blocks"))
+    texts = F.filter(F.transform("blocks", lambda x: F.when(x["type"] == "text", x["text"])), lambda t: F.length(t) > 0)
     return rows.select(
-        *KEY, F.when(F.col("is_main"), "").otherwise(F.col("thread_id")).alias("thread_id"), "turn_index", "role", F.array_join(texts, "\n\n").alias("text"), F.to_json("blocks").alias("blocks"), F.col("m").isNotNull().alias("has_metrics"), F.coalesce("m.ts", F.lit(0).cast("long")).alias("ts"),
-        _s(F.col("m.request_id")).alias("request_id"), _s(F.col("m.model_id")).alias("model_id"), *(F.coalesce(f"m.{c}", F.lit(0).cast("long")).alias(c) for c in COUNTS), _s(F.col("m.stop_reason")).alias("stop_reason"),
+        *KEY, F.when(F.col("is_main"), "").otherwise(F.col("thread_id")).alias("thread_id"), "turn_index", F.col("t.role").alias("role"), F.array_join(texts, "\n\n").alias("text"), F.to_json("blocks").alias("blocks"), F.col("m").isNotNull().alias("has_metrics"), F.coalesce("m.ts", F.lit(0).cast("long")).alias("ts"),
+        b.s(F.col("m.request_id")).alias("request_id"), b.s(F.col("m.model_id")).alias("model_id"), *(F.coalesce(f"m.{c}", F.lit(0).cast("long")).alias(c) for c in COUNTS), b.s(F.col("m.stop_reason")).alias("stop_reason"),
     )
+
+
+def tool_calls(turns: DataFrame) -> DataFrame:
+    """(conversation key, thread_id, tool_id, tool_name, tool_input, called_at, answered_at, result, is_error) of every call of turns.
+
+    A call meets the first result with its id in its thread; calls without one have nulls there.
+    """
+    block = F.from_json("blocks", f"array<{b.BLOCK}>")
+    each = turns.select(*KEY, "thread_id", "turn_index", F.explode(block).alias("x"))
+    calls = each.where("x.type = 'tool_use'").select(*KEY, "thread_id", b.s(F.col("x.tool_id")).alias("tool_id"), b.s(F.col("x.tool_name")).alias("tool_name"), b.s(F.col("x.tool_input")).alias("tool_input"), F.col("turn_index").alias("called_at"))
+    results = each.where("x.type = 'tool_result' and x.tool_id <> ''").groupBy(*KEY, "thread_id", F.col("x.tool_id").alias("tool_id"))
+    first = F.min_by(F.struct("turn_index", b.s(F.col("x.result_content")).alias("result"), F.coalesce("x.is_error", F.lit(False)).alias("is_error")), "turn_index").alias("r")
+    return calls.join(results.agg(first), [*KEY, "thread_id", "tool_id"], "left").select(*calls.columns, F.col("r.turn_index").alias("answered_at"), "r.result", "r.is_error")

@@ -34,7 +34,7 @@ def conversations(facts: DataFrame, gap: int = GAP) -> DataFrame:
     """A row per conversation: counts, token sums, errors, span, and the first call's model and principal."""
     first = lambda c: F.min_by(c, F.struct("ts", "n")).alias(c)
     return keyed(facts, gap).groupBy(*KEY).agg(
-        F.count("*").alias("invocations"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cache_read_tokens").alias("cache_read_tokens"), F.count_if(F.col("error_code") != "").alias("errors"),
+        F.count("*").alias("invocations"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cache_read_tokens").alias("cache_read_tokens"), F.sum("cache_write_tokens").alias("cache_write_tokens"), F.count_if(F.col("error_code") != "").alias("errors"),
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), first("session_id"), first("model_id"), first("principal"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
@@ -27,7 +27,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.date_format("ts", "yyyyMMdd").alias("day"), F.col("event_id").alias("n"), F.col("event_id").cast("string").alias("request_id"), F.col("user_id").cast("string").alias("principal"), F.col("event_type").alias("operation"),
         F.when(F.col("event_type") == "error", "error").otherwise("").alias("error_code"), _pick(PROVIDERS, F.col("user_id")).alias("provider"), _pick(MODELS, F.col("user_id")).alias("model_id"), text.session_suffix(user_ref).alias("session_id"),
         _pick(THREADS, F.col("event_id")).alias("thread_id"), (1 + F.col("event_id") % 7).cast("int").alias("num_messages"), F.round(F.col("value") * 100).cast("long").alias("input_tokens"), F.round(F.col("value") * 10).cast("long").alias("output_tokens"),
-        (F.col("event_id") % 13 * 10).alias("cache_read_tokens"), F.concat(F.lit("msg_"), F.col("event_id")).alias("message_id"), _pick(STOPS, F.col("event_id")).alias("stop_reason"),
+        (F.col("event_id") % 13 * 10).alias("cache_read_tokens"), (F.col("event_id") % 5 * 7).alias("cache_write_tokens"), F.concat(F.lit("msg_"), F.col("event_id")).alias("message_id"), _pick(STOPS, F.col("event_id")).alias("stop_reason"),
     )
 
 
@@ -38,7 +38,7 @@ def _case(values: tuple[str, ...], key: str) -> str:
 FACTS_SQL = f"""(SELECT epoch_us(ts) AS ts, strftime(ts, '%Y%m%d') AS day, event_id AS n, event_id::VARCHAR AS request_id, user_id::VARCHAR AS principal, event_type AS operation,
  CASE WHEN event_type = 'error' THEN 'error' ELSE '' END AS error_code, {_case(PROVIDERS, 'user_id')} AS provider, {_case(MODELS, 'user_id')} AS model_id,
  CASE WHEN (props->>'$.k')::BIGINT % 2 = 0 THEN props->>'$.k' ELSE '' END AS session_id, {_case(THREADS, 'event_id')} AS thread_id, (1 + event_id % 7)::INTEGER AS num_messages,
- round(value * 100)::BIGINT AS input_tokens, round(value * 10)::BIGINT AS output_tokens, event_id % 13 * 10 AS cache_read_tokens, 'msg_' || event_id AS message_id, {_case(STOPS, 'event_id')} AS stop_reason FROM events)"""
+ round(value * 100)::BIGINT AS input_tokens, round(value * 10)::BIGINT AS output_tokens, event_id % 13 * 10 AS cache_read_tokens, event_id % 5 * 7 AS cache_write_tokens, 'msg_' || event_id AS message_id, {_case(STOPS, 'event_id')} AS stop_reason FROM events)"""
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,16 +46,46 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet")
 
 
-def invocation_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two invocations of each conversation, with bodies: those that its first and last assistant turns after another turn answered."""
-    of = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    convs = turns(spark, sf_dir).groupBy("conv_id").agg(F.transform(of, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("m"))
-    at = F.filter(F.transform("m", lambda m, i: F.when((m["role"] == "assistant") & (i > 0), i)), lambda i: i.isNotNull())
-    ends = F.array_distinct(F.array(F.array_min("at"), F.array_max("at")))
-    rows = convs.withColumn("at", at).where("size(at) > 0").select("conv_id", "m", F.explode(ends).alias("i"))
-    reply = F.element_at("m", F.col("i") + 1)
+#: Kinds of bodies: provider, model, the request's list, and a message and a reply as functions of role and text.
+_KINDS = {
+    "anthropic": ("bedrock", MODELS[0], "messages", lambda r, t: F.struct(r.alias("role"), t.alias("content")), lambda m: m),
+    "openai": ("azure", MODELS[1], "messages", lambda r, t: F.struct(r.alias("role"), t.alias("content")), lambda m: F.struct(F.array(F.struct(m.alias("message"), F.lit("stop").alias("finish_reason"))).alias("choices"))),
+    "gemini": ("vertex", MODELS[2], "contents", lambda r, t: F.struct(F.when(r == "assistant", "model").otherwise(r).alias("role"), F.array(F.struct(t.alias("text"))).alias("parts")), lambda m: F.struct(F.array(F.struct(m.alias("content"), F.lit("STOP").alias("finishReason"))).alias("candidates"))),
+}
+
+
+def invocation_bodies(spark: SparkSession, sf_dir: str, kind: str = "anthropic") -> DataFrame:
+    """An invocation, with bodies of a kind, for every assistant turn that follows another turn of its conversation.
+
+    The last one of a conversation sends all messages before it; the others send as many, of a role only, since nothing but
+    their number counts. A log line holds its whole request, so only the last ones gather a conversation.
+    """
+    provider, model, name, message, reply = _KINDS[kind]
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = turns(spark, sf_dir).select("conv_id", "role", message(F.col("role"), F.col("text")).alias("m"), (F.row_number().over(order) - 1).alias("i"))
+    rows = rows.withColumn("named", F.sum(F.when(F.col("role") == "system", 1).otherwise(0)).over(Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)))
+    answers = rows.where("role = 'assistant' and i > 0")
+    last = answers.groupBy("conv_id").agg(F.max("i").alias("last"))
+    sent = rows.join(last, "conv_id").where("i < last").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"])).alias("sent"))
+    # the messages of a role only: system ones first, as in the conversations
+    some = lambda role, n: F.repeat(F.lit(f'{{"role":"{role}"}},'), n)
+    thin = F.concat(F.lit("["), F.rtrim(F.concat(some("system", F.col("named").cast("int")), some("user", (F.col("i") - F.col("named")).cast("int"))), F.lit(",")), F.lit("]"))
+    calls = answers.join(last, "conv_id").join(sent, "conv_id")
     zero = F.lit(0).cast("long")
-    return rows.select(
-        F.lit("20240101").alias("day"), F.lit("bedrock").alias("provider"), F.col("conv_id").cast("string").alias("session_id"), F.lit("").alias("thread_id"), F.col("i").cast("long").alias("ts"), F.col("i").cast("long").alias("n"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("i").cast("string")).alias("request_id"), F.lit(MODELS[0]).alias("model_id"),
-        *(zero.alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")), F.to_json(F.struct(F.slice("m", F.lit(1), F.col("i")).alias("messages"))).alias("input_body"), F.to_json(F.struct(reply["role"].alias("role"), reply["content"].alias("content"))).alias("output_body"),
+    return calls.select(
+        F.lit("20240101").alias("day"), F.lit(provider).alias("provider"), F.col("conv_id").cast("string").alias("session_id"), F.lit("").alias("thread_id"), F.col("i").cast("long").alias("ts"), F.col("i").cast("long").alias("n"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("i").cast("string")).alias("request_id"), F.lit(model).alias("model_id"),
+        *(zero.alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")), F.concat(F.lit(f'{{"{name}":'), F.when(F.col("i") == F.col("last"), F.col("sent")).otherwise(thin), F.lit("}")).alias("input_body"), F.to_json(reply(F.col("m"))).alias("output_body"),
+    )
+
+
+def tool_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An invocation per customer whose request holds a question, one call of a tool named by segment, and its result (a result is missing for every seventh)."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k, zero = F.col("c_custkey").cast("string"), F.lit(0).cast("long")
+    call = F.array(F.struct(F.concat(F.lit("c"), k).alias("id"), F.struct(F.col("c_mktsegment").alias("name"), F.to_json(F.struct(F.col("c_nationkey").alias("nation"))).alias("arguments")).alias("function")))
+    message = lambda role, content, calls=None, answered=None: F.struct(F.lit(role).alias("role"), content.alias("content"), (F.lit(None) if calls is None else calls).cast("array<struct<id: string, function: struct<name: string, arguments: string>>>").alias("tool_calls"), (F.lit(None) if answered is None else answered).cast("string").alias("tool_call_id"))
+    asked = F.array(message("user", F.lit("who")), message("assistant", F.lit(None).cast("string"), call), message("tool", F.col("c_name"), None, F.when(F.col("c_custkey") % 7 == 0, F.lit("lost")).otherwise(F.concat(F.lit("c"), k))))
+    return c.select(
+        F.lit("20240101").alias("day"), F.lit("azure").alias("provider"), k.alias("session_id"), F.lit("").alias("thread_id"), F.col("c_custkey").cast("long").alias("ts"), F.col("c_custkey").cast("long").alias("n"), k.alias("request_id"), F.lit(MODELS[1]).alias("model_id"),
+        *(zero.alias(x) for x in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")), F.to_json(F.struct(asked.alias("messages"))).alias("input_body"), F.lit("").alias("output_body"),
     )

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
-from tracewell.operators import pairing, reconstruct, sessionize
-from tracewell.plans.adapters import FACTS_SQL, facts, invocation_bodies, turns
+from tracewell.operators import pairing, reconstruct, search, sessionize
+from tracewell.plans.adapters import FACTS_SQL, facts, invocation_bodies, tool_bodies, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +29,7 @@ def query(sql: str):
     return add
 
 
-TABLES = ("conversations", "orders", "lineitem", "documents", "pages")
+TABLES = ("conversations",)
 SHARED = {
     "day_stats": "SELECT day, count(*) AS invocations, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, count(*) FILTER (WHERE error_code <> '') AS errors FROM {facts} f GROUP BY day",
     "run_totals": "SELECT count(*) AS invocations, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, count(*) FILTER (WHERE error_code <> '') AS errors, min(ts) AS first_ts, max(ts) AS last_ts FROM {facts} f",
@@ -38,6 +38,9 @@ SHARED = {
     "op_breakdown": "SELECT day, operation, count(*) AS invocations FROM {facts} f GROUP BY day, operation",
     "spend_by_model": "SELECT provider, model_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(CAST(sum(cache_read_tokens) AS DOUBLE) / nullif(sum(cache_read_tokens + input_tokens), 0), 3) AS cache_hit_ratio FROM {facts} f GROUP BY provider, model_id",
     "spend_by_day": "SELECT day, model_id, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens FROM {facts} f GROUP BY day, model_id",
+    "error_rate_by_model": "SELECT model_id, count(*) FILTER (WHERE error_code <> '') AS errors, count(*) AS total, round(CAST(count(*) FILTER (WHERE error_code <> '') AS DOUBLE) / count(*), 4) AS error_rate FROM {facts} f GROUP BY model_id",
+    "daily_spend": "SELECT day, CAST(sum(input_tokens + cache_write_tokens) AS BIGINT) AS uncached_input, CAST(sum(cache_read_tokens) AS BIGINT) AS cached_input, CAST(sum(output_tokens) AS BIGINT) AS output FROM {facts} f GROUP BY day",
+    "totals_by_model_and_operation": "SELECT CASE WHEN model_id IS NULL THEN 'operation' ELSE 'model' END AS kind, coalesce(model_id, operation) AS name, count(*) AS invocations FROM {facts} f GROUP BY GROUPING SETS ((model_id), (operation))",
     "error_rate": "SELECT provider, count(*) FILTER (WHERE error_code <> '') AS errors, count(*) AS invocations, round(CAST(count(*) FILTER (WHERE error_code <> '') AS DOUBLE) / count(*), 4) AS error_rate FROM {facts} f GROUP BY provider",
     "session_shape": "SELECT provider, session_id, count(*) AS invocations, count(DISTINCT thread_id) AS threads, max(num_messages) AS most_messages FROM {facts} f WHERE session_id <> '' GROUP BY provider, session_id",
     "longest_sessions": "SELECT provider, session_id, max(ts) - min(ts) AS duration_us FROM {facts} f WHERE session_id <> '' GROUP BY provider, session_id ORDER BY duration_us DESC, provider, session_id LIMIT 10",
@@ -46,14 +49,8 @@ SHARED = {
     "top_conversations": "SELECT principal, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM {facts} f GROUP BY principal ORDER BY input_tokens DESC, principal LIMIT 20",
     "union_runs": "SELECT run, count(*) AS n FROM (SELECT 'a' AS run, request_id FROM {facts} f WHERE n % 3 <> 0 UNION ALL SELECT 'b', request_id FROM {facts} g WHERE n % 3 <> 1) r GROUP BY run",
     "dedup_overlap": "SELECT request_id, run FROM (SELECT request_id, run, row_number() OVER (PARTITION BY request_id ORDER BY run) AS k FROM (SELECT 'a' AS run, request_id FROM {facts} f WHERE n % 3 <> 0 UNION ALL SELECT 'b', request_id FROM {facts} g WHERE n % 3 <> 1) r) x WHERE k = 1",
-    "fullest_request": "SELECT provider, session_id, thread_id, request_id, num_messages FROM (SELECT *, row_number() OVER (PARTITION BY provider, session_id, thread_id ORDER BY num_messages DESC, ts, n) AS k FROM {facts} f WHERE session_id <> '') x WHERE k = 1",
-    "main_thread": "SELECT provider, session_id, thread_id FROM (SELECT *, row_number() OVER (PARTITION BY provider, session_id ORDER BY start_ts, n DESC, thread_id) AS k FROM (SELECT provider, session_id, thread_id, min(ts) AS start_ts, count(*) AS n FROM {facts} f WHERE session_id <> '' GROUP BY provider, session_id, thread_id) t) x WHERE k = 1",
-    "adjacency_lead": "SELECT request_id, message_id, lead(prev_id) OVER (PARTITION BY principal, thread_id ORDER BY num_messages, ts, n) AS paired_id FROM (SELECT *, lag(message_id) OVER (PARTITION BY principal, thread_id ORDER BY num_messages, ts, n) AS prev_id FROM {facts} f) x",
-    "unclaimed_anti": "SELECT message_id FROM {facts} f WHERE NOT EXISTS (SELECT 1 FROM (SELECT lag(message_id) OVER (PARTITION BY principal ORDER BY ts, n) AS prev_id FROM {facts} g) c WHERE c.prev_id = f.message_id)",
-    "metrics_attach": "SELECT t.conv_id, t.turn, i.request_id, i.output_tokens FROM {conversations} t JOIN (SELECT conv, num_messages, request_id, output_tokens FROM (SELECT n % 100 AS conv, num_messages, request_id, output_tokens, row_number() OVER (PARTITION BY n % 100, num_messages ORDER BY ts, n) AS k FROM {facts} f) x WHERE k = 1) i ON t.conv_id = i.conv AND t.turn = i.num_messages WHERE t.role = 'assistant'",
     "role_volume": "SELECT role, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS characters FROM {conversations} c GROUP BY role",
     "turn_index": "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn_index, role FROM {conversations} c",
-    "resend_dedup": "SELECT o.o_orderkey, l.l_linenumber, count(*) AS copies FROM {orders} o JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderkey, l.l_linenumber",
 }
 
 
@@ -74,7 +71,7 @@ for _name, _sql in SHARED.items():
 _GAPS = """SELECT request_id, day, provider, model_id, principal, CAST(sum(opened) OVER (PARTITION BY day, provider, model_id, principal ORDER BY ts, n) AS BIGINT) AS gap_seq
 FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY day, provider, model_id, principal ORDER BY ts, n) > {gap} THEN 1 ELSE 0 END AS opened FROM {facts} f) x"""
 _CONV = """SELECT day, CASE WHEN session_id = '' THEN 1 ELSE 0 END AS is_gap, provider, CASE WHEN session_id = '' THEN model_id ELSE session_id END AS k1, CASE WHEN session_id = '' THEN principal ELSE '' END AS k2, seq,
- count(*) AS invocations, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_read_tokens)::BIGINT AS cache_read_tokens, count(*) FILTER (error_code <> '') AS errors, min(ts) AS start_ts, max(ts) AS end_ts,
+ count(*) AS invocations, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_read_tokens)::BIGINT AS cache_read_tokens, sum(cache_write_tokens)::BIGINT AS cache_write_tokens, count(*) FILTER (error_code <> '') AS errors, min(ts) AS start_ts, max(ts) AS end_ts,
  first(session_id ORDER BY ts, n) AS session_id, first(model_id ORDER BY ts, n) AS model_id, first(principal ORDER BY ts, n) AS principal
 FROM (SELECT *, CASE WHEN session_id <> '' THEN 0 ELSE sum(opened) OVER (PARTITION BY day, provider, model_id, principal, session_id = '' ORDER BY ts, n) END::BIGINT AS seq
  FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY day, provider, model_id, principal, session_id = '' ORDER BY ts, n) > {gap} THEN 1 ELSE 0 END AS opened FROM {facts} f) x) y GROUP BY 1, 2, 3, 4, 5, 6"""
@@ -122,12 +119,40 @@ _NAMED = "(SELECT request_id, principal, thread_id, num_messages, ts, n, message
 _PAIRS = f"""(SELECT request_id, coalesce(m.message_id, '') AS message_id FROM (SELECT *, lead(prev_id) OVER (PARTITION BY principal, thread_id ORDER BY num_messages, ts, request_id) AS named FROM {_NAMED} a) r LEFT JOIN (SELECT message_id FROM {{facts}} g) m ON r.named = m.message_id)"""
 
 
-def _paired(spark, sf_dir):
-    """Invocations as requests that name the one before of the same principal, and as responses, and their pairs."""
-    f = facts(spark, sf_dir)
+def _requests(spark, sf_dir):
+    """Invocations as requests that name the one before of the same principal."""
     prev = F.coalesce(F.lag("message_id").over(Window.partitionBy("principal").orderBy("ts", "n")), F.lit(""))
-    responses = f.select("message_id")
-    return pairing.adjacent(f.select(F.col("request_id").alias("uuid"), F.col("ts").alias("mtime"), F.col("principal").alias("session_id"), F.col("thread_id").alias("chain"), "num_messages", prev.alias("prev_id")), responses), responses
+    return facts(spark, sf_dir).select(F.col("request_id").alias("uuid"), F.col("ts").alias("mtime"), F.col("principal").alias("session_id"), F.col("thread_id").alias("chain"), "num_messages", prev.alias("prev_id"))
+
+
+def _paired(spark, sf_dir):
+    responses = facts(spark, sf_dir).select("message_id")
+    return pairing.adjacent(_requests(spark, sf_dir), responses), responses
+
+
+@query(f"SELECT request_id, coalesce(lead(prev_id) OVER (PARTITION BY principal, thread_id ORDER BY num_messages, ts, request_id), '') AS named, row_number() OVER (PARTITION BY principal, thread_id ORDER BY num_messages, ts, request_id)::INTEGER AS place FROM {_NAMED} a")
+def adjacency_lead(spark, sf_dir):
+    """What each request's successor in its chain names."""
+    return pairing.named(_requests(spark, sf_dir)).select(F.col("uuid").alias("request_id"), F.coalesce("named", F.lit("")).alias("named"), "place")
+
+
+@query(f"SELECT g.message_id FROM {{facts}} g WHERE NOT EXISTS (SELECT 1 FROM {_NAMED} a WHERE a.prev_id = g.message_id)")
+def unclaimed_anti(spark, sf_dir):
+    """Responses that no request names."""
+    claims = _requests(spark, sf_dir).select(F.col("uuid"), F.col("prev_id").alias("message_id"))
+    return pairing.unclaimed(claims, facts(spark, sf_dir)).select("message_id")
+
+
+@query("""WITH RECURSIVE q AS (SELECT request_id, ts, row_number() OVER (ORDER BY ts, request_id) AS k FROM {facts} f WHERE operation = 'error'), r AS (SELECT message_id, ts, row_number() OVER (ORDER BY ts, message_id) AS j FROM {facts} f WHERE operation = 'view'),
+ walk(k, request_id, asked_at, used) AS (SELECT 0::BIGINT, '', 0::BIGINT, 0::BIGINT UNION ALL
+  SELECT q.k, q.request_id, q.ts, coalesce((SELECT min(r.j) FROM r WHERE r.j > abs(w.used) AND r.ts >= q.ts AND r.ts <= q.ts + 600000000), -abs(w.used)) FROM walk w JOIN q ON q.k = w.k + 1)
+ SELECT w.request_id, r.message_id FROM walk w JOIN r ON r.j = w.used AND w.used > 0""")
+def terminal_pairs(spark, sf_dir):
+    """Requests paired with responses by time alone, first come first served."""
+    f = facts(spark, sf_dir).withColumn("model", F.lit("m"))
+    asked = f.where("operation = 'error'").select(F.col("request_id").alias("uuid"), F.col("ts").alias("mtime"), "model")
+    given = f.where("operation = 'view'").select("message_id", F.col("ts").alias("mtime"), "model")
+    return pairing.by_time(asked, given).select(F.col("uuid").alias("request_id"), "message_id")
 
 
 @query(f"SELECT request_id, message_id FROM {_PAIRS} p")
@@ -152,19 +177,80 @@ def turn_text(spark, sf_dir):
     return kept.select("conv_id", F.array_join(F.col("t.text"), "\n\n").alias("text"))
 
 
-@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS system_prompt FROM conversations WHERE role IN ('system', 'developer') GROUP BY conv_id")
-def system_prompt(spark, sf_dir):
-    kept = turns(spark, sf_dir).where("role in ('system', 'developer')").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return kept.select("conv_id", F.array_join(F.col("t.text"), "\n\n").alias("system_prompt"))
+_TURNS = """(SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, text FROM conversations)"""
+_REBUILT = f"""WITH t AS {_TURNS}, a AS (SELECT conv_id, max(i) AS late FROM t WHERE role = 'assistant' AND i > 0 GROUP BY conv_id)
+ SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(i - {{skipped}} AS INTEGER) AS turn_index, role, text, role = 'assistant' AND i > 0 AS has_metrics, CASE WHEN role = 'assistant' AND i > 0 THEN conv_id || '-' || i ELSE '' END AS request_id, {{stop}} AS stop_reason
+ FROM t JOIN a USING (conv_id) WHERE i <= late"""
+_SHOWN = ("session_id", "turn_index", "role", "text", "has_metrics", "request_id", "stop_reason")
 
 
-@query("""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, text FROM conversations),
- a AS (SELECT conv_id, min(i) AS early, max(i) AS late FROM t WHERE role = 'assistant' AND i > 0 GROUP BY conv_id)
- SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(i AS INTEGER) AS turn_index, role, text, i IN (early, late) AS has_metrics, CASE WHEN i IN (early, late) THEN conv_id || '-' || i ELSE '' END AS request_id
- FROM t JOIN a USING (conv_id) WHERE i <= late""")
+@query(_REBUILT.replace("{skipped}", "0").replace("{stop}", "''"))
 def reconstructed_turns(spark, sf_dir):
-    made = reconstruct.turns(invocation_bodies(spark, sf_dir))
-    return made.select("session_id", "turn_index", "role", "text", "has_metrics", "request_id")
+    return reconstruct.turns(invocation_bodies(spark, sf_dir), ("anthropic",)).select(*_SHOWN)
+
+
+@query(_REBUILT.replace("{skipped}", "(SELECT count(*) FROM t s WHERE s.conv_id = t.conv_id AND s.role = 'system' AND s.i < t.i)").replace("{stop}", "CASE WHEN role = 'assistant' AND i > 0 THEN 'stop' ELSE '' END") + " AND role <> 'system'")
+def reconstructed_turns_openai(spark, sf_dir):
+    return reconstruct.turns(invocation_bodies(spark, sf_dir, "openai"), ("openai",)).select(*_SHOWN)
+
+
+@query(_REBUILT.replace("{skipped}", "0").replace("{stop}", "CASE WHEN role = 'assistant' AND i > 0 THEN 'STOP' ELSE '' END"))
+def reconstructed_turns_gemini(spark, sf_dir):
+    return reconstruct.turns(invocation_bodies(spark, sf_dir, "gemini"), ("gemini",)).select(*_SHOWN)
+
+
+@query(f"WITH t AS {_TURNS}, a AS (SELECT conv_id, max(i) AS late FROM t WHERE role = 'assistant' AND i > 0 GROUP BY conv_id) SELECT conv_id::VARCHAR AS session_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY i) FILTER (role = 'system' AND i < late), '') AS system_prompt FROM t JOIN a USING (conv_id) GROUP BY conv_id")
+def system_prompt(spark, sf_dir):
+    return reconstruct.threads(invocation_bodies(spark, sf_dir, "openai"), ("openai",)).select("session_id", "system_prompt")
+
+
+@query(f"WITH t AS {_TURNS} SELECT conv_id, i::INTEGER AS turn_index, role, CASE WHEN role = 'assistant' AND i > 0 THEN conv_id || '-' || i END AS request_id FROM t")
+def metrics_attach(spark, sf_dir):
+    """Every turn of every conversation with the invocation that answered with it, if any."""
+    t = turns(spark, sf_dir).select("conv_id", "role", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("turn_index"))
+    made = reconstruct.turns(invocation_bodies(spark, sf_dir), ("anthropic",)).where("has_metrics").select(F.col("session_id").cast("long").alias("conv_id"), "turn_index", "request_id")
+    return t.join(made, ["conv_id", "turn_index"], "left").select("conv_id", "turn_index", "role", "request_id")
+
+
+@query(f"WITH t AS {_TURNS}, a AS (SELECT conv_id, i FROM t WHERE role = 'assistant' AND i > 0) SELECT a.conv_id::VARCHAR AS session_id, sum(a.i)::BIGINT AS messages_sent, (max(a.i) + 1)::BIGINT AS turns_kept FROM a GROUP BY a.conv_id")
+def resend_dedup(spark, sf_dir):
+    """Messages that all requests of a conversation send, and turns that are left of them."""
+    bodies = invocation_bodies(spark, sf_dir)
+    sent = bodies.groupBy("session_id").agg(F.sum(F.json_array_length(F.get_json_object("input_body", "$.messages"))).cast("long").alias("messages_sent"))
+    return sent.join(reconstruct.turns(bodies, ("anthropic",)).groupBy("session_id").agg(F.count("*").alias("turns_kept")), "session_id")
+
+
+def _as_counted(f: DataFrame) -> DataFrame:
+    return f.where("session_id <> ''").withColumn("n_in", F.col("num_messages"))
+
+
+@query("SELECT day, provider, session_id, thread_id, request_id, num_messages FROM (SELECT *, row_number() OVER (PARTITION BY day, provider, session_id, thread_id ORDER BY num_messages DESC, ts, n) AS k FROM {facts} f WHERE session_id <> '') x WHERE k = 1")
+def fullest_request(spark, sf_dir):
+    f = _as_counted(facts(spark, sf_dir))
+    return reconstruct.chosen(f).select("n").join(f, "n").select(*reconstruct.KEY, "thread_id", "request_id", "num_messages")
+
+
+@query("SELECT day, provider, session_id, thread_id FROM (SELECT *, row_number() OVER (PARTITION BY day, provider, session_id ORDER BY start_ts, n DESC, thread_id) AS k FROM (SELECT day, provider, session_id, thread_id, min(ts) AS start_ts, count(*) AS n FROM {facts} f WHERE session_id <> '' GROUP BY day, provider, session_id, thread_id) t) x WHERE k = 1")
+def main_thread(spark, sf_dir):
+    return reconstruct.chosen(_as_counted(facts(spark, sf_dir))).where("is_main").select(*reconstruct.KEY, "thread_id")
+
+
+@query("SELECT c_mktsegment AS tool, count(*) AS uses FROM customer GROUP BY c_mktsegment")
+def tool_use_frequency(spark, sf_dir):
+    calls = reconstruct.tool_calls(reconstruct.turns(tool_bodies(spark, sf_dir), ("openai",)))
+    return calls.groupBy(F.col("tool_name").alias("tool")).agg(F.count("*").alias("uses"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS session_id, c_mktsegment AS tool_name, '{"nation":' || c_nationkey || '}' AS tool_input, 1 AS called_at, CASE WHEN c_custkey % 7 <> 0 THEN 2 END AS answered_at, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS result FROM customer""")
+def tool_results(spark, sf_dir):
+    """Calls with their results; every seventh customer's result has another id."""
+    return reconstruct.tool_calls(reconstruct.turns(tool_bodies(spark, sf_dir), ("openai",))).select("session_id", "tool_name", "tool_input", "called_at", "answered_at", "result")
+
+
+@query(f"WITH t AS {_TURNS}, a AS (SELECT conv_id, max(i) AS late FROM t WHERE role = 'assistant' AND i > 0 GROUP BY conv_id) SELECT 'main' AS thread, count(*) AS turns FROM t JOIN a USING (conv_id) WHERE i <= late")
+def thread_volume(spark, sf_dir):
+    """Turns of main threads and of sidechains."""
+    return reconstruct.turns(invocation_bodies(spark, sf_dir), ("anthropic",)).groupBy(F.when(F.col("thread_id") == "", "main").otherwise("sidechain").alias("thread")).agg(F.count("*").alias("turns"))
 
 
 @query("SELECT doc_id, substr(text, 1, 80) AS snippet FROM documents")
@@ -190,23 +276,22 @@ def data_uri_length(spark, sf_dir):
     return d.select("doc_id", "uri", F.regexp_extract("u.mime", "/(.*)$", 1).alias("mime_end"), text.base64_length(F.col("u.payload")).alias("decoded"))
 
 
-#: Terms of the search query.
-TERMS = ("the", "and", "tion", "des", "ing")
-K1, B = 1.2, 0.75
-_TERM_LIST = ", ".join(f"'{t}'" for t in TERMS)
+def _bm25_sql(table: str, keys: str, terms: list[str]) -> str:
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"""WITH src AS (SELECT row_number() OVER () AS rid, * FROM {table}), w AS (SELECT rid, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM src), d AS (SELECT rid, count(*) AS dl FROM w GROUP BY rid), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
+ tf AS (SELECT rid, term, count(*) AS tf FROM w WHERE term IN ({listed}) GROUP BY rid, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+ scored AS (SELECT rid, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * {search.K1 + 1} / (tf + {search.K1} * (1 - {search.B} + {search.B} * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term) JOIN d USING (rid), s GROUP BY rid)
+ SELECT {keys}, score FROM scored JOIN src USING (rid) ORDER BY score DESC, {keys} LIMIT 10"""
 
 
-@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), d AS (SELECT doc_id, count(*) AS dl FROM w GROUP BY doc_id), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
- tf AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN ({_TERM_LIST}) GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
- SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term) JOIN d USING (doc_id), s GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""")
+QUERY = "the and tion des ing"
+
+
+@query(_bm25_sql("documents", "doc_id", search.terms_of(QUERY)))
 def bm25_top10(spark, sf_dir):
-    """BM25 without stemming or stop words; term counts come from each text by itself, so words are never shuffled."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
-    count = lambda t: F.size(F.filter("w", lambda x: x == t)).cast("double").alias(f"tf_{t}")
-    counts = [count(t) for t in TERMS]
-    d = d.select("doc_id", F.size("w").alias("dl"), *counts).where("dl > 0")
-    s = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf_{t}") > 0).alias(f"df_{t}") for t in TERMS))
-    length = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    score = sum((F.log((F.col("n") - F.col(f"df_{t}") + 0.5) / (F.col(f"df_{t}") + 0.5) + 1) * F.col(f"tf_{t}") * (K1 + 1) / (F.col(f"tf_{t}") + length) for t in TERMS), F.lit(0.0))
-    # one row of totals
-    return d.join(F.broadcast(s)).where(" + ".join(f"tf_{t}" for t in TERMS) + " > 0").select("doc_id", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(10)
+    return search.bm25(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), QUERY)
+
+
+@query(_bm25_sql("conversations", "conv_id, turn, role", search.terms_of("The other die, UND la!")))
+def search_turns(spark, sf_dir):
+    return search.bm25(turns(spark, sf_dir).select("conv_id", "turn", "role", "text"), "The other die, UND la!")

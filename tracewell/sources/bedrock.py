@@ -1,11 +1,12 @@
 """Bedrock invocation logs: gzipped JSON lines in a bucket, with large bodies in objects of their own.
 
-Files are chosen by day before any is opened. Lines that name an overflow object are joined with the objects by key; the
-others carry a key of their own in that join, so no task gets all rows without an object.
+Files are chosen by day before any is opened, log files and overflow objects alike. Only lines that name an overflow object
+are joined with the objects, by key; the others pass by without a shuffle.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,25 +44,31 @@ def _key_in(root: str) -> Column:
     return F.substring_index(path, f"{under}/", -1)
 
 
+def _in_window(rows: DataFrame, start: str, end: str, slack: int = 0) -> DataFrame:
+    """Rows of files whose path's day is in the window, or up to slack days beside it, or that have none."""
+    (first, last), more = window(start, end), dt.timedelta(days=slack)
+    day = path_day(F.col("_metadata.file_path"))
+    if first:
+        rows = rows.where(day.isNull() | (day >= F.lit((first - more).date())))
+    if last:
+        rows = rows.where(day.isNull() | (day < F.lit((last + more).date())))
+    return rows
+
+
 def log_lines(spark: SparkSession, root: str, start: str = "", end: str = "") -> DataFrame:
     """(line, n) of the log files under root whose path's day is in the window; paths without a day are read as well."""
-    first, last = window(start, end)
     path = F.col("_metadata.file_path")
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json.gz").text(root)
-    lines = lines.where(~F.contains(path, F.lit("/data/")))
-    day = path_day(path)
-    if first:
-        lines = lines.where(day.isNull() | (day >= F.lit(first.date())))
-    if last:
-        lines = lines.where(day.isNull() | (day < F.lit(last.date())))
+    lines = _in_window(lines.where(~F.contains(path, F.lit("/data/"))), start, end)
     return lines.where((F.trim("value") != "") & (F.octet_length("value") <= LONGEST_LINE)).select(F.col("value").alias("line"), F.xxhash64(path, "value").alias("n"))
 
 
 def _resolved(rows: DataFrame, objects: DataFrame, body: str, uri: str, bucket: str) -> DataFrame:
     """rows with an empty body replaced by the object at uri, if that lies in bucket; a missing object leaves it empty."""
-    wanted = (F.col(body) == "") & (bucket_of(F.col(uri)) == bucket) & (key_of(F.col(uri)) != "")
-    keyed = rows.withColumn("key", F.when(wanted, key_of(F.col(uri))).otherwise(F.concat(F.lit("\0"), F.col("n").cast("string"))))
-    return keyed.join(objects, "key", "left").withColumn(body, F.when(wanted, F.coalesce("content", F.lit(""))).otherwise(F.col(body))).drop("key", "content")
+    wanted = F.coalesce((F.col(body) == "") & (bucket_of(F.col(uri)) == bucket) & (key_of(F.col(uri)) != ""), F.lit(False))
+    asking = rows.where(wanted).withColumn("key", key_of(F.col(uri)))
+    found = asking.join(objects, "key", "left").withColumn(body, F.coalesce("content", F.lit(""))).select(rows.columns)
+    return rows.where(~wanted).unionByName(found)
 
 
 def read(spark: SparkSession, root: str, bucket: str, start: str = "", end: str = "") -> DataFrame:
@@ -69,7 +76,7 @@ def read(spark: SparkSession, root: str, bucket: str, start: str = "", end: str
 
     Blank and malformed lines are skipped, also those whose timestamp is no time; a line without one has a null ts. Records
     are not filtered by their own time. Objects outside bucket are not read. Absent strings are empty and absent counts
-    zero. Columns are those that the operators take (ts in microseconds, day, n, ...) besides bodies and identity.
+    zero. Objects lie under the day of their line or the next one, so those of other days are not opened. Columns are those that the operators take (ts in microseconds, day, n, ...) besides bodies and identity.
     """
     known = F.from_json("line", LINE, {"columnNameOfCorruptRecord": "broken"})
     rows = log_lines(spark, root, start, end).withColumn("r", known).where("r.broken is null and ltrim(line) like '{%'")
@@ -84,7 +91,7 @@ def read(spark: SparkSession, root: str, bucket: str, start: str = "", end: str
         count("input.cacheReadInputTokenCount").alias("cache_read_tokens"), count("input.cacheWriteInputTokenCount").alias("cache_write_tokens"), s("input.inputBodyJson").alias("input_body"), s("output.outputBodyJson").alias("output_body"), s("input.inputBodyS3Path").alias("input_uri"), s("output.outputBodyS3Path").alias("output_uri"),
     )
     objects = spark.read.option("recursiveFileLookup", True).option("wholetext", True).option("pathGlobFilter", "*.json*").text(root)
-    objects = objects.where(F.contains("_metadata.file_path", F.lit("/data/"))).select(_key_in(root).alias("key"), F.col("value").alias("content"))
+    objects = _in_window(objects.where(F.contains("_metadata.file_path", F.lit("/data/"))), start, end, 1).select(_key_in(root).alias("key"), F.col("value").alias("content"))
     for body, uri in (("input_body", "input_uri"), ("output_body", "output_uri")):
         rows = _resolved(rows, objects, body, uri, bucket)
     session = text.session_from_id(F.get_json_object("input_body", "$.metadata.user_id"))

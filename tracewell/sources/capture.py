@@ -55,16 +55,26 @@ def responses(spark: SparkSession, folder: str, start: str = "", end: str = "")
     return rows.groupBy("message_id").agg(kept).select("message_id", "kept.*")
 
 
-def read(spark: SparkSession, folder: str, start: str = "", end: str = "") -> DataFrame:
-    """Invocations of a capture folder: requests of the days start to end with the responses that chain adjacency gives them.
+def read(spark: SparkSession, folder: str, start: str = "", end: str = "", bodies: bool = False) -> DataFrame:
+    """Invocations of a capture folder: requests of the days start to end with their responses (pairing.threaded).
 
     A paired request has status 200 and the response's request id, tokens and stop reason; others keep their own id, an
-    empty status and zero counts. Columns include those that sessionization takes.
+    empty status and zero counts. thread_id is the first request of the thread. extra holds session and device ids. With
+    bodies, input_body and output_body are read again by file name when pairing is done; a file that is gone is null.
+    Columns include those that sessionization and reconstruction take.
     """
-    made = pairing.adjacent(requests(spark, folder, start, end), responses(spark, folder, start, end).withColumnsRenamed({"mtime": "response_mtime", "model": "response_model"}))
+    made = pairing.threaded(requests(spark, folder, start, end), responses(spark, folder, start, end))
     paired = F.col("message_id") != ""
-    return made.select(
+    extra = F.map_filter(F.create_map(F.lit("device_id"), F.col("device_id"), F.lit("session_id"), F.col("session_id")), lambda k, v: v != "")
+    rows = made.select(
         F.col("mtime").alias("ts"), F.date_format(F.timestamp_micros("mtime"), "yyyyMMdd").alias("day"), F.xxhash64("uuid").alias("n"), F.lit("claude").alias("provider"), F.when(paired, F.col("request_id")).otherwise(F.col("uuid")).alias("request_id"), F.col("uuid").alias("request_uuid"), "principal", F.lit("messages").alias("operation"),
-        F.col("model").alias("model_id"), F.when(paired, "200").otherwise("").alias("status"), F.lit("").alias("error_code"), "session_id", F.col("chain").alias("thread_id"), "num_messages", "message_id", "prev_id", _s("stop_reason").alias("stop_reason"),
+        F.col("model").alias("model_id"), F.when(paired, "200").otherwise("").alias("status"), F.lit("").alias("error_code"), "session_id", "thread_id", "num_messages", "message_id", "prev_id", _s("stop_reason").alias("stop_reason"), extra.alias("extra"),
         *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")),
     )
+    if not bodies:
+        return rows
+    first, last = window(start, end)
+    asked = _files(spark, folder, ".request.json", first, last).select(F.col("name").alias("request_uuid"), F.col("value").alias("input_body"))
+    answered = _files(spark, folder, ".response.json", first and first - SLACK, last and last + SLACK).select(F.col("name").alias("answer"), F.col("value").alias("output_body"))
+    rows = rows.join(asked, "request_uuid", "left").withColumn("answer", F.when(F.col("status") == "200", F.col("request_id")).otherwise(F.concat(F.lit("/"), "request_uuid")))
+    return rows.join(answered, "answer", "left").drop("answer")

@@ -6,9 +6,12 @@ in their own table beside the conversations, keyed by conversation_id, so a conv
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import text
+from tracewell.functions.envelopes import family
 from tracewell.operators import reconstruct, sessionize
 
 #: Layout version, and the columns of facts in order with what stands for absent ones.
@@ -18,7 +21,7 @@ FACTS = {
     "cache_read_tokens": 0, "cache_write_tokens": 0, "latency_ms": 0, "principal": "", "message_id": "", "prev_message_id": "", "thread_id": "", "request_uuid": "", "num_messages": 0, "extras": "",
 }
 TABLES = ("facts", "turns", "conversations")
-SUMS = ("invocations", "input_tokens", "output_tokens", "cache_read_tokens", "errors")
+SUMS = ("invocations", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "errors")
 
 
 def _completed(records: DataFrame) -> DataFrame:
@@ -44,31 +47,55 @@ def facts(records: DataFrame, conversations: DataFrame) -> DataFrame:
     return sessionize.keyed(records).join(ids, same).withColumn("conversation_id", F.col("in_id")).select(*FACTS)
 
 
+def file_names(conversations: DataFrame) -> DataFrame:
+    """conversations with file: conversations/<name>.json, name being the safe form of the id; of equal names the later ones in display order get _2, _3, ..."""
+    base = text.sanitize_filename(F.col("conversation_id"))
+    order = Window.partitionBy("base").orderBy(*sessionize.KEY)
+    numbered = conversations.withColumn("base", base).withColumn("k", F.row_number().over(order))
+    name = F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("k").cast("string")))
+    # a numbered name that is another's base is told apart by the base it came from
+    bases = numbered.where("k = 1").select(F.col("base").alias("name"), F.lit(True).alias("taken"))
+    made = numbered.withColumn("name", name).join(bases, "name", "left")
+    clash = F.col("taken").isNotNull() & (F.col("k") > 1)
+    return made.withColumn("file", F.concat(F.lit("conversations/"), F.when(clash, F.concat("name", F.lit("_"), F.substring(F.sha2("base", 256), 1, 8))).otherwise(F.col("name")), F.lit(".json"))).drop("base", "k", "name", "taken")
+
+
+def _counts(records: DataFrame, column: str) -> DataFrame:
+    """One row: how many records each value of column has, as a map; models and operations are few."""
+    each = records.groupBy(F.coalesce(column, F.lit("")).alias("name")).agg(F.count("*").alias("n"))
+    return each.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias(f"by_{column}"))
+
+
 def write(records: DataFrame, path: str, source: str = "", embed: bool = False) -> None:
     """Writes records (columns of the readers) as an export to the new folder path.
 
-    facts are sorted by time, request id and uuid, turns by conversation, thread and place. Bodies are left out unless
-    embed, which adds a table bodies (request_id, request_uuid, input_body, output_body). The folder must not exist yet.
+    facts are sorted by time, request id and uuid, turns by the place of their conversation, thread and place. Bodies are
+    left out unless embed, which adds a table bodies (request_id, request_uuid, input_body, output_body). The folder must not
+    exist yet. records are read once: they are kept on the executors' disks until all tables are written.
     """
-    records = _completed(records)
-    convs = sessionize.with_ids(sessionize.conversations(records))
+    records = _completed(records).persist(StorageLevel.DISK_ONLY)
+    convs = file_names(sessionize.with_ids(sessionize.conversations(records)))
     save = lambda df, name: df.write.option("compression", "zstd").parquet(f"{path}/{name}.parquet")
     save(facts(records, convs).orderBy("timestamp", "request_id", "request_uuid"), "facts")
     has_bodies = {"input_body", "output_body"} <= set(records.columns)
-    turns = reconstruct.turns(records) if has_bodies else None
+    # the kinds of bodies that there are: three at most
+    kinds = tuple(r[0] for r in records.select(family(F.col("provider"), F.col("model_id"))).distinct().collect() if r[0] in reconstruct.ENVELOPES)
+    turns = reconstruct.turns(records, kinds or ("anthropic",)) if has_bodies else None
     if turns is not None:
-        save(turns.withColumn("conversation_id", F.col("session_id")).withColumn("timestamp", F.timestamp_micros("ts")).drop("ts").orderBy("day", "conversation_id", "provider", "thread_id", "turn_index"), "turns")
+        save(turns.withColumn("conversation_id", F.col("session_id")).withColumn("timestamp", F.timestamp_micros("ts")).drop("ts").orderBy("day", "provider", "session_id", "thread_id", "turn_index"), "turns")
         counts = records.sparkSession.read.parquet(f"{path}/turns.parquet").groupBy("day", "provider", F.col("session_id").alias("k1")).agg(F.count("*").alias("turn_count"))
         convs = convs.join(counts.withColumn("is_gap", F.lit(0)), ["day", "provider", "k1", "is_gap"], "left")
     else:
         convs = convs.withColumn("turn_count", F.lit(None).cast("long"))
-    entry = convs.select("conversation_id", "display_id", "day", "provider", "model_id", "session_id", "principal", F.timestamp_micros("start_ts").alias("start_time"), F.timestamp_micros("end_ts").alias("end_time"), *SUMS, F.coalesce("turn_count", F.lit(0).cast("long")).alias("turn_count"), F.col("turn_count").isNotNull().alias("reconstructed"))
+    entry = convs.select("conversation_id", "display_id", "file", "day", "provider", "model_id", "session_id", "principal", F.timestamp_micros("start_ts").alias("start_time"), F.timestamp_micros("end_ts").alias("end_time"), *SUMS, F.coalesce("turn_count", F.lit(0).cast("long")).alias("turn_count"), F.col("turn_count").isNotNull().alias("reconstructed"))
     save(entry.orderBy("start_time", "conversation_id"), "conversations")
     if embed and has_bodies:
         save(records.select("request_id", "request_uuid", "input_body", "output_body"), "bodies")
-    totals = records.sparkSession.read.parquet(f"{path}/conversations.parquet").agg(F.count("*").alias("conversations"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS))
-    stamp = (F.lit(VERSION).alias("schema_version"), F.current_timestamp().alias("generated_at"), F.lit(source).alias("source"), F.lit("embed" if embed else "omit").alias("raw_bodies"))
+    totals = records.sparkSession.read.parquet(f"{path}/conversations.parquet").agg(F.count("*").alias("conversations"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS), F.min("start_time").alias("first"), F.max("end_time").alias("last"), F.count_distinct("day").alias("days"))
+    totals = totals.crossJoin(_counts(records, "model_id")).crossJoin(_counts(records, "operation"))  # one row each
+    stamp = (F.lit(VERSION).alias("schema_version"), F.current_timestamp().alias("generated_at"), F.lit("tracewell").alias("tool"), F.lit(source).alias("source"), F.lit("embed" if embed else "omit").alias("raw_bodies"))
     totals.select(*stamp, F.struct("*").alias("totals")).coalesce(1).write.json(f"{path}/manifest.json")
+    records.unpersist()
 
 
 def manifest(spark: SparkSession, path: str) -> dict:
@@ -85,3 +112,27 @@ def read(spark: SparkSession, path: str, table: str = "facts") -> DataFrame:
     if table not in (*TABLES, "bodies"):
         raise ValueError(f"no table {table!r}")
     return spark.read.parquet(f"{path}/{table}.parquet")
+
+
+def conversation(spark: SparkSession, path: str, conversation_id: str) -> tuple[DataFrame, DataFrame]:
+    """(the entry, the turns in order: main thread first) of one conversation of an export; both empty if there is none."""
+    entry = read(spark, path, "conversations").where(F.col("conversation_id") == conversation_id)
+    return entry, read(spark, path, "turns").where(F.col("conversation_id") == conversation_id).orderBy("thread_id", "turn_index")
+
+
+def body(spark: SparkSession, path: str, request_id: str) -> DataFrame:
+    """(request_id, request_uuid, input_body, output_body, input_preview, output_preview) of an invocation of an export with bodies."""
+    found = read(spark, path, "bodies").where(F.col("request_id") == request_id)
+    return found.select("*", text.preview(F.col("input_body")).alias("input_preview"), text.preview(F.col("output_body")).alias("output_preview"))
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """(day, conversations, invocations, input_tokens, output_tokens, errors, first, last) of an export, a row per day."""
+    each = read(spark, path, "conversations").groupBy("day")
+    return each.agg(F.count("*").alias("conversations"), *(F.sum(c).alias(c) for c in ("invocations", "input_tokens", "output_tokens", "errors")), F.min("start_time").alias("first"), F.max("end_time").alias("last")).orderBy("day")
+
+
+def summary(spark: SparkSession, path: str) -> list[str]:
+    """The lines that tell about an export when it is written."""
+    t = manifest(spark, path)["totals"]
+    return [f"Export written to {path} ({t['conversations']} conversations)", f"  Range:         {t.get('first', '')} to {t.get('last', '')}", f"  Invocations:   {t['invocations']}", f"  Input tokens:  {t['input_tokens']} (cache read: {t['cache_read_tokens']}, cache write: {t['cache_write_tokens']})", f"  Output tokens: {t['output_tokens']}", f"  Errors:        {t['errors']}", f"  Days:          {t['days']}"]
