@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tracewell.plans import catalog
+from tracewell.plans import catalog, readers  # noqa: F401
 
 TABLES = ("events", "conversations", "customer", "documents", "pages")
 

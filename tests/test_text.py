@@ -14,6 +14,8 @@ def one(spark, column, value, kind):
 
 def test_labels(spark):
     assert [one(spark, text.duration_label, n, "long") for n in (0, 999, 1000, 1500, 61_000)] == ["0ms", "999ms", "1.0s", "1.5s", "61.0s"]
+    for ms in (1050, 1250, 1350, 16650, 99950, 123450, 1234567850, 2**53 - 41):
+        assert one(spark, text.duration_label, ms, "long") == f"{ms / 1000:.1f}s"
     assert [one(spark, lambda x: text.truncated(x, 3), s, "string") for s in ("", "abc", "abcd", None)] == ["", "abc", "abc...", ""]
     assert [one(spark, text.short_session, s, "string") for s in ("12345678-abc", "short", None)] == ["12345678", "short", ""]
     assert [one(spark, text.grouped_digits, n, "long") for n in (0, 999, 1000, -1234567)] == ["0", "999", "1,000", "-1,234,567"]

@@ -61,8 +61,19 @@ def arm_segment(x: Column, key: str) -> Column:
 
 
 def duration_label(ms: Column) -> Column:
-    """Milliseconds under a second, else seconds with one decimal."""
-    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(F.format_string("%.1fs", ms / 1000))
+    """Milliseconds under a second, else seconds with one decimal.
+
+    Half a tenth goes the way of the binary number ms / 1000, to the even tenth where it is exact, as C's %.1f does.
+    """
+    part, seconds = ms % 1000, ms.cast("double") / 1000
+    f = seconds - F.floor(seconds)
+    # f is cut in two, so that neither product with 1000 is rounded
+    high = F.floor(f * (1 << 26)) / (1 << 26)
+    off = (high * 1000 - part) + (f - high) * 1000
+    tenths = F.floor(ms / 100)
+    up = F.when(ms % 100 != 50, ms % 100 > 50).otherwise((off > 0) | (off == 0) & (tenths % 2 == 1))
+    rounded = tenths + up.cast("long")
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"), F.lit("s")))
 
 
 def truncated(x: Column, n: int) -> Column:
