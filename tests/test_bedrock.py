@@ -4,7 +4,7 @@ import json
 import pytest
 
 from tracewell.operators import sessionize
-from tracewell.sources import bedrock
+from tracewell.sources import bedrock, contract
 from tracewell.sources.dates import window
 
 
@@ -48,6 +48,15 @@ def test_records_become_conversations(spark, bucket):
     assert sorted((r["conversation_id"] if not r["is_gap"] else "gap", r["invocations"]) for r in found) == [("gap", 2), ("s1", 1), ("s2", 1)]
 
 
+def test_contract(spark, bucket):
+    rows = contract.read(spark, "bedrock", bucket, "2024-01-15", "2024-01-15", bucket="logs")
+    assert rows.columns == list(contract.RECORD) and rows.dtypes == [(c, k.replace("long", "bigint").replace(", ", ",")) for c, k in contract.RECORD.items()]
+    one = rows.where("request_id = 'a'").first()
+    assert (one.thread_id, one.num_messages, one.latency_ms, one.extra, one.stop_reason) == ("", 0, 0, {"accountId": "7"}, "")
+    with pytest.raises(ValueError):
+        contract.read(spark, "other", bucket)
+
+
 def test_dates():
     assert [x.isoformat() for x in window("2024-01-15", "2024-01-15")] == ["2024-01-15T00:00:00+00:00", "2024-01-16T00:00:00+00:00"]
     assert window() == (None, None)

@@ -52,6 +52,10 @@ def test_one_conversation_one_body_and_the_index(spark, records, tmp_path):
     entry, turns = export.conversation(spark, path, "s")
     assert entry.first().invocations == 3 and [(r.thread_id, r.turn_index) for r in turns.collect()] == [("", 0), ("", 1), ("", 2), ("", 3), ("b", 0), ("b", 1)]
     assert [x.count() for x in export.conversation(spark, path, "none")] == [0, 0]
+    docs = {r.file: json.loads(r.document) for r in export.documents(spark, path).collect()}
+    one = docs["conversations/s.json"]
+    assert len(docs) == 3 and [t["role"] for t in one["turns"]] == ["user", "assistant", "user", "assistant"] and one["turns"][3]["metrics"]["request_id"] == "r1" and "metrics" not in one["turns"][0]
+    assert [(x["thread_id"], len(x["turns"])) for x in one["sidechains"]] == [("b", 2)] and "turns" not in docs["conversations/broken.json"] and one["invocations"] == 3
     shown = export.body(spark, path, "r1").first()
     assert shown.input_preview == shown.input_body and json.loads(shown.output_body)["role"] == "assistant"
     assert [(r.day, r.conversations, r.invocations, r.errors) for r in export.index(spark, path).collect()] == [("20240115", 3, 5, 1)]

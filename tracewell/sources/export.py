@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import text
 from tracewell.functions.envelopes import family
 from tracewell.operators import reconstruct, sessionize
+from tracewell.operators.blocks import BLOCK
 
 #: Layout version, and the columns of facts in order with what stands for absent ones.
 VERSION = "tracewell.export/1.0"
@@ -120,6 +121,20 @@ def conversation(spark: SparkSession, path: str, conversation_id: str) -> tuple[
     return entry, read(spark, path, "turns").where(F.col("conversation_id") == conversation_id).orderBy("thread_id", "turn_index")
 
 
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, document) of every conversation of an export: its entry, its turns and its sidechains as one JSON text.
+
+    The text is the whole conversation, so its turns meet in one row; the tables hold the same without that.
+    """
+    turn = F.struct("role", F.from_json("blocks", f"array<{BLOCK}>").alias("blocks"), F.when(F.col("has_metrics"), F.struct("request_id", "model_id", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "latency_ms", "stop_reason")).alias("metrics"))
+    each = read(spark, path, "turns").groupBy("day", "provider", "session_id", "thread_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn_index", turn.alias("turn")))), lambda x: x["turn"]).alias("turns"))
+    side = F.filter(F.array_sort(F.collect_list(F.struct("thread_id", "turns"))), lambda t: t["thread_id"] != "").alias("sidechains")
+    whole = each.groupBy("day", "provider", "session_id").agg(F.max(F.when(F.col("thread_id") == "", F.col("turns"))).alias("turns"), side)
+    entries = read(spark, path, "conversations")
+    named = entries.join(whole, ["day", "provider", "session_id"], "left")
+    return named.select("file", F.to_json(F.struct(F.lit(VERSION).alias("schema_version"), *(c for c in entries.columns if c != "file"), "turns", F.when(F.size("sidechains") > 0, F.col("sidechains")).alias("sidechains"))).alias("document"))
+
+
 def body(spark: SparkSession, path: str, request_id: str) -> DataFrame:
     """(request_id, request_uuid, input_body, output_body, input_preview, output_preview) of an invocation of an export with bodies."""
     found = read(spark, path, "bodies").where(F.col("request_id") == request_id)

@@ -1 +1 @@
-"""Streaming of the invocation-log analytics engine."""
+"""Invocations as they arrive."""
