@@ -6,13 +6,14 @@ smallest hash among its runs of GRAM words; equal windows have equal anchors, so
 Anchors are one place in about fourteen. Windows are told apart by 128 bits of hash.
 
 Compile. Documents are dealt to shards of about SHARD_BYTES. Passages of recurring windows are cut into phrases of WINDOW
-words (the last one overlaps), and of equal phrases one is kept, wherever it comes from. A phrase goes to every shard that
-has its anchor, since only there can it occur. There the phrases are compiled into an Aho-Corasick automaton over words (one
-character per distinct word).
+words that cover them. Cuts inside a passage follow its content (least hashes again, one in about eighteen words), so that
+copies are cut alike whatever stands around them; of equal phrases one is kept, wherever it comes from, and it goes to
+every shard that has its anchor, since only there can it occur. The first and last window of a passage are phrases for its own
+shard. In each shard the phrases are compiled into an Aho-Corasick automaton over words (one character per distinct word).
 
 Stream. Every document runs through the automaton of its shard, and the occurrences that it finds, of phrases from any
 document, are what is removed. Each document is streamed once, and an automaton holds only phrases whose anchors its shard
-has, so work grows with the input.
+has, so work grows with the input. Words stand as 64-bit hashes in phrases.
 
 Counts travel packed, as arrays of hashes per (bucket, shard): a hot passage is one entry per shard, whatever its copies, and
 one row of phrases.
@@ -102,9 +103,19 @@ class _Shard:
         # a place is selected if it is the anchor of a window around it
         high = np.zeros(n, np.uint64)
         high[window] = least
-        ahead = _sliding(high[::-1], width, np.maximum)[::-1]
-        picked = np.flatnonzero((ahead == gram) & (gram != _NONE))
-        return gram[picked], window, least
+        return gram[_selected(gram, high, width)], window, least
+
+    def cuts(self) -> np.ndarray:
+        """Which words begin the least run of GRAM words among WINDOW neighbours; of WINDOW neighbouring windows at least one is so."""
+        gram = np.full(len(self.hashes), _NONE)
+        at, h = self.windows(GRAM)
+        gram[at] = h
+        return _selected(gram, _sliding(gram, WINDOW, np.minimum), WINDOW)
+
+
+def _selected(gram: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
+    """Which places hold the least gram of a stretch of width places around them; least: that of the stretch from each place on."""
+    return (_sliding(least[::-1], width, np.maximum)[::-1] == gram) & (gram != _NONE)
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -119,9 +130,15 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first places, group of each row, sizes) of the distinct rows of h, in order."""
-    order = np.lexsort(h.T[::-1])
+    order = np.argsort(h[:, 0])
+    ordered = h[order]
+    same = ordered[1:, 0] == ordered[:-1, 0]
+    if h.shape[1] > 1 and (same & (ordered[1:] != ordered[:-1]).any(axis=1)).any():
+        # rows that share only their first word
+        order = np.lexsort(h.T[::-1])
+        ordered = h[order]
     new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]).any(axis=1)
+    new[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
     group = np.empty(len(h), np.int64)
     group[order] = np.cumsum(new) - 1
     return order[new], group, np.bincount(group) if len(h) else np.zeros(0, np.int64)
@@ -180,60 +197,63 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def _phrases(shard: _Shard, starts: np.ndarray) -> np.ndarray:
-    """First words of the phrases that cover what the recurring windows at starts cover."""
+def _phrases(shard: _Shard, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts at cuts, starts of passages and their ends): the windows that cover what the recurring windows at starts cover."""
     if not len(starts):
-        return starts
-    breaks = np.flatnonzero((np.diff(starts) != 1) | (shard.row[starts[1:]] != shard.row[starts[:-1]])) + 1
-    out = []
-    for lo, hi in zip(np.concatenate([[0], breaks]).tolist(), np.concatenate([breaks, [len(starts)]]).tolist(), strict=True):
-        first, last = int(starts[lo]), int(starts[hi - 1])
-        out += [*range(first, last, WINDOW), last]
-    return np.array(out, np.int64)
+        return starts, starts
+    breaks = (np.diff(starts) != 1) | (shard.row[starts[1:]] != shard.row[starts[:-1]])
+    edge = np.ones(len(starts), bool)
+    edge[1:-1] = breaks[1:] | breaks[:-1]
+    cut = shard.cuts()[starts]
+    return starts[cut], starts[edge & ~cut]
 
 
 def _sent(phrases: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(shard, phrases: joined by line breaks) from distinct (bucket, anchor, phrase) and the anchors (bucket, shard, hashes) of the shards."""
+    """(shard, phrases) from distinct (bucket, anchor, phrase: word hashes) and the anchors (bucket, shard, hashes) of the shards."""
 
     def meet(given: pa.Table, asked: pa.Table) -> pa.Table:
         known = given.column("anchor").to_numpy().view(np.uint64) if given.num_rows else np.zeros(0, np.uint64)
         order = np.argsort(known, kind="stable")
-        known, texts = known[order], given.column("phrase").take(pa.array(order)).to_pylist() if given.num_rows else []
+        known, texts = known[order], np.frombuffer(b"".join(given.column("phrase").to_pylist()), np.uint64).reshape(-1, WINDOW)[order]
         shards, packs = [], []
         for shard, data in zip(asked.column("shard").to_pylist(), asked.column("hashes").to_pylist(), strict=True):
             h = np.frombuffer(data, np.uint64)
-            lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
-            mine = [texts[k] for i, j in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True) for k in range(i, j)]
-            if mine:
+            lo, n = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+            n -= lo
+            mine = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            if len(mine):
                 shards.append(shard)
-                packs.append("\n".join(mine))
-        return pa.table({"shard": pa.array(shards, pa.int32()), "phrases": pa.array(packs, pa.string())})
+                packs.append(texts[mine].tobytes())
+        return pa.table({"shard": pa.array(shards, pa.int32()), "phrases": pa.array(packs, pa.binary())})
 
-    return phrases.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(meet, "shard int, phrases string")
+    return phrases.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(meet, "shard int, phrases binary")
 
 
-def _covered(shard: _Shard, phrases: list[str]) -> np.ndarray:
-    """Which words of the shard the occurrences of phrases cover: one automaton, through which every document runs."""
+def _covered(shard: _Shard, phrases: np.ndarray) -> np.ndarray:
+    """Which words of the shard the occurrences of phrases (rows of word hashes) cover: one automaton, through which every document runs."""
     cover = np.zeros(len(shard.hashes) + 1, np.int32)
     vocabulary, code = np.unique(shard.hashes, return_inverse=True)
-    asked = _Shard(pa.table({"text": pa.array(phrases, pa.string())})).hashes.reshape(-1, WINDOW)
-    at = np.minimum(np.searchsorted(vocabulary, asked), max(0, len(vocabulary) - 1))
+    at = np.minimum(np.searchsorted(vocabulary, phrases), max(0, len(vocabulary) - 1))
     # a phrase with a word that no document here has cannot occur
-    at = at[(vocabulary[at] == asked).all(axis=1)] if len(vocabulary) else at[:0]
+    at = at[(vocabulary[at] == phrases).all(axis=1)] if len(vocabulary) else at[:0]
     if len(at):
         if len(vocabulary) <= LETTERS:
             spell = lambda x: np.where(x + 1 >= 0xD800, x + 0x801, x + 1).astype("<u4").tobytes().decode("utf-32-le")
             auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            text = spell(at.ravel())
+            for i in range(0, len(text), WINDOW):
+                auto.add_word(text[i : i + WINDOW])
+            whole = spell(code)
         else:
-            spell = lambda x: tuple(x.tolist())
             auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        for phrase in at:
-            auto.add_word(spell(phrase))
+            for phrase in at.tolist():
+                auto.add_word(tuple(phrase))
+            whole = tuple(code.tolist())
         auto.make_automaton()
         ends = []
         for lo, hi in zip(shard.first.tolist(), shard.first.tolist()[1:]):  # noqa: B905
             if hi - lo >= WINDOW:
-                ends += [lo + e + 1 for e, _ in auto.iter(spell(code[lo:hi]))]
+                ends += [lo + e + 1 for e, _ in auto.iter(whole[lo:hi])]
         ends = np.array(ends, np.int64)
         cover[ends - WINDOW] += 1
         np.add.at(cover, ends, -1)
@@ -277,19 +297,21 @@ def dedupe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return _requests(table.column("shard")[0].as_py(), h[np.isin(at, may, assume_unique=True)], window_buckets)
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
-        anchors, phrases = np.zeros(0, np.uint64), []
+        """The shard's phrases for all shards by anchor (to: -1) and for itself (to: its number)."""
+        to, anchors, phrases = np.zeros(0, np.int32), np.zeros(0, np.uint64), []
         if table.num_rows and replies.num_rows:
             shard = _Shard(table)
             at, h = shard.long_windows()
-            starts = _phrases(shard, at[_among(h, _known(replies, 2))])
+            cuts, edges = _phrases(shard, at[_among(h, _known(replies, 2))])
             _, window, least = shard.anchors()
-            first, _, _ = _groups(h[np.searchsorted(at, starts)])
-            starts = starts[first]
+            cuts, edges = (x[_groups(h[np.searchsorted(at, x)])[0]] for x in (cuts, edges))
+            starts = np.concatenate([cuts, edges])
+            to = np.repeat(np.array([-1, table.column("shard")[0].as_py()], np.int32), [len(cuts), len(edges)])
             anchors = least[np.searchsorted(window, starts)]
-            raw, start, end = shard.raw.tobytes(), shard.start.tolist(), shard.end.tolist()
-            phrases = [b" ".join([raw[start[j] : end[j]] for j in range(i, i + WINDOW)]).decode() for i in starts.tolist()]
+            words = shard.hashes[starts[:, None] + np.arange(WINDOW)].tobytes()
+            phrases = [words[i : i + 8 * WINDOW] for i in range(0, len(words), 8 * WINDOW)]
         bucket = (anchors % np.uint64(anchor_buckets)).astype(np.int32)
-        return pa.table({"bucket": pa.array(bucket), "anchor": pa.array(anchors.view(np.int64)), "phrase": pa.array(phrases, pa.string())})
+        return pa.table({"to": pa.array(to), "bucket": pa.array(bucket), "anchor": pa.array(anchors.view(np.int64)), "phrase": pa.array(phrases, pa.binary())})
 
     columns = ["id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
 
@@ -297,7 +319,7 @@ def dedupe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shard = _Shard(table) if table.num_rows else None
         out: list[list] = [[] for _ in columns]
         if shard:
-            gone = _covered(shard, [p for x in sent.column("phrases").to_pylist() for p in x.split("\n")])
+            gone = _covered(shard, np.frombuffer(b"".join(sent.column("phrases").to_pylist()), np.uint64).reshape(-1, WINDOW))
             raw, start, end = shard.raw.tobytes(), shard.start.tolist(), shard.end.tolist()
             bounds = shard.first.tolist()
             for i, key in enumerate(table.column("id").to_pylist()):
@@ -312,8 +334,9 @@ def dedupe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     anchors = written(_recurring(texts.groupBy("shard").applyInArrow(ask_anchors, _REQUEST), 1), "anchors")
     asked = texts.groupBy("shard").cogroup(anchors.groupBy("shard")).applyInArrow(ask_windows, _REQUEST)
     recurring = written(_recurring(asked, 2), "windows")
-    phrases = texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(cut, "bucket int, anchor long, phrase string")
-    sent = _sent(phrases.distinct(), anchors)
+    phrases = written(texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(cut, "to int, bucket int, anchor long, phrase binary"), "cuts")
+    own = phrases.where("to >= 0").select(F.col("to").alias("shard"), F.col("phrase").alias("phrases"))
+    sent = _sent(phrases.where("to < 0").select("bucket", "anchor", "phrase").distinct(), anchors).unionByName(own)
     done = texts.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(remove, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     done = written(done, "phrases")
     spark.sql(f"DROP TABLE {name}")
