@@ -157,7 +157,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, end: int, id_col: str =
     """PIECES of the whole texts of documents; every token bears loss.
 
     Null text is empty and gives its end id alone. Rows that repeat an id or a text are packed each. Null ids stay null.
-    Sequence ids are unique, not dense. An empty table gives an empty result.
+    Sequence ids are unique, not dense. An empty table gives an empty result. Other columns do not matter, whatever their names.
     """
 
     def run(batches):

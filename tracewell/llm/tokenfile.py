@@ -171,7 +171,8 @@ def write(documents: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id"
     """Encodes whole texts and writes shard files in ascending id order; returns the table (shard, path, n_docs, n_tokens).
 
     A shard is a range of ids. Null ids come first, rows that repeat an id stand in the order of their texts, null text is
-    empty. The table names the files of committed tasks only; a task that runs twice leaves an unread file.
+    empty; a document of any length is written block by block. An empty table gives no file. Other columns do not matter,
+    whatever their names. The table names the files of committed tasks only; a task that runs twice leaves an unread file.
     """
     folder = scratch(documents.sparkSession, "tokens")
 
