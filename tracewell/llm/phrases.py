@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -92,10 +93,7 @@ class _Shard:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(anchors of all places selected, first words of windows, their anchors)."""
-        n = len(self.hashes)
-        gram = np.full(n, _NONE)
-        at, h = self.windows(GRAM)
-        gram[at] = h
+        n, gram = len(self.hashes), self._grams()
         width = WINDOW - GRAM + 1
         window, _ = tk.windows(np.zeros(n, np.uint64), self.row, WINDOW) if n else (np.zeros(0, np.int64), None)
         low = _sliding(gram, width, np.minimum)
@@ -105,11 +103,23 @@ class _Shard:
         high[window] = least
         return gram[_selected(gram, high, width)], window, least
 
-    def cuts(self) -> np.ndarray:
-        """Which words begin the least run of GRAM words among WINDOW neighbours; of WINDOW neighbouring windows at least one is so."""
+    def _grams(self) -> np.ndarray:
+        """The hash of the run of GRAM words from each word on."""
         gram = np.full(len(self.hashes), _NONE)
         at, h = self.windows(GRAM)
         gram[at] = h
+        return gram
+
+    def anchors_of(self, windows: np.ndarray) -> np.ndarray:
+        """The anchors of the windows that begin at the words windows."""
+        gram, least = self._grams(), np.full(len(windows), _NONE)
+        for i in range(WINDOW - GRAM + 1):
+            least = np.minimum(least, gram[windows + i])
+        return least
+
+    def cuts(self) -> np.ndarray:
+        """Which words begin the least run of GRAM words among WINDOW neighbours; of WINDOW neighbouring windows at least one is so."""
+        gram = self._grams()
         return _selected(gram, _sliding(gram, WINDOW, np.minimum), WINDOW)
 
 
@@ -303,11 +313,10 @@ def dedupe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             shard = _Shard(table)
             at, h = shard.long_windows()
             cuts, edges = _phrases(shard, at[_among(h, _known(replies, 2))])
-            _, window, least = shard.anchors()
             cuts, edges = (x[_groups(h[np.searchsorted(at, x)])[0]] for x in (cuts, edges))
             starts = np.concatenate([cuts, edges])
             to = np.repeat(np.array([-1, table.column("shard")[0].as_py()], np.int32), [len(cuts), len(edges)])
-            anchors = least[np.searchsorted(window, starts)]
+            anchors = shard.anchors_of(starts)
             words = shard.hashes[starts[:, None] + np.arange(WINDOW)].tobytes()
             phrases = [words[i : i + 8 * WINDOW] for i in range(0, len(words), 8 * WINDOW)]
         bucket = (anchors % np.uint64(anchor_buckets)).astype(np.int32)
@@ -320,13 +329,15 @@ def dedupe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out: list[list] = [[] for _ in columns]
         if shard:
             gone = _covered(shard, np.frombuffer(b"".join(sent.column("phrases").to_pylist()), np.uint64).reshape(-1, WINDOW))
-            raw, start, end = shard.raw.tobytes(), shard.start.tolist(), shard.end.tolist()
-            bounds = shard.first.tolist()
+            raw, offsets, bounds = shard.raw.tobytes(), shard.offsets.tolist(), shard.first.tolist()
+            before = np.concatenate([[0], np.cumsum(gone)])[shard.first]
+            lost, stays = np.diff(before).tolist(), (~gone).tobytes()
             for i, key in enumerate(table.column("id").to_pylist()):
                 lo, hi = bounds[i], bounds[i + 1]
-                stay = (np.flatnonzero(~gone[lo:hi]) + lo).tolist()
-                kept = b" ".join([raw[start[j] : end[j]] for j in stay])
-                for column, value in zip(out, (key, hi - lo, hi - lo - len(stay), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=False):
+                # bytes are split at the same characters as words end
+                words_ = raw[offsets[i] : offsets[i + 1]].split()
+                kept = b" ".join(compress(words_, stays[lo:hi]) if lost[i] else words_)
+                for column, value in zip(out, (key, hi - lo, lost[i], hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None), strict=False):
                     column.append(value)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=False)], names=columns)
