@@ -49,7 +49,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Kinds of bodies: provider, model, the request's list, and a message and a reply as functions of role and text.
 _KINDS = {
     "anthropic": ("bedrock", MODELS[0], "messages", lambda r, t: F.struct(r.alias("role"), t.alias("content")), lambda m: m),
-    "openai": ("azure", MODELS[1], "messages", lambda r, t: F.struct(r.alias("role"), t.alias("content")), lambda m: F.struct(F.array(F.struct(m.alias("message"), F.lit("stop").alias("finish_reason"))).alias("choices"))),
+    "openai": ("azure", MODELS[1], "messages", lambda r, t: F.struct(r.alias("role"), t.alias("content")), lambda m: F.struct(F.array(F.struct(m.alias("message"), F.lit("stop").alias("finish_reason"))).alias("choices"), F.struct(F.length(m["content"]).alias("completion_tokens")).alias("usage"))),
     "gemini": ("vertex", MODELS[2], "contents", lambda r, t: F.struct(F.when(r == "assistant", "model").otherwise(r).alias("role"), F.array(F.struct(t.alias("text"))).alias("parts")), lambda m: F.struct(F.array(F.struct(m.alias("content"), F.lit("STOP").alias("finishReason"))).alias("candidates"))),
 }
 

@@ -160,6 +160,11 @@ def adjacent_pairs(spark, sf_dir):
     return _paired(spark, sf_dir)[0].select(F.col("uuid").alias("request_id"), "message_id")
 
 
+@query(f"SELECT count(*) AS requests, count(*) FILTER (WHERE message_id <> '') AS paired FROM {_PAIRS} p")
+def paired_count(spark, sf_dir):
+    return _paired(spark, sf_dir)[0].agg(F.count("*").alias("requests"), F.count_if(F.col("message_id") != "").alias("paired"))
+
+
 @query(f"SELECT message_id FROM {{facts}} f WHERE message_id NOT IN (SELECT message_id FROM {_PAIRS} p)")
 def unclaimed_responses(spark, sf_dir):
     return pairing.unclaimed(*_paired(spark, sf_dir)).select("message_id")
@@ -204,6 +209,14 @@ def system_prompt(spark, sf_dir):
     return reconstruct.threads(invocation_bodies(spark, sf_dir, "openai"), ("openai",)).select("session_id", "system_prompt")
 
 
+@query(f"WITH t AS {_TURNS}, o AS (SELECT length(text) AS n FROM t WHERE role = 'assistant' AND i > 0) SELECT round(quantile_cont(n, 0.5), 3) AS p50, round(quantile_cont(n, 0.9), 3) AS p90, round(quantile_cont(n, 0.99), 3) AS p99 FROM o")
+def turn_output_quantiles(spark, sf_dir):
+    """Output tokens of assistant turns with metrics, as their replies' usage tells them."""
+    made = reconstruct.turns(invocation_bodies(spark, sf_dir, "openai"), ("openai",)).where("role = 'assistant' and has_metrics")
+    p = made.agg(F.percentile("output_tokens", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("p"))
+    return p.select(*(F.round(F.col("p")[i], 3).alias(n) for i, n in enumerate(("p50", "p90", "p99"))))
+
+
 @query(f"WITH t AS {_TURNS} SELECT conv_id, i::INTEGER AS turn_index, role, CASE WHEN role = 'assistant' AND i > 0 THEN conv_id || '-' || i END AS request_id FROM t")
 def metrics_attach(spark, sf_dir):
     """Every turn of every conversation with the invocation that answered with it, if any."""
