@@ -9,7 +9,7 @@ Compile. Documents are dealt to shards of about SHARD_BYTES. Passages of recurri
 words that cover them. Cuts inside a passage follow its content (least hashes again, one in about eighteen words), so that
 copies are cut alike whatever stands around them; of equal phrases one is kept, wherever it comes from, and it goes to
 every shard that has its anchor, since only there can it occur. The first and last window of a passage are phrases for its own
-shard. In each shard the phrases are compiled into an Aho-Corasick automaton over words (one character per distinct word).
+shard. In each shard the phrases are compiled into an Aho-Corasick automaton over words (two characters each).
 
 Stream. Every document runs through the automaton of its shard, and the occurrences that it finds, of phrases from any
 document, are what is removed. Each document is streamed once, and an automaton holds only phrases whose anchors its shard
@@ -22,6 +22,7 @@ one row of phrases.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from itertools import compress
 
@@ -44,8 +45,6 @@ MOST_BUCKETS = 100_000
 #: Hashes a bucket should hold, and the least number of buckets; the volume is estimated from bytes of text (six a word).
 BUCKET = 1 << 19
 LEAST_BUCKETS = 16
-#: Characters that stand for words: all but the surrogates.
-LETTERS = 0x10FFFF - 0x800
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _REQUEST = "bucket int, shard int, hashes binary, many binary"
 
@@ -247,23 +246,17 @@ def _covered(shard: _Shard, phrases: np.ndarray) -> np.ndarray:
     # a phrase with a word that no document here has cannot occur
     at = at[(vocabulary[at] == phrases).all(axis=1)] if len(vocabulary) else at[:0]
     if len(at):
-        if len(vocabulary) <= LETTERS:
-            spell = lambda x: np.where(x + 1 >= 0xD800, x + 0x801, x + 1).astype("<u4").tobytes().decode("utf-32-le")
-            auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            text = spell(at.ravel())
-            for i in range(0, len(text), WINDOW):
-                auto.add_word(text[i : i + WINDOW])
-            whole = spell(code)
-        else:
-            auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-            for phrase in at.tolist():
-                auto.add_word(tuple(phrase))
-            whole = tuple(code.tolist())
+        # a word is two characters, of different ranges: nodes have few children, which the automaton looks through one by one
+        base = math.isqrt(len(vocabulary)) + 1
+        spell = lambda x: np.stack([x // base + 1, x % base + base + 2], axis=-1).astype("<u4").tobytes().decode("utf-32-le")
+        auto, text, whole = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), spell(at), spell(code)
+        for i in range(0, len(text), 2 * WINDOW):
+            auto.add_word(text[i : i + 2 * WINDOW])
         auto.make_automaton()
         ends = []
         for lo, hi in zip(shard.first.tolist(), shard.first.tolist()[1:]):  # noqa: B905
             if hi - lo >= WINDOW:
-                ends += [lo + e + 1 for e, _ in auto.iter(whole[lo:hi])]
+                ends += [lo + (e + 1) // 2 for e, _ in auto.iter(whole[2 * lo : 2 * hi])]
         ends = np.array(ends, np.int64)
         cover[ends - WINDOW] += 1
         np.add.at(cover, ends, -1)
