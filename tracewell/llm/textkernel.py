@@ -15,14 +15,18 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """batch in runs of rows whose texts hold about max_bytes together (a longer text is a run of its own)."""
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows whose texts hold about max_bytes together (a longer text is a run of its own).
+
+    Arrays over a run take some dozens of bytes per byte of text. What Arrow has freed goes back to the system after a batch.
+    """
     ends = buffers(batch.column(column))[0][1:]
     at = 0
     while at < len(ends):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + max_bytes, "right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
