@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, phrases, quality, secrets, simhash, tokenfile, urls, vectors, warc
-from .common import table
+from . import mixing, packing, periods, phrases, quality, secrets, simhash, tokenfile, urls, vectors, warc
+from .common import WORD, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: End ids of a document in the token files and in packed sequences.
@@ -59,6 +59,25 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.dedupe(table(spark, sf_dir, "documents"))
 
 
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents, by the CRC of their ids, with their words repeated from some place on."""
+    crc = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    split = crc.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)))).withColumn("n", F.size("words"))
+    split = split.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.col("g") % F.greatest("n", F.lit(1))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    at = lambda i: F.when(i >= F.col("a"), F.col("a") + (i - F.col("a")) % F.col("p")).otherwise(i)
+    repeated = F.transform("words", lambda _, i: F.get("words", at(i).cast("int")))
+    return split.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(_made_periodic(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("under"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    shown = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.before"), F.col("best.length"), -F.col("best.under")
+    return shown.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op 2 that SQL can express."""
     return op2_quality_rules(spark, sf_dir).select("doc_id", *quality.STATS, "base_failed")
@@ -72,7 +91,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    ops = (op1_token_file, op2_quality_rules, op3_vector_links, op4_source_mix, op5_warc, op6_url_filter, op7_secret_scan, op8_simhash, op9_packing, op10_repeated_phrases)
+    ops = (op1_token_file, op2_quality_rules, op3_vector_links, op4_source_mix, op5_warc, op6_url_filter, op7_secret_scan, op8_simhash, op9_packing, op10_repeated_phrases, op13_periodic_runs)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run, "quality_base": quality_base, "url_rules": url_rules}
 
 

@@ -2,6 +2,7 @@
 
 from .common import WORD
 from .mixing import MOST_COPIES, WEIGHTS
+from .periods import EXPONENT, LEAST_LENGTH
 from .phrases import WINDOW
 from .quality import LEAST_WORDS, MOST_REPEATED_PERCENT
 from .urls import RULES
@@ -66,4 +67,22 @@ def _fits(rule: str) -> str:
 URL_RULES = f"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages)
 SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(r)} THEN '{r}'" for r, _ in sorted(RULES, key=lambda r: (-len(r[0]), r[0])))} END AS rule FROM p"""
 
-ORACLES: dict[str, str] = {"op3_vector_links": LINKS, "op4_source_mix": MIX, "op5_warc": WARC, "op10_repeated_phrases": PHRASES, "quality_base": QUALITY_BASE, "url_rules": URL_RULES}
+#: Unsigned CRC-32 of an ASCII string: eight shifts for each byte.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length({x}) + 1), lambda i: ord({x}[i])::BIGINT)),
+  lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"""
+
+#: Equal words at every distance, stretches of them, and of stretches with equal ends the smallest period.
+PERIODS = f"""WITH h AS (SELECT doc_id, {_WORDS} AS words, {_CRC.replace("{x}", "(doc_id::VARCHAR)")} AS h FROM documents),
+ g AS (SELECT *, len(words) AS n, (h // 10) % greatest(len(words), 1) AS a, 3 + h // 10 % 8 AS parts FROM h), p AS (SELECT *, 1 + (n - a) // parts AS p FROM g),
+ w AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: words[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE words END AS words FROM p),
+ each AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(words) AS word FROM w),
+ pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM each a JOIN each b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND {EXPONENT} * (b.i - a.i) <= a.n),
+ stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs) x GROUP BY doc_id, q, k HAVING count(*) + q >= greatest({LEAST_LENGTH}, {EXPONENT} * q)),
+ runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length),
+ told AS (SELECT doc_id, count(*) AS n_runs, first(struct_pack(s := start, l := length, p := period) ORDER BY length DESC, start, period) AS top, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start, top.l::BIGINT AS length, top.p::BIGINT AS period, (1000 * top.l // top.p)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM w LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op3_vector_links": LINKS, "op4_source_mix": MIX, "op5_warc": WARC, "op10_repeated_phrases": PHRASES, "op13_periodic_runs": PERIODS, "quality_base": QUALITY_BASE, "url_rules": URL_RULES}

@@ -69,19 +69,24 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
 
 
+def solid(raw: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words."""
+    return ~_SPACE[raw]
+
+
 def words(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) of every word, in order."""
-    solid = ~_SPACE[raw]
+    inside = solid(raw)
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(raw), bool)
     before[:1] = False
-    before[1:] = solid[:-1]
-    starts = np.flatnonzero(solid & (~before | edge[:-1]))
+    before[1:] = inside[:-1]
+    starts = np.flatnonzero(inside & (~before | edge[:-1]))
     after = np.empty(len(raw), bool)
     after[-1:] = False
-    after[:-1] = solid[1:]
-    ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
+    after[:-1] = inside[1:]
+    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     return np.searchsorted(offsets, starts, "right") - 1, starts, ends
 
 
