@@ -10,7 +10,7 @@ from tracewell.llm.sql import ORACLES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, tiny, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tiny}/{t}.parquet'")
     out = con.execute(ORACLES[name])
     names = sorted(c[0] for c in out.description)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, periods, phrases, quality, secrets, simhash, tokenfile, urls, vectors, warc
+from . import mixing, packing, periods, phrases, prefixes, quality, secrets, simhash, tokenfile, urls, vectors, warc
 from .common import WORD, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,6 +59,11 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.dedupe(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    return prefixes.rebuilt_trie(table(spark, sf_dir, "conversations"), F.crc32(c.cast("string").cast("binary")) % 9, c - c % 5)
+
+
 def _made_periodic(docs: DataFrame) -> DataFrame:
     """(doc_id, text): a tenth of the documents, by the CRC of their ids, with their words repeated from some place on."""
     crc = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
@@ -91,7 +96,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    ops = (op1_token_file, op2_quality_rules, op3_vector_links, op4_source_mix, op5_warc, op6_url_filter, op7_secret_scan, op8_simhash, op9_packing, op10_repeated_phrases, op13_periodic_runs)
+    ops = (op1_token_file, op2_quality_rules, op3_vector_links, op4_source_mix, op5_warc, op6_url_filter, op7_secret_scan, op8_simhash, op9_packing, op10_repeated_phrases, op12_prefix_trie, op13_periodic_runs)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run, "quality_base": quality_base, "url_rules": url_rules}
 
 

@@ -85,4 +85,15 @@ PERIODS = f"""WITH h AS (SELECT doc_id, {_WORDS} AS words, {_CRC.replace("{x}",
 SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start, top.l::BIGINT AS length, top.p::BIGINT AS period, (1000 * top.l // top.p)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
 FROM w LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op3_vector_links": LINKS, "op4_source_mix": MIX, "op5_warc": WARC, "op10_repeated_phrases": PHRASES, "op13_periodic_runs": PERIODS, "quality_base": QUALITY_BASE, "url_rules": URL_RULES}
+#: Prefixes as texts in which every role and text stands behind its length; subtrees are the prefixes that begin with them.
+TRIE = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT conv_id, {_CRC.replace("{x}", "(conv_id::VARCHAR)")} % 9 AS h, conv_id - conv_id % 5 AS base FROM (SELECT DISTINCT conv_id FROM t) x),
+ parts AS (SELECT c.conv_id, 0 AS part, i, role, text FROM c JOIN t ON t.conv_id = c.base WHERE i < h UNION ALL SELECT conv_id, 1, i, role, text FROM c JOIN t USING (conv_id) WHERE i >= h),
+ r AS (SELECT conv_id, row_number() OVER here AS depth, strlen(text) AS bytes, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER here AS path FROM parts WINDOW here AS (PARTITION BY conv_id ORDER BY part, i)),
+ members AS (SELECT conv_id, depth, bytes, path, coalesce(lag(path) OVER (PARTITION BY conv_id ORDER BY depth), '') AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM r UNION ALL SELECT conv_id, 0, 0, '', NULL, conv_id NOT IN (SELECT conv_id FROM r) FROM c),
+ nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes, min(parent) AS parent, coalesce(sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends)), sha256('')) AS ends_sha256 FROM members GROUP BY path, depth),
+ kids AS (SELECT parent AS path, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent), full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+ sums AS (SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved_tokens FROM full_nodes a JOIN full_nodes b ON starts_with(b.path, a.path) GROUP BY a.path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256 FROM full_nodes n JOIN sums USING (path) LEFT JOIN nodes p ON n.parent = p.path"""
+
+ORACLES: dict[str, str] = {"op3_vector_links": LINKS, "op4_source_mix": MIX, "op5_warc": WARC, "op10_repeated_phrases": PHRASES, "op12_prefix_trie": TRIE, "op13_periodic_runs": PERIODS, "quality_base": QUALITY_BASE, "url_rules": URL_RULES}
