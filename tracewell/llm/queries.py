@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, periods, phrases, prefixes, quality, secrets, simhash, tokenfile, urls, vectors, warc
+from . import mixing, packing, periods, phrases, pii, prefixes, quality, secrets, simhash, tokenfile, urls, vectors, warc
 from .common import WORD, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,6 +59,17 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.dedupe(table(spark, sf_dir, "documents"))
 
 
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.identifiers(table(spark, sf_dir, "documents"))
+    counts = (F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS))
+    return found.select("doc_id", *counts, F.sha2(secrets.spelled(F.col("base"), pii.KINDS), 256).alias("base_sha256"), secrets.spelled(F.col("spans"), pii.KINDS).alias("spans"))
+
+
+def private_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op 11 that SQL can express."""
+    return op11_private_data(spark, sf_dir).select("doc_id", *(f"n_{kind}" for kind in pii.KINDS))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("conv_id")
     return prefixes.rebuilt_trie(table(spark, sf_dir, "conversations"), F.crc32(c.cast("string").cast("binary")) % 9, c - c % 5)
@@ -96,8 +107,8 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    ops = (op1_token_file, op2_quality_rules, op3_vector_links, op4_source_mix, op5_warc, op6_url_filter, op7_secret_scan, op8_simhash, op9_packing, op10_repeated_phrases, op12_prefix_trie, op13_periodic_runs)
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run, "quality_base": quality_base, "url_rules": url_rules}
+    ops = (op1_token_file, op2_quality_rules, op3_vector_links, op4_source_mix, op5_warc, op6_url_filter, op7_secret_scan, op8_simhash, op9_packing, op10_repeated_phrases, op11_private_data, op12_prefix_trie, op13_periodic_runs)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run, "quality_base": quality_base, "url_rules": url_rules, "private_counts": private_counts}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -247,9 +247,9 @@ def scan(documents: DataFrame, text_col: str = "text", columns: tuple[str, ...]
     return tested.select(*(F.col(k).alias(c) for k, c in names.items()), "base", F.array_sort(F.concat("base", plain(good))).alias("spans"))
 
 
-def spelled(spans: Column) -> Column:
+def spelled(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     """kind:start:end of every span, comma-joined."""
-    kind = lambda x: F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1)
+    kind = lambda x: F.element_at(F.array(*map(F.lit, kinds)), x["kind"] + 1)
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 

@@ -96,4 +96,12 @@ TRIE = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text,
  sums AS (SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved_tokens FROM full_nodes a JOIN full_nodes b ON starts_with(b.path, a.path) GROUP BY a.path)
 SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256 FROM full_nodes n JOIN sums USING (path) LEFT JOIN nodes p ON n.parent = p.path"""
 
-ORACLES: dict[str, str] = {"op3_vector_links": LINKS, "op4_source_mix": MIX, "op5_warc": WARC, "op10_repeated_phrases": PHRASES, "op12_prefix_trie": TRIE, "op13_periodic_runs": PERIODS, "quality_base": QUALITY_BASE, "url_rules": URL_RULES}
+#: Numbers of plain identifiers; a doubled digit over nine counts nine less.
+PRIVATE_COUNTS = r"""WITH m AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email,
+ len(list_filter(regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(right(p, 3) AS INTEGER), 0) > 255)) = 0))::BIGINT AS n_ip,
+ len(list_filter(list_transform(regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))), lambda d: length(d) BETWEEN 16 AND 19
+  AND list_sum(list_transform(range(1, length(d) + 1), lambda i: d[i]::INTEGER * (2 - i % 2) - CASE WHEN i % 2 = 0 AND d[i]::INTEGER > 4 THEN 9 ELSE 0 END)) % 10 = 0))::BIGINT AS n_card,
+ len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 8 AND 15))::BIGINT AS n_phone FROM m"""
+
+ORACLES: dict[str, str] = {"op3_vector_links": LINKS, "op4_source_mix": MIX, "op5_warc": WARC, "op10_repeated_phrases": PHRASES, "op12_prefix_trie": TRIE, "op13_periodic_runs": PERIODS, "quality_base": QUALITY_BASE, "url_rules": URL_RULES, "private_counts": PRIVATE_COUNTS}
