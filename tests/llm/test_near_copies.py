@@ -2,9 +2,14 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from tests.llm.test_llm import WORDS, documents, odd, rows
 
+from tracewell.llm import similar
+
 STAGE = dict(cp.STAGES)
 
 
@@ -82,3 +87,46 @@ def test_rows_count_and_not_ids(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 1, "clash") for i, t in data], "doc_id long, text string, lang string, source string, n_chars long, uid string")
     got = STAGE["near_dup"](spark, df.repartition(4), "")
     assert sorted(rows(got, "doc_id", "text"), key=str) == sorted([(1, a), (1, b), (None, c), (3, None)], key=str) and got.columns == list(cp.COLUMNS)
+
+
+def template_pages(n, changed, seed):
+    """A text of 400 words and n - 1 variants of it with that many words replaced."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    out = [base]
+    for _ in range(n - 1):
+        out.append(list(base))
+        for at in rng.sample(range(2, 398), changed):
+            out[-1][at] = "x" + str(rng.random())
+    return [" ".join(x) for x in out]
+
+
+def table(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+
+
+@pytest.mark.parametrize("changed", [8, 20])
+def test_a_star_of_variants(spark, changed):
+    """Variants with 8 words replaced link to the template (0.817) and not to each other (0.689); with 20 nothing links."""
+    check(spark, table(spark, template_pages(600, changed, changed)))
+
+
+def test_a_chain_and_a_dense_group(spark):
+    rng, text, out = random.Random(8), [f"c{i}" for i in range(120)], []
+    for _ in range(80):
+        text = list(text)
+        text[rng.randrange(120)] = "y" + str(rng.random())
+        out.append(" ".join(text))
+    check(spark, table(spark, out + template_pages(150, 3, 9) + ["a b c d e f"] * 40))
+
+
+@pytest.mark.parametrize(("listed", "block"), [(64, 256), (3, 5), (10**6, 256)])
+def test_second_pass_alone_finds_every_link(spark, monkeypatch, listed, block):
+    """Without the first pass, by pairs only and by small blocks."""
+    monkeypatch.setattr(similar, "LISTED", listed)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "_bunches", lambda classes: classes.limit(0).select(F.col("uid").alias("bunch"), "uid"))
+    rng = random.Random(2)
+    passage = " ".join(f"licence{i}" for i in range(60))
+    shared = [passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 90))) for _ in range(80)]
+    check(spark, table(spark, template_pages(70, 8, 5) + shared + planted()[:80] + ["one two", "one two", "a b c d e", "a b c d f"]))

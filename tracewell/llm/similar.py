@@ -1,14 +1,18 @@
 """One document of every group of near-copies: five-word shingles of Jaccard similarity 0.8 or more.
 
-Candidates come from the vantage-point trees over SimHash fingerprints of the same shingles, and, since fingerprints within
-three bits reach only part of the pairs at 0.8, from band keys of the shingle sets: the range of shingle hashes is cut
-into BINS bins, and a key is made of the LEAST smallest hashes of a bin, so that sets of similarity J share a key with a
-chance of about J^LEAST for each bin (over 0.9998 for one or more at 0.8, and more for short texts and closer copies). Every
-candidate is confirmed by the exact similarity of its whole shingle sets.
-
-Sets that share a key are compared as a bunch. Bunches of over TOGETHER sets are cut into random parts of about that many,
-differently for every key, so the work of a large group grows with its members and not with their square; its members
-meet in up to BINS random parts. Bunches with the same members are compared once.
+Links are found in two passes. The first merges most of every group at a cost that grows with its members: candidates come
+from the vantage-point trees over SimHash fingerprints of the shingles, and from band keys of the shingle sets (the LEAST
+smallest hashes of each of BINS ranges of hashes). Sets that share a key are compared as a bunch, bunches of over TOGETHER
+in random parts of about that many.
+
+The second pass decides what is left, so that no link is missed. All shingles have one order, common ones last (_common).
+Of two sets of similarity 0.8, each has one of its first floor(n / 5) + 1 shingles among the other's: these are its
+prefix. So every pair that may link and is not merged yet shares a prefix shingle that has sets of two groups. Where few sets
+share one, pairs are counted: a pair that shares c prefix shingles has at most c + the longer rest in common, which
+drops chance pairs without their sets being sent. Where over LISTED sets share one, the sets that such shingles connect
+are a family, which is cut into blocks, and blocks are compared with blocks, but for those within one group. The work of a
+family grows with the square of its members that the first pass left apart; of a family in which nothing links, such as
+pages of one template that differ in a fifth of their words, that is all of it.
 """
 
 from __future__ import annotations
@@ -30,6 +34,14 @@ PERCENT = 80
 BINS = 12
 LEAST = 3
 TOGETHER = 8
+#: Rows that are sampled to tell common shingles, how often these occur in the sample, and how many are told at most. What the
+#: sample misses is ordered as a rare shingle: that costs time and changes no result.
+SAMPLED = 1 << 14
+COMMON = 8
+MOST_COMMON = 1 << 18
+#: Sets that may share a prefix shingle without being compared in blocks, and sets of a block.
+LISTED = 64
+BLOCK = 256
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -82,11 +94,39 @@ def _keys(row: np.ndarray, h: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split(keys.view(np.int64), np.searchsorted(row[start], np.arange(1, n)))
 
 
+def _prefix(row: np.ndarray, h: np.ndarray, n: int, common: np.ndarray) -> list[np.ndarray]:
+    """The first floor(size / 5) + 1 hashes of each of n rows, common ones last; row, h are distinct and sorted."""
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    last = common[at] == h if len(common) else np.zeros(len(h), bool)
+    h = h[np.lexsort((h, last, row))]
+    first = np.searchsorted(row, np.arange(n + 1))
+    size = np.diff(first)
+    kept = np.where(size > 0, size - (PERCENT * size + 99) // 100 + 1, 0)
+    return np.split(h[np.arange(len(h)) - first[row] < kept[row]].view(np.int64), np.cumsum(kept)[:-1])
+
+
+def _common(documents: DataFrame, text_col: str) -> np.ndarray:
+    """Sorted hashes of shingles that occur in COMMON or more of about SAMPLED rows, the MOST_COMMON most frequent ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                _, h = _distinct(*shingle_hashes(part, "text"))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    every = max(1, documents.count() // SAMPLED)
+    sample = documents.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")).where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)
+    counted = sample.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    told = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow()
+    return np.sort(told.column("h").to_numpy().view(np.uint64))
+
+
 def signatures(documents: DataFrame, columns: tuple[str, ...], id_col: str, text_col: str) -> DataFrame:
-    """(c0, c1, ... columns, uid, id, text_hash, k1, k2: the shingle set, n: its size, fp, keys) of every row, written."""
+    """(c0, c1, ... columns, uid, id, text_hash, k1, k2: the shingle set, n: its size, fp, keys, prefix) of every row, written."""
     names = {f"c{i}": c for i, c in enumerate(columns)}
     types = {k: documents.schema[c].dataType.simpleString() for k, c in names.items()}
-    schema = ", ".join(f"{k} {t}" for k, t in types.items()) + ", uid long, id long, text_hash long, k1 long, k2 long, n int, fp long, keys array<long>"
+    schema = ", ".join(f"{k} {t}" for k, t in types.items()) + ", uid long, id long, text_hash long, k1 long, k2 long, n int, fp long, keys array<long>, prefix array<long>"
+    common = documents.sparkSession.sparkContext.broadcast(_common(documents, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -99,8 +139,8 @@ def signatures(documents: DataFrame, columns: tuple[str, ...], id_col: str, text
                 total = lambda x: np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[at]  # noqa: B023, E731
                 k1, k2 = (tk.mix(np.diff(total(tk.mix(h ^ np.uint64(salt)))) + np.diff(at).astype(np.uint64)) for salt in (0, 0xA5A5A5A55A5A5A5A))
                 keys = pa.array(_keys(row, h, size), pa.list_(pa.int64()))
-                made = [pa.array(k.view(np.int64)) for k in (k1, k2)] + [pa.array(np.diff(at).astype(np.int32)), pa.array(fp.view(np.int64)), keys]
-                yield pa.RecordBatch.from_arrays([*(part.column("text" if names[k] == text_col else k) for k in names), part.column("uid"), part.column("id"), part.column("text_hash"), *made], names=[*names, "uid", "id", "text_hash", "k1", "k2", "n", "fp", "keys"])
+                made = [pa.array(k.view(np.int64)) for k in (k1, k2)] + [pa.array(np.diff(at).astype(np.int32)), pa.array(fp.view(np.int64)), keys, pa.array(_prefix(row, h, size, common.value), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(part.column("text" if names[k] == text_col else k) for k in names), part.column("uid"), part.column("id"), part.column("text_hash"), *made], names=[*names, "uid", "id", "text_hash", "k1", "k2", "n", "fp", "keys", "prefix"])
 
     sent = documents.select(F.col(text_col).alias("text"), *(F.col(c).alias(k) for k, c in names.items() if c != text_col), F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"))
     return written(sent.mapInArrow(run, schema), "signatures")
@@ -171,6 +211,81 @@ def _confirmed(members: DataFrame) -> DataFrame:
     return members.repartition("bunch").sortWithinPartitions("bunch", "uid").mapInArrow(run, "src long, dst long")
 
 
+def _left(classes: DataFrame) -> DataFrame:
+    """(key, uid, label, n, members) of prefix shingles that sets of two labels or more share, written; classes have uid, label, n, prefix."""
+    at = classes.select("uid", "label", "n", F.explode("prefix").alias("key"))
+    shared = at.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return written(at.join(shared.select("key", "members"), "key"), "left")
+
+
+def _pairs(left: DataFrame) -> DataFrame:
+    """(bunch, uid) of pairs of different labels that share prefix shingles of at most LISTED sets, and enough of them."""
+    few = left.where(F.col("members") <= LISTED).select("key", "uid", "label", "n")
+    a, b = (few.select("key", *(F.col(c).alias(c + side) for c in ("uid", "label", "n"))) for side in "ab")
+    alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (F.col("uida") < F.col("uidb")) & (F.col("labela") != F.col("labelb"))
+    counted = a.join(b, "key").where(alike).groupBy("uida", "uidb", "na", "nb").agg(F.count("*").alias("both"))
+    # what follows the prefixes: n - floor(n / 5) - 1 shingles at most
+    rest = F.floor((F.greatest("na", "nb") * PERCENT + 99) / 100) - 1
+    pairs = counted.where((F.col("both") + rest) * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT)
+    return pairs.select(F.xxhash64("uida", "uidb").alias("bunch"), F.explode(F.array("uida", "uidb")).alias("uid"))
+
+
+def _families(left: DataFrame) -> DataFrame:
+    """(family, pair, block, uid, label): members of the blocks to be compared of every family, once for each pair of blocks."""
+    many = left.where(F.col("members") > LISTED)
+    first = many.groupBy("key").agg(F.min("uid").alias("dst"))
+    family = connected_components(many.join(first, "key").select(F.col("uid").alias("src"), "dst"))
+    rows = written(many.select("uid", "label", "n").distinct().join(family.withColumnRenamed("node", "uid"), "uid", "left").select(F.coalesce("component", "uid").alias("family"), "uid", "label", "n"), "families")
+    # a label of more than a block has blocks of its own
+    sizes = rows.groupBy("family", "label").agg(F.count("*").alias("mine"))
+    mixed = sizes.groupBy("family").agg(F.sum(F.when(F.col("mine") <= BLOCK, F.col("mine")).otherwise(0)).alias("others"))
+    cut = lambda of, c: F.pmod(F.xxhash64(of), F.ceil(F.greatest(F.col(c), F.lit(1)) / BLOCK))
+    dealt = rows.join(sizes, ["family", "label"]).join(mixed, "family")
+    own = F.when(F.col("mine") > BLOCK, F.col("label"))
+    dealt = written(dealt.select("family", "uid", "label", "n", own.alias("own"), F.when(own.isNotNull(), cut("uid", "mine")).otherwise(cut("label", "others")).alias("part")), "dealt")
+    blocks = dealt.groupBy("family", "own", "part").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumn("block", F.xxhash64("family", F.coalesce("own", F.lit(-1)), "part"))
+    a, b = (blocks.select("family", *(F.col(c).alias(c + side) for c in ("block", "own", "least", "most"))) for side in "ab")
+    fits = (F.col("blocka") <= F.col("blockb")) & ~F.coalesce(F.col("owna") == F.col("ownb"), F.lit(False)) & (F.col("mosta") * 100 >= F.col("leastb") * PERCENT) & (F.col("mostb") * 100 >= F.col("leasta") * PERCENT)
+    met = a.join(b, "family").where(fits).select(F.xxhash64("blocka", "blockb").alias("pair"), F.explode(F.array_distinct(F.array("blocka", "blockb"))).alias("block"))
+    members = dealt.select("uid", "label", F.xxhash64("family", F.coalesce("own", F.lit(-1)), "part").alias("block"))
+    return members.join(met, "block").select("pair", "block", "uid", "label")
+
+
+def _compared(members: DataFrame) -> DataFrame:
+    """Edges (src, dst) that connect what links between the labels of a pair of blocks do; members (pair, block, uid, label, hashes)."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("uid").to_numpy(), kind="stable")
+        uid, label, block = (table.column(c).to_numpy()[order] for c in ("uid", "label", "block"))
+        data = table.column("hashes").combine_chunks()
+        sets = [np.frombuffer(data[i].as_buffer(), np.uint64) for i in order.tolist()]
+        size = np.array([len(x) for x in sets])
+        _, token = np.unique(np.concatenate(sets), return_inverse=True)
+        start = np.cumsum(size) - size
+        mark = np.zeros(int(token.max()) + 1, np.int32)
+        one, two = block.min(), block.max()
+        src, dst = [], []
+        targets = np.flatnonzero(block == two)
+        flat = np.concatenate([token[start[i] : start[i] + size[i]] for i in targets.tolist()])
+        cuts = np.cumsum(size[targets]) - size[targets]
+        for i in np.flatnonzero(block == one).tolist():
+            mine = token[start[i] : start[i] + size[i]]
+            open_ = (label[targets] != label[i]) & (100 * np.minimum(size[targets], size[i]) >= PERCENT * np.maximum(size[targets], size[i]))
+            if not open_.any():
+                continue
+            mark[mine] = 1
+            both = np.add.reduceat(mark[flat], cuts)
+            mark[mine] = 0
+            for j in targets[open_ & ((100 + PERCENT) * both >= PERCENT * (size[targets] + size[i]))].tolist():
+                if label[i] != label[j]:
+                    src.append(uid[i])
+                    dst.append(uid[j])
+                    label = np.where(label == label[j], label[i], label)
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return members.groupBy("pair").applyInArrow(compare, "src long, dst long")
+
+
 def one_of_each(documents: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """columns of one row of every group of documents that links connect: that of the smallest id (null last), then of the least text hash.
 
@@ -181,13 +296,19 @@ def one_of_each(documents: DataFrame, columns: tuple[str, ...], id_col: str = "d
     made = signatures(documents, columns, id_col, text_col)
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "uid")).alias("best")
     classes = written(made.groupBy("k1", "k2").agg(best).select("best", F.col("best.uid").alias("uid")), "classes")
-    compared = _bunches(made.select("uid", "k1", "k2", "fp", "keys").join(classes.select("uid"), "uid"))
-    asked = compared.select("uid").distinct()
     text = f"c{columns.index(text_col)}"
-    # both sides are dealt by uid at every size
-    texts = made.select("uid", F.col(text).alias("text")).join(asked.hint("merge"), "uid", "left_semi")
-    edges = _confirmed(compared.join(_sets(texts).hint("merge"), "uid"))
-    found = connected_components(edges)
+
+    def sets(asked: DataFrame) -> DataFrame:
+        # both sides are dealt by uid at every size
+        texts = made.select("uid", F.col(text).alias("text")).join(asked.select("uid").distinct().hint("merge"), "uid", "left_semi")
+        return asked.join(_sets(texts).hint("merge"), "uid")
+
+    edges = written(_confirmed(sets(_bunches(made.select("uid", "k1", "k2", "fp", "keys").join(classes.select("uid"), "uid")))), "edges")
+    merged = connected_components(edges).select(F.col("node").alias("uid"), "component")
+    labelled = made.select("uid", "n", "prefix").join(classes.select("uid"), "uid").join(merged, "uid", "left")
+    left = _left(labelled.select("uid", "n", "prefix", F.coalesce("component", "uid").alias("label")))
+    more = written(_confirmed(sets(_pairs(left))).unionByName(_compared(sets(_families(left)))), "edges")
+    found = connected_components(edges.unionByName(more))
     labelled = classes.join(found, classes["uid"] == found["node"], "left").select("best", F.coalesce("component", "uid").alias("component"))
     kept = labelled.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.uid").alias("uid"))
     rows = made.select("uid", *(f"c{i}" for i in range(len(columns)))).join(kept.hint("merge"), "uid", "left_semi")
