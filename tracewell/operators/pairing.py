@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators import claims
+
 #: A request without a later one is answered within this many microseconds.
 WINDOW = 10 * 60 * 1_000_000
 
@@ -85,18 +87,23 @@ def _claim(rows: pd.DataFrame) -> pd.DataFrame:
 def by_time(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """(uuid, message_id): requests (uuid, mtime, model), earliest first, each with the earliest free response of its model.
 
-    A response may follow its request by WINDOW at most; an empty model fits any. Time is cut where a whole slot of WINDOW
-    is empty, since no pair crosses it, and by model where all models are known; a stretch is one group of metadata rows.
+    A response may follow its request by WINDOW at most; an empty model fits any. Time is cut into stretches where no earlier
+    request can claim any more. In a stretch whose models are all known each model is matched by itself, in bounded groups
+    (claims.first_come). A stretch with a row of unknown model is one group, since that row ties its models together.
     """
     both = requests.select("mtime", "model", "uuid", F.lit(None).cast("string").alias("message_id")).unionByName(responses.select("mtime", "model", F.lit(None).cast("string").alias("uuid"), "message_id"))
     both = both.withColumn("slot", F.floor(F.col("mtime") / WINDOW))
     # one row per slot of ten minutes
-    slots = both.groupBy("slot").agg(F.max(F.col("model") == "").alias("open"))
+    reach = F.max(F.when(F.col("uuid").isNotNull(), F.col("mtime") + WINDOW))
+    slots = both.groupBy("slot").agg(F.max(F.col("model") == "").alias("open"), reach.alias("reach"), F.min("mtime").alias("first"))
     order = Window.orderBy("slot")
-    slots = slots.withColumn("new", F.when(F.col("slot") - F.lag("slot").over(order) > 1, 1).otherwise(0)).withColumn("stretch", F.sum("new").over(order))
+    reached = F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    slots = slots.withColumn("new", F.when(F.coalesce(F.col("first") > reached, F.lit(True)), 1).otherwise(0)).withColumn("stretch", F.sum("new").over(order))
     slots = slots.withColumn("open", F.max("open").over(Window.partitionBy("stretch")))
-    both = both.join(slots.select("slot", "stretch", "open"), "slot").withColumn("kind", F.when(F.col("open"), "").otherwise(F.col("model")))
-    return both.groupBy("stretch", "kind").applyInPandas(lambda pdf: _claim(pdf[["mtime", "model", "uuid", "message_id"]]), "uuid string, message_id string")
+    both = both.join(slots.select("slot", "stretch", "open"), "slot")
+    tied = both.where("open").groupBy("stretch").applyInPandas(lambda pdf: _claim(pdf[["mtime", "model", "uuid", "message_id"]]), "uuid string, message_id string")
+    known = both.where("not open").withColumnRenamed("model", "kind")
+    return tied.unionByName(claims.first_come(known.where("uuid is not null"), known.where("message_id is not null"), WINDOW))
 
 
 def threaded(requests: DataFrame, responses: DataFrame) -> DataFrame:

@@ -143,18 +143,34 @@ def unclaimed_anti(spark, sf_dir):
     return pairing.unclaimed(claims, facts(spark, sf_dir)).select("message_id")
 
 
-@query("""WITH RECURSIVE q AS (SELECT request_id, ts, row_number() OVER (ORDER BY ts, request_id) AS k FROM {facts} f WHERE operation = 'error'), r AS (SELECT message_id, ts, row_number() OVER (ORDER BY ts, message_id) AS j FROM {facts} f WHERE operation = 'view'),
- walk(k, request_id, asked_at, used) AS (SELECT 0::BIGINT, '', 0::BIGINT, 0::BIGINT UNION ALL
-  SELECT q.k, q.request_id, q.ts, coalesce((SELECT min(r.j) FROM r WHERE r.j > abs(w.used) AND r.ts >= q.ts AND r.ts <= q.ts + 600000000), -abs(w.used)) FROM walk w JOIN q ON q.k = w.k + 1)
- SELECT w.request_id, r.message_id FROM walk w JOIN r ON r.j = w.used AND w.used > 0""")
-def terminal_pairs(spark, sf_dir):
-    """Requests paired with responses by time alone, first come first served."""
-    f = facts(spark, sf_dir).withColumn("model", F.lit("m"))
+def _walk_sql(model: str) -> str:
+    """Requests and responses numbered by time within their model, and one walk per model."""
+    return f"""WITH RECURSIVE f AS (SELECT *, {model} AS model FROM {{facts}} g), q AS (SELECT request_id, model, ts, row_number() OVER (PARTITION BY model ORDER BY ts, request_id) AS k FROM f WHERE operation = 'error'),
+ r AS (SELECT message_id, model, ts, row_number() OVER (PARTITION BY model ORDER BY ts, message_id) AS j FROM f WHERE operation = 'view'),
+ walk(model, k, request_id, used) AS (SELECT DISTINCT model, 0::BIGINT, '', 0::BIGINT FROM q UNION ALL
+  SELECT q.model, q.k, q.request_id, coalesce((SELECT min(r.j) FROM r WHERE r.model = q.model AND r.j > abs(w.used) AND r.ts >= q.ts AND r.ts <= q.ts + {pairing.WINDOW}), -abs(w.used)) FROM walk w JOIN q ON q.model = w.model AND q.k = w.k + 1)
+ SELECT w.request_id, r.message_id FROM walk w JOIN r ON r.model = w.model AND r.j = w.used AND w.used > 0"""
+
+
+def _by_time(spark, sf_dir, model):
+    f = facts(spark, sf_dir).withColumn("model", model)
     asked = f.where("operation = 'error'").select(F.col("request_id").alias("uuid"), F.col("ts").alias("mtime"), "model")
     given = f.where("operation = 'view'").select("message_id", F.col("ts").alias("mtime"), "model")
     return pairing.by_time(asked, given).select(F.col("uuid").alias("request_id"), "message_id")
 
 
+@query(_walk_sql("'m'"))
+def terminal_pairs(spark, sf_dir):
+    """Requests paired with responses by time alone, first come first served."""
+    return _by_time(spark, sf_dir, F.lit("m"))
+
+
+@query(_walk_sql("'m' || n % 2"))
+def terminal_pairs_by_model(spark, sf_dir):
+    """The same with two models, each matched by itself."""
+    return _by_time(spark, sf_dir, F.concat(F.lit("m"), F.col("n") % 2))
+
+
 @query(f"SELECT request_id, message_id FROM {_PAIRS} p")
 def adjacent_pairs(spark, sf_dir):
     return _paired(spark, sf_dir)[0].select(F.col("uuid").alias("request_id"), "message_id")
