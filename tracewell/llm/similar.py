@@ -31,7 +31,7 @@ from .common import connected_components, written
 SHINGLE = 5
 #: Least similarity of a link, in percent.
 PERCENT = 80
-BINS = 12
+BINS = 6
 LEAST = 3
 TOGETHER = 8
 #: Rows that are sampled to tell common shingles, how often these occur in the sample, and how many are told at most. What the
@@ -42,6 +42,9 @@ MOST_COMMON = 1 << 18
 #: Sets that may share a prefix shingle without being compared in blocks, and sets of a block.
 LISTED = 64
 BLOCK = 256
+#: Bits for each key of a bitmap that rows are looked up in before they are shuffled, and bits at most (32 MB).
+KEY_BITS = 12
+MOST_BITS = 1 << 28
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -163,12 +166,40 @@ def _bunches(classes: DataFrame) -> DataFrame:
     return written(uids.select(F.xxhash64("uids").alias("bunch"), "uids").distinct().select("bunch", F.explode("uids").alias("uid")), "bunches")
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """(bunch, uid, hashes: the sorted distinct shingle hashes) of (bunch, uid, text)."""
+def _tester(keys: DataFrame, column: str):
+    """A function of longs, for use in tasks: which of them column of keys may hold. False ones are surely not there.
+
+    The bitmap behind it has a fixed size at most, so with more keys than that it rules out less.
+    """
+    mask = np.uint64(min(MOST_BITS, max(64, 1 << (KEY_BITS * keys.count()).bit_length())) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for part in tk.slices(batch, "text"):
+            at = tk.mix(batch.column("key").to_numpy().view(np.uint64)) & mask
+            word, where = np.unique((at >> np.uint64(6)).astype(np.int64), return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, where, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    told = keys.select(F.col(column).alias("key")).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros((int(mask) + 1) // 64, np.uint64)
+    words[told.column("word").to_numpy()] = told.column("bits").to_numpy().view(np.uint64)
+    words = keys.sparkSession.sparkContext.broadcast(words)
+
+    def may_hold(x: np.ndarray) -> np.ndarray:
+        at = tk.mix(x.view(np.uint64)) & mask
+        return (words.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    return may_hold
+
+
+def _sets(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(uid, hashes: the sorted distinct shingle hashes) of texts (uid, text) that asked (uid) may name; made where the texts are read."""
+    named = _tester(asked, "uid")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for part in tk.slices(batch.filter(pa.array(named(batch.column("uid").to_numpy()))), "text"):
                 row, h = _distinct(*shingle_hashes(part, "text"))
                 at = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
                 yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["uid", "hashes"])  # noqa: B905
@@ -213,9 +244,21 @@ def _confirmed(members: DataFrame) -> DataFrame:
 
 def _left(classes: DataFrame) -> DataFrame:
     """(key, uid, label, n, members) of prefix shingles that sets of two labels or more share, written; classes have uid, label, n, prefix."""
-    at = classes.select("uid", "label", "n", F.explode("prefix").alias("key"))
+    at = classes.select("label", F.explode("prefix").alias("key"))
     shared = at.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return written(at.join(shared.select("key", "members"), "key"), "left")
+    shared = written(shared.select("key", "members"), "shared")
+    known = _tester(shared, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            lists = batch.column("prefix")
+            key = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            kept = np.flatnonzero(known(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key[kept]), *(batch.column(c).take(pa.array(row[kept])) for c in ("uid", "label", "n"))], names=["key", "uid", "label", "n"])
+
+    sent = classes.select("uid", "label", "n", "prefix").mapInArrow(run, "key long, uid long, label long, n int")
+    return written(sent.join(shared, "key"), "left")
 
 
 def _pairs(left: DataFrame) -> DataFrame:
@@ -298,18 +341,29 @@ def one_of_each(documents: DataFrame, columns: tuple[str, ...], id_col: str = "d
     classes = written(made.groupBy("k1", "k2").agg(best).select("best", F.col("best.uid").alias("uid")), "classes")
     text = f"c{columns.index(text_col)}"
 
-    def sets(asked: DataFrame) -> DataFrame:
-        # both sides are dealt by uid at every size
-        texts = made.select("uid", F.col(text).alias("text")).join(asked.select("uid").distinct().hint("merge"), "uid", "left_semi")
-        return asked.join(_sets(texts).hint("merge"), "uid")
-
-    edges = written(_confirmed(sets(_bunches(made.select("uid", "k1", "k2", "fp", "keys").join(classes.select("uid"), "uid")))), "edges")
+    texts = made.select("uid", F.col(text).alias("text"))
+    near = _bunches(made.select("uid", "k1", "k2", "fp", "keys").join(classes.select("uid"), "uid"))
+    edges = written(_confirmed(near.join(_sets(texts, near).hint("merge"), "uid")), "edges")
     merged = connected_components(edges).select(F.col("node").alias("uid"), "component")
     labelled = made.select("uid", "n", "prefix").join(classes.select("uid"), "uid").join(merged, "uid", "left")
-    left = _left(labelled.select("uid", "n", "prefix", F.coalesce("component", "uid").alias("label")))
-    more = written(_confirmed(sets(_pairs(left))).unionByName(_compared(sets(_families(left)))), "edges")
+    left = _left(written(labelled.select("uid", "n", "prefix", F.coalesce("component", "uid").alias("label")), "labelled"))
+    pairs, blocks = written(_pairs(left), "pairs"), written(_families(left), "blocks")
+    sets = written(_sets(texts, pairs.select("uid").unionByName(blocks.select("uid"))), "sets")
+    more = written(_confirmed(pairs.join(sets.hint("merge"), "uid")).unionByName(_compared(blocks.join(sets.hint("merge"), "uid"))), "edges")
     found = connected_components(edges.unionByName(more))
     labelled = classes.join(found, classes["uid"] == found["node"], "left").select("best", F.coalesce("component", "uid").alias("component"))
     kept = labelled.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.uid").alias("uid"))
-    rows = made.select("uid", *(f"c{i}" for i in range(len(columns)))).join(kept.hint("merge"), "uid", "left_semi")
+    gone = written(made.select("uid").join(kept, "uid", "left_anti"), "gone")
+    named = _tester(gone, "uid")
+    carried = made.select("uid", *(f"c{i}" for i in range(len(columns))))
+
+    def those(gone_maybe: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]):
+            for batch in batches:
+                yield batch.filter(pa.array(named(batch.column("uid").to_numpy()) == gone_maybe))
+
+        return carried.mapInArrow(run, carried.schema)
+
+    # only texts of rows that may go are shuffled
+    rows = those(False).unionByName(those(True).join(gone, "uid", "left_anti"))
     return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
