@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.sources.scratch import written
+
 #: Rows are numbered within slots of this many microseconds; requests of a block; blocks whose functions are composed at once.
 SLOT = 60 * 1_000_000
 BLOCK = 4096
@@ -95,7 +97,7 @@ def _numbered(requests: DataFrame, responses: DataFrame, window: int) -> tuple[D
     # one row per kind and slot
     before = Window.partitionBy("kind").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = events.groupBy("kind", "slot").agg(F.sum(is_response).alias("n"), F.sum(is_request).alias("m")).select("kind", "slot", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "m")))
-    placed = events.select("*", F.sum(is_response).over(upto).alias("n"), F.sum(is_request).over(upto).alias("m")).join(slots, ["kind", "slot"])
+    placed = written(events.select("*", F.sum(is_response).over(upto).alias("n"), F.sum(is_request).over(upto).alias("m")).join(slots, ["kind", "slot"]), "placed")
     n, m = F.col("n") + F.col("n_before"), F.col("m") + F.col("m_before")
     when = lambda what, x: F.max(F.when(F.col("what") == what, x))
     asked = placed.where("what <> 1").groupBy("uuid", "kind").agg(when(0, m - 1).alias("k"), when(0, n).alias("low"), when(2, n - 1).alias("high"))
@@ -152,8 +154,8 @@ def first_come(requests: DataFrame, responses: DataFrame, window: int) -> DataFr
     requests, and one a row for every SLOT of time.
     """
     asked, numbers = _numbered(requests, responses, window)
-    asked = asked.withColumn("block", F.floor(F.col("k") / BLOCK))
-    functions = asked.groupBy("kind", "block").applyInPandas(_function, f"kind string, block long, f {PIECES}").withColumn("super", F.floor(F.col("block") / SUPER))
+    asked = written(asked.withColumn("block", F.floor(F.col("k") / BLOCK)), "asked")
+    functions = written(asked.groupBy("kind", "block").applyInPandas(_function, f"kind string, block long, f {PIECES}").withColumn("super", F.floor(F.col("block") / SUPER)), "functions")
     tops = functions.groupBy("kind", "super").applyInPandas(_whole, f"kind string, super long, f {PIECES}").withColumn("u", F.lit(-1).cast("long"))
     starts = tops.groupBy("kind").applyInPandas(_walked("super"), "kind string, super long, u long")
     given = functions.join(starts, ["kind", "super"]).groupBy("kind", "super").applyInPandas(_walked("block"), "kind string, block long, u long")

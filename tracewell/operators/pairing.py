@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators import claims
+from tracewell.sources.scratch import written
 
 #: A request without a later one is answered within this many microseconds.
 WINDOW = 10 * 60 * 1_000_000
@@ -92,7 +93,7 @@ def by_time(requests: DataFrame, responses: DataFrame) -> DataFrame:
     (claims.first_come). A stretch with a row of unknown model is one group, since that row ties its models together.
     """
     both = requests.select("mtime", "model", "uuid", F.lit(None).cast("string").alias("message_id")).unionByName(responses.select("mtime", "model", F.lit(None).cast("string").alias("uuid"), "message_id"))
-    both = both.withColumn("slot", F.floor(F.col("mtime") / WINDOW))
+    both = written(both.withColumn("slot", F.floor(F.col("mtime") / WINDOW)), "both")
     # one row per slot of ten minutes
     reach = F.max(F.when(F.col("uuid").isNotNull(), F.col("mtime") + WINDOW))
     slots = both.groupBy("slot").agg(F.max(F.col("model") == "").alias("open"), reach.alias("reach"), F.min("mtime").alias("first"))
@@ -114,7 +115,8 @@ def threaded(requests: DataFrame, responses: DataFrame) -> DataFrame:
     and model. Threads are named by the first request of the first chain. Last, requests that end a chain and are
     still unpaired take responses by time. Rows of chains, not of requests, are grouped by session for the second step.
     """
-    won = _won(requests, responses)
+    requests, responses = written(requests, "requests"), written(responses, "responses")
+    won = written(_won(requests, responses), "won")
     placed = named(requests).join(won.select("uuid", F.col("named").alias("message_id")), "uuid", "left")
     tip = F.max_by(F.struct("uuid", "mtime", "model", F.col("message_id").isNull().alias("free")), "place").alias("tip")
     chains = placed.groupBy("session_id", "chain").agg(F.min("root_mtime").alias("root_mtime"), F.min("root_uuid").alias("root_uuid"), F.min_by("prev_id", "place").alias("root_prev"), tip)
@@ -122,7 +124,8 @@ def threaded(requests: DataFrame, responses: DataFrame) -> DataFrame:
     open_ = responses.select(F.col("message_id").alias("root_prev"), F.col("mtime").alias("free_mtime"), F.col("model").alias("free_model")).join(won.select(F.col("named").alias("root_prev")), "root_prev", "left_anti")
     chains = chains.join(owners, ["session_id", "root_prev"], "left").join(open_, "root_prev", "left")
     chains = chains.select("session_id", "chain", "root_mtime", "root_uuid", "root_prev", "owner_chain", "free_mtime", "free_model", F.col("tip.uuid").alias("tip_uuid"), F.col("tip.mtime").alias("tip_mtime"), F.col("tip.model").alias("tip_model"), F.col("tip.free").alias("tip_free"))
-    made = chains.groupBy("session_id").applyInPandas(_stitch, "session_id string, chain string, thread_id string, tip_uuid string, message_id string")
+    chains = written(chains, "chains")
+    made = written(chains.groupBy("session_id").applyInPandas(_stitch, "session_id string, chain string, thread_id string, tip_uuid string, message_id string"), "threads")
     # a response that two sessions' continuations name goes to one
     stitched = made.where("message_id is not null").groupBy("message_id").agg(F.min_by("tip_uuid", F.struct("session_id", "tip_uuid")).alias("uuid"))
     known = won.select("uuid", F.col("named").alias("message_id")).unionByName(stitched.select("uuid", "message_id"))
