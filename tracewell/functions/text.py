@@ -101,5 +101,5 @@ def preview(x: Column, limit: int = PREVIEW) -> Column:
     # a character's later bytes have 10 as their top bits; there are three of them at most
     begins = lambda at: ~F.substring(F.hex(F.substring(raw, at + 1, 1)), 1, 1).isin("8", "9", "A", "B")
     cut = F.coalesce(*(F.when(begins(limit - back), F.lit(limit - back)) for back in range(4)))
-    note = F.format_string("\n\n… truncated (%d of %d bytes shown; the raw body has all)", cut, F.octet_length(x))
+    note = F.format_string("\n\n[first %d bytes of %d]", cut, F.octet_length(x))
     return F.when(F.octet_length(_text(x)) <= limit, _text(x)).otherwise(F.concat(F.decode(F.substring(raw, F.lit(1), cut), "utf-8"), note))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
-from tracewell.plans.adapters import facts
-from tracewell.plans.catalog import _CONV, FIVE_MINUTES, query
+from tracewell.plans.adapters import facts, invocation_bodies
+from tracewell.plans.catalog import _CONV, _TURNS, FIVE_MINUTES, query
 from tracewell.sources import azure, bedrock, export, vertex
 from tracewell.sources.scratch import scratch
 
@@ -96,3 +96,16 @@ def labels(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     n = F.col("event_id")
     return e.select("event_id", text.duration_label(n * 37).alias("duration"), text.grouped_digits(n * 12345).alias("digits"), text.short_session(F.concat("event_type", F.lit("-"), n.cast("string"))).alias("short"), text.truncated(F.col("props"), 9).alias("cut"))
+
+
+@query(f"""WITH t AS {_TURNS}, a AS (SELECT conv_id, max(i) AS late, count(*) AS n FROM t WHERE role = 'assistant' AND i > 0 GROUP BY conv_id)
+ SELECT conv_id::VARCHAR AS conversation_id, 'conversations/' || conv_id || '.json' AS file, a.n AS invocations, count(*) AS turns, string_agg(role || ':' || text, chr(10) ORDER BY i) AS told, count(*) FILTER (role = 'assistant' AND i > 0) AS measured,
+ (SELECT string_agg(conv_id || '-' || i, ',' ORDER BY i) FROM t s WHERE s.conv_id = t.conv_id AND s.role = 'assistant' AND s.i > 0) AS request_ids FROM t JOIN a USING (conv_id) WHERE i <= late GROUP BY conv_id, a.n""")
+def conversation_files(spark, sf_dir):
+    """Conversations of an export as files of their own, read back as JSON."""
+    path = scratch(spark, "export")
+    export.write(invocation_bodies(spark, sf_dir), path, as_files=True)
+    c = export.from_files(spark, path)
+    told = F.transform("conversation.turns", lambda t: F.concat(t["role"], F.lit(":"), F.array_join(F.transform(t["blocks"], lambda b: b["text"]), "\n\n")))
+    measured = F.size(F.filter("conversation.turns", lambda t: t["metrics"].isNotNull()))
+    return c.select("conversation_id", "file", F.size("invocations").cast("long").alias("invocations"), F.size("conversation.turns").cast("long").alias("turns"), F.array_join(told, "\n").alias("told"), measured.cast("long").alias("measured"), F.array_join(F.transform("invocations", lambda i: i["request_id"]), ",").alias("request_ids"))
