@@ -34,13 +34,15 @@ PERCENT = 80
 BINS = 6
 LEAST = 3
 TOGETHER = 8
-#: Rows that are sampled to tell common shingles, how often these occur in the sample, and how many are told at most. What the
-#: sample misses is ordered as a rare shingle: that costs time and changes no result.
+#: Rows that are sampled at least to tell common shingles (beyond that, one row in EVERY), how often these occur in the
+#: sample, and how many are told at most. What the sample misses is ordered as a rare shingle: that costs time and changes no
+#: result. A shingle that is missed is in some EVERY * COMMON sets, which is about LISTED.
 SAMPLED = 1 << 14
+EVERY = 32
 COMMON = 8
 MOST_COMMON = 1 << 18
 #: Sets that may share a prefix shingle without being compared in blocks, and sets of a block.
-LISTED = 64
+LISTED = 256
 BLOCK = 256
 #: Bits for each key of a bitmap that rows are looked up in before they are shuffled, and bits at most (32 MB).
 KEY_BITS = 12
@@ -109,7 +111,7 @@ def _prefix(row: np.ndarray, h: np.ndarray, n: int, common: np.ndarray) -> list[
 
 
 def _common(documents: DataFrame, text_col: str) -> np.ndarray:
-    """Sorted hashes of shingles that occur in COMMON or more of about SAMPLED rows, the MOST_COMMON most frequent ones."""
+    """Sorted hashes of shingles that occur in COMMON or more of the sampled rows, the MOST_COMMON most frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -117,7 +119,7 @@ def _common(documents: DataFrame, text_col: str) -> np.ndarray:
                 _, h = _distinct(*shingle_hashes(part, "text"))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-    every = max(1, documents.count() // SAMPLED)
+    every = max(1, min(EVERY, documents.count() // SAMPLED))
     sample = documents.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")).where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)
     counted = sample.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     told = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow()
