@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
-from tracewell.operators import pairing, reconstruct, search, sessionize
+from tracewell.operators import pairing, reconstruct, search, sessionize, text_index
 from tracewell.plans.adapters import FACTS_SQL, facts, invocation_bodies, tool_bodies, turns
+from tracewell.sources.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -321,6 +322,18 @@ def bm25_top10(spark, sf_dir):
     return search.bm25(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), QUERY)
 
 
+def _indexed(spark, texts: DataFrame, query: str) -> DataFrame:
+    path = scratch(spark, "index")
+    text_index.build(texts, path)
+    return text_index.search(spark, path, query)[0]
+
+
+@query(_bm25_sql("documents", "doc_id", search.terms_of(QUERY)))
+def indexed_top10(spark, sf_dir):
+    """The same through an index."""
+    return _indexed(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), QUERY)
+
+
 @query(_bm25_sql("conversations", "conv_id, turn, role", search.terms_of("The other die, UND la!")))
 def search_turns(spark, sf_dir):
-    return search.bm25(turns(spark, sf_dir).select("conv_id", "turn", "role", "text"), "The other die, UND la!")
+    return _indexed(spark, turns(spark, sf_dir).select("conv_id", "turn", "role", "text"), "The other die, UND la!")
