@@ -44,7 +44,9 @@ def test_command_line_exports_captures(spark, tmp_path, capsys):
     folder.mkdir()
     (folder / "a.request.json").write_text('{"model": "m", "messages": [{"role": "user", "content": "hi"}], "metadata": {"user_id": "u_session_s1"}}')
     (folder / "b.response.json").write_text('{"id": "msg_1", "model": "m", "role": "assistant", "content": "yo", "stop_reason": "end_turn", "usage": {"input_tokens": 3, "output_tokens": 1}}')
+    (folder / "c.request.json").write_text("{")
     main(["claude", str(folder), "--out", f"{tmp_path}/out"])
-    assert "invocations=1" in capsys.readouterr().out
+    said = capsys.readouterr().out.split("\n")
+    assert {"invocations=1", "skipped_lines=2", "skipped_malformed=1", "skipped_no_messages=0"} <= set(said)
     assert [(r.role, r.text) for r in export.read(spark, f"{tmp_path}/out", "turns").orderBy("turn_index").collect()] == [("user", "hi"), ("assistant", "yo")]
     assert export.manifest(spark, f"{tmp_path}/out")["source"] == f"tracewell claude {folder} --out {tmp_path}/out"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
 from tracewell.functions.envelopes import session_of, valid_json
+from tracewell.sources import listing
 from tracewell.sources.dates import window
 
 #: Names under which property bags carry each value, in the order in which they are tried.
@@ -80,24 +81,32 @@ def _records(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_storage(spark: SparkSession, root: str, start: str = "", end: str = "") -> DataFrame:
+#: Why lines of resource logs are skipped, in the order in which it is looked for.
+SKIPPED = ("blank", "too_long", "malformed", "no_time", "other_category", "outside_window")
+
+
+def read_storage(spark: SparkSession, root: str, start: str = "", end: str = "", skipped: Observation | None = None) -> DataFrame:
     """Invocations of the exported resource logs under root (JSON lines in .json files) of the days start to end (YYYY-MM-DD, both included).
 
-    Files are chosen by the hour of their path, files without one are read as well; then lines are filtered by their own
-    time. Blank and malformed lines, lines of other categories and lines without a time are skipped.
+    Files are chosen by the hour of their path, and folders of other hours are not listed; files without an hour are read
+    as well. Then lines are filtered by their own time. Blank and malformed lines, lines of other categories and lines
+    without a time are skipped; skipped gets the number of lines and of those skipped (SKIPPED) from the job that reads.
     """
     first, last = window(start, end)
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+    lines = listing.texts(spark, listing.paths(spark, root, listing.HOURS, first, last), pathGlobFilter="*.json")
     # recursive lookup leaves y= and the like in the path alone; they are no columns
     hour = path_hour(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
     if first:
         lines = lines.where(hour.isNull() | (hour >= F.lit(first)))
     if last:
         lines = lines.where(hour.isNull() | (hour < F.lit(last)))
-    r = F.from_json("value", LINE, {"columnNameOfCorruptRecord": "broken"})
-    rows = lines.where(F.octet_length("value") <= LONGEST_LINE).withColumn("r", r).where("r.broken is null and ltrim(value) like '{%'").withColumn("at", F.try_to_timestamp("r.time"))
-    rows = rows.where(F.col("at").isNotNull() & F.lower(_s(F.col("r.category"))).isin("", CATEGORY.lower()))
-    rows = rows.where(F.lit(True) if first is None else F.col("at") >= F.lit(first)).where(F.lit(True) if last is None else F.col("at") < F.lit(last))
+    long = F.octet_length("value") > LONGEST_LINE
+    r = F.when(~long, F.from_json("value", LINE, {"columnNameOfCorruptRecord": "broken"}))
+    rows = lines.withColumn("r", r).withColumn("at", F.try_to_timestamp("r.time"))
+    outside = (F.lit(False) if first is None else F.col("at") < F.lit(first)) | (F.lit(False) if last is None else F.col("at") >= F.lit(last))
+    malformed = F.col("r.broken").isNotNull() | ~F.ltrim("value").startswith("{")
+    why = listing.reason(("blank", F.trim("value") == ""), ("too_long", long), ("malformed", malformed), ("no_time", F.col("at").isNull()), ("other_category", ~F.lower(_s(F.col("r.category"))).isin("", CATEGORY.lower())), ("outside_window", outside))
+    rows = listing.counted(rows.withColumn("reason", why), SKIPPED, skipped)
     f = lambda c: _s(F.col(f"r.{c}"))
     given = F.to_json("r.properties")
     return _records(rows.select("at", f("operationName").alias("operation"), f("resultSignature").alias("status"), f("correlationId").alias("request_id"), f("durationMs").alias("latency"), f("resourceId").alias("resource"), F.lit("").alias("resource_group"), f("callerIpAddress").alias("caller_ip"), F.coalesce(F.when(given.startswith('"'), _plain(given)).otherwise(given), F.lit("")).alias("properties")))

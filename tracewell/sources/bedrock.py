@@ -9,10 +9,11 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
+from tracewell.sources import listing
 from tracewell.sources.dates import window
 
 #: The fields read from a log line; bodies stay JSON text.
@@ -56,11 +57,14 @@ def _in_window(rows: DataFrame, start: str, end: str, slack: int = 0) -> DataFra
 
 
 def log_lines(spark: SparkSession, root: str, start: str = "", end: str = "") -> DataFrame:
-    """(line, n) of the log files under root whose path's day is in the window; paths without a day are read as well."""
+    """(line, n) of the log files under root whose path's day is in the window; paths without a day are read as well.
+
+    Folders of other days are not listed (see listing).
+    """
     path = F.col("_metadata.file_path")
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json.gz").text(root)
+    lines = listing.texts(spark, listing.paths(spark, root, listing.DAYS, *window(start, end)), pathGlobFilter="*.json.gz")
     lines = _in_window(lines.where(~F.contains(path, F.lit("/data/"))), start, end)
-    return lines.where((F.trim("value") != "") & (F.octet_length("value") <= LONGEST_LINE)).select(F.col("value").alias("line"), F.xxhash64(path, "value").alias("n"))
+    return lines.select(F.col("value").alias("line"), F.xxhash64(path, "value").alias("n"))
 
 
 def _resolved(rows: DataFrame, objects: DataFrame, body: str, uri: str, bucket: str) -> DataFrame:
@@ -71,26 +75,36 @@ def _resolved(rows: DataFrame, objects: DataFrame, body: str, uri: str, bucket:
     return rows.where(~wanted).unionByName(found)
 
 
-def read(spark: SparkSession, root: str, bucket: str, start: str = "", end: str = "") -> DataFrame:
+#: Why lines are skipped, in the order in which it is looked for.
+SKIPPED = ("blank", "too_long", "malformed", "bad_time")
+
+
+def read(spark: SparkSession, root: str, bucket: str, start: str = "", end: str = "", skipped: Observation | None = None) -> DataFrame:
     """Invocations of the logs in bucket, whose copy or address is root; start and end (YYYY-MM-DD, both included) choose files by day.
 
-    Blank and malformed lines are skipped, also those whose timestamp is no time; a line without one has a null ts. Records
+    Blank and malformed lines are skipped, also those whose timestamp is no time; a line without one has a null ts. skipped
+    gets the number of lines and of those skipped (SKIPPED) from the job that reads the records. Records
     are not filtered by their own time. Objects outside bucket are not read. Absent strings are empty and absent counts
     zero. Objects lie under the day of their line or the next one, so those of other days are not opened. Columns are those that the operators take (ts in microseconds, day, n, ...) besides bodies and identity.
     """
-    known = F.from_json("line", LINE, {"columnNameOfCorruptRecord": "broken"})
-    rows = log_lines(spark, root, start, end).withColumn("r", known).where("r.broken is null and ltrim(line) like '{%'")
+    long = F.octet_length("line") > LONGEST_LINE
+    known = F.when(~long, F.from_json("line", LINE, {"columnNameOfCorruptRecord": "broken"}))
+    lines = log_lines(spark, root, start, end).withColumn("r", known).withColumn("ts", F.try_to_timestamp(F.col("r.timestamp")))
+    malformed = F.col("r.broken").isNotNull() | ~F.ltrim("line").startswith("{")
+    why = listing.reason(("blank", F.trim("line") == ""), ("too_long", long), ("malformed", malformed), ("bad_time", F.col("r.timestamp").isNotNull() & F.col("ts").isNull()))
+    rows = listing.counted(lines.withColumn("reason", why), SKIPPED, skipped)
+    ts = F.col("ts")
     s = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(""))
     count = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(0)).cast("long")
-    ts = F.try_to_timestamp(F.col("r.timestamp"))
-    rows = rows.where(F.col("r.timestamp").isNull() | ts.isNotNull())
     extra = F.map_filter(F.create_map(F.lit("accountId"), s("accountId"), F.lit("region"), s("region")), lambda k, v: v != "")
     rows = rows.select(
         F.unix_micros(ts).alias("ts"), F.coalesce(F.date_format(ts, "yyyyMMdd"), F.lit("")).alias("day"), "n", F.lit("bedrock").alias("provider"), s("requestId").alias("request_id"), s("identity.arn").alias("principal"), s("operation").alias("operation"), s("modelId").alias("model_id"),
         s("status").alias("status"), s("errorCode").alias("error_code"), extra.alias("extra"), count("input.inputTokenCount").alias("input_tokens"), count("output.outputTokenCount").alias("output_tokens"),
         count("input.cacheReadInputTokenCount").alias("cache_read_tokens"), count("input.cacheWriteInputTokenCount").alias("cache_write_tokens"), s("input.inputBodyJson").alias("input_body"), s("output.outputBodyJson").alias("output_body"), s("input.inputBodyS3Path").alias("input_uri"), s("output.outputBodyS3Path").alias("output_uri"),
     )
-    objects = spark.read.option("recursiveFileLookup", True).option("wholetext", True).option("pathGlobFilter", "*.json*").text(root)
+    (first, last), day = window(start, end), dt.timedelta(days=1)
+    found = listing.paths(spark, root, listing.DAYS, first and first - day, last and last + day)
+    objects = listing.texts(spark, found, wholetext=True, pathGlobFilter="*.json*")
     objects = _in_window(objects.where(F.contains("_metadata.file_path", F.lit("/data/"))), start, end, 1).select(_key_in(root).alias("key"), F.col("value").alias("content"))
     for body, uri in (("input_body", "input_uri"), ("output_body", "output_uri")):
         rows = _resolved(rows, objects, body, uri, bucket)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
 from tracewell.operators import pairing
+from tracewell.sources import listing
 from tracewell.sources.dates import window
 
 REQUEST = "model string, metadata struct<user_id: string>, diagnostics struct<previous_message_id: string>, messages array<variant>, broken string"
@@ -29,13 +30,21 @@ def _s(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def requests(spark: SparkSession, folder: str, start: str = "", end: str = "") -> DataFrame:
+#: Why requests are skipped.
+SKIPPED = ("malformed", "no_messages")
+
+
+def requests(spark: SparkSession, folder: str, start: str = "", end: str = "", skipped: Observation | None = None) -> DataFrame:
     """(uuid, mtime, model, session_id, prev_id, chain, num_messages, principal, device_id) of requests with a message; others are skipped.
 
+    skipped gets the number of request files ("lines") and of those skipped (SKIPPED) from the job that reads them.
+
     chain is a hash of the first message with sorted keys, which stays as a thread grows.
     """
     files = _files(spark, folder, ".request.json", *window(start, end))
-    files = files.withColumn("r", F.from_json("value", REQUEST, {"columnNameOfCorruptRecord": "broken"})).where("r.broken is null and size(r.messages) > 0 and ltrim(value) like '{%'")
+    files = files.withColumn("r", F.from_json("value", REQUEST, {"columnNameOfCorruptRecord": "broken"}))
+    why = listing.reason(("malformed", F.col("r.broken").isNotNull() | ~F.ltrim("value").startswith("{")), ("no_messages", ~F.coalesce(F.size("r.messages") > 0, F.lit(False))))
+    files = listing.counted(files.withColumn("reason", why), SKIPPED, skipped)
     user = F.col("r.metadata.user_id")
     blob = lambda k: F.coalesce(F.when(F.ltrim(user).startswith("{"), F.get_json_object(user, f"$.{k}")), F.lit(""))
     return files.select(
@@ -55,7 +64,7 @@ def responses(spark: SparkSession, folder: str, start: str = "", end: str = "")
     return rows.groupBy("message_id").agg(kept).select("message_id", "kept.*")
 
 
-def read(spark: SparkSession, folder: str, start: str = "", end: str = "", bodies: bool = False) -> DataFrame:
+def read(spark: SparkSession, folder: str, start: str = "", end: str = "", bodies: bool = False, skipped: Observation | None = None) -> DataFrame:
     """Invocations of a capture folder: requests of the days start to end with their responses (pairing.threaded).
 
     A paired request has status 200 and the response's request id, tokens and stop reason; others keep their own id, an
@@ -63,7 +72,7 @@ def read(spark: SparkSession, folder: str, start: str = "", end: str = "", bodie
     bodies, input_body and output_body are read again by file name when pairing is done; a file that is gone is null.
     Columns include those that sessionization and reconstruction take.
     """
-    made = pairing.threaded(requests(spark, folder, start, end), responses(spark, folder, start, end))
+    made = pairing.threaded(requests(spark, folder, start, end, skipped), responses(spark, folder, start, end))
     paired = F.col("message_id") != ""
     extra = F.map_filter(F.create_map(F.lit("device_id"), F.col("device_id"), F.lit("session_id"), F.col("session_id")), lambda k, v: v != "")
     rows = made.select(

@@ -17,13 +17,16 @@ RECORD = {
 NULLABLE = ("ts", "input_body", "output_body")
 
 #: Readers by name: (spark, where, start, end, **more) with days as YYYY-MM-DD, both included.
+#: Those of files also take skipped, an Observation of what they skip.
 READERS: dict[str, Callable[..., DataFrame]] = {
-    "bedrock": lambda spark, where, start="", end="", bucket="": bedrock.read(spark, where, bucket, start, end),
+    "bedrock": lambda spark, where, start="", end="", bucket="", skipped=None: bedrock.read(spark, where, bucket, start, end, skipped),
     "azure": lambda spark, where, start="", end="", resource="", subscription="": azure.from_table(vertex.table(spark, *where.split(".")), start, end, resource, subscription),
-    "azure-storage": lambda spark, where, start="", end="": azure.read_storage(spark, where, start, end),
+    "azure-storage": lambda spark, where, start="", end="", skipped=None: azure.read_storage(spark, where, start, end, skipped),
     "vertex": lambda spark, where, start="", end="": vertex.records(vertex.table(spark, *where.split(".")), start, end),
-    "claude": lambda spark, where, start="", end="": capture.read(spark, where, start, end, bodies=True),
+    "claude": lambda spark, where, start="", end="", skipped=None: capture.read(spark, where, start, end, bodies=True, skipped=skipped),
 }
+#: Kinds whose readers count what they skip.
+COUNTED = ("bedrock", "azure-storage", "claude")
 
 
 def conform(rows: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def conform(rows: DataFrame) -> DataFrame:
     return rows.select(*(column(c, k) for c, k in RECORD.items()))
 
 
-def read(spark: SparkSession, kind: str, where: str, start: str = "", end: str = "", **more: str) -> DataFrame:
+def read(spark: SparkSession, kind: str, where: str, start: str = "", end: str = "", **more) -> DataFrame:
     """Invocations (RECORD) of the source kind at where: a folder, an address or a table name; ValueError for another kind."""
     if kind not in READERS:
         raise ValueError(f"no source {kind!r}")

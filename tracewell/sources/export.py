@@ -6,7 +6,7 @@ in their own table beside the conversations, keyed by conversation_id, so a conv
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
@@ -112,15 +112,17 @@ def pieces(records: DataFrame, entries: DataFrame, turns: DataFrame | None, thre
     return out
 
 
-def write(records: DataFrame, path: str, source: str = "", embed: bool = False, as_files: bool = False) -> None:
+def write(records: DataFrame, path: str, source: str = "", embed: bool = False, as_files: bool = False, skipped: Observation | None = None) -> None:
     """Writes records (columns of the readers) as an export to the new folder path.
 
     facts are sorted by time, request id and uuid, turns by the place of their conversation, thread and place. Bodies are
     left out unless embed, which adds a table bodies (request_id, request_uuid, input_body, output_body). as_files also writes
     one JSON file per conversation (see pieces), with bodies if embed. The folder must not exist yet. records are read once:
-    they are written to the shared folder, from which all tables are made.
+    they are written to the shared folder, from which all tables are made. What the reader counted in skipped on the way goes
+    into the manifest.
     """
     records = written(_completed(records), "records")
+    counts = skipped.get if skipped is not None else {}
     convs = written(file_names(sessionize.with_ids(sessionize.conversations(records))), "conversations")
     save = lambda df, name: df.write.option("compression", "zstd").parquet(f"{path}/{name}.parquet")
     save(facts(records, convs).orderBy("timestamp", "request_id", "request_uuid"), "facts")
@@ -132,8 +134,8 @@ def write(records: DataFrame, path: str, source: str = "", embed: bool = False,
         made = reconstruct.turns(records, kinds or ("anthropic",))
         save(made.withColumn("conversation_id", F.col("session_id")).withColumn("timestamp", F.timestamp_micros("ts")).drop("ts").orderBy("day", "provider", "session_id", "thread_id", "turn_index"), "turns")
         turns = records.sparkSession.read.parquet(f"{path}/turns.parquet")
-        counts = turns.groupBy("day", "provider", F.col("session_id").alias("k1")).agg(F.count("*").alias("turn_count"))
-        convs = convs.join(counts.withColumn("is_gap", F.lit(0)), ["day", "provider", "k1", "is_gap"], "left")
+        turned = turns.groupBy("day", "provider", F.col("session_id").alias("k1")).agg(F.count("*").alias("turn_count"))
+        convs = convs.join(turned.withColumn("is_gap", F.lit(0)), ["day", "provider", "k1", "is_gap"], "left")
         if as_files:
             known = reconstruct.threads(records, kinds or ("anthropic",))
             threads = known.select(*reconstruct.KEY, F.when(F.col("is_main"), "").otherwise(F.col("thread_id")).alias("thread_id"), "system_prompt", "tools")
@@ -148,7 +150,8 @@ def write(records: DataFrame, path: str, source: str = "", embed: bool = False,
     totals = records.sparkSession.read.parquet(f"{path}/conversations.parquet").agg(F.count("*").alias("conversations"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS), F.min("start_time").alias("first"), F.max("end_time").alias("last"), F.count_distinct("day").alias("days"))
     totals = totals.crossJoin(_counts(records, "model_id")).crossJoin(_counts(records, "operation"))  # one row each
     stamp = (F.lit(VERSION).alias("schema_version"), F.current_timestamp().alias("generated_at"), F.lit("tracewell").alias("tool"), F.lit(source).alias("source"), F.lit("embed" if embed else "omit").alias("raw_bodies"))
-    totals.select(*stamp, F.struct("*").alias("totals")).coalesce(1).write.json(f"{path}/manifest.json")
+    told = F.create_map(*(F.lit(x) for item in counts.items() for x in item)) if counts else F.create_map().cast("map<string, bigint>")
+    totals.select(*stamp, F.struct("*").alias("totals"), told.alias("skipped")).coalesce(1).write.json(f"{path}/manifest.json")
 
 
 def manifest(spark: SparkSession, path: str) -> dict:
@@ -217,4 +220,4 @@ def index(spark: SparkSession, path: str) -> DataFrame:
 def summary(spark: SparkSession, path: str) -> list[str]:
     """The lines that tell about an export when it is written: its place and the manifest's totals, a name and a value each."""
     totals = manifest(spark, path)["totals"]
-    return [f"path={path}", *(f"{name}={value}" for name, value in totals.items() if not isinstance(value, dict))]
+    return [f"path={path}", *(f"{name}={value}" for name, value in totals.items() if not isinstance(value, dict)), *(f"skipped_{name}={value}" for name, value in (manifest(spark, path).get("skipped") or {}).items())]
