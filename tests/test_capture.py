@@ -1,10 +1,11 @@
 import json
 import os
 
+import pyarrow as pa
 import pytest
 
 from tracewell.operators import pairing
-from tracewell.sources import capture
+from tracewell.sources import bodies, capture
 
 DAY = 1705276800  # 2024-01-15 00:00 UTC
 
@@ -87,3 +88,20 @@ def test_time_matches_first_come_first_served(spark):
     assert {u: m for u, (_, m) in paired(spark, requests, responses).items()} == {"r0": "p3", "r1": "p4", "r2": "p2", "r3": "", "r4": ""}
     assert {u: m for u, (_, m) in paired(spark, requests[3:4] + requests[1:2], [("k1", 20, "m"), ("k2", 21, "n")]).items()} == {"r3": "k2", "r1": "k1"}
     assert paired(spark, [], responses) == {} and paired(spark, requests[:1], []) == {"r0": ("r0", "")}
+
+
+def test_only_bodies_of_the_rows_left_are_opened(spark, folder, monkeypatch):
+    rows = capture.read(spark, folder, bodies=True).where("request_uuid in ('r1', 'r3')")
+    assert {r.request_uuid: (json.loads(r.input_body)["model"], r.output_body and json.loads(r.output_body)["id"]) for r in rows.collect()} == {"r1": ("m", "msg_1"), "r3": ("m", None)}
+    opened = []
+    monkeypatch.setattr(bodies, "_text", lambda path: opened.append(path) or ("x" * 5 if path else None))
+    monkeypatch.setattr(bodies, "HELD", 12)
+    given = pa.RecordBatch.from_pydict({"k": [1, 2, 3], "p": ["a", None, "c"], "q": ["b", "d", None]})
+    out = list(bodies._read(iter([given]), ["k"], {"in": "p", "out": "q"}))
+    assert opened == ["a", "b", None, "d", "c", None] and [b.to_pydict() for b in out] == [{"k": [1, 2], "in": ["xxxxx", None], "out": ["xxxxx", "xxxxx"]}, {"k": [3], "in": ["xxxxx"], "out": [None]}]
+
+
+def test_files_that_are_gone_are_null(spark, folder):
+    rows = spark.createDataFrame([(1, f"file:{folder}/q1.response.json"), (2, f"file:{folder}/gone"), (3, None), (4, "")], "k long, path string")
+    got = {r.k: r.body for r in bodies.fetched(rows, {"body": "path"}).collect()}
+    assert json.loads(got[1])["id"] == "msg_1" and (got[2], got[3], got[4]) == (None, None, None)
