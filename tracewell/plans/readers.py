@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import text
 from tracewell.plans.adapters import facts, invocation_bodies
 from tracewell.plans.catalog import _CONV, _TURNS, FIVE_MINUTES, query
-from tracewell.sources import azure, bedrock, export, vertex
+from tracewell.sources import azure, bedrock, daily, export, vertex
 from tracewell.sources.scratch import scratch
 
 
@@ -109,3 +109,30 @@ def conversation_files(spark, sf_dir):
     told = F.transform("conversation.turns", lambda t: F.concat(t["role"], F.lit(":"), F.array_join(F.transform(t["blocks"], lambda b: b["text"]), "\n\n")))
     measured = F.size(F.filter("conversation.turns", lambda t: t["metrics"].isNotNull()))
     return c.select("conversation_id", "file", F.size("invocations").cast("long").alias("invocations"), F.size("conversation.turns").cast("long").alias("turns"), F.array_join(told, "\n").alias("told"), measured.cast("long").alias("measured"), F.array_join(F.transform("invocations", lambda i: i["request_id"]), ",").alias("request_ids"))
+
+
+def _daily(spark, sf_dir):
+    """The days table of an export that got its days in two overlapping updates."""
+    path, rows = scratch(spark, "daily"), facts(spark, sf_dir)
+    daily.update(rows.where(F.col("day") < "20240120"), path)
+    daily.update(rows.where(F.col("day") >= "20240110"), path)
+    return daily.read(spark, path, "days")
+
+
+@query("SELECT day, count(*) AS invocations, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(*) FILTER (error_code <> '') AS errors, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT operation) AS operations FROM {facts} f GROUP BY day")
+def daily_updates(spark, sf_dir):
+    """Days of an export, some of them written twice."""
+    return _daily(spark, sf_dir).select("day", "invocations", "input_tokens", "output_tokens", "errors", "first_ts", "last_ts", F.size("by_operation").cast("long").alias("operations"))
+
+
+@query("""WITH x AS (SELECT count(*) AS n, count(DISTINCT CASE WHEN session_id <> '' THEN provider || chr(0) || session_id END) AS sessions FROM {facts} f)
+ SELECT n AS invocations, sessions, true AS sessions_near, true AS p50_near, true AS p90_near, true AS p99_near FROM x""")
+def merged_estimates(spark, sf_dir):
+    """Estimates from the merged sketches of days, held against exact numbers: within 4 % of sessions, 1 % of ranks."""
+    got = daily.totals(_daily(spark, sf_dir)).select("invocations", F.col("sessions").alias("about"), "p50", "p90", "p99")
+    key = F.when(F.col("session_id") != "", F.concat_ws("\0", "provider", "session_id"))
+    exact = facts(spark, sf_dir).crossJoin(F.broadcast(got.select("p50", "p90", "p99")))
+    below = (F.avg(F.when(F.col("output_tokens") < F.col(p), 1.0).otherwise(0.0)) - share <= 0.01 for p, share in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)))
+    upto = (share - F.avg(F.when(F.col("output_tokens") <= F.col(p), 1.0).otherwise(0.0)) <= 0.01 for p, share in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)))
+    near = exact.agg(F.count_distinct(key).alias("sessions"), *((b & u).alias(f"{p}_near") for b, u, p in zip(below, upto, ("p50", "p90", "p99"), strict=True)))
+    return got.crossJoin(near).select("invocations", "sessions", (F.abs(F.col("about") - F.col("sessions")) <= 0.04 * F.col("sessions")).alias("sessions_near"), "p50_near", "p90_near", "p99_near")
