@@ -47,6 +47,8 @@ BLOCK = 256
 #: Bits for each key of a bitmap that rows are looked up in before they are shuffled, and bits at most (32 MB).
 KEY_BITS = 12
 MOST_BITS = 1 << 28
+#: Pairs held before they are counted.
+HELD = 1 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -263,18 +265,64 @@ def _left(classes: DataFrame) -> DataFrame:
     return written(sent.join(shared, "key"), "left")
 
 
+def _met(size: int, lists: np.ndarray, first: np.ndarray, uid: np.ndarray, label: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(a, b, size of a, size of b) of all pairs in lists of size members that have two labels and fitting sizes; first: where the lists begin."""
+    i, j = np.triu_indices(size, 1)
+    at = first[lists]
+    a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+    fits = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
+    a, b = a[fits], b[fits]
+    return np.stack([uid[a], uid[b], n[a], n[b]])
+
+
 def _pairs(left: DataFrame) -> DataFrame:
-    """(bunch, uid) of pairs of different labels that share prefix shingles of at most LISTED sets, and enough of them."""
-    few = left.where(F.col("members") <= LISTED).select("key", "uid", "label", "n")
-    a, b = (few.select("key", *(F.col(c).alias(c + side) for c in ("uid", "label", "n"))) for side in "ab")
-    alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (F.col("uida") < F.col("uidb")) & (F.col("labela") != F.col("labelb"))
-    counted = a.join(b, "key").where(alike).groupBy("uida", "uidb", "na", "nb").agg(F.count("*").alias("both"))
+    """(bunch, uid) of pairs of different labels that share prefix shingles of at most LISTED sets, and enough of them.
+
+    Lists go to tasks by their smallest member, and come in its order, so that those of one group of texts come together and
+    their pairs are counted before they are sent on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            members = batch.column("members")
+            uid, label, n = (members.flatten().field(c).to_numpy() for c in ("uid", "label", "n"))
+            size = members.value_lengths().to_numpy()
+            first = np.cumsum(size) - size
+            made, held = [np.zeros((5, 0), np.int64)], 0
+            for m in np.unique(size).tolist():
+                each = np.flatnonzero(size == m)
+                step = max(1, HELD // (m * (m - 1) // 2 or 1))
+                for at in range(0, len(each), step):
+                    found = _met(m, each[at : at + step], first, uid, label, n)
+                    made.append(np.concatenate([found, np.ones((1, found.shape[1]), np.int64)]))
+                    held += found.shape[1]
+                    if held > HELD:
+                        made = [_summed(made)]
+                        held = made[0].shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(made)], names=["uida", "uidb", "na", "nb", "both"])
+
+    few = left.where(F.col("members") <= LISTED).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("uid", "label", F.col("n").cast("long").alias("n")))).alias("members"))
+    few = few.select("members", F.col("members")[0]["uid"].alias("dst")).repartition("dst").sortWithinPartitions("dst").select("members")
+    counted = few.mapInArrow(run, "uida long, uidb long, na long, nb long, both long").groupBy("uida", "uidb", "na", "nb").agg(F.sum("both").alias("both"))
     # what follows the prefixes: n - floor(n / 5) - 1 shingles at most
     rest = F.floor((F.greatest("na", "nb") * PERCENT + 99) / 100) - 1
     pairs = counted.where((F.col("both") + rest) * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT)
     return pairs.select(F.xxhash64("uida", "uidb").alias("bunch"), F.explode(F.array("uida", "uidb")).alias("uid"))
 
 
+def _summed(made: list[np.ndarray]) -> np.ndarray:
+    """Columns (a, b, size of a, size of b, count), each pair once."""
+    rows = np.concatenate(made, axis=1)
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+    start = np.flatnonzero(new)
+    out = rows[:, start]
+    if len(start):
+        out[4] = np.add.reduceat(rows[4], start)
+    return out
+
+
 def _families(left: DataFrame) -> DataFrame:
     """(family, pair, block, uid, label): members of the blocks to be compared of every family, once for each pair of blocks."""
     many = left.where(F.col("members") > LISTED)
