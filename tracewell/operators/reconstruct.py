@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.envelopes import family
 from tracewell.operators import blocks as b
 from tracewell.operators import chat_completions, generate_content, messages_api
+from tracewell.sources.scratch import written
 
 #: What tells session conversations apart; conversations without a session id are not reconstructed.
 KEY = ("day", "provider", "session_id")
@@ -40,11 +41,6 @@ def _count(kinds: tuple[str, ...]) -> Column:
     return _by_kind(lambda e: F.struct(*(x.alias(c) for x, c in zip(e.counted(b.object_of(F.col("input_body"), e.THIN)), ("n_in", "turn_index"), strict=True))), kinds)
 
 
-def _counted(records: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """(KEY, thread_id, kind, ts, n, n_in: messages of a valid request or 0, turn_index: the place of its answer)."""
-    return _records(records, kinds).withColumn("c", _count(kinds)).select(*KEY, "thread_id", "kind", "ts", "n", F.coalesce("c.n_in", F.lit(0)).alias("n_in"), F.coalesce("c.turn_index", F.lit(0)).alias("turn_index"))
-
-
 def _metrics(rows: DataFrame) -> Column:
     """The metrics of an invocation, from its record and its reply."""
     m = F.col("m")
@@ -54,10 +50,14 @@ def _metrics(rows: DataFrame) -> Column:
     return F.struct("ts", "request_id", "model_id", larger(m["asked"], "input_tokens"), larger(m["answered"], "output_tokens"), larger(m["read"], "cache_read_tokens"), larger(m["written"], "cache_write_tokens"), F.when(F.col("kind") == "anthropic", m["latency"]).otherwise(F.coalesce(latency, F.lit(0))).cast("long").alias("latency_ms"), m["first"].alias("first_byte_ms"), m["stop"].alias("stop_reason"))
 
 
-def _measured(records: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """records with m, what their replies tell, and metrics."""
-    rows = _records(records, kinds).withColumn("m", _by_kind(lambda e: e.metrics(F.col("output_body")), kinds))
-    return rows.withColumn("metrics", _metrics(rows))
+def _told(records: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(KEY, thread_id, kind, ts, n, n_in: messages of a valid request or 0, turn_index: the place of its answer, metrics) of session records.
+
+    Bodies are read once for it, and what is left of them is small; it is written, since several steps need it.
+    """
+    rows = _records(records, kinds).withColumn("m", _by_kind(lambda e: e.metrics(F.col("output_body")), kinds)).withColumn("c", _count(kinds))
+    rows = rows.withColumn("metrics", _metrics(rows))
+    return written(rows.select(*KEY, "thread_id", "kind", "ts", "n", F.coalesce("c.n_in", F.lit(0)).alias("n_in"), F.coalesce("c.turn_index", F.lit(0)).alias("turn_index"), "metrics"), "told")
 
 
 def chosen(counted: DataFrame) -> DataFrame:
@@ -81,11 +81,15 @@ def threads(records: DataFrame, kinds: tuple[str, ...] = tuple(ENVELOPES)) -> Da
     The fullest valid request of a thread is used (see chosen). Null ids count as empty. Records of other kinds than kinds
     are left out.
     """
-    picked = chosen(_counted(records, kinds))
-    picked = picked.select(*(F.col(c).alias(f"c_{c}") for c in (*KEY, "thread_id", "n")), "is_main")
-    rows = _measured(records, kinds)
+    return _taken_apart(records, kinds, _told(records, kinds))
+
+
+def _taken_apart(records: DataFrame, kinds: tuple[str, ...], told: DataFrame) -> DataFrame:
+    """threads() of records that _told tells about: only the chosen requests' bodies are joined and read."""
+    picked = chosen(told).join(told.select(*KEY, "thread_id", "n", "metrics"), [*KEY, "thread_id", "n"])
+    picked = picked.select(*(F.col(c).alias(f"c_{c}") for c in (*KEY, "thread_id", "n")), "is_main", "metrics")
     on = [F.col(c) == F.col(f"c_{c}") for c in (*KEY, "thread_id", "n")]
-    rows = rows.join(picked, on[0] & on[1] & on[2] & on[3] & on[4])
+    rows = _records(records, kinds).join(picked, on[0] & on[1] & on[2] & on[3] & on[4])
     rows = rows.withColumn("asked", _by_kind(lambda e: e.request(F.col("input_body")), kinds)).withColumn("reply", _by_kind(lambda e: e.reply(F.col("output_body")), kinds))
     return rows.where("asked is not null").select(*KEY, "thread_id", "is_main", F.col("asked.system").alias("system_prompt"), F.col("asked.tools").alias("tools"), F.col("asked.turns").alias("turns"), "reply", "metrics")
 
@@ -97,12 +101,14 @@ def turns(records: DataFrame, kinds: tuple[str, ...] = tuple(ENVELOPES)) -> Data
     without blocks makes no turn. Metrics of earlier turns are those of the first invocation with as many messages, on
     assistant turns only; turns without any have zeros and empty strings.
     """
-    known = threads(records, kinds)
-    sent = known.select(*KEY, "thread_id", "is_main", F.posexplode("turns").alias("turn_index", "t"), F.lit(None).alias("own"))
-    reply = known.where(F.size("reply.blocks") > 0).select(*KEY, "thread_id", "is_main", F.size("turns").alias("turn_index"), F.col("reply").alias("t"), F.col("metrics").alias("own"))
-    claims = _measured(records, kinds).withColumn("c", _count(kinds))
-    made = claims.where("c.n_in > 0").groupBy(*KEY, "thread_id", F.col("c.turn_index").alias("turn_index")).agg(F.min_by("metrics", F.struct("ts", "n")).alias("found"))
-    rows = sent.unionByName(reply).join(made, [*KEY, "thread_id", "turn_index"], "left")
+    told = _told(records, kinds)
+    known = _taken_apart(records, kinds, told)
+    # the reply is the turn after those sent, if it has blocks
+    sent = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["blocks"].alias("blocks"), F.lit(False).alias("answers")))
+    reply = F.when(F.size("reply.blocks") > 0, F.array(F.struct(F.col("reply.role").alias("role"), F.col("reply.blocks").alias("blocks"), F.lit(True).alias("answers")))).otherwise(F.array())
+    each = known.select(*KEY, "thread_id", "is_main", "metrics", F.posexplode(F.concat(sent, reply)).alias("turn_index", "t")).withColumn("own", F.when(F.col("t.answers"), F.col("metrics"))).drop("metrics")
+    made = told.where("n_in > 0").groupBy(*KEY, "thread_id", "turn_index").agg(F.min_by("metrics", F.struct("ts", "n")).alias("found"))
+    rows = each.join(made, [*KEY, "thread_id", "turn_index"], "left")
     rows = rows.withColumn("m", F.coalesce("own", F.when(F.col("t.role") == "assistant", F.col("found")))).withColumn("blocks", F.col("t.blocks"))
     texts = F.filter(F.transform("blocks", lambda x: F.when(x["type"] == "text", x["text"])), lambda t: F.length(t) > 0)
     return rows.select(
