@@ -25,7 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group that five-word shingles of similarity 0.8 or more link; rows count, not ids.
 
-    Operator 8 for texts: candidates of the fingerprint trees and of band keys, each confirmed exactly (llm/similar.py).
+    Operator 8 for texts: candidates of the fingerprint trees and of band keys, and then every pair left that shares a prefix
+    shingle, each confirmed exactly, so no link is missed (llm/similar.py).
     """
     return similar.one_of_each(docs, COLUMNS)
 
