@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.sources import azure, bedrock, capture, vertex
+from tracewell.sources import azure, bedrock, capture, services, vertex
 
 #: Columns of an invocation. Absent strings are empty, absent counts zero; only ts and bodies may be null.
 RECORD = {
@@ -21,8 +21,10 @@ NULLABLE = ("ts", "input_body", "output_body")
 READERS: dict[str, Callable[..., DataFrame]] = {
     "bedrock": lambda spark, where, start="", end="", bucket="", skipped=None: bedrock.read(spark, where, bucket, start, end, skipped),
     "azure": lambda spark, where, start="", end="", resource="", subscription="": azure.from_table(vertex.table(spark, *where.split(".")), start, end, resource, subscription),
+    "azure-service": lambda spark, where, start="", end="", resource="", subscription="", token="", hours="": azure.from_table(services.log_rows(spark, where, start, end, token, resource, subscription, hours), start, end),
     "azure-storage": lambda spark, where, start="", end="", skipped=None: azure.read_storage(spark, where, start, end, skipped),
     "vertex": lambda spark, where, start="", end="": vertex.records(vertex.table(spark, *where.split(".")), start, end),
+    "vertex-service": lambda spark, where, start="", end="", table="", location="", token="", hours="": vertex.records(services.table_rows(spark, where, table, start, end, token, location, hours), start, end),
     "claude": lambda spark, where, start="", end="", skipped=None: capture.read(spark, where, start, end, bodies=True, skipped=skipped),
 }
 #: Kinds whose readers count what they skip.
@@ -43,7 +45,7 @@ def conform(rows: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, kind: str, where: str, start: str = "", end: str = "", **more) -> DataFrame:
-    """Invocations (RECORD) of the source kind at where: a folder, an address or a table name; ValueError for another kind."""
+    """Invocations (RECORD) of the source kind at where: a folder, an address, a table name or a service's URL; ValueError for another kind."""
     if kind not in READERS:
         raise ValueError(f"no source {kind!r}")
     return conform(READERS[kind](spark, where, start, end, **more))

@@ -15,12 +15,19 @@ USAGE = "struct<usageMetadata: struct<promptTokenCount: bigint, candidatesTokenC
 ERROR = "struct<error: struct<code: bigint, status: string>>"
 
 
-def table(spark: SparkSession, *names: str) -> DataFrame:
-    """spark.table of names joined by dots; ValueError if one has other characters than letters, digits and _-.: or is empty."""
+def identifiers(*names: str, count: int | None = None) -> tuple[str, ...]:
+    """names; ValueError if one has other characters than letters, digits and _-.: or is empty, or if there are not count of them."""
     for name in names:
         if not re.fullmatch(r"[A-Za-z0-9_\-.:]+", name):
             raise ValueError(f"not an identifier: {name!r}")
-    return spark.table(".".join(f"`{n}`" for n in names))
+    if count is not None and len(names) != count:
+        raise ValueError(f"not {count} identifiers: {'.'.join(names)!r}")
+    return names
+
+
+def table(spark: SparkSession, *names: str) -> DataFrame:
+    """spark.table of names joined by dots; ValueError if one is no identifier."""
+    return spark.table(".".join(f"`{n}`" for n in identifiers(*names)))
 
 
 def request_body(pieces: Column) -> Column:
