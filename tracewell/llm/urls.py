@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hot_keys, join_spread, written
 
 #: Fixed values of the filter: (rule, verdict); the host is what stands before the first slash.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -76,16 +76,18 @@ def with_features(urls: DataFrame) -> DataFrame:
 
     The rate of a suffix, or of a path's head, is its share of blocked URLs among labelled ones, drawn towards one half by five
     pseudo-rows: among all of them for an unlabelled URL, among those of other folds for a labelled one. Equal URLs are of
-    one fold.
+    one fold. Rows of a frequent suffix or head are dealt over many tasks.
     """
     out = urls.select("*", *lexical(F.col("url"), F.col("host"), F.col("path"))).withColumn("suffix", suffix(F.col("host"))).withColumn("head", F.coalesce(head(F.col("path")), F.lit("")))
     out = out.withColumn("fold", F.when(F.col("label").isNotNull(), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")))
     own = lambda n: F.coalesce(F.element_at(F.array(*(F.col(f"{n}_{i}") for i in range(FOLDS))), F.col("fold") + 1), F.lit(0))
     rate = (F.col("blocked") - own("b") + 2.5) / (F.col("seen") - own("n") + 5)
     counts = [f(F.when(F.col("fold") == i, F.col("label"))).alias(f"{n}_{i}") for i in range(FOLDS) for n, f in (("b", F.sum), ("n", F.count))]
+    rows = urls.count()
     for by in ("suffix", "head"):
+        hot = hot_keys(out.groupBy(by).agg(F.count("*").alias("n")), by, rows)
         folds = out.where("label is not null").groupBy(by).agg(F.sum("label").alias("blocked"), F.count("label").alias("seen"), *counts)
-        out = out.join(folds, by, "left").withColumn(f"{by}_rate", F.coalesce(rate, F.lit(0.5))).drop("blocked", "seen", *(f"{n}_{i}" for n in "bn" for i in range(FOLDS)))
+        out = join_spread(out, folds, by, hot, F.xxhash64("id", "url"), "left").withColumn(f"{by}_rate", F.coalesce(rate, F.lit(0.5))).drop("blocked", "seen", *(f"{n}_{i}" for n in "bn" for i in range(FOLDS)))
     return out
 
 
@@ -94,8 +96,15 @@ def assembled(df: DataFrame) -> DataFrame:
 
 
 def train(featured: DataFrame, rows: int = TRAIN_ROWS) -> GBTClassificationModel | float:
-    """Trees fitted on the first rows labelled URLs in hash order, or the one label there is (0.0 without labels)."""
-    sample = featured.where("label is not null").select("label", *FEATURES, "url").orderBy(F.xxhash64("url"), "url").limit(rows).drop("url")
+    """Trees fitted on at most so many labelled URLs, or on the one label there is (0.0 without labels).
+
+    They are the first in hash order of a range of hashes that holds about as many, so few more are ever sorted.
+    """
+    labelled = featured.where("label is not null")
+    share = rows / max(1, labelled.count())
+    if share < 1:
+        labelled = labelled.where(F.xxhash64("id", "url") < F.lit(int(share * (1 << 64)) - (1 << 63)))
+    sample = labelled.select("label", *FEATURES, "url").orderBy(F.xxhash64("url"), "url").limit(rows).drop("url")
     sample = written(sample.withColumn("label", F.col("label").cast("double")), "urls")
     seen = [r[0] for r in sample.select("label").distinct().collect()]
     if len(seen) < 2:

@@ -18,7 +18,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from . import textkernel as tk
+from .common import hot_keys, join_spread, scratch, written
 
 CHUNK = 1 << 16
 
@@ -89,14 +90,15 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_
     revisits of it. Null bodies are empty. Rows that repeat the largest id are responses too; a null id counts as least.
     Null urls are written as empty targets. An empty table gives no archive. Other columns do not matter, whatever their names.
 
-    Who revisits whom is found on digests and ids alone. Rows meet their verdicts by digest, id and url, so the copies of one
-    payload are dealt over all tasks.
+    Who revisits whom is found on digests and ids alone, and the rows of a frequent digest are dealt over many tasks. Rows meet
+    their verdicts by digest, id and url, so the copies of one payload are dealt as well.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("body"))
     rows = rows.withColumn("sha1", F.sha1(F.encode("body", "utf-8"))).withColumn("at", F.xxhash64("url"))
-    thin = rows.where(F.octet_length("body") >= revisit_from).select("sha1", "id", "at")
-    groups = thin.groupBy("sha1").agg(F.max("id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").select("sha1", "first_id")
-    revisits = thin.join(groups, "sha1").where(~F.col("id").eqNullSafe(F.col("first_id"))).distinct()
+    thin = written(rows.where(F.octet_length("body") >= revisit_from).select("sha1", "id", "at"), "digests")
+    groups = written(thin.groupBy("sha1").agg(F.max("id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null"), "copies")
+    hot = hot_keys(groups, "sha1", thin.count())
+    revisits = join_spread(thin, groups.select("sha1", "first_id"), "sha1", hot, F.xxhash64("id", "at")).where(~F.col("id").eqNullSafe(F.col("first_id"))).distinct()
     revisits = revisits.select(F.col("sha1").alias("r_sha1"), F.col("id").alias("r_id"), F.col("at").alias("r_at"), "first_id")
     rows = rows.join(revisits, (F.col("sha1") == F.col("r_sha1")) & F.col("id").eqNullSafe(F.col("r_id")) & (F.col("at") == F.col("r_at")), "left")
     refers = F.col("first_id")
@@ -105,7 +107,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_
     def put(batches):
         path, n = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
         out = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in tk.slices(whole, "body")):
             for page, url, body, refers_to in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "body", "refers_to")), strict=True):
                 out = out or opened(path, "w")
                 payload = body.encode()
