@@ -105,3 +105,76 @@ def test_files_that_are_gone_are_null(spark, folder):
     rows = spark.createDataFrame([(1, f"file:{folder}/q1.response.json"), (2, f"file:{folder}/gone"), (3, None), (4, "")], "k long, path string")
     got = {r.k: r.body for r in bodies.fetched(rows, {"body": "path"}).collect()}
     assert json.loads(got[1])["id"] == "msg_1" and (got[2], got[3], got[4]) == (None, None, None)
+
+
+def _in_order(requests, responses):
+    """Owners and claims chain by chain in order of their roots: {chain: thread}, {tip: message}, of one session."""
+    chains = {}
+    for u, _, c, n, at, p, m in requests:
+        chains.setdefault(c, []).append((n, at, u, p, m))
+    chains = {c: sorted(rows) for c, rows in chains.items()}
+    given = {m: (at, x) for m, at, x in responses}
+    order = sorted(chains, key=lambda c: (chains[c][0][1], chains[c][0][2]))
+    holder, claims = {}, {}
+    for c in order:
+        for i in range(1, len(chains[c])):
+            if chains[c][i][3] in given and chains[c][i][3] not in holder:
+                holder[chains[c][i][3]] = c
+    root = {c: c for c in order}
+    open_tips = set(order)
+    for n, c in enumerate(order):
+        named = chains[c][0][3]
+        if named and named not in holder and named in given:
+            at, model = given[named]
+            fits = [t for t in order[:n] if t in open_tips and chains[t][-1][1] <= at and (not model or not chains[t][-1][4] or model == chains[t][-1][4])]
+            if fits:
+                tip = max(fits, key=lambda t: (chains[t][-1][1], -order.index(t)))
+                open_tips.remove(tip)
+                holder[named], claims[chains[tip][-1][2]] = tip, named
+        if named in holder and holder[named] != c:
+            root[c] = root[holder[named]]
+    return {c: chains[root[c]][0][2] for c in order}, claims
+
+
+def test_stitching_equals_one_chain_after_another(spark):
+    """Random sessions whose roots name any response, of any time and model, several chains the same one."""
+    import random
+
+    rng = random.Random(7)
+    requests, responses, want = [], [], {}
+    for s in range(40):
+        given = [(f"x{s}-{i}", rng.randrange(60), rng.choice(["m", "n", ""])) for i in range(12)]
+        used, mine = iter(rng.sample(range(12), 12)), []
+        for c in range(14):
+            at = rng.randrange(60)
+            for n in range(1, rng.choice([1, 1, 2]) + 1):
+                prev = rng.choice(["", given[rng.randrange(12)][0], given[rng.randrange(12)][0]]) if n == 1 else f"x{s}-{k}" if (k := next(used, None)) is not None else ""
+                mine.append((f"r{s}-{c:02}-{n}", f"s{s}", f"c{c:02}", n, at + 2 * n, prev, rng.choice(["m", "n", ""])))
+        requests += mine
+        responses += given
+        threads, claims = _in_order(mine, given)
+        want |= {u: (threads[c], claims.get(u)) for u, _, c, *_ in mine}
+    got = paired(spark, requests, responses)
+    assert {u: t for u, (t, _) in got.items()} == {u: t for u, (t, _) in want.items()}
+    assert all(got[u][1] == m for u, (_, m) in want.items() if m)
+
+
+def test_pointers_double(spark):
+    edges = [("s", f"c{i:04}", f"c{i - 1:04}", False) for i in range(1, 1000)] + [("s", "late", "later", True), ("s", "after", "late", False)]
+    got = {r.chain: r.root for r in pairing.roots(spark.createDataFrame(edges, "session_id string, chain string, root string, done boolean")).collect()}
+    assert {got.pop("late"), got.pop("after")} == {"later"} and set(got.values()) == {"c0000"} and len(got) == 999
+
+
+def test_a_session_of_many_chains():
+    """Every continuation takes the latest tip that is left, as brackets close; no claim looks at all tips."""
+    import time
+
+    import pandas as pd
+
+    n = 50_000
+    tips = [("s", f"t{i}", i, f"t{i}", f"u{i}", i, "m", None) for i in range(n)]
+    asked = [("s", f"a{i}", n + i, f"a{i}", "", n, "m", f"x{i}") for i in range(n)]
+    rows = pd.DataFrame(tips + asked, columns=["session_id", "chain", "root_mtime", "root_uuid", "tip_uuid", "mtime", "model", "message_id"])
+    begun = time.time()
+    got = pairing._tips_claimed(rows)
+    assert got["owner"].tolist() == [f"t{i}" for i in reversed(range(n))] and time.time() - begun < 30

@@ -6,6 +6,8 @@ prev_id, responses message_id, mtime and model.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,26 +47,67 @@ def unclaimed(paired: DataFrame, responses: DataFrame) -> DataFrame:
     return responses.join(paired.where("message_id <> ''").select("message_id"), "message_id", "left_anti")
 
 
-def _stitch(chains: pd.DataFrame) -> pd.DataFrame:
-    """thread_id of each chain of a session, and the request at its end that a continuation's root names the answer of."""
-    chains = chains.sort_values(["root_mtime", "root_uuid"]).reset_index(drop=True)
-    at = {c: i for i, c in enumerate(chains["chain"])}
-    rows = chains.to_dict("records")
-    root, claimed = list(range(len(rows))), {}
-    for i, c in enumerate(rows):
-        if not c["root_prev"]:
-            continue
-        owner = at.get(c["owner_chain"]) if isinstance(c["owner_chain"], str) else claimed.get(c["root_prev"], (None,))[0]
-        if owner is None and c["free_mtime"] == c["free_mtime"] and c["free_mtime"] is not None:
-            fits = [j for j, t in enumerate(rows[:i]) if t["tip_free"] and t["tip_mtime"] <= c["free_mtime"] and (not t["tip_model"] or not c["free_model"] or t["tip_model"] == c["free_model"])]
-            if fits:
-                owner = max(fits, key=lambda j: (rows[j]["tip_mtime"], -j))
-                rows[owner]["tip_free"] = False
-                claimed[c["root_prev"]] = (owner, rows[owner]["tip_uuid"])
-        if owner is not None and owner != i:
-            root[i] = root[owner]
-    answers = {uuid: message for message, (_, uuid) in claimed.items()}
-    return pd.DataFrame({"session_id": [c["session_id"] for c in rows], "chain": [c["chain"] for c in rows], "thread_id": [rows[r]["root_uuid"] for r in root], "tip_uuid": [c["tip_uuid"] for c in rows], "message_id": [answers.get(c["tip_uuid"]) for c in rows]})
+def _tips_claimed(rows: pd.DataFrame) -> pd.DataFrame:
+    """(session_id, chain, owner, tip_uuid, message_id): the chain whose tip answers a continuation's root, for each continuation of a session.
+
+    rows are the session's continuations of free responses (message_id is what the root names) and its tips without an answer
+    (message_id is null). Continuations claim in order of their roots, each the latest tip in reach that is left; one
+    that names a response already claimed joins its claimant's owner. Tips stand in order of time per model; what is claimed
+    is skipped by links to the one before, so a claim does not look at all of them.
+    """
+    rows = rows.sort_values(["root_mtime", "root_uuid"])
+    asked, tips = rows[rows["message_id"].notna()], rows[rows["message_id"].isna()].reset_index(drop=True)
+    # of tips of one time the first chain's counts, so it stands last
+    order = sorted(range(len(tips)), key=lambda j: (tips["mtime"][j], -j))
+    roots, uuids, chains = list(zip(tips["root_mtime"], tips["root_uuid"], strict=True)), tips["tip_uuid"].tolist(), tips["chain"].tolist()
+    lists: dict[str | None, list[int]] = {None: order}
+    for j in order:
+        lists.setdefault(tips["model"][j], []).append(j)
+    times = {m: [tips["mtime"][j] for j in at] for m, at in lists.items()}
+    before = {m: list(range(len(at) + 1)) for m, at in lists.items()}
+    taken, claimed, out = [False] * len(tips), {}, []
+
+    def left(model: str | None, k: int) -> int:
+        """The last place of a list, up to k, that nobody has; place k is the list's k-th from 1, 0 is none."""
+        skip, at = before[model], lists[model]
+        path = []
+        while k and (skip[k] != k or taken[at[k - 1]]):
+            path.append(k)
+            k = skip[k] if skip[k] != k else k - 1
+        for p in path:
+            skip[p] = k
+        return k
+
+    for session, chain, root, free_mtime, free_model, message in zip(asked["session_id"], asked["chain"], zip(asked["root_mtime"], asked["root_uuid"], strict=True), asked["mtime"], asked["model"], asked["message_id"], strict=True):
+        if message not in claimed:
+            best = None
+            for model in (free_model, "") if free_model else (None,):
+                k = left(model, bisect_right(times[model], free_mtime)) if model in lists else 0
+                while k and roots[lists[model][k - 1]] >= root:
+                    k = left(model, k - 1)
+                if k:
+                    j = lists[model][k - 1]
+                    best = j if best is None else max(best, j, key=lambda x: (tips["mtime"][x], -x))
+            if best is None:
+                continue
+            taken[best], claimed[message] = True, best
+        out.append((session, chain, chains[claimed[message]], uuids[claimed[message]], message))
+    return pd.DataFrame(out, columns=["session_id", "chain", "owner", "tip_uuid", "message_id"]).astype(object)
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """(session_id, chain, root) of edges (session_id, chain, root, done): a chain leads to another, or, done, to its thread's first.
+
+    Pointers double: a chain takes over where the chain that it leads to leads, so the rounds are the logarithm of the longest
+    thread. Only edges to earlier chains may be open, so that none leads round.
+    """
+    edges = written(edges, "roots")
+    while edges.where("not done").take(1):
+        ahead = edges.select("session_id", F.col("chain").alias("root"), F.col("root").alias("next"), F.col("done").alias("next_done"))
+        moved = edges.where("not done").join(ahead, ["session_id", "root"], "left")
+        moved = moved.select("session_id", "chain", F.coalesce("next", "root").alias("root"), F.coalesce("next_done", F.lit(True)).alias("done"))
+        edges = written(edges.where("done").unionByName(moved), "roots")
+    return edges.select("session_id", "chain", "root")
 
 
 def _claim(rows: pd.DataFrame) -> pd.DataFrame:
@@ -113,7 +156,8 @@ def threaded(requests: DataFrame, responses: DataFrame) -> DataFrame:
     First chain adjacency. Then a chain whose root names a response of another chain of its session continues that chain's
     thread; if nobody has that response, it also goes to the latest request before it that ends a chain and fits its time
     and model. Threads are named by the first request of the first chain. Last, requests that end a chain and are
-    still unpaired take responses by time. Rows of chains, not of requests, are grouped by session for the second step.
+    still unpaired take responses by time. Threads are found by doubling pointers between chains. Only the continuations that
+    claim an answer nobody has, and the tips of their session, are grouped by session, one row a chain.
     """
     requests, responses = written(requests, "requests"), written(responses, "responses")
     won = written(_won(requests, responses), "won")
@@ -125,13 +169,24 @@ def threaded(requests: DataFrame, responses: DataFrame) -> DataFrame:
     chains = chains.join(owners, ["session_id", "root_prev"], "left").join(open_, "root_prev", "left")
     chains = chains.select("session_id", "chain", "root_mtime", "root_uuid", "root_prev", "owner_chain", "free_mtime", "free_model", F.col("tip.uuid").alias("tip_uuid"), F.col("tip.mtime").alias("tip_mtime"), F.col("tip.model").alias("tip_model"), F.col("tip.free").alias("tip_free"))
     chains = written(chains, "chains")
-    made = written(chains.groupBy("session_id").applyInPandas(_stitch, "session_id string, chain string, thread_id string, tip_uuid string, message_id string"), "threads")
+    # continuations of free responses, and tips without an answer in their sessions
+    asking = chains.where("root_prev <> '' and owner_chain is null and free_mtime is not null")
+    tips = chains.where("tip_free").join(asking.select("session_id").distinct(), "session_id", "left_semi")
+    both = lambda rows, mtime, model, message: rows.select("session_id", "chain", "root_mtime", "root_uuid", "tip_uuid", F.col(mtime).alias("mtime"), F.coalesce(model, F.lit("")).alias("model"), message.alias("message_id"))
+    claimed = both(asking, "free_mtime", "free_model", F.col("root_prev")).unionByName(both(tips, "tip_mtime", "tip_model", F.lit(None).cast("string")))
+    claimed = written(claimed.groupBy("session_id").applyInPandas(_tips_claimed, "session_id string, chain string, owner string, tip_uuid string, message_id string"), "claimed")
+    owned = chains.where("root_prev <> ''").join(claimed.select("session_id", "chain", "owner"), ["session_id", "chain"], "left").withColumn("root", F.coalesce("owner_chain", "owner"))
+    # a chain is done where its owner comes later, as owners are settled in order of their roots
+    owner = chains.select("session_id", F.col("chain").alias("root"), F.struct("root_mtime", "root_uuid").alias("at"))
+    edges = owned.where("root <> chain").join(owner, ["session_id", "root"]).select("session_id", "chain", "root", (F.col("at") > F.struct("root_mtime", "root_uuid")).alias("done"))
+    first = chains.select("session_id", F.col("chain").alias("root"), F.col("root_uuid").alias("thread_id"))
+    threads = chains.select("session_id", "chain", "root_uuid").join(roots(edges).join(first, ["session_id", "root"]).drop("root"), ["session_id", "chain"], "left")
+    threads = threads.select("session_id", "chain", F.coalesce("thread_id", "root_uuid").alias("thread_id"))
     # a response that two sessions' continuations name goes to one
-    stitched = made.where("message_id is not null").groupBy("message_id").agg(F.min_by("tip_uuid", F.struct("session_id", "tip_uuid")).alias("uuid"))
+    stitched = claimed.groupBy("message_id").agg(F.min_by("tip_uuid", F.struct("session_id", "tip_uuid")).alias("uuid"))
     known = won.select("uuid", F.col("named").alias("message_id")).unionByName(stitched.select("uuid", "message_id"))
     ends = chains.where("tip_free").select(F.col("tip_uuid").alias("uuid"), F.col("tip_mtime").alias("mtime"), F.col("tip_model").alias("model")).join(stitched.select("uuid"), "uuid", "left_anti")
     free = responses.select("message_id", "mtime", "model").join(known.select("message_id"), "message_id", "left_anti")
     known = known.unionByName(by_time(ends, free))
-    threads = made.select("session_id", "chain", "thread_id")
     answers = responses.withColumnsRenamed({"mtime": "response_mtime", "model": "response_model"})
     return requests.join(threads, ["session_id", "chain"]).join(known.join(answers, "message_id"), "uuid", "left").withColumn("message_id", F.coalesce("message_id", F.lit("")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import text
 from tracewell.plans.adapters import facts, invocation_bodies
 from tracewell.plans.catalog import _CONV, _TURNS, FIVE_MINUTES, query
+from tracewell.operators import pairing
 from tracewell.sources import azure, bedrock, daily, export, vertex
 from tracewell.sources.scratch import scratch
 
@@ -136,3 +137,22 @@ def merged_estimates(spark, sf_dir):
     upto = (share - F.avg(F.when(F.col("output_tokens") <= F.col(p), 1.0).otherwise(0.0)) <= 0.01 for p, share in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)))
     near = exact.agg(F.count_distinct(key).alias("sessions"), *((b & u).alias(f"{p}_near") for b, u, p in zip(below, upto, ("p50", "p90", "p99"), strict=True)))
     return got.crossJoin(near).select("invocations", "sessions", (F.abs(F.col("about") - F.col("sessions")) <= 0.04 * F.col("sessions")).alias("sessions_near"), "p50_near", "p90_near", "p99_near")
+
+
+_CHAINS = "(SELECT conv_id AS c, count(*) AS k FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL GROUP BY conv_id)"
+
+
+@query(f"""WITH c AS {_CHAINS}, b AS (SELECT a.c, a.k, a.c % 3 = 0 OR p.c IS NULL OR p.c % 7 = 0 AS starts FROM c a LEFT JOIN c p ON p.c = a.c - 1),
+ t AS (SELECT *, max(CASE WHEN starts THEN c END) OVER (ORDER BY c) AS first FROM b)
+ SELECT c || '-' || i AS uuid, first || '-1' AS thread_id, CASE WHEN c % 7 = 0 AND i = k THEN '' ELSE 'm' || c || '-' || i END AS message_id FROM t, unnest(range(1, k + 1)) r(i)""")
+def paired_requests(spark, sf_dir):
+    """Conversations as chains of requests, two of three continuing the one before; every seventh one's last answer is missing."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant' and conv_id is not null")
+    each = c.groupBy(F.col("conv_id").alias("c")).agg(F.count("*").alias("k")).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "k")))
+    before = each.select((F.col("c") + 1).alias("c"), F.col("k").alias("before")).distinct()
+    text_of = lambda *parts: F.concat(*(p.cast("string") for p in parts))
+    dash, at = F.lit("-"), (F.col("c") * 100_000 + F.col("i")) * 10_000_000
+    named = F.when(F.col("i") > 1, text_of(F.lit("m"), F.col("c"), dash, F.col("i") - 1)).when(F.col("c") % 3 != 0, text_of(F.lit("m"), F.col("c") - 1, dash, F.col("before")))
+    asked = each.join(before, "c", "left").select(text_of(F.col("c"), dash, F.col("i")).alias("uuid"), F.floor(F.col("c") / 30).cast("string").alias("session_id"), F.col("c").cast("string").alias("chain"), F.col("i").cast("int").alias("num_messages"), at.alias("mtime"), F.coalesce(named, F.lit("")).alias("prev_id"), F.lit("m").alias("model"))
+    given = each.where("c % 7 <> 0 or i < k").select(text_of(F.lit("m"), F.col("c"), dash, F.col("i")).alias("message_id"), (at + 5_000_000).alias("mtime"), F.lit("m").alias("model"))
+    return pairing.threaded(asked, given).select("uuid", "thread_id", "message_id")
