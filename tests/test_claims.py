@@ -87,3 +87,26 @@ def test_functions_compose():
 
 def test_empty(spark):
     assert pairing.by_time(*frames(spark, [], [])).collect() == []
+
+
+def test_functions_of_dense_blocks_have_three_pieces():
+    """Windows of hundreds of responses, as many asked for as given: a block's function and a composition stay small."""
+    rng, low, high, blocks = random.Random(11), 0, 400, []
+    for _ in range(6):
+        requests = []
+        for _ in range(800):
+            low += rng.randrange(3)
+            high = max(high, low - 1) + rng.randrange(3)
+            requests.append((low, high))
+        f = [(requests[0][0] - 1, requests[0][0] - 1, 1)]
+        for at in requests:
+            f = claims.claimed(f, *at)
+        assert len(f) <= 3
+        blocks.append((requests, f))
+    for start in (-1, 5, 250, 400):
+        u, whole = start, blocks[0][1]
+        for requests, f in blocks:
+            whole = whole if f is blocks[0][1] else claims.composed(whole, f)
+            for first, last in requests:
+                u = max(u + 1, first) if first <= last and max(u + 1, first) <= last else u
+            assert len(whole) <= 3 and claims.value_at(whole, start) == u
