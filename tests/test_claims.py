@@ -110,3 +110,15 @@ def test_functions_of_dense_blocks_have_three_pieces():
             for first, last in requests:
                 u = max(u + 1, first) if first <= last and max(u + 1, first) <= last else u
             assert len(whole) <= 3 and claims.value_at(whole, start) == u
+
+
+@pytest.mark.parametrize("models", [("m",), ("m", "n")])
+def test_dense_traffic_equals_one_walk(spark, monkeypatch, models):
+    """Windows hold many times a block, for one model and for two."""
+    monkeypatch.setattr(claims, "BLOCK", 40)
+    monkeypatch.setattr(claims, "SUPER", 4)
+    asked, given = traffic(random.Random(len(models)), 3_000, 3_000, 45, models)
+    assert sorted(map(tuple, pairing.by_time(*frames(spark, asked, given)).collect())) == walked(asked, given)
+    numbered, _ = claims._numbered(*(x.withColumnRenamed("model", "kind") for x in frames(spark, asked, given)), pairing.WINDOW)
+    for _, rows in numbered.toPandas().assign(block=lambda x: x["k"] // 40).groupby(["kind", "block"]):
+        assert len(claims._function(rows)["f"].iloc[0]) <= 3
