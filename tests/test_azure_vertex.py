@@ -77,3 +77,20 @@ def test_json_validity(spark):
     cases = {"{}": True, " [1] ": True, "null": True, '"x"': True, "{}tail": False, "{}{}": False, "1,2": False, '1,"w":2': False, "1],[2": False, "": False, None: False}
     got = spark.createDataFrame([(c,) for c in cases], "x string").select("x", valid_json(F.col("x"))).collect()
     assert dict(map(tuple, got)) == cases
+
+
+def test_property_bags_are_parsed_once(spark, tiny):
+    """The filter on bodies names them, and does not stand in the plan with their making written out."""
+    from tracewell.plans import readers
+
+    made = readers.azure_table_records(spark, tiny)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") + plan.count("JsonToStructs") <= 4
+
+
+def test_names_equal_but_for_case_and_other_bags(spark):
+    from tracewell.sources import azure
+
+    texts = ['{"b": 1, "A": "x", "a": "y"}', ' {"k": {"z": 1, "a": null}}', "{}", "", "[1]", '"s"', None, "{broken"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(azure.bag(F.col("t"))).collect()
+    assert [r[0] for r in got] == [{"a": '"x"', "b": "1"}, {"k": '{"a":null,"z":1}'}, {}, {}, {}, {}, {}, {}]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text
 from tracewell.functions.envelopes import session_of, valid_json
+from tracewell.functions.rows import once
 from tracewell.sources import listing
 from tracewell.sources.dates import window
 
@@ -36,10 +37,15 @@ def path_hour(path: Column) -> Column:
 def bag(properties: Column) -> Column:
     """map<lower-case name, variant> of a JSON object's text; empty for anything else. Of names equal but for case, the first in order of names counts."""
     entries = F.array_sort(F.transform(F.map_entries(F.from_json(properties, "map<string, variant>")), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value"))))
-    names = F.transform(entries, lambda e: F.lower(e["key"]))
-    first = F.filter(entries, lambda e, i: F.array_position(names, F.lower(e["key"])) == i + 1)
-    known = F.map_from_entries(F.transform(first, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
-    return F.when(F.ltrim(properties).startswith("{"), F.coalesce(known, F.create_map().cast("map<string, string>"))).otherwise(F.create_map().cast("map<string, string>"))
+
+    def known(entries: Column) -> Column:
+        names = F.transform(entries, lambda e: F.lower(e["key"]))
+        first = F.filter(entries, lambda e, i: F.array_position(names, F.lower(e["key"])) == i + 1)
+        return F.map_from_entries(F.transform(first, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+    # the text is parsed once: known() names its argument once for each entry
+    parsed = F.get(F.transform(F.array(entries), known), F.lit(0))
+    return F.when(F.ltrim(properties).startswith("{"), F.coalesce(parsed, F.create_map().cast("map<string, string>"))).otherwise(F.create_map().cast("map<string, string>"))
 
 
 def _first(props: Column, names: tuple[str, ...]) -> Column:
@@ -52,10 +58,8 @@ def _plain(json: Column) -> Column:
     return F.when(json.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), json, F.lit("}")), "$.v"))
 
 
-def body(props: Column, names: tuple[str, ...]) -> Column:
-    """A body of a property bag: JSON as it is (keys sorted), or what a string holds if that is JSON; empty without one."""
-    json = _first(props, names)
-    inner = _plain(json)
+def _body(json: Column, inner: Column) -> Column:
+    """A body of a property bag, of its member and what that says: JSON as it is (keys sorted), or what a string holds if that is JSON; empty without one."""
     return F.coalesce(F.when(valid_json(inner), inner), json, F.lit(""))
 
 
@@ -68,9 +72,11 @@ def error_code(response: Column, status: Column) -> Column:
 
 def _records(rows: DataFrame) -> DataFrame:
     """Invocations of rows (at, operation, status, request_id, latency, resource, resource_group, caller_ip, properties)."""
-    rows = rows.withColumn("props", bag(F.col("properties")))
-    rows = rows.withColumn("input_body", body(F.col("props"), REQUEST_KEYS)).withColumn("output_body", body(F.col("props"), RESPONSE_KEYS))
-    rows = rows.withColumn("u", F.when(F.ltrim("output_body").startswith("{"), F.from_json("output_body", USAGE)["usage"]))
+    rows = once(rows, props=bag(F.col("properties")))
+    rows = once(rows, asked=_first(F.col("props"), REQUEST_KEYS), answered=_first(F.col("props"), RESPONSE_KEYS))
+    rows = once(rows, asked_says=_plain(F.col("asked")), answered_says=_plain(F.col("answered")))
+    rows = once(rows, input_body=_body(F.col("asked"), F.col("asked_says")), output_body=_body(F.col("answered"), F.col("answered_says")))
+    rows = once(rows, u=F.when(F.ltrim("output_body").startswith("{"), F.from_json("output_body", USAGE)["usage"]))
     group = F.coalesce(F.nullif(text.arm_segment(F.col("resource"), "resourcegroups"), F.lit("")), F.col("resource_group"))
     extra = F.create_map(F.lit("subscription"), text.arm_segment(F.col("resource"), "subscriptions"), F.lit("resourceGroup"), group, F.lit("callerIp"), F.col("caller_ip"))
     count = lambda c: F.coalesce(F.col(f"u.{c}"), F.lit(0)).cast("long")
