@@ -49,3 +49,14 @@ def test_groups_are_blocks(spark, index):
 def test_empty_table(spark, texts, tmp_path):
     text_index.build(texts.limit(0), f"{tmp_path}/i")
     assert text_index.search(spark, f"{tmp_path}/i", "waa")[0].collect() == []
+
+
+def test_words_of_a_block_are_one_row_before_the_shuffle():
+    """Texts come in batches that cut blocks; each word of each block leaves the task as one row."""
+    import pyarrow as pa
+
+    texts = [(3, ["b", "a", "b"]), (4, ["a"]), (7, ["c"]), (8, ["a", "c", "c"]), (9, ["b"]), (2**33, ["a"]), (2**33 + 5, ["a", "b"])]
+    batches = [pa.RecordBatch.from_pylist([{"id": i, "length": len(w), "words": w} for i, w in texts[k : k + 2]]) for k in range(0, len(texts), 2)]
+    rows = [tuple(r.values()) for batch in text_index._postings(8)(iter(batches)) for r in batch.to_pylist()]
+    assert sorted(rows) == [("a", 0, [3, 4], [1, 1], [3, 1]), ("a", 1, [0], [1], [3]), ("a", 2**30, [0, 5], [1, 1], [1, 2]), ("b", 0, [3], [2], [3]), ("b", 1, [1], [1], [1]), ("b", 2**30, [5], [1], [2]), ("c", 0, [7], [1], [1]), ("c", 1, [0], [2], [3])]
+    assert list(text_index._postings(8)(iter([]))) == []

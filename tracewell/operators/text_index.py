@@ -9,8 +9,13 @@ which tells what the last result must reach, and of the others only those that p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +24,8 @@ from tracewell.sources.scratch import written
 
 BLOCK = 1024
 FOLDERS = 64
+#: Of so many texts, one task sorts the rows of a folder.
+SLICE = 1_000_000
 #: Blocks that are scored before the others are compared with them.
 FIRST = 16
 #: Scores are rounded to so many digits, and promises held to be reached if they are this near.
@@ -26,11 +33,44 @@ DIGITS, NEAR = 6, 1e-6
 WORDS = "word string, block long, found array<struct<id: long, share: double>>, most double, texts long, folder int"
 
 
+def _postings(block: int):
+    """Batches (id, length, words), by id, to a row (word, block, at, times, lengths) for each word of each block of texts."""
+
+    def of_block(rows: pa.Table, number: int) -> pa.RecordBatch:
+        words = rows["words"].combine_chunks()
+        coded = words.flatten().dictionary_encode()
+        n = len(rows)
+        # pairs of a word and a text, by word, then text
+        pairs, times = np.unique(coded.indices.to_numpy().astype(np.int64) * n + pc.list_parent_indices(words).to_numpy(), return_counts=True)
+        word, text = pairs // n, pairs % n
+        begins = np.flatnonzero(np.diff(word, prepend=-1))
+        offsets = pa.array(np.append(begins, len(pairs)).astype(np.int32))
+        lists = ((rows["id"].to_numpy() - number * block)[text], times, rows["length"].to_numpy()[text])
+        numbers = pa.array(np.full(len(begins), number, np.int64))
+        return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(word[begins])), numbers, *(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in lists)], ["word", "block", "at", "times", "lengths"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            numbers = held["id"].to_numpy() // block
+            # the last block may go on in the next batch
+            cuts = [0, *np.flatnonzero(np.diff(numbers)) + 1]
+            for first, end in pairwise(cuts):
+                yield of_block(held.slice(first, end - first), int(numbers[first]))
+            held = held.slice(cuts[-1])
+        if held is not None and len(held):
+            yield of_block(held, held["id"][0].as_py() // block)
+
+    return counted
+
+
 def build(texts: DataFrame, path: str, text_col: str = "text") -> None:
     """Writes the index of texts to the new folder path; the other columns are kept as keys of the results.
 
-    Words are as in search.terms_of. Null texts have no words. A text's words are counted where it is read, so what is shuffled
-    is one row for each word of each text, and no group is over BLOCK rows.
+    Words are as in search.terms_of. Null texts have no words. A block's texts are read by one task, which counts their words,
+    so what is shuffled, once, is one row for each word of each block, with places, counts and lengths as whole numbers.
     """
     spark = texts.sparkSession
     keys = F.struct(*(c for c in texts.columns if c != text_col)).alias("key")
@@ -40,13 +80,14 @@ def build(texts: DataFrame, path: str, text_col: str = "text") -> None:
     rows.select("id", "key", "length").sortWithinPartitions("id").write.parquet(f"{path}/texts")
     lengths = spark.read.parquet(f"{path}/texts").agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean"))
     lengths.coalesce(1).write.json(f"{path}/totals")
-    mean = lengths.first()["mean"]
-    counted = rows.select("id", "length", F.explode("words").alias("word")).groupBy("word", "id", "length").agg(F.count("*").cast("int").alias("times"))
-    share = F.col("times") * (K1 + 1) / (F.col("times") + K1 * (1 - B + B * F.col("length") / mean))
-    folder = F.pmod(F.xxhash64("word"), F.lit(FOLDERS))
-    blocks = counted.groupBy("word", F.floor(F.col("id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("id", share.alias("share")))).alias("found"), F.max(share).alias("most"), F.count("*").alias("texts"))
-    blocks = blocks.withColumn("folder", folder)
-    blocks.repartitionByRange("folder", "word", "block").sortWithinPartitions("folder", "word", "block").write.partitionBy("folder").parquet(f"{path}/words")
+    n, mean = lengths.first()
+    counted = rows.select("id", "length", "words").mapInArrow(_postings(BLOCK), "word string, block long, at array<int>, times array<int>, lengths array<int>")
+    share = lambda times, length: times * (K1 + 1) / (times + K1 * (1 - B + B * length / mean))
+    found = F.transform("at", lambda at, i: F.struct((F.col("block") * BLOCK + at).alias("id"), share(F.get("times", i), F.get("lengths", i)).alias("share")))
+    # a folder is sorted by a task for every SLICE texts
+    dealt = counted.withColumn("folder", F.pmod(F.xxhash64("word"), F.lit(FOLDERS)).cast("int")).repartition("folder", F.pmod(F.xxhash64("block"), F.lit(1 + n // SLICE)))
+    blocks = dealt.sortWithinPartitions("folder", "word", "block").select("word", "block", found.alias("found"), F.size("at").cast("long").alias("texts"), "folder")
+    blocks.select("word", "block", "found", F.array_max("found.share").alias("most"), "texts", "folder").write.option("compression", "zstd").partitionBy("folder").parquet(f"{path}/words")
 
 
 @dataclass
