@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.operators import sessionize
 from tracewell.plans.adapters import facts
 from tracewell.sources import daily
 
@@ -53,3 +54,16 @@ def test_merged_sketches_are_within_their_bound(spark):
     assert abs(got.sessions - 20_000) <= bound * 20_000 and abs(got.threads - n) <= bound * n
     for p, found in ((0.5, got.p50), (0.9, got.p90), (0.99, got.p99)):
         assert abs(rows.where(F.col("output_tokens") <= found).count() / n - p) <= 0.01
+
+
+def test_records_are_keyed_once_and_name_their_conversations(spark, records, tmp_path, monkeypatch):
+    """One window over records an update; each names the conversation that a join on keys finds."""
+    calls, keyed = [], sessionize.keyed
+    monkeypatch.setattr(sessionize, "keyed", lambda *args: calls.append(1) or keyed(*args))
+    daily.update(records[0], f"{tmp_path}/e")
+    assert len(calls) == 1
+    ids = sessionize.with_ids(sessionize.conversations(records[0])).select(*sessionize.KEY, "conversation_id")
+    want = keyed(records[0]).join(ids, list(sessionize.KEY)).select("day", "request_id", "conversation_id").collect()
+    got = daily.read(spark, f"{tmp_path}/e").select("day", "request_id", "conversation_id").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == records[0].count()
+    assert {(r[0], r[2]) for r in got} == {tuple(r) for r in daily.read(spark, f"{tmp_path}/e", "conversations").select("day", "conversation_id").collect()}

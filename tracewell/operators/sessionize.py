@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import stable_id
@@ -20,10 +20,12 @@ def gap_sequence(facts: DataFrame, gap: int = GAP) -> DataFrame:
 
 
 def keyed(facts: DataFrame, gap: int = GAP) -> DataFrame:
-    """facts with the conversation's key columns is_gap, k1, k2, k3, seq."""
+    """facts with the conversation's key columns is_gap, k1, k2, k3, seq, and started, when one without a session id began (else null)."""
     plain = F.col("session_id") == ""
-    scoped = gap_sequence(facts.where(plain), gap).select("*", F.lit(1).alias("is_gap"), F.col("model_id").alias("k1"), F.col("principal").alias("k2"), F.col("gap_seq").cast("long").alias("seq")).drop("gap_seq")
-    named = facts.where(~plain).select("*", F.lit(0).alias("is_gap"), F.col("session_id").alias("k1"), F.lit("").alias("k2"), F.lit(0).cast("long").alias("seq"))
+    # rows of a scope are together already
+    started = F.min("ts").over(Window.partitionBy(*SCOPE, "gap_seq"))
+    scoped = gap_sequence(facts.where(plain), gap).select("*", F.lit(1).alias("is_gap"), F.col("model_id").alias("k1"), F.col("principal").alias("k2"), F.col("gap_seq").cast("long").alias("seq"), started.alias("started")).drop("gap_seq")
+    named = facts.where(~plain).select("*", F.lit(0).alias("is_gap"), F.col("session_id").alias("k1"), F.lit("").alias("k2"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("long").alias("started"))
     return scoped.unionByName(named)
 
 
@@ -32,13 +34,24 @@ KEY = ("day", "is_gap", "provider", "k1", "k2", "seq")
 
 def conversations(facts: DataFrame, gap: int = GAP) -> DataFrame:
     """A row per conversation: counts, token sums, errors, span, and the first call's model and principal."""
+    return gathered(keyed(facts, gap))
+
+
+def gathered(keyed: DataFrame) -> DataFrame:
+    """conversations of keyed facts."""
     first = lambda c: F.min_by(c, F.struct("ts", "n")).alias(c)
-    return keyed(facts, gap).groupBy(*KEY).agg(
+    return keyed.groupBy(*KEY).agg(
         F.count("*").alias("invocations"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cache_read_tokens").alias("cache_read_tokens"), F.sum("cache_write_tokens").alias("cache_write_tokens"), F.count_if(F.col("error_code") != "").alias("errors"),
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), first("session_id"), first("model_id"), first("principal"),
     )
 
 
+def conversation_id(start) -> Column:
+    """The session id, else a hash of what the conversation is of and when it began."""
+    at = F.date_format(F.timestamp_micros(start), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return stable_id(F.col("session_id"), F.col("provider"), F.col("model_id"), F.col("principal"), at).alias("conversation_id")
+
+
 def with_ids(convs: DataFrame) -> DataFrame:
     """conversations with display_id (numbered over all days, sessions before gap groups) and conversation_id.
 
@@ -48,5 +61,4 @@ def with_ids(convs: DataFrame) -> DataFrame:
     days = days.select("day", (F.sum("in_day").over(Window.orderBy("day")) - F.col("in_day")).alias("offset"))
     rank = F.row_number().over(Window.partitionBy("day").orderBy(*KEY[1:]))
     numbered = convs.withColumn("rank", rank).join(days, "day")
-    start = F.date_format(F.timestamp_micros("start_ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return numbered.select("*", F.concat_ws("-", F.lit("conv"), "day", (F.col("offset") + F.col("rank") - 1).cast("string")).alias("display_id"), stable_id(F.col("session_id"), F.col("provider"), F.col("model_id"), F.col("principal"), start).alias("conversation_id")).drop("rank", "offset")
+    return numbered.select("*", F.concat_ws("-", F.lit("conv"), "day", (F.col("offset") + F.col("rank") - 1).cast("string")).alias("display_id"), conversation_id("start_ts")).drop("rank", "offset")

@@ -39,18 +39,17 @@ def update(records: DataFrame, path: str) -> None:
     """Writes the days of records (columns of the readers) to the export at path, in place of what it has of these days.
 
     records must hold a day whole. facts and conversations are those of export.write, without file names and display
-    ids, which count over a whole run; turns are written if records have bodies. records are read once.
+    ids, which count over a whole run; turns are written if records have bodies. records are read once; those without a day
+    are left out.
     """
     records = written(export._completed(records), "records")
-    convs = written(sessionize.with_ids(sessionize.conversations(records)), "conversations")
+    names = [c for c in export.FACTS if c != "conversation_id"]
+    keyed = written(sessionize.keyed(records.where("day is not null").select(*dict.fromkeys(("day", "ts", "n", *names)))), "keyed")
+    convs = written(sessionize.gathered(keyed).select("*", sessionize.conversation_id("start_ts")), "conversations")
     # the option holds for this write alone
     save = lambda df, name, *order: df.repartitionByRange("day", *order).sortWithinPartitions("day", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("day").parquet(f"{path}/{name}.parquet")
-    ids = convs.select(*sessionize.KEY, "conversation_id")
-    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"i.{k}")) for k in sessionize.KEY]
-    same = on[0]
-    for x in on[1:]:
-        same = same & x
-    facts = sessionize.keyed(records).alias("r").join(ids.alias("i"), same).select("r.day", F.col("i.conversation_id").alias("conversation_id"), *(F.col(f"r.{c}").alias(c) for c in export.FACTS if c != "conversation_id"))
+    # a record names its conversation by itself, without a join
+    facts = keyed.select("day", sessionize.conversation_id("started"), *names)
     save(facts, "facts", "timestamp", "request_id", "request_uuid")
     save(convs.select("day", "conversation_id", "provider", "model_id", "session_id", "principal", "start_ts", "end_ts", *export.SUMS), "conversations", "start_ts", "conversation_id")
     if {"input_body", "output_body"} <= set(records.columns):
