@@ -76,3 +76,11 @@ def test_threads(turns):
 
 def test_no_records(spark):
     assert reconstruct.turns(spark.createDataFrame([], COLUMNS).withColumn("extra", F.lit(1))).collect() == []
+
+
+def test_tool_calls_make_turns_once(spark, tiny):
+    """Calls and results are read from one table, so the turns' bodies stand in neither's plan."""
+    from tracewell.plans import catalog
+
+    plan = catalog.tool_results(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert "customer" not in plan and "c_custkey" not in plan and plan.count("from_json") == 0

@@ -123,7 +123,9 @@ def tool_calls(turns: DataFrame) -> DataFrame:
     A call meets the first result with its id in its thread; calls without one have nulls there.
     """
     block = F.from_json("blocks", f"array<{b.BLOCK}>")
-    each = turns.select(*KEY, "thread_id", "turn_index", F.explode(block).alias("x"))
+    each = turns.select(*KEY, "thread_id", "turn_index", F.explode(block).alias("x")).where("x.type in ('tool_use', 'tool_result')")
+    # calls and results both come from it; turns are costly to make
+    each = written(each.select(*KEY, "thread_id", "turn_index", F.struct(*(f"x.{c}" for c in ("type", "tool_id", "tool_name", "tool_input", "result_content", "is_error"))).alias("x")), "tools")
     calls = each.where("x.type = 'tool_use'").select(*KEY, "thread_id", b.s(F.col("x.tool_id")).alias("tool_id"), b.s(F.col("x.tool_name")).alias("tool_name"), b.s(F.col("x.tool_input")).alias("tool_input"), F.col("turn_index").alias("called_at"))
     results = each.where("x.type = 'tool_result' and x.tool_id <> ''").groupBy(*KEY, "thread_id", F.col("x.tool_id").alias("tool_id"))
     first = F.min_by(F.struct("turn_index", b.s(F.col("x.result_content")).alias("result"), F.coalesce("x.is_error", F.lit(False)).alias("is_error")), "turn_index").alias("r")
