@@ -1,5 +1,7 @@
 """Exports day by day against one batch, and merged sketches against exact numbers."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,20 @@ def test_records_are_keyed_once_and_name_their_conversations(spark, records, tmp
     got = daily.read(spark, f"{tmp_path}/e").select("day", "request_id", "conversation_id").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == records[0].count()
     assert {(r[0], r[2]) for r in got} == {tuple(r) for r in daily.read(spark, f"{tmp_path}/e", "conversations").select("day", "conversation_id").collect()}
+
+
+def test_a_scope_is_sorted_once_and_json_is_parsed_once(spark, tiny):
+    """Gaps and the times at which conversations began come from one order of rows, also where a time is missing."""
+    minute = 60_000_000
+    times = [(None, 0), (5 * minute, 1), (9 * minute, 2), (9 * minute, 3), (15 * minute, 4), (15 * minute + 1, 5), (40 * minute, 6)]
+    rows = spark.createDataFrame([("d", "p", "m", who, t, n, "") for who in ("a", "b") for t, n in times[who == "b" :]] + [("d", "p", "m", "a", 7, 9, "s")], "day string, provider string, model_id string, principal string, ts long, n long, session_id string")
+    keyed = sessionize.keyed(rows)
+    assert len(re.findall(r"\bSort \[", keyed._jdf.queryExecution().executedPlan().toString())) == 1
+    got = keyed.select("is_gap", "k1", "k2", "seq", "ts", "started").collect()
+    first = {}
+    for r in got:
+        if r.ts is not None:
+            first[r[:4]] = min(first.get(r[:4], r.ts), r.ts)
+    assert len(got) == 14 and all(r.started == (first[r[:4]] if r.is_gap else None) for r in got)
+    assert sorted((r.seq, r.ts // minute) for r in got if r.k2 == "b") == [(0, 5), (0, 9), (0, 9), (1, 15), (1, 15), (2, 40)]
+    assert facts(spark, tiny).select("session_id")._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 1

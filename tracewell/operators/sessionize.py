@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import stable_id
@@ -12,19 +12,27 @@ GAP = 5 * 60 * 1_000_000
 SCOPE = ("day", "provider", "model_id", "principal")
 
 
-def gap_sequence(facts: DataFrame, gap: int = GAP) -> DataFrame:
-    """facts with gap_seq, 0 upwards within day, provider, model and principal. One shuffle, on the scope."""
+def _opened(facts: DataFrame, gap: int) -> tuple[DataFrame, Column, WindowSpec]:
+    """facts with opened, 1 where a gap precedes; gap_seq of these; and the window of all rows of a scope, in order."""
     by = Window.partitionBy(*SCOPE).orderBy("ts", "n")
     opened = F.when(F.col("ts") - F.lag("ts").over(by) > gap, 1).otherwise(0)
-    return facts.withColumn("opened", opened).withColumn("gap_seq", F.sum("opened").over(by)).drop("opened")
+    return facts.withColumn("opened", opened), F.sum("opened").over(by.rowsBetween(Window.unboundedPreceding, 0)), by
+
+
+def gap_sequence(facts: DataFrame, gap: int = GAP) -> DataFrame:
+    """facts with gap_seq, 0 upwards within day, provider, model and principal. One shuffle, on the scope."""
+    rows, seq, _ = _opened(facts, gap)
+    return rows.withColumn("gap_seq", seq).drop("opened")
 
 
 def keyed(facts: DataFrame, gap: int = GAP) -> DataFrame:
     """facts with the conversation's key columns is_gap, k1, k2, k3, seq, and started, when one without a session id began (else null)."""
     plain = F.col("session_id") == ""
-    # rows of a scope are together already
-    started = F.min("ts").over(Window.partitionBy(*SCOPE, "gap_seq"))
-    scoped = gap_sequence(facts.where(plain), gap).select("*", F.lit(1).alias("is_gap"), F.col("model_id").alias("k1"), F.col("principal").alias("k2"), F.col("gap_seq").cast("long").alias("seq"), started.alias("started")).drop("gap_seq")
+    rows, seq, by = _opened(facts.where(plain), gap)
+    # the last row up to here that a gap precedes, else the scope's first; in the order that rows have already
+    last = F.max(F.when(F.col("opened") == 1, F.col("ts"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    started = F.coalesce(last, F.min("ts").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    scoped = rows.select("*", F.lit(1).alias("is_gap"), F.col("model_id").alias("k1"), F.col("principal").alias("k2"), seq.cast("long").alias("seq"), started.alias("started")).drop("opened")
     named = facts.where(~plain).select("*", F.lit(0).alias("is_gap"), F.col("session_id").alias("k1"), F.lit("").alias("k2"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("long").alias("started"))
     return scoped.unionByName(named)
 
@@ -39,11 +47,11 @@ def conversations(facts: DataFrame, gap: int = GAP) -> DataFrame:
 
 def gathered(keyed: DataFrame) -> DataFrame:
     """conversations of keyed facts."""
-    first = lambda c: F.min_by(c, F.struct("ts", "n")).alias(c)
-    return keyed.groupBy(*KEY).agg(
+    made = keyed.groupBy(*KEY).agg(
         F.count("*").alias("invocations"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cache_read_tokens").alias("cache_read_tokens"), F.sum("cache_write_tokens").alias("cache_write_tokens"), F.count_if(F.col("error_code") != "").alias("errors"),
-        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), first("session_id"), first("model_id"), first("principal"),
+        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.min_by(F.struct("session_id", "model_id", "principal"), F.struct("ts", "n")).alias("first"),
     )
+    return made.select(*(c for c in made.columns if c != "first"), "first.*")
 
 
 def conversation_id(start) -> Column:

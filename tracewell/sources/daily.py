@@ -47,10 +47,10 @@ def update(records: DataFrame, path: str) -> None:
     keyed = written(sessionize.keyed(records.where("day is not null").select(*dict.fromkeys(("day", "ts", "n", *names)))), "keyed")
     convs = written(sessionize.gathered(keyed).select("*", sessionize.conversation_id("start_ts")), "conversations")
     # the option holds for this write alone
-    save = lambda df, name, *order: df.repartitionByRange("day", *order).sortWithinPartitions("day", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("day").parquet(f"{path}/{name}.parquet")
-    # a record names its conversation by itself, without a join
-    facts = keyed.select("day", sessionize.conversation_id("started"), *names)
-    save(facts, "facts", "timestamp", "request_id", "request_uuid")
+    save = lambda df, name, *order, last=lambda x: x: last(df.repartitionByRange("day", *order).sortWithinPartitions("day", *order)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("day").parquet(f"{path}/{name}.parquet")
+    # a record names its conversation by itself, without a join, after it is dealt: what deals them reads records twice
+    named = lambda df: df.select("day", sessionize.conversation_id("started"), *names)
+    save(keyed.select("day", "started", *names), "facts", "timestamp", "request_id", "request_uuid", last=named)
     save(convs.select("day", "conversation_id", "provider", "model_id", "session_id", "principal", "start_ts", "end_ts", *export.SUMS), "conversations", "start_ts", "conversation_id")
     if {"input_body", "output_body"} <= set(records.columns):
         kinds = tuple(r[0] for r in records.select(family(F.col("provider"), F.col("model_id"))).distinct().collect() if r[0] in reconstruct.ENVELOPES)
