@@ -122,3 +122,36 @@ def test_dense_traffic_equals_one_walk(spark, monkeypatch, models):
     numbered, _ = claims._numbered(*(x.withColumnRenamed("model", "kind") for x in frames(spark, asked, given)), pairing.WINDOW)
     for _, rows in numbered.toPandas().assign(block=lambda x: x["k"] // 40).groupby(["kind", "block"]):
         assert len(claims._function(rows)["f"].iloc[0]) <= 3
+
+
+def most_read(spark, run):
+    """run's result, and the most rows that one task of it read from a shuffle."""
+    sc = spark.sparkContext
+    sc.setJobGroup("most_read", "")
+    out = run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    store, tracker, most = sc._jsc.sc().statusStore(), sc.statusTracker(), 0
+    for stage in {s for job in tracker.getJobIdsForGroup("most_read") for s in tracker.getJobInfo(job).stageIds}:
+        tasks = store.taskList(stage, 0, 1_000)
+        metrics = [tasks.apply(i).taskMetrics() for i in range(tasks.size())]
+        most = max([most, *(m.get().shuffleReadMetrics().recordsRead() for m in metrics if m.isDefined())])
+    return out, most
+
+
+@pytest.mark.parametrize("unknown", [0, 1])
+def test_no_task_sees_all_slots(spark, monkeypatch, unknown):
+    """A long time with few rows a slot: no task reads even half of its slots, also where a model is unknown."""
+    for name, value in (("SPAN", 64), ("BLOCK", 50), ("SUPER", 4)):
+        monkeypatch.setattr(claims, name, value, raising=False)
+    asked = [(k * 20 * MINUTE, "m", f"u{k:05}") for k in range(6_000)]
+    given = [(k * 20 * MINUTE + MINUTE, "m", f"r{k:05}") for k in range(0, 6_000, 2)]
+    given += [(7 * MINUTE + k * 20 * MINUTE, "", f"x{k:05}") for k in range(4_001, 4_001 + unknown)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs, most = most_read(spark, lambda: pairing.by_time(*frames(spark, asked, given)).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sorted(map(tuple, pairs)) == walked(asked, given)
+    slots = len({t // claims.SLOT for t, _, _ in [*asked, *given, *((t + pairing.WINDOW, "", "") for t, _, _ in asked)]})
+    assert 0 < most < slots / 2
