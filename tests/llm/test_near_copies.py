@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,45 @@ def test_second_pass_alone_finds_every_link(spark, monkeypatch, listed, block):
     passage = " ".join(f"licence{i}" for i in range(60))
     shared = [passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 90))) for _ in range(80)]
     check(spark, table(spark, template_pages(70, 8, 5) + shared + planted()[:80] + ["one two", "one two", "a b c d e", "a b c d f"]))
+
+
+def family(n, words, shared, seed):
+    """Texts of so many words that all share a passage of some, and have no more in common."""
+    rng = random.Random(seed)
+    passage = " ".join(f"p{i}" for i in range(shared))
+    return [passage + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(words - shared)) for _ in range(n)]
+
+
+def test_sketches_drop_no_link():
+    """Against exact similarity, for sets of one and of two widths of sketches."""
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 1), (3, 4), (32, 33), (60, 70), (500, 500), (500, 530), (520, 640), (4000, 4100)):
+        for both in range(max(0, min(n, m) - 40 - n // 3), min(n, m) + 1, 1 + n // 50):
+            h = rng.integers(0, 2**63, n + m - both, dtype=np.int64).view(np.uint64)
+            x, y = (np.frombuffer(similar._sketch(s), np.uint64)[None] for s in (h[:n], h[n - both :]))
+            may = bool(similar._may_link(x, np.array([n]), y, np.array([m]))[0])
+            assert may or 9 * both < 4 * (n + m)
+            assert not may or n < 60 or both > 0.6 * min(n, m)
+
+
+def test_sets_of_a_family_are_not_sent_for_each_pair(spark, monkeypatch, tmp_path):
+    """A hundred texts that share half their words, unlinked, are 4,950 pairs. No shingle counts as common, as where a sample misses them."""
+    monkeypatch.setattr(similar, "COMMON", 10**6)
+    sent = tmp_path / "sent"
+    for name in {"_confirmed", "_compared", "_decided"} & set(dir(similar)):
+        f = getattr(similar, name)
+
+        def seen(*args, f=f):
+            members = args[-1]
+
+            def run(batches):
+                for batch in batches:
+                    with sent.open("a") as out:
+                        out.write("x" * batch.num_rows)
+                    yield batch
+
+            return f(*args[:-1], members.mapInArrow(run, members.schema))
+
+        monkeypatch.setattr(similar, name, seen)
+    check(spark, table(spark, family(100, 200, 100, 3) + template_pages(3, 2, 1)))
+    assert not sent.exists() or sent.stat().st_size < 500

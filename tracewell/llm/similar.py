@@ -13,6 +13,11 @@ drops chance pairs without their sets being sent. Where over LISTED sets share o
 are a family, which is cut into blocks, and blocks are compared with blocks, but for those within one group. The work of a
 family grows with the square of its members that the first pass left apart; of a family in which nothing links, such as
 pages of one template that differ in a fifth of their words, that is all of it.
+
+Pairs of both kinds are sifted by sketches (_sketch), bitmaps of two to four bits a shingle. A bit that only one of two sets
+has is a shingle that the other lacks, so no link is dropped, and few pairs below 0.72 are left. Only sets of pairs that are
+left are made and sent. Pairs meet in cells (_cells), which keep those of one component together, so a sketch or a set is
+sent once for each cell and not for each pair.
 """
 
 from __future__ import annotations
@@ -41,9 +46,11 @@ SAMPLED = 1 << 14
 EVERY = 32
 COMMON = 8
 MOST_COMMON = 1 << 18
-#: Sets that may share a prefix shingle without being compared in blocks, and sets of a block.
+#: Sets that may share a prefix shingle without being compared in blocks, and sets of a side of a cell. Blocks have sketches of
+#: WIDE times as many sets.
 LISTED = 256
 BLOCK = 256
+WIDE = 16
 #: Bits for each key of a bitmap that rows are looked up in before they are shuffled, and bits at most (32 MB).
 KEY_BITS = 12
 MOST_BITS = 1 << 28
@@ -197,18 +204,54 @@ def _tester(keys: DataFrame, column: str):
     return may_hold
 
 
-def _sets(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """(uid, hashes: the sorted distinct shingle hashes) of texts (uid, text) that asked (uid) may name; made where the texts are read."""
+def _sketch(h: np.ndarray) -> bytes:
+    """A bitmap of distinct hashes: a power of two of bits, two to four a hash and 64 at least."""
+    bits = np.zeros(64 << max(0, (2 * len(h) - 1).bit_length() - 6), bool)
+    bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _may_link(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which sets of n and m hashes, with sketches in the rows of x and y, may be PERCENT or more alike; false ones surely are not."""
+    while x.shape[1] > y.shape[1]:
+        x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+    while y.shape[1] > x.shape[1]:
+        y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+    bits = lambda z: np.bitwise_count(z).sum(axis=1, dtype=np.int64)
+    both = bits(x & y)
+    return (100 + PERCENT) * np.minimum(n - bits(x) + both, m - bits(y) + both) >= PERCENT * (n + m)
+
+
+def _by_width(sketches: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """(width in words, place among those of its width) of every sketch, and the sketches of each width as rows."""
+    data = [np.frombuffer(x.as_buffer(), np.uint64) for x in sketches]
+    width = np.array([len(x) for x in data], np.int64)
+    place, rows = np.zeros(len(data), np.int64), {}
+    for w in np.unique(width).tolist():
+        each = np.flatnonzero(width == w)
+        place[each] = np.arange(len(each))
+        rows[w] = np.stack([data[i] for i in each.tolist()])
+    return width, place, rows
+
+
+def _of_texts(texts: DataFrame, asked: DataFrame, form, name: str) -> DataFrame:
+    """(uid, n, name: form of the n sorted distinct shingle hashes) of texts (uid, text) that asked (uid) may name; made where the texts are read."""
     named = _tester(asked, "uid")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in tk.slices(batch.filter(pa.array(named(batch.column("uid").to_numpy()))), "text"):
                 row, h = _distinct(*shingle_hashes(part, "text"))
-                at = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
-                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], names=["uid", "hashes"])  # noqa: B905
+                at = np.searchsorted(row, np.arange(part.num_rows + 1))
+                made = [form(h[a:b]) for a, b in zip(at.tolist(), at.tolist()[1:])]  # noqa: B905
+                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(np.diff(at)), pa.array(made, pa.binary())], names=["uid", "n", name])
+
+    return texts.select("uid", "text").mapInArrow(run, f"uid long, n long, {name} binary")
+
 
-    return texts.select("uid", "text").mapInArrow(run, "uid long, hashes binary")
+def _sets(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(uid, hashes: the sorted distinct shingle hashes) of texts (uid, text) that asked (uid) may name."""
+    return _of_texts(texts, asked, lambda h: h.tobytes(), "hashes").select("uid", "hashes")
 
 
 def _confirmed(members: DataFrame) -> DataFrame:
@@ -246,12 +289,13 @@ def _confirmed(members: DataFrame) -> DataFrame:
     return members.repartition("bunch").sortWithinPartitions("bunch", "uid").mapInArrow(run, "src long, dst long")
 
 
-def _left(classes: DataFrame) -> DataFrame:
-    """(key, uid, label, n, members) of prefix shingles that sets of two labels or more share, written; classes have uid, label, n, prefix."""
-    at = classes.select("label", F.explode("prefix").alias("key"))
-    shared = at.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    shared = written(shared.select("key", "members"), "shared")
-    known = _tester(shared, "key")
+def _left(made: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, uid, label, n, members) of prefix shingles that sets of two labels or more share, written; made: signatures, labels: (uid, label) of classes.
+
+    Copies have one k1, so a key with two is in two sets at least. Only keys that may be such are sent to the labels.
+    """
+    found = made.select("k1", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("k1").alias("low"), F.max("k1").alias("high"))
+    known = _tester(written(found.where("low < high").select("key"), "shared"), "key")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -259,10 +303,14 @@ def _left(classes: DataFrame) -> DataFrame:
             key = lists.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             kept = np.flatnonzero(known(key))
-            yield pa.RecordBatch.from_arrays([pa.array(key[kept]), *(batch.column(c).take(pa.array(row[kept])) for c in ("uid", "label", "n"))], names=["key", "uid", "label", "n"])
+            cuts = np.searchsorted(row[kept], np.arange(batch.num_rows + 1)).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(cuts), pa.array(key[kept]))
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("n"), keys], names=["uid", "n", "keys"])
 
-    sent = classes.select("uid", "label", "n", "prefix").mapInArrow(run, "key long, uid long, label long, n int")
-    return written(sent.join(shared, "key"), "left")
+    sent = made.select("uid", "n", "prefix").mapInArrow(run, "uid long, n int, keys array<long>").where("size(keys) > 0")
+    at = written(sent.join(labels, "uid").select("uid", "label", "n", "keys"), "keyed").select("uid", "label", "n", F.explode("keys").alias("key"))
+    shared = at.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return written(at.join(shared.select("key", "members").hint("merge"), "key").select("key", "uid", "label", "n", "members"), "left")
 
 
 def _met(size: int, lists: np.ndarray, first: np.ndarray, uid: np.ndarray, label: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -276,7 +324,7 @@ def _met(size: int, lists: np.ndarray, first: np.ndarray, uid: np.ndarray, label
 
 
 def _pairs(left: DataFrame) -> DataFrame:
-    """(bunch, uid) of pairs of different labels that share prefix shingles of at most LISTED sets, and enough of them.
+    """(src, dst) of pairs of different labels that share prefix shingles of at most LISTED sets, and enough of them.
 
     Lists go to tasks by their smallest member, and come in its order, so that those of one group of texts come together and
     their pairs are counted before they are sent on.
@@ -307,7 +355,7 @@ def _pairs(left: DataFrame) -> DataFrame:
     # what follows the prefixes: n - floor(n / 5) - 1 shingles at most
     rest = F.floor((F.greatest("na", "nb") * PERCENT + 99) / 100) - 1
     pairs = counted.where((F.col("both") + rest) * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT)
-    return pairs.select(F.xxhash64("uida", "uidb").alias("bunch"), F.explode(F.array("uida", "uidb")).alias("uid"))
+    return pairs.select(F.col("uida").alias("src"), F.col("uidb").alias("dst"))
 
 
 def _summed(made: list[np.ndarray]) -> np.ndarray:
@@ -324,17 +372,18 @@ def _summed(made: list[np.ndarray]) -> np.ndarray:
 
 
 def _families(left: DataFrame) -> DataFrame:
-    """(family, pair, block, uid, label): members of the blocks to be compared of every family, once for each pair of blocks."""
+    """(pair, block, uid, label): members of the blocks to be compared of every family, once for each pair of blocks."""
     many = left.where(F.col("members") > LISTED)
     first = many.groupBy("key").agg(F.min("uid").alias("dst"))
     family = connected_components(many.join(first, "key").select(F.col("uid").alias("src"), "dst"))
     rows = written(many.select("uid", "label", "n").distinct().join(family.withColumnRenamed("node", "uid"), "uid", "left").select(F.coalesce("component", "uid").alias("family"), "uid", "label", "n"), "families")
+    size = WIDE * BLOCK
     # a label of more than a block has blocks of its own
     sizes = rows.groupBy("family", "label").agg(F.count("*").alias("mine"))
-    mixed = sizes.groupBy("family").agg(F.sum(F.when(F.col("mine") <= BLOCK, F.col("mine")).otherwise(0)).alias("others"))
-    cut = lambda of, c: F.pmod(F.xxhash64(of), F.ceil(F.greatest(F.col(c), F.lit(1)) / BLOCK))
+    mixed = sizes.groupBy("family").agg(F.sum(F.when(F.col("mine") <= size, F.col("mine")).otherwise(0)).alias("others"))
+    cut = lambda of, c: F.pmod(F.xxhash64(of), F.ceil(F.greatest(F.col(c), F.lit(1)) / size))
     dealt = rows.join(sizes, ["family", "label"]).join(mixed, "family")
-    own = F.when(F.col("mine") > BLOCK, F.col("label"))
+    own = F.when(F.col("mine") > size, F.col("label"))
     dealt = written(dealt.select("family", "uid", "label", "n", own.alias("own"), F.when(own.isNotNull(), cut("uid", "mine")).otherwise(cut("label", "others")).alias("part")), "dealt")
     blocks = dealt.groupBy("family", "own", "part").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumn("block", F.xxhash64("family", F.coalesce("own", F.lit(-1)), "part"))
     a, b = (blocks.select("family", *(F.col(c).alias(c + side) for c in ("block", "own", "least", "most"))) for side in "ab")
@@ -344,39 +393,94 @@ def _families(left: DataFrame) -> DataFrame:
     return members.join(met, "block").select("pair", "block", "uid", "label")
 
 
-def _compared(members: DataFrame) -> DataFrame:
-    """Edges (src, dst) that connect what links between the labels of a pair of blocks do; members (pair, block, uid, label, hashes)."""
+def _sifted_blocks(members: DataFrame) -> DataFrame:
+    """(src, dst) of sets of different labels in a pair of blocks that may link; members (pair, block, uid, label, n, sketch)."""
 
-    def compare(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("uid").to_numpy(), kind="stable")
-        uid, label, block = (table.column(c).to_numpy()[order] for c in ("uid", "label", "block"))
-        data = table.column("hashes").combine_chunks()
-        sets = [np.frombuffer(data[i].as_buffer(), np.uint64) for i in order.tolist()]
-        size = np.array([len(x) for x in sets])
-        _, token = np.unique(np.concatenate(sets), return_inverse=True)
-        start = np.cumsum(size) - size
-        mark = np.zeros(int(token.max()) + 1, np.int32)
+    def sift(table: pa.Table) -> pa.Table:
+        uid, label, n, block = (table.column(c).to_numpy() for c in ("uid", "label", "n", "block"))
+        width, place, rows = _by_width(table.column("sketch"))
         one, two = block.min(), block.max()
-        src, dst = [], []
-        targets = np.flatnonzero(block == two)
-        flat = np.concatenate([token[start[i] : start[i] + size[i]] for i in targets.tolist()])
-        cuts = np.cumsum(size[targets]) - size[targets]
+        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        targets = {w: np.flatnonzero((width == w) & (block == two)) for w in rows}
         for i in np.flatnonzero(block == one).tolist():
-            mine = token[start[i] : start[i] + size[i]]
-            open_ = (label[targets] != label[i]) & (100 * np.minimum(size[targets], size[i]) >= PERCENT * np.maximum(size[targets], size[i]))
-            if not open_.any():
-                continue
-            mark[mine] = 1
-            both = np.add.reduceat(mark[flat], cuts)
-            mark[mine] = 0
-            for j in targets[open_ & ((100 + PERCENT) * both >= PERCENT * (size[targets] + size[i]))].tolist():
-                if label[i] != label[j]:
-                    src.append(uid[i])
-                    dst.append(uid[j])
-                    label = np.where(label == label[j], label[i], label)
-        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
-
-    return members.groupBy("pair").applyInArrow(compare, "src long, dst long")
+            for w, each in targets.items():
+                fits = (label[each] != label[i]) & (100 * np.minimum(n[each], n[i]) >= PERCENT * np.maximum(n[each], n[i]))
+                near = each[fits & (each > i) if one == two else fits]
+                if len(near):
+                    near = near[_may_link(rows[width[i]][place[i] : place[i] + 1], n[i], rows[w][place[near]], n[near])]
+                    src.append(np.full(len(near), uid[i]))
+                    dst.append(uid[near])
+        return pa.table({"src": pa.array(np.concatenate(src)), "dst": pa.array(np.concatenate(dst))})
+
+    return members.groupBy("pair").applyInArrow(sift, "src long, dst long")
+
+
+def _cells(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs (src, dst) with the cells they are decided in (cell, src, dst), and the members (cell, uid) of cells.
+
+    Nodes are dealt to blocks of about BLOCK, those of a component together unless they are more; a cell is a pair of blocks.
+    So a member is sent once, or once for each block of its component.
+    """
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    # a component's smallest node is not listed
+    found = nodes.join(connected_components(pairs), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    found = written(found, "components")
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    blocks = max(1, -(-found.count() // BLOCK))
+    large = F.struct("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).alias("part"))
+    block = F.when(F.col("size") > BLOCK, F.xxhash64(large)).otherwise(F.pmod(F.xxhash64("component"), F.lit(blocks)))
+    placed = written(found.join(sizes, "component").select("node", block.alias("block")), "placed")
+    a, b = (placed.select(F.col("node").alias(c), F.col("block").alias(f"of_{c}")) for c in ("src", "dst"))
+    at = pairs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").select(F.xxhash64(F.least("of_src", "of_dst"), F.greatest("of_src", "of_dst")).alias("cell"), "src", "dst")
+    at = written(at, "cells")
+    return at, at.select(F.col("cell").alias("cell"), F.explode(F.array("src", "dst")).alias("uid")).distinct()
+
+
+def _sifted(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(src, dst) of pairs (cell, src, dst) that may link, by the sketches of members (cell, uid, n, sketch)."""
+
+    def sift(asked: pa.Table, given: pa.Table) -> pa.Table:
+        src, dst = (asked.column(c).to_numpy() for c in ("src", "dst"))
+        uid, n = (given.column(c).to_numpy() for c in ("uid", "n"))
+        width, place, rows = _by_width(given.column("sketch"))
+        order = np.argsort(uid)
+        i, j = (order[np.searchsorted(uid, x, sorter=order)] for x in (src, dst))
+        kept = np.zeros(len(src), bool)
+        for v in rows:
+            for w in rows:
+                each = np.flatnonzero((width[i] == v) & (width[j] == w))
+                step = max(1, HELD // max(v, w))
+                for part in (each[at : at + step] for at in range(0, len(each), step)):
+                    kept[part] = _may_link(rows[v][place[i[part]]], n[i[part]], rows[w][place[j[part]]], n[j[part]])
+        return pa.table({"src": pa.array(src[kept]), "dst": pa.array(dst[kept])})
+
+    return pairs.groupBy("cell").cogroup(members.groupBy("cell")).applyInArrow(sift, "src long, dst long")
+
+
+def _decided(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges (src, dst) that connect what those of pairs (cell, src, dst) that link do; members (cell, uid, hashes)."""
+
+    def decide(asked: pa.Table, given: pa.Table) -> pa.Table:
+        data = given.column("hashes").combine_chunks()
+        sets = {u: np.frombuffer(data[i].as_buffer(), np.uint64) for i, u in enumerate(given.column("uid").to_pylist())}
+        above = {u: u for u in sets}
+
+        def top(u: int) -> int:
+            while above[u] != u:
+                above[u] = u = above[above[u]]
+            return u
+
+        out = []
+        for a, b in zip(asked.column("src").to_pylist(), asked.column("dst").to_pylist(), strict=True):
+            if top(a) != top(b):
+                x, y = sets[a], sets[b]
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if (100 + PERCENT) * both >= PERCENT * (len(x) + len(y)):
+                    out.append((a, b))
+                    above[top(b)] = top(a)
+        return pa.table({c: pa.array([e[k] for e in out], pa.int64()) for k, c in enumerate(("src", "dst"))})
+
+    return pairs.groupBy("cell").cogroup(members.groupBy("cell")).applyInArrow(decide, "src long, dst long")
 
 
 def one_of_each(documents: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -395,11 +499,13 @@ def one_of_each(documents: DataFrame, columns: tuple[str, ...], id_col: str = "d
     near = _bunches(made.select("uid", "k1", "k2", "fp", "keys").join(classes.select("uid"), "uid"))
     edges = written(_confirmed(near.join(_sets(texts, near).hint("merge"), "uid")), "edges")
     merged = connected_components(edges).select(F.col("node").alias("uid"), "component")
-    labelled = made.select("uid", "n", "prefix").join(classes.select("uid"), "uid").join(merged, "uid", "left")
-    left = _left(written(labelled.select("uid", "n", "prefix", F.coalesce("component", "uid").alias("label")), "labelled"))
+    left = _left(made, written(classes.select("uid").join(merged, "uid", "left").select("uid", F.coalesce("component", "uid").alias("label")), "labels"))
     pairs, blocks = written(_pairs(left), "pairs"), written(_families(left), "blocks")
-    sets = written(_sets(texts, pairs.select("uid").unionByName(blocks.select("uid"))), "sets")
-    more = written(_confirmed(pairs.join(sets.hint("merge"), "uid")).unionByName(_compared(blocks.join(sets.hint("merge"), "uid"))), "edges")
+    pairs, members = _cells(pairs)
+    sketches = written(_of_texts(texts, members.select("uid").unionByName(blocks.select("uid")).distinct(), _sketch, "sketch"), "sketches").hint("merge")
+    sifted = _sifted(pairs, members.join(sketches, "uid")).unionByName(_sifted_blocks(blocks.join(sketches, "uid")))
+    pairs, members = _cells(written(sifted.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "sifted"))
+    more = written(_decided(pairs, members.join(_sets(texts, members.select("uid").distinct()).hint("merge"), "uid")), "edges")
     found = connected_components(edges.unionByName(more))
     labelled = classes.join(found, classes["uid"] == found["node"], "left").select("best", F.coalesce("component", "uid").alias("component"))
     kept = labelled.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.uid").alias("uid"))
