@@ -1,9 +1,11 @@
 import json
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import reconstruct
+from tracewell.plans import adapters
 
 COLUMNS = "day string, provider string, session_id string, thread_id string, ts long, n long, request_id string, model_id string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, input_body string, output_body string"
 
@@ -84,3 +86,22 @@ def test_tool_calls_make_turns_once(spark, tiny):
 
     plan = catalog.tool_results(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
     assert "customer" not in plan and "c_custkey" not in plan and plan.count("from_json") == 0
+
+
+def test_no_side_that_grows_is_gathered_on_the_driver(spark, monkeypatch):
+    """Tool calls of many conversations, whose tables are small as files: neither what is written nor the result broadcasts."""
+    customers = spark.range(3000).select(F.col("id").alias("c_custkey"), F.lit("T").alias("c_mktsegment"), F.lit(1).alias("c_nationkey"), F.lit("n").alias("c_name"))
+    plans = []
+
+    def written(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, label)
+
+    kept = reconstruct.written
+    monkeypatch.setattr(reconstruct, "written", written)
+    with tempfile.TemporaryDirectory() as place:
+        customers.write.parquet(f"{place}/customer.parquet")
+        calls = reconstruct.tool_calls(reconstruct.turns(adapters.tool_bodies(spark, place), ("openai",)))
+        plans.append(calls._jdf.queryExecution().executedPlan().toString())
+        assert calls.count() == 3000 and calls.where("answered_at = 2").count() == 3000 - 429
+    assert len(plans) == 3 and not any("BroadcastExchange" in p for p in plans)

@@ -3,6 +3,9 @@
 A later request of a thread holds the earlier ones, so only the fullest request of a thread is taken apart. It is chosen on
 counts alone, for which no content is decoded, and only then are bodies read. Metrics come from every invocation and meet
 turns by position: a request of N messages was answered by turn N.
+
+Joins here are merges: both sides grow with the records. Tables that were written for them are compressed files, whose size
+tells Spark little of their rows', so left alone it gathers large sides on the driver to broadcast them.
 """
 
 from __future__ import annotations
@@ -86,10 +89,10 @@ def threads(records: DataFrame, kinds: tuple[str, ...] = tuple(ENVELOPES)) -> Da
 
 def _taken_apart(records: DataFrame, kinds: tuple[str, ...], told: DataFrame) -> DataFrame:
     """threads() of records that _told tells about: only the chosen requests' bodies are joined and read."""
-    picked = chosen(told).join(told.select(*KEY, "thread_id", "n", "metrics"), [*KEY, "thread_id", "n"])
+    picked = chosen(told).join(told.select(*KEY, "thread_id", "n", "metrics").hint("merge"), [*KEY, "thread_id", "n"])
     picked = picked.select(*(F.col(c).alias(f"c_{c}") for c in (*KEY, "thread_id", "n")), "is_main", "metrics")
     on = [F.col(c) == F.col(f"c_{c}") for c in (*KEY, "thread_id", "n")]
-    rows = _records(records, kinds).join(picked, on[0] & on[1] & on[2] & on[3] & on[4])
+    rows = _records(records, kinds).join(picked.hint("merge"), on[0] & on[1] & on[2] & on[3] & on[4])
     rows = rows.withColumn("asked", _by_kind(lambda e: e.request(F.col("input_body")), kinds)).withColumn("reply", _by_kind(lambda e: e.reply(F.col("output_body")), kinds))
     return rows.where("asked is not null").select(*KEY, "thread_id", "is_main", F.col("asked.system").alias("system_prompt"), F.col("asked.tools").alias("tools"), F.col("asked.turns").alias("turns"), "reply", "metrics")
 
@@ -108,7 +111,7 @@ def turns(records: DataFrame, kinds: tuple[str, ...] = tuple(ENVELOPES)) -> Data
     reply = F.when(F.size("reply.blocks") > 0, F.array(F.struct(F.col("reply.role").alias("role"), F.col("reply.blocks").alias("blocks"), F.lit(True).alias("answers")))).otherwise(F.array())
     each = known.select(*KEY, "thread_id", "is_main", "metrics", F.posexplode(F.concat(sent, reply)).alias("turn_index", "t")).withColumn("own", F.when(F.col("t.answers"), F.col("metrics"))).drop("metrics")
     made = told.where("n_in > 0").groupBy(*KEY, "thread_id", "turn_index").agg(F.min_by("metrics", F.struct("ts", "n")).alias("found"))
-    rows = each.join(made, [*KEY, "thread_id", "turn_index"], "left")
+    rows = each.join(made.hint("merge"), [*KEY, "thread_id", "turn_index"], "left")
     rows = rows.withColumn("m", F.coalesce("own", F.when(F.col("t.role") == "assistant", F.col("found")))).withColumn("blocks", F.col("t.blocks"))
     texts = F.filter(F.transform("blocks", lambda x: F.when(x["type"] == "text", x["text"])), lambda t: F.length(t) > 0)
     return rows.select(
@@ -129,4 +132,4 @@ def tool_calls(turns: DataFrame) -> DataFrame:
     calls = each.where("x.type = 'tool_use'").select(*KEY, "thread_id", b.s(F.col("x.tool_id")).alias("tool_id"), b.s(F.col("x.tool_name")).alias("tool_name"), b.s(F.col("x.tool_input")).alias("tool_input"), F.col("turn_index").alias("called_at"))
     results = each.where("x.type = 'tool_result' and x.tool_id <> ''").groupBy(*KEY, "thread_id", F.col("x.tool_id").alias("tool_id"))
     first = F.min_by(F.struct("turn_index", b.s(F.col("x.result_content")).alias("result"), F.coalesce("x.is_error", F.lit(False)).alias("is_error")), "turn_index").alias("r")
-    return calls.join(results.agg(first), [*KEY, "thread_id", "tool_id"], "left").select(*calls.columns, F.col("r.turn_index").alias("answered_at"), "r.result", "r.is_error")
+    return calls.join(results.agg(first).hint("merge"), [*KEY, "thread_id", "tool_id"], "left").select(*calls.columns, F.col("r.turn_index").alias("answered_at"), "r.result", "r.is_error")
