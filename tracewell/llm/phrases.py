@@ -8,12 +8,12 @@ Anchors are one place in about fourteen. Windows are told apart by 128 bits of h
 Compile. Documents are dealt to shards of about SHARD_BYTES. Passages of recurring windows are cut into phrases of WINDOW
 words that cover them. Cuts inside a passage follow its content (least hashes again, one in about eighteen words), so that
 copies are cut alike whatever stands around them; of equal phrases one is kept, wherever it comes from, and it goes to
-every shard that has its anchor, since only there can it occur. The first and last window of a passage are phrases for its own
-shard. In each shard the phrases are compiled into an Aho-Corasick automaton over words (two characters each).
+every shard that is cut so too. (Its anchor would not do to choose shards: common words are the anchor of ever more phrases in
+ever more shards.) The first and last window of a passage are phrases for its own shard. In each shard the phrases are compiled into an Aho-Corasick automaton over words (two characters each).
 
 Stream. Every document runs through the automaton of its shard, and the occurrences that it finds, of phrases from any
-document, are what is removed. Each document is streamed once, and an automaton holds only phrases whose anchors its shard
-has, so work grows with the input. Words stand as 64-bit hashes in phrases.
+document, are what is removed. Each document is streamed once, and an automaton holds only phrases that its shard
+has, so its size follows the shard's and work grows with the input. Words stand as 64-bit hashes in phrases.
 
 Counts travel packed, as arrays of hashes per (bucket, shard): a hot passage is one entry per shard, whatever its copies, and
 one row of phrases.
@@ -109,13 +109,6 @@ class _Shard:
         gram[at] = h
         return gram
 
-    def anchors_of(self, windows: np.ndarray) -> np.ndarray:
-        """The anchors of the windows that begin at the words windows."""
-        gram, least = self._grams(), np.full(len(windows), _NONE)
-        for i in range(WINDOW - GRAM + 1):
-            least = np.minimum(least, gram[windows + i])
-        return least
-
     def cuts(self) -> np.ndarray:
         """Which words begin the least run of GRAM words among WINDOW neighbours; of WINDOW neighbouring windows at least one is so."""
         gram = self._grams()
@@ -217,25 +210,10 @@ def _phrases(shard: _Shard, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[cut], starts[edge & ~cut]
 
 
-def _sent(phrases: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(shard, phrases) from distinct (bucket, anchor, phrase: word hashes) and the anchors (bucket, shard, hashes) of the shards."""
-
-    def meet(given: pa.Table, asked: pa.Table) -> pa.Table:
-        known = given.column("anchor").to_numpy().view(np.uint64) if given.num_rows else np.zeros(0, np.uint64)
-        order = np.argsort(known, kind="stable")
-        known, texts = known[order], np.frombuffer(b"".join(given.column("phrase").to_pylist()), np.uint64).reshape(-1, WINDOW)[order]
-        shards, packs = [], []
-        for shard, data in zip(asked.column("shard").to_pylist(), asked.column("hashes").to_pylist(), strict=True):
-            h = np.frombuffer(data, np.uint64)
-            lo, n = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
-            n -= lo
-            mine = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            if len(mine):
-                shards.append(shard)
-                packs.append(texts[mine].tobytes())
-        return pa.table({"shard": pa.array(shards, pa.int32()), "phrases": pa.array(packs, pa.binary())})
-
-    return phrases.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInArrow(meet, "shard int, phrases binary")
+def _sent(cuts: DataFrame) -> DataFrame:
+    """(shard, phrases) from cuts (shard, window: hash, phrase: word hashes): one phrase of equal ones, for all shards that have its window."""
+    given = cuts.select("window", "phrase").repartition("window").distinct()
+    return given.join(cuts.select("window", "shard").distinct().hint("merge"), "window").select("shard", F.col("phrase").alias("phrases"))
 
 
 def _covered(shard: _Shard, phrases: np.ndarray) -> np.ndarray:
@@ -300,20 +278,19 @@ def dedupe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return _requests(table.column("shard")[0].as_py(), h[np.isin(at, may, assume_unique=True)], window_buckets)
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
-        """The shard's phrases for all shards by anchor (to: -1) and for itself (to: its number)."""
-        to, anchors, phrases = np.zeros(0, np.int32), np.zeros(0, np.uint64), []
+        """The shard's phrases for all shards by window, and for itself (own)."""
+        own, number, windows, phrases = np.zeros(0, bool), 0, np.zeros(0, np.uint64), []
         if table.num_rows and replies.num_rows:
             shard = _Shard(table)
             at, h = shard.long_windows()
             cuts, edges = _phrases(shard, at[_among(h, _known(replies, 2))])
             cuts, edges = (x[_groups(h[np.searchsorted(at, x)])[0]] for x in (cuts, edges))
             starts = np.concatenate([cuts, edges])
-            to = np.repeat(np.array([-1, table.column("shard")[0].as_py()], np.int32), [len(cuts), len(edges)])
-            anchors = shard.anchors_of(starts)
+            own, number = np.repeat([False, True], [len(cuts), len(edges)]), table.column("shard")[0].as_py()
+            windows = h[np.searchsorted(at, starts), 0]
             words = shard.hashes[starts[:, None] + np.arange(WINDOW)].tobytes()
             phrases = [words[i : i + 8 * WINDOW] for i in range(0, len(words), 8 * WINDOW)]
-        bucket = (anchors % np.uint64(anchor_buckets)).astype(np.int32)
-        return pa.table({"to": pa.array(to), "bucket": pa.array(bucket), "anchor": pa.array(anchors.view(np.int64)), "phrase": pa.array(phrases, pa.binary())})
+        return pa.table({"shard": pa.array(np.full(len(own), number, np.int32)), "own": pa.array(own), "window": pa.array(windows.view(np.int64)), "phrase": pa.array(phrases, pa.binary())})
 
     columns = ["id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
 
@@ -338,9 +315,8 @@ def dedupe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     anchors = written(_recurring(texts.groupBy("shard").applyInArrow(ask_anchors, _REQUEST), 1), "anchors")
     asked = texts.groupBy("shard").cogroup(anchors.groupBy("shard")).applyInArrow(ask_windows, _REQUEST)
     recurring = written(_recurring(asked, 2), "windows")
-    phrases = written(texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(cut, "to int, bucket int, anchor long, phrase binary"), "cuts")
-    own = phrases.where("to >= 0").select(F.col("to").alias("shard"), F.col("phrase").alias("phrases"))
-    sent = _sent(phrases.where("to < 0").select("bucket", "anchor", "phrase").distinct(), anchors).unionByName(own)
+    phrases = written(texts.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(cut, "shard int, own boolean, window long, phrase binary"), "cuts")
+    sent = _sent(phrases.where("not own")).unionByName(phrases.where("own").select("shard", F.col("phrase").alias("phrases")))
     done = texts.groupBy("shard").cogroup(sent.groupBy("shard")).applyInArrow(remove, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     done = written(done, "phrases")
     spark.sql(f"DROP TABLE {name}")
